@@ -1,0 +1,85 @@
+"""Streams against their batch equivalents."""
+
+import gzip
+import os
+from datetime import datetime, timedelta
+
+import pytest
+from pyspark.sql import functions as F
+
+from tidelog.operators.incremental import drop_overlap
+from tidelog.plans import adapters
+from tidelog.streaming.pipelines import (drop_stream_overlap, landed_stream, run_trigger,
+                                         streaming_level_counts, tumbling_level_counts)
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.fixture
+def staged(spark, tmp_path):
+    """Event lines as a folder of files, one per two days, to be read in order."""
+    lines = (adapters.event_lines(spark, SF).withColumn("ts", F.col("ts").cast("timestamp"))
+             .select("ns", "pod", "container", "ts", "line"))
+    days = sorted(r[0] for r in lines.select(F.to_date("ts")).distinct().collect())
+    folder = str(tmp_path / "staged")
+    for i in range(0, len(days), 10):
+        part = lines.where(F.to_date("ts").between(days[i], days[min(i + 9, len(days) - 1)]))
+        part.coalesce(1).write.mode("append").parquet(folder)
+    return lines, folder
+
+
+def run(stream, tmp_path, name, mode="append"):
+    out = str(tmp_path / f"out_{name}")
+    query = (stream.writeStream.format("parquet").outputMode(mode)
+             .option("checkpointLocation", str(tmp_path / f"cp_{name}"))
+             .trigger(**run_trigger(now=True)).start(out))
+    query.awaitTermination()
+    return out
+
+
+def test_streaming_level_counts_equal_the_batch_counts(spark, tmp_path, staged):
+    lines, folder = staged
+    source = spark.readStream.schema(lines.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    out = run(streaming_level_counts(source, ["ns"]), tmp_path, "counts")
+    got = {tuple(r) for r in spark.read.parquet(out).collect()}
+    want = {tuple(r) for r in tumbling_level_counts(lines, ["ns"]).collect()}
+    newest = max(r[0] for r in want)
+    closed = {r for r in want if r[0] + timedelta(hours=4, minutes=5) <= newest}
+    assert closed <= got <= want and len(got) > 500
+
+
+def test_streaming_overlap_is_dropped(spark, tmp_path):
+    at = datetime(2024, 1, 1)
+    rows = [("n", "p", "c", at + timedelta(seconds=i), f"line {i}") for i in range(200)]
+    schema = "ns string, pod string, container string, ts timestamp, line string"
+    folder = str(tmp_path / "api")
+    for low, high in [(0, 120), (60, 200), (140, 200)]:
+        spark.createDataFrame(rows[low:high], schema).coalesce(1).write.mode("append").parquet(folder)
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    out = run(drop_stream_overlap(source), tmp_path, "dedup")
+    got = sorted(r.line for r in spark.read.parquet(out).collect())
+    assert got == sorted(r.line for r in drop_overlap(spark.read.parquet(folder)).collect())
+    assert len(got) == 200
+
+
+def test_landed_rotated_files_are_read_once(spark, tmp_path):
+    root = str(tmp_path / "pods" / "ns_pod_uid" / "app")
+    os.makedirs(root)
+    with open(f"{root}/0.log", "w") as f:
+        f.write("active\n")
+    with open(f"{root}/0.log.20240101", "w") as f:
+        f.write("old\n")
+
+    def lines():
+        out = run(landed_stream(spark, str(tmp_path / "pods")), tmp_path, "landed")
+        return sorted(r.line for r in spark.read.parquet(out).collect())
+
+    assert lines() == ["old"]
+    with gzip.open(f"{root}/0.log.20240102.gz", "wb") as f:
+        f.write(b"zipped\n")
+    assert lines() == ["old", "zipped"]
+
+
+def test_triggers():
+    assert run_trigger(now=True) == {"availableNow": True}
+    assert run_trigger() == {"processingTime": "4 hours"}

@@ -77,7 +77,7 @@ def rotated_skip_bytes(rotated: DataFrame, active_offsets: DataFrame, last_mtime
 
 def explode_inventory(inventory: DataFrame) -> DataFrame:
     """One row per container of a pod's comma-separated list."""
-    names = F.transform(F.split("containers", ","), F.trim)
+    names = F.transform(F.split("containers", ","), lambda name: F.trim(name))
     return inventory.select("ns", "pod", F.explode(names).alias("container"))
 
 

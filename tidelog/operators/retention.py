@@ -53,19 +53,24 @@ def capacity_cleanup(sizes: DataFrame, threshold: Column, current_run: str | Non
     too high. Prefix sums are taken per day first and then over days, so the ordered windows
     hold at most one row per second of a day and one row per day.
     """
-    dated = sizes.withColumn("_day", F.substring("run", 1, 10))
-    days = dated.groupBy("_day").agg(F.sum("size_bytes").alias("_bytes"), F.max("run").alias("_last"))
+    # The current run frees nothing. The newest run needs no such care: nothing comes after it.
+    freed = F.col("size_bytes")
+    if current_run is not None:
+        freed = F.when(F.col("run") == current_run, 0).otherwise(freed)
+    dated = sizes.withColumns({"_day": F.substring("run", 1, 10), "_freed": freed})
+    days = dated.groupBy("_day").agg(F.sum("size_bytes").alias("_bytes"), F.sum("_freed").alias("_freed"),
+                                     F.max("run").alias("_last"))
     by_day = Window.orderBy("_day")
     older_days = by_day.rowsBetween(Window.unboundedPreceding, -1)
     all_days = by_day.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     days = days.select(
-        "_day", F.coalesce(F.sum("_bytes").over(older_days), F.lit(0)).alias("_older_days"),
+        "_day", F.coalesce(F.sum("_freed").over(older_days), F.lit(0)).alias("_older_days"),
         F.sum("_bytes").over(all_days).alias("total_bytes"),
         F.max("_last").over(all_days).alias("_newest"))
     same_day = Window.partitionBy("_day").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
     current = F.col("_newest") if current_run is None else F.lit(current_run)
     older = F.col("_older_days") + F.coalesce(F.col("_same_day"), F.lit(0))
-    return (dated.withColumn("_same_day", F.sum("size_bytes").over(same_day))
+    return (dated.withColumn("_same_day", F.sum("_freed").over(same_day))
             .join(days, "_day")
             .withColumn("used_before", F.col("total_bytes") - older)
             .withColumn("dropped", F.coalesce(

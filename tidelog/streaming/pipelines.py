@@ -1,15 +1,59 @@
-"""Streaming jobs."""
+"""Streaming jobs: tail, landed files, de-duplication, ingest with catalog upkeep, level counts."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.levels import level_by_substring, level_counts
+from ..functions.names import output_name, run_name
+from ..functions.text import sort_key
+from ..operators.catalog import index_files, write_index
+from ..operators.ordinals import number_lines
+from ..schemas import CONTAINER, INDEX_SAMPLE, LOG_LINES
+from ..sources.sinks import write_log_lines
+from ..sources.tail import LogTailSource
+from ..sources.text_tree import ROTATED_GLOB
 
 WINDOW = "4 hours"
+LATENESS = "5 minutes"
+
+
+def run_trigger(now: bool = False, every: str = WINDOW) -> dict:
+    """Arguments for ``DataStreamWriter.trigger``: once over what is there, or on a schedule."""
+    return {"availableNow": True} if now else {"processingTime": every}
+
+
+def tail_stream(spark: SparkSession, root: str, **options) -> DataFrame:
+    """New lines of growing log files under ``root``, which every executor must be able to read."""
+    spark.dataSource.register(LogTailSource)
+    return spark.readStream.format("log_tail").option("path", root).options(**options).load()
+
+
+def landed_stream(spark: SparkSession, root: str, max_files: int = 1_000, max_age: str = "7d",
+                  clean: str = "off", archive_dir: str | None = None) -> DataFrame:
+    """Lines of rotated files, which never change once they have landed."""
+    reader = (spark.readStream.format("text").option("pathGlobFilter", ROTATED_GLOB)
+              .option("recursiveFileLookup", True).option("maxFilesPerTrigger", max_files)
+              .option("maxFileAge", max_age).option("cleanSource", clean))
+    if archive_dir:
+        reader = reader.option("sourceArchiveDir", archive_dir)
+    return reader.load(root).select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("path"))
+
+
+def drop_reread_lines(tail: DataFrame) -> DataFrame:
+    """One copy of every node line, however often its bytes were read."""
+    return (tail.withWatermark("collected_at", LATENESS)
+            .dropDuplicatesWithinWatermark(["uid", "container", "file_fp", "start_byte"]))
+
+
+def drop_stream_overlap(api_lines: DataFrame, keys: Sequence[str] = CONTAINER) -> DataFrame:
+    """One copy of every API line that overlapping fetches returned within the lateness bound."""
+    return (api_lines.withWatermark("ts", LATENESS)
+            .dropDuplicatesWithinWatermark([*keys, "ts", "line"]))
 
 
 def tumbling_level_counts(lines: DataFrame, keys: Sequence[str] = ("ns", "pod"),
@@ -20,3 +64,53 @@ def tumbling_level_counts(lines: DataFrame, keys: Sequence[str] = ("ns", "pod"),
             .agg(*level_counts(F.col("_level")))
             .select(F.col("_window.start").alias("window_start"), *keys,
                     "error_count", "warn_count", "info_count", "debug_count"))
+
+
+def streaming_level_counts(lines: DataFrame, keys: Sequence[str] = ("ns", "pod"),
+                           width: str = WINDOW) -> DataFrame:
+    """The same counts over a stream, closed once lines can be no more than five minutes late."""
+    return tumbling_level_counts(lines.withWatermark("ts", LATENESS), keys, width)
+
+
+def as_log_lines(batch: DataFrame) -> DataFrame:
+    """Collected lines as ``log_lines`` of the run named after the batch's listing."""
+    run = run_name(F.col("collected_at"))
+    key = sort_key(F.col("line"))
+    named = batch.withColumns({
+        "run": run, "filename": output_name(*[F.col(c) for c in CONTAINER], run),
+        "src_rank": F.when(F.col("path").contains(".log."), 0).otherwise(1),
+        "src_byte": F.col("start_byte"), "ts_key": key, "ts": F.try_to_timestamp(key),
+    }).drop("start_byte")
+    numbered = number_lines(named, ["run", "filename"], ["src_rank", "path", "src_byte"],
+                            F.col("n_bytes") + 1)
+    return numbered.select(*LOG_LINES.fieldNames())
+
+
+def ingest_batch(batch: DataFrame, lines_path: str, files_path: str, runs_path: str,
+                 sample: int | None = INDEX_SAMPLE) -> None:
+    """Write a batch's lines and index them from what was written.
+
+    Every table is replaced by run, and the run is fixed by the batch's offsets, so a batch
+    that is tried again ends in the same tables.
+    """
+    spark = batch.sparkSession
+    batch = batch.persist()
+    try:
+        runs = [r.run for r in batch.select(run_name(F.col("collected_at")).alias("run")).distinct().limit(2).collect()]
+        if not runs:
+            return
+        write_log_lines(as_log_lines(batch), lines_path)
+    finally:
+        batch.unpersist()
+    written = spark.read.schema(LOG_LINES).parquet(lines_path).where(F.col("run").isin(runs))
+    write_index(index_files(written, sample), files_path, runs_path)
+
+
+def start_ingest(spark: SparkSession, root: str, lines_path: str, files_path: str, runs_path: str,
+                 checkpoint: str, now: bool = False, every: str = WINDOW, **options) -> StreamingQuery:
+    """Collect new lines on a schedule, or once, and keep the line table and catalog up to date."""
+    def each(batch: DataFrame, _: int) -> None:
+        ingest_batch(batch, lines_path, files_path, runs_path)
+
+    return (tail_stream(spark, root, **options).writeStream.foreachBatch(each)
+            .option("checkpointLocation", checkpoint).trigger(**run_trigger(now, every)).start())
