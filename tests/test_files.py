@@ -166,7 +166,7 @@ def test_parts_are_bounded_and_add_up_to_the_input(tmp_path, run_lines, limit):
 def test_selection_and_single_file_export(spark, tmp_path, run_lines):
     name = f"n__p1__c__{RUN}.log"
     chosen = make_selection(spark, [RUN, RUN, RUN], [name, name, "missing.log"])
-    sinks.write_selection(run_lines, chosen, str(tmp_path / "sel"), max_rows=3)
+    sinks.write_selection(run_lines, chosen, str(tmp_path / "sel"))
     with open(str(tmp_path / "in" / RUN / name), "rb") as f:
         content = f.read()
     assert read_parts(str(tmp_path / "sel")) == {name: content}

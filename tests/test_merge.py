@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from tidelog.operators import merge
+from tidelog.operators import merge, sizes
 
 RUN = "2024-01-01_00-00-00"
 
@@ -46,7 +46,7 @@ def test_merge_is_a_stable_sort(spark, files, lines, tail, carry):
             last = key(line) or (last if carry else "")
             want.append((last, i, line))
     want = [(i, line) for _, i, line in sorted(want, key=lambda x: x[0])]
-    merged = merge.merge_sources(lines, selection, tail, carry_forward=carry, max_rows=len(chosen))
+    merged = merge.merge_sources(lines, selection, tail, carry_forward=carry)
     assert [(r.sel_idx, r.line) for r in merge.merge_order(merged).collect()] == want
     for bound in (None, 70_000, 500):
         placed = merge.merge_positions(merged, bound).orderBy("pos").collect()
@@ -75,7 +75,25 @@ def test_selection_lists_must_match(spark):
         merge.make_selection(spark, ["a"], [])
 
 
-def test_large_selections_are_not_forced_to_broadcast(spark, lines, files):
-    selection = merge.make_selection(spark, [RUN], [next(iter(files))])
-    plan = merge.selected_lines(lines, selection)._jdf.queryExecution().optimizedPlan().toString()
-    assert "broadcast" not in plan.lower()
+def joins(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_selections_are_broadcast_only_when_small(spark, lines, files, monkeypatch):
+    selection = merge.make_selection(spark, [RUN] * 3, [*files][:3])
+    assert "BroadcastHashJoin" in joins(merge.selected_lines(lines, selection))
+    monkeypatch.setattr(merge, "keep_small", lambda df: sizes.keep_small(df, 2))
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10")
+    try:
+        large = merge.selected_lines(lines, selection)
+        assert "SortMergeJoin" in joins(large) and "Broadcast" not in joins(large)
+        assert "LocalTableScan" not in joins(large)
+        assert large.count() == sum(len(files[f]) for f in [*files][:3])
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_keep_small_of_nothing(spark):
+    empty = spark.createDataFrame([], "a string, b bigint")
+    assert sizes.keep_small(empty).collect() == [] and sizes.keep_small(empty).schema == empty.schema

@@ -39,7 +39,11 @@ def index_files(lines: DataFrame, sample: int | None = INDEX_SAMPLE, keys: Seque
     head = (head_lines(lines, sample, keys, order)
             .withColumn("_level", level)
             .groupBy(*keys).agg(*level_counts(F.col("_level"))))
-    return file_totals(lines, keys).join(head, list(keys))
+    totals = file_totals(lines, keys)
+    # Adding up two sets of partial rows, rather than joining them, keeps files with a null name part.
+    both = totals.unionByName(head, allowMissingColumns=True)
+    measures = [c for c in both.columns if c not in keys]
+    return both.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in measures])
 
 
 def index_runs(files: DataFrame) -> DataFrame:

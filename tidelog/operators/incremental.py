@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..schemas import API_OVERLAP_S, CONTAINER
 from .ordinals import KEY, LineChunks
+from .sizes import keep_small
 
 
 def effective_offset(size: Column, saved: Column) -> Column:
@@ -98,7 +99,8 @@ def without_output(containers: DataFrame, outputs: DataFrame) -> DataFrame:
 
 
 def lines_of(lines: DataFrame, containers: DataFrame) -> DataFrame:
-    return lines.join(containers.select(*CONTAINER), CONTAINER, "left_semi")
+    """Lines of the given containers; a container list of ordinary size spares the lines a shuffle."""
+    return lines.join(keep_small(containers.select(*CONTAINER)), CONTAINER, "left_semi")
 
 
 def since_window(lines: DataFrame, now: Column, last: Column | None,

@@ -11,10 +11,8 @@ from ..functions.levels import level_in_merge
 from ..functions.names import source_label
 from ..functions.text import sort_key
 from ..schemas import MERGE_TAIL, SELECTION
-from .ordinals import KEY, ROWS_PER_CHUNK, CHUNK, number_lines, tail_lines
-
-BROADCAST_SELECTION = 10_000
-
+from .ordinals import CHUNK, KEY, ROWS_PER_CHUNK, number_lines, tail_lines
+from .sizes import keep_small
 
 def make_selection(spark: SparkSession, runs: Sequence[str], files: Sequence[str]) -> DataFrame:
     """Parallel lists to an ordered selection; lists of different length are an error."""
@@ -24,37 +22,26 @@ def make_selection(spark: SparkSession, runs: Sequence[str], files: Sequence[str
     return spark.createDataFrame(rows, SELECTION)
 
 
-def _sized(selection: DataFrame, max_rows: int | None) -> DataFrame:
-    """Broadcast hint only where the selection is known to be small."""
-    if max_rows is not None and max_rows <= BROADCAST_SELECTION:
-        return F.broadcast(selection)
-    return selection
-
-
-def selected_lines(lines: DataFrame, selection: DataFrame, max_rows: int | None = None) -> DataFrame:
-    """Lines of the selected files, once per selection entry; missing files give nothing.
-
-    ``max_rows`` is the known bound on the selection; without it no side is forced.
-    """
-    return lines.join(_sized(selection, max_rows), ["run", "filename"])
+def selected_lines(lines: DataFrame, selection: DataFrame) -> DataFrame:
+    """Lines of the selected files, once per selection entry; missing files give nothing."""
+    return lines.join(keep_small(selection), ["run", "filename"])
 
 
-def export_lines(lines: DataFrame, selection: DataFrame, max_rows: int | None = None) -> DataFrame:
+def export_lines(lines: DataFrame, selection: DataFrame) -> DataFrame:
     """Lines of the selected files, each file once."""
-    return lines.join(_sized(selection.select("run", "filename").distinct(), max_rows),
-                      ["run", "filename"], "left_semi")
+    chosen = keep_small(selection.select("run", "filename").distinct())
+    return lines.join(chosen, ["run", "filename"], "left_semi")
 
 
 def merge_sources(lines: DataFrame, selection: DataFrame, tail: int | None = MERGE_TAIL,
-                  order: Sequence[str] = ("line_no",), carry_forward: bool = False,
-                  max_rows: int | None = None) -> DataFrame:
+                  order: Sequence[str] = ("line_no",), carry_forward: bool = False) -> DataFrame:
     """The last ``tail`` lines of every selected source, tagged for the merge.
 
     Adds ``label``, ``ts_key``, ``level`` and ``line_no``. Sort by ``ts_key, sel_idx, line_no``:
     that is a range-partitioned sort. ``carry_forward`` gives a line without a timestamp the
     one of the line before it, so that stack traces stay with their parent.
     """
-    chosen = selected_lines(lines, selection, max_rows)
+    chosen = selected_lines(lines, selection)
     source = ["sel_idx", "run", "filename"]
     if tail is not None:
         chosen = tail_lines(chosen, tail, source, order)

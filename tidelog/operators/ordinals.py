@@ -12,7 +12,6 @@ import json
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,8 +27,8 @@ GROUP_LIMIT_ROWS = 1_000      # above this Spark no longer prunes a ranked windo
 TOP_N_SALTS = 64
 
 
-def chunk_bounds(df: DataFrame, order: Sequence[str], rows_per_chunk: int = ROWS_PER_CHUNK,
-                 max_chunks: int = MAX_CHUNKS, rows: int | None = None) -> list[list]:
+def chunk_bounds(df: DataFrame, order: Sequence[str], rows_per_chunk: int | None = None,
+                 rows: int | None = None) -> list[list]:
     """Sorted splitters that cut ``df`` into about even chunks along ``order``.
 
     Runs a count (footer-only for a bare Parquet table; pass ``rows`` to skip it) and reads a
@@ -38,7 +37,7 @@ def chunk_bounds(df: DataFrame, order: Sequence[str], rows_per_chunk: int = ROWS
     every retried task cuts at the same places.
     """
     rows = df.count() if rows is None else rows
-    chunks = min(max_chunks, math.ceil(rows / rows_per_chunk))
+    chunks = min(MAX_CHUNKS, math.ceil(rows / (rows_per_chunk or ROWS_PER_CHUNK)))
     if chunks <= 1:
         return []
     wanted = min(chunks * SAMPLES_PER_CHUNK, MAX_SAMPLES)
@@ -90,21 +89,22 @@ def _chunk_of(df: DataFrame, order: Sequence[str], bounds: list[list]) -> Column
 class LineChunks:
     """Rows numbered inside their chunk, and one small row per chunk saying where it starts.
 
-    ``rows``   : input columns + KEY, CHUNK, local_no, local_start
+    ``rows``   : input columns (those of the key inside KEY only) + KEY, CHUNK, local_no, local_start
     ``starts`` : KEY, CHUNK, first_line, first_byte, chunk_bytes, file_lines, file_bytes
     """
 
     rows: DataFrame
     starts: DataFrame
+    columns: list[str]
+    keys: list[str]
 
     def numbered(self, starts: DataFrame | None = None, keep: Sequence[str] = ()) -> DataFrame:
         """Rows with final ``line_no`` and ``start_byte``, joined chunk by chunk.
 
         Filtering ``starts`` first skips whole chunks; extra columns in ``keep`` are carried over.
         """
-        columns = [c for c in self.rows.columns
-                   if c not in (KEY, CHUNK, "local_no", "local_start")]
         joined = self.rows.join(self.starts if starts is None else starts, [KEY, CHUNK])
+        columns = [F.col(f"{KEY}.`{c}`") if c in self.keys else F.col(c) for c in self.columns]
         return joined.select(
             *columns, *keep,
             (F.col("first_line") + F.col("local_no")).alias("line_no"),
@@ -145,8 +145,8 @@ def line_chunks(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column
         "local_no": F.row_number().over(inside).cast("bigint"),
         "local_start": F.coalesce(
             F.sum("_size").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
-    }).drop("_size")
-    return LineChunks(rows, starts)
+    }).drop("_size", *keys)
+    return LineChunks(rows, starts, df.columns, list(keys))
 
 
 def number_lines(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column],
@@ -155,29 +155,42 @@ def number_lines(df: DataFrame, keys: Sequence[str], order: Sequence[str | Colum
     return line_chunks(df, keys, order, size, **chunk_args).numbered()
 
 
-def first_n(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int,
-            rank: str = "rank", salts: int = TOP_N_SALTS) -> DataFrame:
-    """First ``n`` rows per group in ``order``, ranked from 1.
+def _salt(df: DataFrame, order: Sequence[str], salts: int) -> Column:
+    """A salt shared by neighbours in sort order.
+
+    Files are mostly laid out along their order, so a map task sees few salts and its
+    own group limit still leaves about ``n`` rows per group. Any layout gives exact results.
+    """
+    kinds = dict(df.dtypes)
+    blocks = []
+    for name in order:
+        if kinds[name].startswith("timestamp"):
+            blocks.append(F.floor(F.unix_seconds(F.col(name).cast("timestamp")) / 3_600))
+        elif kinds[name] in ("tinyint", "smallint", "int", "bigint"):
+            blocks.append(F.shiftright(F.col(name).cast("bigint"), 20))
+        else:
+            blocks.append(F.col(name))
+    return F.pmod(F.xxhash64(*blocks), F.lit(salts))
+
+
+def first_n(df: DataFrame, keys: Sequence[str], order: Sequence[str], n: int, rank: str = "rank",
+            last: bool = False, salts: int = TOP_N_SALTS) -> DataFrame:
+    """First (or last) ``n`` rows per group along ``order``, ranked from 1.
 
     Ranked in two steps: inside a salted piece of the group, then over the at most
     ``n * salts`` rows that are left, so a hot group is never sorted in one task. For ``n`` up
-    to the group-limit threshold, map tasks also drop all but ``n`` rows before the shuffle.
+    to the group-limit threshold, map tasks also drop all but the first rows before the shuffle.
     """
-    salt = F.pmod(F.xxhash64(*_columns_of(df)), F.lit(salts))
-    piece = Window.partitionBy(*keys, "_salt").orderBy(*order)
-    group = Window.partitionBy(*keys).orderBy(*order)
-    return (df.withColumn("_salt", salt)
+    along = [F.col(c).desc() if last else F.col(c).asc() for c in order]
+    piece = Window.partitionBy(*keys, "_salt").orderBy(*along)
+    group = Window.partitionBy(*keys).orderBy(*along)
+    return (df.withColumn("_salt", _salt(df, order, salts))
             .withColumn("_n", F.row_number().over(piece)).where(F.col("_n") <= n)
             .drop("_salt", "_n")
             .withColumn(rank, F.row_number().over(group)).where(F.col(rank) <= n)
             .withColumn(rank, F.col(rank).cast("bigint")))
 
 
-def _columns_of(df: DataFrame) -> list[str]:
-    """Columns a salt can hash: maps have no hash."""
-    return [f.name for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
-
-
 def head_lines(lines: DataFrame, n: int, keys: Sequence[str] = ("run", "filename"),
                order: Sequence[str] = ("line_no",)) -> DataFrame:
     """First ``n`` lines per file: a filter where ``line_no`` is stored, else a ranked window."""
@@ -185,7 +198,7 @@ def head_lines(lines: DataFrame, n: int, keys: Sequence[str] = ("run", "filename
         return lines.where(F.col("line_no") <= n)
     if n > GROUP_LIMIT_ROWS:
         return number_lines(lines, keys, order).where(F.col("line_no") <= n).drop("start_byte")
-    return first_n(lines, keys, [F.col(c).asc() for c in order], n, rank="line_no")
+    return first_n(lines, keys, order, n, rank="line_no")
 
 
 def tail_lines(lines: DataFrame, n: int, keys: Sequence[str] = ("run", "filename"),
@@ -198,19 +211,13 @@ def tail_lines(lines: DataFrame, n: int, keys: Sequence[str] = ("run", "filename
         late = chunks.starts.withColumn("_cut", F.col("file_lines") - n)
         return (chunks.numbered(late, keep=["_cut"])
                 .where(F.col("line_no") > F.col("_cut")).drop("_cut", "start_byte"))
+    # One struct as the key: it is hashed once for every step, and null keys match.
+    packed = lines.withColumn(KEY, F.struct(*keys)).drop(*keys)
+    columns = [F.col(f"{KEY}.`{c}`") if c in keys else F.col(c) for c in lines.columns]
     if "line_no" in lines.columns:
-        last = lines.groupBy(*keys).agg(F.max("line_no").alias("_last"))
-        return (_join_group_value(lines, last, keys)
-                .where(F.col("line_no") > F.col("_last") - n).drop("_last"))
-    counts = lines.groupBy(*keys).agg(F.count(F.lit(1)).alias("_last"))
-    ranked = first_n(lines, keys, [F.col(c).desc() for c in order], n, rank="_back")
-    return (_join_group_value(ranked, counts, keys)
-            .withColumn("line_no", F.col("_last") - F.col("_back") + 1).drop("_last", "_back"))
-
-
-def _join_group_value(rows: DataFrame, values: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Bring one value per group to its rows; null keys match each other."""
-    r, v = rows.alias("r"), values.alias("v")
-    same = reduce(lambda a, b: a & b, [F.col(f"r.`{k}`").eqNullSafe(F.col(f"v.`{k}`")) for k in keys])
-    extra = [c for c in values.columns if c not in keys]
-    return r.join(v, same).select("r.*", *[F.col(f"v.`{c}`") for c in extra])
+        last = packed.groupBy(KEY).agg(F.max("line_no").alias("_last"))
+        return packed.join(last, KEY).where(F.col("line_no") > F.col("_last") - n).select(*columns)
+    counts = packed.groupBy(KEY).agg(F.count(F.lit(1)).alias("_last"))
+    ranked = first_n(packed, [KEY], order, n, rank="_back", last=True)
+    return ranked.join(counts, KEY).select(
+        *columns, (F.col("_last") - F.col("_back") + 1).alias("line_no"))

@@ -64,11 +64,8 @@ def sort_results(found: DataFrame, column: str, descending: bool = False) -> Dat
 
 def search_recent_runs(files: DataFrame, query: str = "", ns: str = "", date_from: str = "",
                        date_to: str = "", max_runs: int = RECENT_RUNS) -> DataFrame:
-    """Search without an index: file names only, in the newest ``max_runs`` runs of the range.
-
-    The broadcast side is one run name per row, at most ``max_runs`` of them.
-    """
+    """Search without an index: file names only, in the newest ``max_runs`` runs of the range."""
     ranged = in_date_range(files, date_from, date_to)
     recent = ranged.select("run").distinct().orderBy(F.col("run").desc()).limit(max_runs)
     found = files_named(files_in_namespace(ranged, ns), query)
-    return found.join(F.broadcast(recent), "run", "left_semi")
+    return found.join(recent, "run", "left_semi")

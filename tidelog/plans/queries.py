@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import levels, names, text
 from ..operators import (catalog, export, filters, incremental, merge, ordinals, retention,
                          search)
+from ..operators.sizes import keep_small
 from ..schemas import CONTAINER
 from . import adapters as src
 
@@ -352,7 +353,7 @@ def _selected(spark, sf):
 
 def _merged(spark, sf):
     lines, chosen = _selected(spark, sf)
-    return merge.merge_sources(lines, chosen, SAMPLE, src.ORDER, max_rows=src.SELECTION_ROWS)
+    return merge.merge_sources(lines, chosen, SAMPLE, src.ORDER)
 
 
 @query
@@ -364,7 +365,7 @@ def merge_view(spark, sf):
 @query
 def merge_whole_files(spark, sf):
     lines, chosen = _selected(spark, sf)
-    merged = merge.merge_sources(lines, chosen, None, src.ORDER, max_rows=src.SELECTION_ROWS)
+    merged = merge.merge_sources(lines, chosen, None, src.ORDER)
     return merge.merge_positions(merged).select("pos", "sel_idx", "ts_key", "line_no", "line")
 
 
@@ -382,13 +383,13 @@ def merged_filter_count(spark, sf):
 @query
 def selection_join(spark, sf):
     lines, chosen = _selected(spark, sf)
-    return merge.selected_lines(lines, chosen, src.SELECTION_ROWS).select("sel_idx", *LINE_COLUMNS)
+    return merge.selected_lines(lines, chosen).select("sel_idx", *LINE_COLUMNS)
 
 
 @query
 def export_selection(spark, sf):
     lines, chosen = _selected(spark, sf)
-    return merge.export_lines(lines, chosen, src.SELECTION_ROWS).select(*LINE_COLUMNS)
+    return merge.export_lines(lines, chosen).select(*LINE_COLUMNS)
 
 
 @query
@@ -531,7 +532,7 @@ def union_rotated_active(spark, sf):
 
 
 def _phases(spark, sf):
-    coverage = src.coverage(spark, sf)
+    coverage = keep_small(src.coverage(spark, sf))
     lines = src.event_lines(spark, sf).select(*CONTAINER, "line")
     asked = incremental.api_candidates(_containers(spark, sf), coverage)
     return incremental.union_phases(incremental.lines_of(lines, coverage), incremental.lines_of(lines, asked))

@@ -38,9 +38,9 @@ def write_text(lines: DataFrame, path: str, max_bytes: int = PART_BYTES,
      .option("compression", compression).partitionBy("run", "file").text(path))
 
 
-def write_selection(lines: DataFrame, selection: DataFrame, path: str, max_rows: int | None = None) -> None:
+def write_selection(lines: DataFrame, selection: DataFrame, path: str) -> None:
     """Export the chosen files; files that do not exist are left out."""
-    write_text(export_lines(lines, selection, max_rows), path)
+    write_text(export_lines(lines, selection), path)
 
 
 def write_file(lines: DataFrame, run: str, filename: str, path: str) -> None:
