@@ -1,9 +1,15 @@
 """The tailing source: growth, rotation, truncation, unfinished lines, restart, byte ranges."""
 
+import gzip
 import os
 
 import pytest
 
+from pyspark.sql import functions as F
+
+from tidelog.operators import catalog, retention
+from tidelog.operators.filters import pattern_count_by_run
+from tidelog.sources import sinks, tables
 from tidelog.sources.tail import ByteRange, LogTailReader, _owned_lines
 from tidelog.streaming.pipelines import drop_reread_lines, start_ingest, tail_stream
 
@@ -69,6 +75,37 @@ def test_rotation_by_rename_continues_the_old_file(tmp_path, log):
     assert steps.next() == []
 
 
+def squeeze(path):
+    with open(path, "rb") as f, gzip.open(path + ".gz", "wb") as z:
+        z.write(f.read())
+
+
+def test_compressed_rotated_files(tmp_path, log):
+    write(log, b"2024-01-01T00:00:00Z a\n2024-01-01T00:00:01Z b\n")
+    steps = Steps(tmp_path / "logs")
+    assert len(steps.next()) == 2
+    # Rotated twice and compressed between two listings: one file was seen before, one never.
+    write(log, b"2024-01-01T00:00:02Z c\n")
+    os.rename(log, log + ".1")
+    squeeze(log + ".1")
+    os.remove(log + ".1")
+    with gzip.open(log + ".2.gz", "wb") as z:
+        z.write(b"2024-01-02T00:00:00Z d\n2024-01-02T00:00:01Z open end")
+    write(log, b"2024-01-03T00:00:00Z e\n")
+    assert [x[2][-1] for x in steps.next()] == ["e", "c", "d", "d"]
+    assert steps.next() == []
+    # A plain rotated file that was read and is compressed later brings nothing new.
+    os.rename(log, log + ".3")
+    write(log, b"2024-01-04T00:00:00Z f\n")
+    assert [x[2][-1] for x in steps.next()] == ["f"]
+    squeeze(log + ".3")
+    assert steps.next() == []
+    os.remove(log + ".3")
+    assert steps.next() == []
+    os.remove(log + ".1.gz")
+    assert steps.next() == []
+
+
 def test_a_file_replaced_by_a_longer_one_is_read_from_its_start(tmp_path, log):
     write(log, b"first file\n")
     steps = Steps(tmp_path / "logs")
@@ -90,7 +127,7 @@ def test_malformed_directories_and_other_namespaces_are_skipped(tmp_path, log):
     write(log, b"x\n")
     write(str(tmp_path / "logs" / "nounderscore" / "app" / "0.log"), b"no\n")
     write(str(tmp_path / "logs" / "ns2_pod-b_uid2" / "app" / "0.log"), b"other\n")
-    write(str(tmp_path / "logs" / "ns1_pod-a_uid1" / "app" / "0.log.1.gz"), b"\x1f\x8b")
+    write(str(tmp_path / "logs" / "ns1_pod-a_uid1" / "app" / "0.log.1.gz.tmp"), b"\x1f\x8b")
     assert sorted(x[2] for x in Steps(tmp_path / "logs").next()) == ["other", "x"]
     assert [x[2] for x in Steps(tmp_path / "logs", namespaces="ns2").next()] == ["other"]
 
@@ -166,3 +203,48 @@ def test_ingest_keeps_lines_and_catalog_in_step(spark, tmp_path, log):
     newest = runs.orderBy("run", ascending=False).first()
     assert runs.count() == 2 and newest.file_count == 1 and newest.total_bytes == 29
     assert lines.count() == 4 and files.where(f"run = '{newest.run}'").first().debug_count == 1
+
+
+def test_qa_scenario_collect_archive_and_retain(spark, tmp_path, log):
+    """Numbered lines: the second run holds new lines only; old runs go with everything they own."""
+    store = {t: str(tmp_path / "store" / t) for t in ("lines", "files", "runs", "archives", "zip")}
+
+    def collect():
+        start_ingest(spark, str(tmp_path / "logs"), store["lines"], store["files"], store["runs"],
+                     str(tmp_path / "cp"), now=True).awaitTermination()
+        newest = tables.runs(spark, store["runs"]).agg(F.max("run")).first()[0]
+        archived = sinks.archive_run(tables.log_lines(spark, store["lines"]), newest, store["zip"])
+        sinks.write_archives(archived, store["archives"])
+        return newest
+
+    write(log, "".join(f"QA_{i}\n" for i in range(1, 65)).encode())
+    first = collect()
+    write(log, "".join(f"QA_{i}\n" for i in range(65, 99)).encode())
+    second = collect()
+    counts = {r.run: r.matches for r in pattern_count_by_run(tables.log_lines(spark, store["lines"]), "QA_").collect()}
+    assert counts == {first: 64, second: 34}
+    stats = catalog.dashboard_stats(tables.runs(spark, store["runs"]), tables.archives(spark, store["archives"])).first()
+    assert (stats.runs, stats.files, stats.zips, stats.last_run) == (2, 2, 2, second)
+
+    sizes = retention.run_sizes(tables.runs(spark, store["runs"]), tables.archives(spark, store["archives"]))
+    doomed = [r.run for r in retention.capacity_cleanup(sizes, F.lit(1)).where("dropped").collect()]
+    assert doomed == [first]
+    sinks.drop_runs(spark, doomed, *store.values())
+    assert [r.run for r in tables.runs(spark, store["runs"]).collect()] == [second]
+    assert tables.log_lines(spark, store["lines"]).count() == 34
+    assert tables.archives(spark, store["archives"]).count() == 1
+    assert not os.path.exists(f"{store['zip']}/run={first}")
+    with pytest.raises(ValueError):
+        sinks.drop_runs(spark, ["../x"], store["runs"])
+
+
+def test_tables_never_written_are_empty(spark, tmp_path):
+    for read in (tables.log_lines, tables.log_files, tables.runs, tables.archives):
+        assert read(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_archives_are_discovered_without_reading_them(spark, tmp_path):
+    for run in ("2024-01-01_00-00-00", "2024-01-02_00-00-00"):
+        write(str(tmp_path / "zips" / f"archive_{run}.tar.gz"), b"12345")
+    got = tables.discover_archives(spark, str(tmp_path / "zips")).collect()
+    assert [(r.run, r.size_bytes) for r in got] == [("2024-01-02_00-00-00", 5), ("2024-01-01_00-00-00", 5)]

@@ -88,6 +88,12 @@ def list_archives(archives: DataFrame) -> DataFrame:
     return archives.orderBy(F.col("filename").desc())
 
 
+def archives_with_namespace(archives: DataFrame, files: DataFrame, ns: str) -> DataFrame:
+    """Archives of the runs that hold files of a namespace."""
+    of = files.where(F.col("ns") == ns).select("run").distinct()
+    return archives.join(of, "run", "left_semi")
+
+
 def distinct_namespaces(files: DataFrame, run: str | None = None) -> DataFrame:
     if run is not None:
         files = files.where(F.col("run") == run)

@@ -123,7 +123,10 @@ def union_rotated_active(rotated: DataFrame, active: DataFrame) -> DataFrame:
             .unionByName(active.withColumn("src_rank", F.lit(1)), allowMissingColumns=True))
 
 
-def union_phases(node_lines: DataFrame, api_lines: DataFrame) -> DataFrame:
+def union_phases(node_lines: DataFrame, api_lines: DataFrame | None) -> DataFrame:
+    """Lines of both phases, tagged; None switches the API phase off."""
+    if api_lines is None:
+        return node_lines.withColumn("phase", F.lit("node"))
     return (node_lines.withColumn("phase", F.lit("node"))
             .unionByName(api_lines.withColumn("phase", F.lit("api")), allowMissingColumns=True))
 

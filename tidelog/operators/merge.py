@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.levels import level_in_merge
 from ..functions.names import source_label
 from ..functions.text import sort_key
-from ..schemas import MERGE_TAIL, SELECTION
+from ..schemas import MERGE_TAIL, SELECTION, SOURCE_GROUPS
 from .ordinals import CHUNK, KEY, ROWS_PER_CHUNK, number_lines, tail_lines
 from .sizes import keep_small
 
@@ -37,7 +37,7 @@ def merge_sources(lines: DataFrame, selection: DataFrame, tail: int | None = MER
                   order: Sequence[str] = ("line_no",), carry_forward: bool = False) -> DataFrame:
     """The last ``tail`` lines of every selected source, tagged for the merge.
 
-    Adds ``label``, ``ts_key``, ``level`` and ``line_no``. Sort by ``ts_key, sel_idx, line_no``:
+    Adds ``label``, ``ts_key``, ``level``, ``source_group`` and ``line_no``. Sort by ``ts_key, sel_idx, line_no``:
     that is a range-partitioned sort. ``carry_forward`` gives a line without a timestamp the
     one of the line before it, so that stack traces stay with their parent.
     """
@@ -51,7 +51,8 @@ def merge_sources(lines: DataFrame, selection: DataFrame, tail: int | None = MER
     if carry_forward:
         chosen = carry_timestamps(chosen, source)
     return chosen.withColumns({"label": source_label(F.col("filename")),
-                               "level": level_in_merge(F.col("line"))})
+                               "level": level_in_merge(F.col("line")),
+                               "source_group": F.pmod(F.col("sel_idx"), F.lit(SOURCE_GROUPS))})
 
 
 def carry_timestamps(lines: DataFrame, keys: Sequence[str],

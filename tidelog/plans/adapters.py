@@ -12,7 +12,7 @@ from datetime import date, timedelta
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.names import archive_name, container_key
+from ..functions.names import archive_name, output_name
 from ..functions.text import line_bytes
 from ..operators.ordinals import LineChunks, chunk_bounds, line_chunks
 from ..operators.catalog import index_files, index_runs
@@ -22,26 +22,25 @@ ORDER = ["ts", "event_id"]
 DOCS_PER_CHUNK = 1_024
 
 
+# Declared schemas: opening a table needs no job that reads footers.
+EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
+DOCUMENTS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+
+
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/events.parquet")
+    return spark.read.schema(EVENTS).parquet(f"{sf_dir}/events.parquet")
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return spark.read.schema(DOCUMENTS).parquet(f"{sf_dir}/documents.parquet")
 
 
 def ntz(text: str) -> Column:
     return F.to_timestamp_ntz(F.lit(text))
 
 
-def run_of(ts: Column) -> Column:
-    return F.concat(ts.cast("date").cast("string"), F.lit("_00-00-00"))
-
-
 def with_filename(files: DataFrame) -> DataFrame:
-    name = F.concat(container_key(F.col("ns"), F.col("pod"), F.col("container")),
-                    F.lit("__"), F.col("run"), F.lit(".log"))
-    return files.withColumn("filename", name)
+    return files.withColumn("filename", output_name(*[F.col(c) for c in ("ns", "pod", "container", "run")]))
 
 
 def event_lines(spark: SparkSession, sf_dir: str, run_from: str | None = None,
@@ -53,22 +52,16 @@ def event_lines(spark: SparkSession, sf_dir: str, run_from: str | None = None,
     if run_to:
         after = date.fromisoformat(run_to[:10]) + timedelta(days=1)
         source = source.where(F.col("ts") < ntz(f"{after} 00:00:00"))
-    user, event = F.col("user_id"), F.col("event_id")
-    word = (F.when(F.col("event_type") == "error", "ERROR")
-            .when(F.col("event_type") == "click", "WARNING")
-            .when(F.col("event_type") == "purchase", "INFO")
-            .when(F.col("event_type") == "signup", "debug")
-            .when(event % 3 == 0, "errors_total warned")
-            .when(event % 3 == 1, "information")
-            .otherwise("plain"))
-    line = F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"), F.lit(" "), word,
-                    F.lit(" user="), user.cast("string"), F.lit(" "), F.coalesce("props", F.lit("")))
-    lines = source.select(
-        "event_id", "ts", run_of(F.col("ts")).alias("run"),
-        F.concat(F.lit("ns"), (user % 5).cast("string")).alias("ns"),
-        F.concat(F.lit("pod-"), (user % 20).cast("string")).alias("pod"),
-        F.when(user % 20 < 10, "app").otherwise("sidecar").alias("container"),
-        line.alias("line"))
+    lines = source.selectExpr(
+        "event_id", "ts", "concat(cast(cast(ts AS date) AS string), '_00-00-00') AS run",
+        "concat('ns', user_id % 5) AS ns", "concat('pod-', user_id % 20) AS pod",
+        "CASE WHEN user_id % 20 < 10 THEN 'app' ELSE 'sidecar' END AS container",
+        """concat(date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"), ' ',
+                  CASE event_type WHEN 'error' THEN 'ERROR' WHEN 'click' THEN 'WARNING'
+                       WHEN 'purchase' THEN 'INFO' WHEN 'signup' THEN 'debug'
+                       ELSE CASE event_id % 3 WHEN 0 THEN 'errors_total warned'
+                                              WHEN 1 THEN 'information' ELSE 'plain' END END,
+                  ' user=', user_id, ' ', coalesce(props, '')) AS line""")
     return with_filename(lines.withColumn("n_bytes", line_bytes(F.col("line"))))
 
 

@@ -213,6 +213,8 @@ BODIES = {
     "run_with_archive": """
         SELECT r.run, r.total_bytes, a.filename IS NOT NULL AS has_archive, coalesce(a.size_bytes, 0) AS archive_bytes
         FROM runs r LEFT JOIN archives a ON a.filename = concat('archive_', r.run, '.tar.gz')""",
+    "archives_by_namespace": """
+        SELECT filename, run, size_bytes FROM archives WHERE run IN (SELECT run FROM log_files WHERE ns = 'ns2')""",
     "search_join": """
         SELECT f.run, f.filename, f.size_bytes, r.file_count, r.total_bytes FROM log_files f JOIN runs r ON f.run = r.run""",
     "search_pod": f"SELECT {RESULT} FROM results WHERE {POD_HIT}",
@@ -239,7 +241,8 @@ BODIES = {
     "tail_n_per_file": "SELECT run, filename, line_no, event_id, line FROM counted WHERE line_no > lines - 5",
     "line_positions": "SELECT run, filename, event_id, line_no, start_byte FROM positions",
     "merge_view": """
-        SELECT row_number() OVER (ORDER BY ts_key, sel_idx, line_no) AS pos, sel_idx, label, ts_key, level, line_no, line
+        SELECT row_number() OVER (ORDER BY ts_key, sel_idx, line_no) AS pos, sel_idx,
+               cast(sel_idx % 10 AS INT) AS source_group, label, ts_key, level, line_no, line
         FROM merged""",
     "merge_whole_files": """
         SELECT row_number() OVER (ORDER BY ts_key, sel_idx, line_no) AS pos, sel_idx, ts_key, line_no, line

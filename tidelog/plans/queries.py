@@ -265,6 +265,12 @@ def run_with_archive(spark, sf):
                          F.coalesce("archive_bytes", F.lit(0)).alias("archive_bytes"))
 
 
+@query
+def archives_by_namespace(spark, sf):
+    found = catalog.archives_with_namespace(src.archives(spark, sf), src.event_lines(spark, sf), NS)
+    return found.select("filename", "run", "size_bytes")
+
+
 # ---- search ------------------------------------------------------------------------------
 
 @query
@@ -359,7 +365,7 @@ def _merged(spark, sf):
 @query
 def merge_view(spark, sf):
     merged = merge.merge_positions(_merged(spark, sf), src.SELECTION_ROWS * SAMPLE)
-    return merged.select("pos", "sel_idx", "label", "ts_key", "level", "line_no", "line")
+    return merged.select("pos", "sel_idx", "source_group", "label", "ts_key", "level", "line_no", "line")
 
 
 @query

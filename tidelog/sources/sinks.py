@@ -1,8 +1,11 @@
-"""Writers: the line table, text exports, compressed run archives."""
+"""Writers: the line table, text exports, compressed run archives; dropping runs."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import re
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.names import archive_name, part_filename
@@ -67,3 +70,23 @@ def archive_run(lines: DataFrame, run: str, path: str, max_bytes: int = PART_BYT
     return written.agg(F.sum("size_bytes").alias("size_bytes")).select(
         archive_name(F.lit(run)).alias("filename"), F.lit(run).alias("run"), "size_bytes",
         F.current_timestamp().alias("created_at"))
+
+
+def write_archives(archives: DataFrame, path: str) -> None:
+    """Insert or replace archive rows: an archive's key follows from its run, so its partition is it."""
+    (archives.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("run").parquet(path))
+
+
+RUN_NAME = re.compile(r"\d{4}-\d\d-\d\d_\d\d-\d\d-\d\d")
+
+
+def drop_runs(spark: SparkSession, runs: Sequence[str], *tables: str) -> None:
+    """Remove the partitions of the given runs from every table partitioned by run."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for run in runs:
+        if not RUN_NAME.fullmatch(run):
+            raise ValueError(f"not a run name: {run!r}")
+        for table in tables:
+            partition = jvm.org.apache.hadoop.fs.Path(f"{table}/run={run}")
+            partition.getFileSystem(conf).delete(partition, True)

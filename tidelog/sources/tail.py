@@ -9,13 +9,17 @@ reads, for every file, the bytes added between two listings, cut into ranges rea
 * The first bytes tell files apart. A file whose first bytes changed, or that shrank, is read
   from the start; a file that shows up under a new name next to where its first bytes were
   seen before is the rotated one and continues at the old position.
+* A rotated file that was compressed is the same file: its first bytes are compared after
+  decoding, and positions count decoded bytes. It is read once, by one task.
 * Files that are gone leave the offset with the next listing.
 """
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import json
+import math
 import os
 import time
 from collections.abc import Iterator
@@ -37,7 +41,10 @@ RANGE_BYTES = 128 * 1024 * 1024
 
 
 class ByteRange(InputPartition):
-    """Bytes ``[start, end)`` of one file. ``closed`` marks the end of a file that cannot grow."""
+    """Bytes ``[start, end)`` of one file; of a compressed one, decoded bytes up to its end.
+
+    ``closed`` marks the end of a file that cannot grow.
+    """
 
     def __init__(self, path: str, head: str, start: int, end: int, closed: bool, collected_at: int):
         self.path, self.head = path, head
@@ -59,11 +66,19 @@ class LogTailSource(DataSource):
         return LogTailReader(self.options)
 
 
+def _open(path: str):
+    return gzip.open(path, "rb") if _compressed(path) else open(path, "rb")
+
+
 def _head(path: str) -> str:
-    with open(path, "rb") as f:
+    with _open(path) as f:
         return f.read(HEAD_BYTES).decode("latin-1")
 
 
+def _compressed(path: str) -> bool:
+    return path.endswith(".gz")
+
+
 def _rotated(name: str) -> bool:
     return ".log." in name
 
@@ -108,26 +123,32 @@ class LogTailReader(DataSourceStreamReader):
         return self.last
 
     def _listing(self) -> Iterator[tuple[str, os.stat_result]]:
-        """Plain log files two levels below the root; gzip files belong to the batch reader."""
+        """Log files two levels below the root; a compressed copy counts once the plain file is gone."""
         for pod_dir in _subdirectories(self.root):
             fields = os.path.basename(pod_dir).split("_")
             if len(fields) < 2 or (self.namespaces is not None and fields[0] not in self.namespaces):
                 continue
             for container in _subdirectories(pod_dir):
                 with os.scandir(container) as entries:
-                    for entry in sorted(entries, key=lambda e: e.name):
-                        name = entry.name
-                        if (name.endswith(".log") or _rotated(name)) and not name.endswith(".gz"):
-                            try:
-                                yield entry.path, entry.stat()
-                            except FileNotFoundError:
-                                continue
+                    found = {e.name: e for e in entries if e.is_file() and not e.name.endswith(".tmp")}
+                for name in sorted(found):
+                    plain = name.removesuffix(".gz")
+                    if (plain.endswith(".log") or _rotated(plain)) and (plain == name or plain not in found):
+                        try:
+                            yield found[name].path, found[name].stat()
+                        except FileNotFoundError:
+                            continue
 
     def partitions(self, start: dict, end: dict) -> list[ByteRange]:
         before, now = json.loads(start["files"]), json.loads(end["files"])
         moved = self._moved(before, now)
         ranges = []
         for path, (size, head) in now.items():
+            if _compressed(path):
+                if before.get(path) != [size, head]:
+                    first = max(self._earlier(path, [size, head], moved), default=0)
+                    ranges.append(ByteRange(path, head, first, size, True, end["at"]))
+                continue
             first, renamed = self._resume(path, size, head, before, moved)
             closed = _rotated(os.path.basename(path)) and (renamed or path not in before)
             if size <= first and not closed:
@@ -146,7 +167,7 @@ class LogTailReader(DataSourceStreamReader):
         """Files that are no longer what their path holds, by directory."""
         moved: dict[str, list] = {}
         for path, old in before.items():
-            if old[1] and not cls._continues(old, now.get(path)):
+            if old[1] and not _compressed(path) and not cls._continues(old, now.get(path)):
                 moved.setdefault(os.path.dirname(path), []).append(old)
         return moved
 
@@ -155,10 +176,15 @@ class LogTailReader(DataSourceStreamReader):
         """Where to go on reading a file, and whether it is an earlier file renamed."""
         if path in before and cls._continues(before[path], [size, head]):
             return before[path][0], False
-        earlier = [old[0] for old in moved.get(os.path.dirname(path), ())
-                   if cls._continues(old, [size, head])]
+        earlier = cls._earlier(path, [size, head], moved)
         return (max(earlier), True) if earlier else (0, False)
 
+    @classmethod
+    def _earlier(cls, path: str, new: list, moved: dict) -> list[int]:
+        """Positions read in files of the same directory that this one continues."""
+        size = math.inf if _compressed(path) else new[0]
+        return [old[0] for old in moved.get(os.path.dirname(path), ()) if cls._continues(old, [size, new[1]])]
+
     def commit(self, end: dict) -> None:
         pass
 
@@ -182,7 +208,8 @@ class LogTailReader(DataSourceStreamReader):
                         pa.array([partition.collected_at * 1_000_000] * n, ARROW.field("collected_at").type)]
             return pa.RecordBatch.from_arrays(columns, schema=ARROW)
 
-        for at, raw in _owned_lines(path, partition.start, partition.end, partition.closed):
+        end = math.inf if _compressed(partition.path) else partition.end
+        for at, raw in _owned_lines(path, partition.start, end, partition.closed):
             starts.append(at)
             sizes.append(len(raw))
             texts.append(raw.rstrip(b"\r").decode("utf-8", "replace"))
@@ -197,14 +224,15 @@ class LogTailReader(DataSourceStreamReader):
         """The file listed for this range, which may have been renamed in the meantime."""
         directory = os.path.dirname(partition.path)
         try:
-            others = sorted(e.path for e in os.scandir(directory) if not e.name.endswith(".gz"))
+            others = sorted(e.path for e in os.scandir(directory) if e.is_file())
         except FileNotFoundError:
             return None
         for path in [partition.path, *[p for p in others if p != partition.path]]:
             try:
-                if os.path.getsize(path) >= partition.end and _head(path).startswith(partition.head):
+                long_enough = _compressed(path) or os.path.getsize(path) >= partition.end
+                if long_enough and _head(path).startswith(partition.head):
                     return path
-            except FileNotFoundError:
+            except (FileNotFoundError, EOFError, gzip.BadGzipFile):
                 continue
         return None
 
@@ -227,31 +255,28 @@ def _line_start(f, position: int) -> int:
     return 0
 
 
-def _owned_lines(path: str, start: int, end: int, closed: bool) -> Iterator[tuple[int, bytes]]:
+def _owned_lines(path: str, start: int, end: float, closed: bool) -> Iterator[tuple[int, bytes]]:
     """``(position, bytes)`` of lines whose line end lies in ``[start, end)``, block by block.
 
-    With ``closed`` the unfinished last line counts too.
+    With ``closed`` the unfinished last line counts too. A compressed file is decoded from its
+    beginning, since it has no other place to start.
     """
-    with open(path, "rb") as f:
-        at = _line_start(f, start)
+    with _open(path) as f:
+        at = 0 if _compressed(path) else _line_start(f, start)
         f.seek(at)
         rest, position = [], at
         while position < end:
-            block = f.read(min(BLOCK_BYTES, end - position))
+            block = f.read(min(BLOCK_BYTES, end - position) if end < math.inf else BLOCK_BYTES)
             if not block:
                 break
             position += len(block)
             lines = block.split(b"\n")
-            if len(lines) > 1:
-                rest.append(lines[0])
-                first = b"".join(rest)
-                yield at, first
-                at += len(first) + 1
-                for raw in lines[1:-1]:
+            lines[0] = b"".join([*rest, lines[0]]) if len(lines) > 1 else lines[0]
+            for raw in lines[:-1]:
+                if at + len(raw) >= start:
                     yield at, raw
-                    at += len(raw) + 1
-                rest = []
-            rest.append(lines[-1])
+                at += len(raw) + 1
+            rest = [lines[-1]] if len(lines) > 1 else [*rest, lines[0]]
         last = b"".join(rest)
         if closed and last:
             yield at, last
