@@ -40,19 +40,15 @@ def test_level_rules_stay_different(spark):
 def test_filenames(spark):
     files = ["a__b__c__2024-01-01_00-00-00.log", "a__b___c__d.log", "one.log", "a__b.log", "a.b__c.d__e.log",
              "a__b__c__r.part2.log", "a__b__c__r.previous.log", "nosuffix__x", "a__.log"]
+    pieces = ["a|b|c", "a|b|_c", "one", "a|b", "a.b|c.d|e", "a|b|c", "a|b|c", "nosuffix|x", "a|"]
     for default in ("", "—"):
         for i, key in enumerate(["ns", "pod", "container"]):
-            want = []
-            for f in files:
-                p = PurePosixPath(f).stem.split("__")
-                want.append(p[i] if len(p) > i else default)
+            want = [([*p.split("|"), default, default])[i] for p in pieces]
             assert apply(spark, files, lambda c: names.filename_parts(c, default)[key]) == want
-    labels = []
-    for f in files:
-        p = f.replace(".log", "").split("__")
-        labels.append(f"{p[1]}/{p[2]}" if len(p) >= 3 else f)
-    assert apply(spark, files, names.source_label) == labels
-    assert apply(spark, ["a.log.log"], names.display_name) == ["a"]
+    labels = {"one.log", "a__b.log", "nosuffix__x", "a__.log"}
+    assert apply(spark, files, names.source_label) == [
+        f if f in labels else {"a__b___c__d.log": "b/_c", "a.b__c.d__e.log": "c.d/e"}.get(f, "b/c") for f in files]
+    assert apply(spark, ["a.log.log", "x.part1.log"], names.display_name) == ["a", "x.part1"]
 
 
 def test_output_names(spark):
@@ -73,17 +69,15 @@ def test_run_names(spark):
 
 
 def test_sort_key(spark):
-    lines = ["2024-01-01T00:00:00Z x", "short x", "  at frame", "", "0123456789", "012345678", "a\tbcdefghijk l"]
-    want = [p if len(p := x.split(" ", 1)[0]) >= 10 else "" for x in lines]
-    assert apply(spark, lines, text.sort_key) == want
+    cases = {"2024-01-01T00:00:00Z x": "2024-01-01T00:00:00Z", "short x": "", "  at frame": "", "": "",
+             "0123456789": "0123456789", "012345678": "", "a\tbcdefghijk l": "a\tbcdefghijk"}
+    assert apply(spark, list(cases), text.sort_key) == list(cases.values())
 
 
 def human(size):
-    for unit in ["B", "KB", "MB", "GB"]:
-        if size < 1024:
-            return f"{size:.1f} {unit}"
-        size /= 1024
-    return f"{size:.1f} TB"
+    """Unit from the bit length: ten bits to a unit."""
+    power = min(4, max(size.bit_length() - 1, 0) // 10)
+    return "%.1f %s" % (size / (1 << 10 * power), ("B", "KB", "MB", "GB", "TB")[power])
 
 
 def test_human_size(spark):

@@ -1,6 +1,7 @@
 """The timestamp merge against a stable sort of plain lists."""
 
 import random
+import re
 
 import pytest
 
@@ -10,8 +11,8 @@ RUN = "2024-01-01_00-00-00"
 
 
 def key(line):
-    token = line.split(" ", 1)[0]
-    return token if len(token) >= 10 else ""
+    found = re.match(r"[^ ]{10,}", line)
+    return found[0] if found else ""
 
 
 @pytest.fixture(scope="module")

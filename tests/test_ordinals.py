@@ -6,6 +6,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from tidelog.functions.times import epoch_micros
 from tidelog.operators import ordinals
 from tidelog.operators.ordinals import (CHUNK, KEY, chunk_bounds, head_lines, line_chunks, number_lines,
                                         tail_lines)
@@ -98,3 +99,18 @@ def test_numbering_never_orders_a_whole_file_in_one_task(table):
     text = plan._jdf.queryExecution().executedPlan().toString()
     lines = [x for x in text.splitlines() if "Window [row_number()" in x]
     assert lines and all(CHUNK in x for x in lines)
+
+
+def test_timestamps_without_zone_ignore_the_session_zone(spark):
+    """A clock change in the session's zone neither reorders nor merges local times."""
+    at = datetime(2024, 3, 10, 1, 0)
+    rows = [(i, at + timedelta(minutes=i, microseconds=i)) for i in range(240)]
+    df = spark.createDataFrame(rows, "id bigint, ts timestamp_ntz").repartition(3)
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        got = number_lines(df, [], ["ts"], rows_per_chunk=7).collect()
+        assert all(r.line_no == r.id + 1 for r in got) and len(got) == 240
+        micros = df.select("id", epoch_micros(F.col("ts"), "timestamp_ntz").alias("m")).collect()
+        assert all(r.m == round((rows[r.id][1] - datetime(1970, 1, 1)) / timedelta(microseconds=1)) for r in micros)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")

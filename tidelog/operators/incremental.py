@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schemas import API_OVERLAP_S, CONTAINER
-from .ordinals import KEY, LineChunks
+from .ordinals import KEY, line_chunks
 from .sizes import keep_small
 
 
@@ -33,20 +33,23 @@ def files_with_new_data(files: DataFrame, offsets: DataFrame, path: str = "filen
     return known.where(F.col("size_bytes") > F.col("byte_offset"))
 
 
-def incremental_lines(chunks: LineChunks, offsets: DataFrame, path: str) -> DataFrame:
+def incremental_lines(lines: DataFrame, files: DataFrame, offsets: DataFrame, order: Sequence[str],
+                      path: str = "filename", bounds: list[list] | None = None) -> DataFrame:
     """Lines that end after the resume point of their file; a half-read line comes back whole.
 
-    ``chunks`` is cut by ``path`` alone. Offsets meet the one-row-per-chunk table, never the
-    lines: a hot file cannot skew that join, and chunks read before are skipped as a whole.
+    First whole files: the catalog knows which ones hold new bytes, and all others are
+    dropped before anything is shuffled. Then whole chunks, then lines. Resume points meet
+    the one-row-per-chunk table, never the lines, so a hot file cannot skew that join.
     """
-    saved = offsets.select(F.struct(F.col("path").alias(path)).alias(KEY),
-                           F.col("byte_offset").alias("_saved"))
-    starts = (chunks.starts.join(saved, KEY, "left")
-              .withColumn("effective_offset", effective_offset(F.col("file_bytes"), F.col("_saved")))
-              .where(F.col("first_byte") + F.col("chunk_bytes") > F.col("effective_offset"))
-              .drop("_saved"))
-    lines = chunks.numbered(starts, keep=["effective_offset"])
-    return lines.where(F.col("start_byte") + F.col("n_bytes") + 1 > F.col("effective_offset"))
+    pending = with_offsets(files, offsets, path).where(F.col("new_bytes") > 0)
+    pending = keep_small(pending.select(path, "effective_offset"))
+    chunks = line_chunks(lines.join(pending.select(path), path, "left_semi"), [path], order,
+                         F.col("n_bytes") + 1, bounds=bounds)
+    resume = pending.select(F.struct(path).alias(KEY), "effective_offset")
+    starts = chunks.starts.join(resume, KEY).where(
+        F.col("first_byte") + F.col("chunk_bytes") > F.col("effective_offset"))
+    fresh = chunks.numbered(starts, keep=["effective_offset"])
+    return fresh.where(F.col("start_byte") + F.col("n_bytes") + 1 > F.col("effective_offset"))
 
 
 def next_offsets(files: DataFrame, path: str = "filename") -> DataFrame:

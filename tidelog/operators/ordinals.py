@@ -16,6 +16,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.times import epoch_micros
+
 KEY = "_file_key"
 CHUNK = "_chunk"
 
@@ -57,7 +59,7 @@ def _comparable(df: DataFrame, order: Sequence[str]) -> list[Column]:
     for i, name in enumerate(order):
         column = F.col(name)
         if kinds[name].startswith("timestamp"):
-            column = F.unix_micros(column.cast("timestamp"))
+            column = epoch_micros(column, kinds[name])
         elif kinds[name] != "string":
             column = column.cast("bigint")
         out.append(column.alias(f"c{i}"))
@@ -97,13 +99,18 @@ class LineChunks:
     starts: DataFrame
     columns: list[str]
     keys: list[str]
+    single: bool
 
     def numbered(self, starts: DataFrame | None = None, keep: Sequence[str] = ()) -> DataFrame:
         """Rows with final ``line_no`` and ``start_byte``, joined chunk by chunk.
 
+        A table that fits one chunk as a whole starts at zero everywhere and needs no join.
         Filtering ``starts`` first skips whole chunks; extra columns in ``keep`` are carried over.
         """
-        joined = self.rows.join(self.starts if starts is None else starts, [KEY, CHUNK])
+        if starts is None and self.single:
+            joined = self.rows.withColumns({"first_line": F.lit(0), "first_byte": F.lit(0)})
+        else:
+            joined = self.rows.join(self.starts if starts is None else starts, [KEY, CHUNK])
         columns = [F.col(f"{KEY}.`{c}`") if c in self.keys else F.col(c) for c in self.columns]
         return joined.select(
             *columns, *keep,
@@ -121,10 +128,11 @@ def line_chunks(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column
     ``bounds`` over the leading columns of ``order``.
     A null key forms a group of its own, as in GROUP BY.
     """
+    single = False
     if chunk is None:
         if bounds is None:
             bounds = chunk_bounds(df, order, **bounds_args)
-        chunk = _chunk_of(df, order, bounds)
+        chunk, single = _chunk_of(df, order, bounds), not bounds
     size = F.lit(0).cast("bigint") if size is None else size.cast("bigint")
     key = F.struct(*keys) if keys else F.struct(F.lit(0).alias("all"))
     cut = df.withColumns({KEY: key, CHUNK: chunk, "_size": size})
@@ -146,7 +154,7 @@ def line_chunks(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column
         "local_start": F.coalesce(
             F.sum("_size").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
     }).drop("_size", *keys)
-    return LineChunks(rows, starts, df.columns, list(keys))
+    return LineChunks(rows, starts, df.columns, list(keys), single)
 
 
 def number_lines(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column],

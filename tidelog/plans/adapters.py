@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from ..functions.names import archive_name, output_name
 from ..functions.text import line_bytes
-from ..operators.ordinals import LineChunks, chunk_bounds, line_chunks
 from ..operators.catalog import index_files, index_runs
+from ..operators.ordinals import chunk_bounds, line_chunks
 
 FILE = ["run", "ns", "pod", "container"]
 ORDER = ["ts", "event_id"]
@@ -65,11 +65,9 @@ def event_lines(spark: SparkSession, sf_dir: str, run_from: str | None = None,
     return with_filename(lines.withColumn("n_bytes", line_bytes(F.col("line"))))
 
 
-def event_line_chunks(spark: SparkSession, sf_dir: str) -> LineChunks:
-    """Event lines cut by file, for line numbers and byte positions."""
-    bounds = chunk_bounds(events(spark, sf_dir), ORDER)
-    return line_chunks(event_lines(spark, sf_dir), ["filename"], ORDER,
-                       F.col("n_bytes") + 1, bounds=bounds)
+def event_bounds(spark: SparkSession, sf_dir: str) -> list[list]:
+    """Chunk borders along the event order, from the bare table."""
+    return chunk_bounds(events(spark, sf_dir), ORDER)
 
 
 def log_files(spark: SparkSession, sf_dir: str, run_from: str | None = None,

@@ -8,11 +8,13 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import levels, names, text
+from ..functions import levels, names, text, times
 from ..operators import (catalog, export, filters, incremental, merge, ordinals, retention,
                          search)
 from ..operators.sizes import keep_small
 from ..schemas import CONTAINER
+from ..sources.state import offsets_from_json
+from ..streaming.pipelines import tumbling_level_counts
 from . import adapters as src
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -155,7 +157,8 @@ def files_with_problems(spark, sf):
 @query
 def files_modified_since(spark, sf):
     files = src.log_files(spark, sf, mtime=True)
-    files = files.withColumn("mtime", F.unix_seconds(F.col("mtime").cast("timestamp")))
+    seconds = F.floor(times.epoch_micros(F.col("mtime"), "timestamp_ntz") / 1_000_000)
+    files = files.withColumn("mtime", seconds)
     last = int(datetime.fromisoformat(BOUNDARY).replace(tzinfo=timezone.utc).timestamp())
     return filters.files_modified_since(files, last, MTIME_TOLERANCE_S).select(*FILE_COLUMNS)
 
@@ -348,8 +351,9 @@ def tail_n_per_file(spark, sf):
 
 @query
 def line_positions(spark, sf):
-    return src.event_line_chunks(spark, sf).numbered().select(
-        "run", "filename", "event_id", "line_no", "start_byte")
+    numbered = ordinals.number_lines(src.event_lines(spark, sf), ["run", "filename"], src.ORDER,
+                                     F.col("n_bytes") + 1, bounds=src.event_bounds(spark, sf))
+    return numbered.select("run", "filename", "event_id", "line_no", "start_byte")
 
 
 def _selected(spark, sf):
@@ -457,7 +461,8 @@ def files_with_new_data(spark, sf):
 
 @query
 def incremental_lines(spark, sf):
-    fresh = incremental.incremental_lines(src.event_line_chunks(spark, sf), src.offsets(spark, sf), "filename")
+    fresh = incremental.incremental_lines(src.event_lines(spark, sf), src.log_files(spark, sf),
+                                          src.offsets(spark, sf), src.ORDER, bounds=src.event_bounds(spark, sf))
     return fresh.select("filename", "line_no", "start_byte", "line")
 
 
@@ -473,7 +478,6 @@ def dead_offsets(spark, sf):
 
 @query
 def offsets_explode(spark, sf):
-    from ..sources.state import offsets_from_json
     saved = src.offsets(spark, sf)
     stored = saved.select(F.to_json(F.create_map("path", "byte_offset")).alias("value"))
     corrupt = saved.select(F.concat(F.lit("{"), F.col("path")).alias("value"))
@@ -666,6 +670,5 @@ def run_bucket(spark, sf):
 
 @query
 def level_counts_tumbling(spark, sf):
-    from ..streaming.pipelines import tumbling_level_counts
     counts = tumbling_level_counts(src.event_lines(spark, sf), keys=["ns"])
     return counts.withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss"))

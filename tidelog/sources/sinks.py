@@ -18,10 +18,10 @@ from .text_tree import list_files
 def write_log_lines(lines: DataFrame, path: str) -> None:
     """Replace the runs present in ``lines``; partitioned so that run and namespace prune.
 
-    No shuffle by run: one run can be most of the data, so tasks write what they hold. Rows
-    are sorted inside a task, which keeps one file open at a time and tightens the footers.
+    Rows are rebalanced by run and namespace: small pieces are put together and a run or
+    namespace that holds most of the data is split at run time, so files get an even size.
     """
-    (lines.sortWithinPartitions("run", "ns", "filename", "line_no")
+    (lines.hint("rebalance", "run", "ns").sortWithinPartitions("run", "ns", "filename", "line_no")
      .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy("run", "ns").parquet(path))
 
