@@ -215,3 +215,33 @@ def test_sampled_and_exact_level_counts(spark):
 def test_empty_outputs_do_not_exist(spark):
     df = spark.createDataFrame([("a", 0), ("a", 0), ("b", 3)], "f string, n_bytes bigint")
     assert [r.f for r in export.nonempty_outputs(df, ["f"]).collect()] == ["b"]
+
+
+def test_batch_collection_resumes_by_offset(spark, tmp_path):
+    """Two collections of a node tree: growth, rotation with skipped bytes, a file read from its start."""
+    root = str(tmp_path / "pods")
+    grown = put(f"{root}/ns1_pod-a_u1/app/0.log", b"one\ntwo\n")
+    turned = put(f"{root}/ns2_pod-b_u2/app/0.log", b"old1\nold2\n")
+    same = put(f"{root}/ns3_pod-c_u3/app/0.log", b"same\n")
+
+    def files():
+        return text_tree.list_node_files(spark, root)
+
+    state.write_offsets(incremental.next_offsets(files(), "path"), str(tmp_path / "offsets"))
+    offsets = state.read_offsets(spark, str(tmp_path / "offsets"))
+    assert offsets.count() == 3
+    put(grown, b"one\ntwo\nthree\n")
+    os.rename(turned, turned + ".20240101")
+    put(turned + ".20240101", b"old1\nold2\nlate\n")
+    put(turned, b"new\n")
+
+    active = incremental.incremental_lines(text_tree.read_node_logs(spark, root), files(), offsets, path="path")
+    assert sorted(r.line for r in active.collect()) == ["new", "three"]
+    rotated = text_tree.read_node_logs(spark, root, rotated=True)
+    listed = text_tree.list_node_files(spark, root, rotated=True).withColumnRenamed("file_name", "name")
+    active_offsets = files().join(offsets, "path")
+    skips = incremental.rotated_skip_bytes(listed, active_offsets, F.lit("2000-01-01").cast("timestamp"))
+    assert [r.line for r in incremental.skip_collected(rotated, skips).collect()] == ["late"]
+    os.remove(same)
+    gone = incremental.dead_offsets(offsets, files(), "path").collect()
+    assert [os.path.basename(os.path.dirname(os.path.dirname(r.path))) for r in gone] == ["ns3_pod-c_u3"]

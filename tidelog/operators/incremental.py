@@ -33,23 +33,38 @@ def files_with_new_data(files: DataFrame, offsets: DataFrame, path: str = "filen
     return known.where(F.col("size_bytes") > F.col("byte_offset"))
 
 
-def incremental_lines(lines: DataFrame, files: DataFrame, offsets: DataFrame, order: Sequence[str],
+def incremental_lines(lines: DataFrame, files: DataFrame, offsets: DataFrame, order: Sequence[str] = (),
                       path: str = "filename", bounds: list[list] | None = None) -> DataFrame:
     """Lines that end after the resume point of their file; a half-read line comes back whole.
 
     First whole files: the catalog knows which ones hold new bytes, and all others are
-    dropped before anything is shuffled. Then whole chunks, then lines. Resume points meet
-    the one-row-per-chunk table, never the lines, so a hot file cannot skew that join.
+    dropped before anything is shuffled. Lines with a stored ``start_byte`` then need a filter
+    only. Others are numbered along ``order``: whole chunks are dropped, then lines, and resume
+    points meet the one-row-per-chunk table, so a hot file cannot skew that join.
     """
     pending = with_offsets(files, offsets, path).where(F.col("new_bytes") > 0)
     pending = keep_small(pending.select(path, "effective_offset"))
+    if "start_byte" in lines.columns:
+        return _ending_after(lines.join(pending, path), "effective_offset")
     chunks = line_chunks(lines.join(pending.select(path), path, "left_semi"), [path], order,
                          F.col("n_bytes") + 1, bounds=bounds)
     resume = pending.select(F.struct(path).alias(KEY), "effective_offset")
     starts = chunks.starts.join(resume, KEY).where(
         F.col("first_byte") + F.col("chunk_bytes") > F.col("effective_offset"))
-    fresh = chunks.numbered(starts, keep=["effective_offset"])
-    return fresh.where(F.col("start_byte") + F.col("n_bytes") + 1 > F.col("effective_offset"))
+    return _ending_after(chunks.numbered(starts, keep=["effective_offset"]), "effective_offset")
+
+
+def _ending_after(lines: DataFrame, offset: str) -> DataFrame:
+    return lines.where(F.col("start_byte") + F.col("n_bytes") + 1 > F.col(offset))
+
+
+def skip_collected(rotated_lines: DataFrame, skips: DataFrame, name: str = "file_name",
+                   keys: Sequence[str] = CONTAINER) -> DataFrame:
+    """Lines of rotated files past the bytes collected before the rotation (``rotated_skip_bytes``)."""
+    known = skips.where(F.col("skip_bytes") > 0).select(*keys, F.col("name").alias(name), "skip_bytes")
+    joined = rotated_lines.join(keep_small(known), [*keys, name], "left")
+    passed = F.col("start_byte") + F.col("n_bytes") + 1 > F.coalesce("skip_bytes", F.lit(0))
+    return joined.where(passed).drop("skip_bytes")
 
 
 def next_offsets(files: DataFrame, path: str = "filename") -> DataFrame:

@@ -28,16 +28,18 @@ import pyarrow as pa
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
 SCHEMA = ("ns string, pod string, uid string, container string, path string, file_fp string, "
-          "start_byte bigint, n_bytes bigint, line string, collected_at timestamp")
+          "range_start bigint, start_byte bigint, n_bytes bigint, line string, collected_at timestamp")
 ARROW = pa.schema([
     ("ns", pa.string()), ("pod", pa.string()), ("uid", pa.string()), ("container", pa.string()),
-    ("path", pa.string()), ("file_fp", pa.string()), ("start_byte", pa.int64()), ("n_bytes", pa.int64()),
+    ("path", pa.string()), ("file_fp", pa.string()), ("range_start", pa.int64()),
+    ("start_byte", pa.int64()), ("n_bytes", pa.int64()),
     ("line", pa.string()), ("collected_at", pa.timestamp("us", tz="UTC"))])
 HEAD_BYTES = 64
 BLOCK_BYTES = 8 * 1024 * 1024
 BACK_BYTES = 64 * 1024
 ROWS_PER_BATCH = 50_000
 RANGE_BYTES = 128 * 1024 * 1024
+MAX_RANGES = 100_000
 
 
 class ByteRange(InputPartition):
@@ -142,18 +144,24 @@ class LogTailReader(DataSourceStreamReader):
     def partitions(self, start: dict, end: dict) -> list[ByteRange]:
         before, now = json.loads(start["files"]), json.loads(end["files"])
         moved = self._moved(before, now)
-        ranges = []
+        fresh = []
         for path, (size, head) in now.items():
             if _compressed(path):
                 if before.get(path) != [size, head]:
-                    first = max(self._earlier(path, [size, head], moved), default=0)
-                    ranges.append(ByteRange(path, head, first, size, True, end["at"]))
+                    fresh.append((path, head, max(self._earlier(path, [size, head], moved), default=0), size, True))
                 continue
             first, renamed = self._resume(path, size, head, before, moved)
             closed = _rotated(os.path.basename(path)) and (renamed or path not in before)
-            if size <= first and not closed:
-                continue
-            cuts = [*range(first, size, self.range_bytes), size] if size > first else [first, size]
+            if size > first or closed:
+                fresh.append((path, head, first, size, closed))
+        # Ranges grow with a very large backlog, so that their number stays bounded.
+        backlog = sum(max(size - first, 0) for _, _, first, size, _ in fresh)
+        step = max(self.range_bytes, backlog // MAX_RANGES)
+        ranges = []
+        for path, head, first, size, closed in fresh:
+            cuts = [first, size]
+            if size > first and not _compressed(path):
+                cuts = [*range(first, size, step), size]
             for low, high in zip(cuts, cuts[1:]):
                 ranges.append(ByteRange(path, head, low, high, closed and high == size, end["at"]))
         return ranges
@@ -204,7 +212,7 @@ class LogTailReader(DataSourceStreamReader):
             n = len(texts)
             same = [ns, pod, uid, container, partition.path, fingerprint]
             columns = [pa.array([v] * n, pa.string()) for v in same]
-            columns += [pa.array(starts, pa.int64()), pa.array(sizes, pa.int64()), pa.array(texts, pa.string()),
+            columns += [pa.array([partition.start] * n, pa.int64()), pa.array(starts, pa.int64()), pa.array(sizes, pa.int64()), pa.array(texts, pa.string()),
                         pa.array([partition.collected_at * 1_000_000] * n, ARROW.field("collected_at").type)]
             return pa.RecordBatch.from_arrays(columns, schema=ARROW)
 

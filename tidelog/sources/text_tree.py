@@ -22,13 +22,8 @@ def _read(spark: SparkSession, root: str | list[str], glob: str, modified_after:
               .option("recursiveFileLookup", recursive))
     if modified_after:
         reader = reader.option("modifiedAfter", modified_after)
-    return reader.text(root).select(
-        "value",
-        F.col("_metadata.file_path").alias("path"),
-        F.col("_metadata.file_name").alias("file_name"),
-        F.col("_metadata.file_size").alias("file_size"),
-        F.col("_metadata.file_modification_time").alias("file_mtime"),
-        F.col("_metadata.file_block_start").alias("block_start"))
+    return reader.text(root).select("value", F.col("_metadata.file_path").alias("path"),
+                                    F.col("_metadata.file_block_start").alias("block_start"))
 
 
 def numbered_text(raw: DataFrame) -> DataFrame:
@@ -55,9 +50,22 @@ def numbered_text(raw: DataFrame) -> DataFrame:
     return numbered.drop("value", "_row", "_pos", "_pieces", "_crlf", "_end", "block_start")
 
 
-def _directory(path: Column, depth: int) -> Column:
-    """Name of the directory ``depth`` levels above the file."""
-    return F.element_at(F.split(path, "/"), -1 - depth)
+def _step(path: Column, back: int) -> Column:
+    """The ``back``-th last step of a path, 0 being the file name."""
+    return F.element_at(F.split(path, "/"), -1 - back)
+
+
+def _is_node_file(path: Column, rotated: bool) -> Column:
+    later = _step(path, 0).contains(".log.")
+    return is_pod_dir(_step(path, 2)) & (later if rotated else ~later)
+
+
+def _node_columns(path: Column) -> dict[str, Column]:
+    return {**pod_dir_parts(_step(path, 2)), "container": _step(path, 1), "file_name": _step(path, 0)}
+
+
+def _in_namespaces(path: Column, namespaces: Sequence[str] | None) -> Column:
+    return F.lit(True) if namespaces is None else pod_dir_parts(_step(path, 2))["ns"].isin(list(namespaces))
 
 
 def read_node_logs(spark: SparkSession, root: str, rotated: bool = False,
@@ -66,17 +74,22 @@ def read_node_logs(spark: SparkSession, root: str, rotated: bool = False,
     """Container logs under ``<root>/<ns>_<pod>_<uid>/<container>/``, active or rotated files.
 
     Directories without ``_`` are skipped. Gzip files are decoded by extension; each is one task.
+    What follows from the path is added after the lines were shuffled for numbering.
     """
+    path = F.col("path")
     raw = _read(spark, root, ROTATED_GLOB if rotated else ACTIVE_GLOB, modified_after, recursive=True)
-    raw = raw.where(F.col("file_name").contains(".log.") if rotated else ~F.col("file_name").contains(".log."))
-    pod_dir = _directory(F.col("path"), 2)
-    parts = pod_dir_parts(pod_dir)
-    raw = raw.where(is_pod_dir(pod_dir)).withColumns(
-        {**parts, "container": _directory(F.col("path"), 1)})
-    if namespaces is not None:
-        raw = raw.where(F.col("ns").isin(list(namespaces)))
-    lines = numbered_text(raw).withColumn("src_rank", F.lit(0 if rotated else 1))
-    return lines.withColumn("ts_key", sort_key(F.col("line")))
+    lines = numbered_text(raw.where(_is_node_file(path, rotated) & _in_namespaces(path, namespaces)))
+    return lines.withColumns({**_node_columns(path), "src_rank": F.lit(0 if rotated else 1),
+                              "ts_key": sort_key(F.col("line"))})
+
+
+def list_node_files(spark: SparkSession, root: str, rotated: bool = False,
+                    namespaces: Sequence[str] | None = None) -> DataFrame:
+    """The files ``read_node_logs`` reads, with size and modification time; contents are not read."""
+    path = F.col("path")
+    files = list_files(spark, root, ROTATED_GLOB if rotated else ACTIVE_GLOB)
+    return files.where(_is_node_file(path, rotated) & _in_namespaces(path, namespaces)).withColumns(
+        _node_columns(path))
 
 
 def read_rotated_and_active(spark: SparkSession, root: str, modified_after: str | None = None,
@@ -88,35 +101,30 @@ def read_rotated_and_active(spark: SparkSession, root: str, modified_after: str
 
 def read_run(spark: SparkSession, root: str, run: str) -> DataFrame:
     """``log_lines`` of one run directory; name segments come from the file names."""
-    raw = _read(spark, f"{root}/{run}", ACTIVE_GLOB, None, recursive=False)
-    parts = filename_parts(F.col("file_name"))
-    raw = raw.withColumns({c: parts[c] for c in ("ns", "pod", "container")})
-    return _log_lines(numbered_text(raw), F.lit(run))
+    return _log_lines(_read(spark, f"{root}/{run}", ACTIVE_GLOB, None, recursive=False))
 
 
 def read_runs(spark: SparkSession, root: str) -> DataFrame:
     """``log_lines`` of every run directory under ``root``; hidden directories are no runs."""
     raw = _read(spark, root, ACTIVE_GLOB, None, recursive=True)
-    run = _directory(F.col("path"), 1)
-    parts = filename_parts(F.col("file_name"))
-    raw = raw.where(~run.startswith(".")).withColumns(
-        {"run": run, **{c: parts[c] for c in ("ns", "pod", "container")}})
-    return _log_lines(numbered_text(raw), F.col("run"))
+    return _log_lines(raw.where(~_step(F.col("path"), 1).startswith(".")))
 
 
-def _log_lines(lines: DataFrame, run: Column) -> DataFrame:
-    key = sort_key(F.col("line"))
-    return lines.select(
-        run.alias("run"), "ns", "pod", F.lit("").alias("uid"), "container",
-        F.col("file_name").alias("filename"), "line_no", "start_byte", "n_bytes", "line",
-        key.alias("ts_key"), F.try_to_timestamp(key).alias("ts"))
+def _log_lines(raw: DataFrame) -> DataFrame:
+    path, key = F.col("path"), sort_key(F.col("line"))
+    parts = filename_parts(_step(path, 0))
+    return numbered_text(raw).select(
+        _step(path, 1).alias("run"), *[parts[c].alias(c) for c in ("ns", "pod")], F.lit("").alias("uid"),
+        parts["container"].alias("container"), _step(path, 0).alias("filename"),
+        "line_no", "start_byte", "n_bytes", "line", key.alias("ts_key"), F.try_to_timestamp(key).alias("ts"))
 
 
 def list_files(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
     """Files under ``root`` with size and modification time; contents are not read."""
     return (spark.read.format("binaryFile").option("recursiveFileLookup", True)
             .option("pathGlobFilter", glob).load(root)
-            .select("path", F.col("length").alias("size_bytes"), F.col("modificationTime").alias("mtime")))
+            .select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("size_bytes"),
+                    F.col("_metadata.file_modification_time").alias("mtime")))
 
 
 def read_inventory(spark: SparkSession, path: str) -> DataFrame:

@@ -73,7 +73,10 @@ def streaming_level_counts(lines: DataFrame, keys: Sequence[str] = ("ns", "pod")
 
 
 def as_log_lines(batch: DataFrame) -> DataFrame:
-    """Collected lines as ``log_lines`` of the run named after the batch's listing."""
+    """Collected lines as ``log_lines`` of the run named after the batch's listing.
+
+    The byte ranges the source read are the chunks for numbering.
+    """
     run = run_name(F.col("collected_at"))
     key = sort_key(F.col("line"))
     named = batch.withColumns({
@@ -81,8 +84,8 @@ def as_log_lines(batch: DataFrame) -> DataFrame:
         "src_rank": F.when(F.col("path").contains(".log."), 0).otherwise(1),
         "src_byte": F.col("start_byte"), "ts_key": key, "ts": F.try_to_timestamp(key),
     }).drop("start_byte")
-    numbered = number_lines(named, ["run", "filename"], ["src_rank", "path", "src_byte"],
-                            F.col("n_bytes") + 1)
+    numbered = number_lines(named, ["run", "filename"], ["src_byte"], F.col("n_bytes") + 1,
+                            chunk=F.struct("src_rank", "path", "range_start"))
     return numbered.select(*LOG_LINES.fieldNames())
 
 
@@ -90,19 +93,19 @@ def ingest_batch(batch: DataFrame, lines_path: str, files_path: str, runs_path:
                  sample: int | None = INDEX_SAMPLE) -> None:
     """Write a batch's lines and index them from what was written.
 
-    Every table is replaced by run, and the run is fixed by the batch's offsets, so a batch
-    that is tried again ends in the same tables.
+    A batch is one listing and therefore one run. Every table is replaced by run, and the run
+    is fixed by the batch's offsets, so a batch that is tried again ends in the same tables.
     """
     spark = batch.sparkSession
     batch = batch.persist()
     try:
-        runs = [r.run for r in batch.select(run_name(F.col("collected_at")).alias("run")).distinct().limit(2).collect()]
-        if not runs:
+        any_line = batch.select(run_name(F.col("collected_at")).alias("run")).first()
+        if any_line is None:
             return
         write_log_lines(as_log_lines(batch), lines_path)
     finally:
         batch.unpersist()
-    written = spark.read.schema(LOG_LINES).parquet(lines_path).where(F.col("run").isin(runs))
+    written = spark.read.schema(LOG_LINES).parquet(lines_path).where(F.col("run") == any_line.run)
     write_index(index_files(written, sample), files_path, runs_path)
 
 
