@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 import math
+from collections import Counter
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -27,6 +28,7 @@ SAMPLES_PER_CHUNK = 16
 MAX_SAMPLES = 1 << 18
 GROUP_LIMIT_ROWS = 1_000      # above this Spark no longer prunes a ranked window before its shuffle
 TOP_N_SALTS = 64
+INTEGERS = ("tinyint", "smallint", "int", "bigint")
 
 
 def chunk_bounds(df: DataFrame, order: Sequence[str], rows_per_chunk: int | None = None,
@@ -60,30 +62,57 @@ def _comparable(df: DataFrame, order: Sequence[str]) -> list[Column]:
         column = F.col(name)
         if kinds[name].startswith("timestamp"):
             column = epoch_micros(column, kinds[name])
-        elif kinds[name] != "string":
+        elif kinds[name] in INTEGERS:
             column = column.cast("bigint")
+        elif kinds[name] != "string":
+            raise TypeError(f"cannot cut chunks along {name} of type {kinds[name]}")
         out.append(column.alias(f"c{i}"))
     return out
 
 
-def _chunk_of(df: DataFrame, order: Sequence[str], bounds: list[list]) -> Column:
-    """Number of splitters at or below the row: a binary search over a literal array."""
+def _with_chunk(df: DataFrame, order: Sequence[str], bounds: list[list]) -> DataFrame:
+    """Add CHUNK: a number that never falls along ``order`` and grows at every splitter."""
     if not bounds:
-        return F.lit(0)
+        return df.withColumn(CHUNK, F.lit(0))
+    lead = [cut[0] for cut in bounds]
+    distinct = sorted(set(lead))
+    repeats = max(Counter(lead).values())
+    if isinstance(lead[0], str) or repeats > 2:
+        return df.withColumn(CHUNK, _chunk_by_search(df, order, bounds))
+    return _chunk_by_lead(df, order, distinct)
+
+
+def _chunk_by_lead(df: DataFrame, order: Sequence[str], lead: list[int]) -> DataFrame:
+    """Buckets of the first order column; equal values share one, which a splitter rarely cuts."""
+    from pyspark.ml.feature import Bucketizer
+
+    splits = sorted({float(v) for v in lead})
+    value = F.coalesce(_comparable(df, order[:1])[0].cast("double"), F.lit(float("-inf")))
+    bucketed = Bucketizer(splits=[float("-inf"), *splits, float("inf")], inputCol="_lead", outputCol="_bucket")
+    return (bucketed.transform(df.withColumn("_lead", value))
+            .withColumn(CHUNK, F.col("_bucket").cast("int")).drop("_lead", "_bucket"))
+
+
+def _chunk_by_search(df: DataFrame, order: Sequence[str], bounds: list[list]) -> Column:
+    """Number of splitters at or below the row, compared as a whole: a binary search.
+
+    Needed where one value of the first order column holds several chunks, and for strings.
+    """
     keys = _comparable(df, order[:len(bounds[0])])
     kinds = dict(df.select(*keys).dtypes)
     fields = ",".join(f"c{i}:{kinds[f'c{i}']}" for i in range(len(keys)))
     rows = [{f"c{i}": v for i, v in enumerate(cut)} for cut in bounds]
     splitters = F.from_json(F.lit(json.dumps(rows)), f"array<struct<{fields}>>")
-    row_key = F.struct(*keys)
-    top = 1 << (len(bounds).bit_length() - 1)
-    steps = []
-    while top:
-        steps.append(F.lit(top))
-        top >>= 1
-    found = F.aggregate(
-        F.array(*steps), F.lit(0),
-        lambda at, step: F.when(row_key >= F.get(splitters, at + step - 1), at + step).otherwise(at))
+    steps = [F.lit(1 << i) for i in reversed(range(len(bounds).bit_length()))]
+
+    def advance(state: Column, step: Column) -> Column:
+        key, at = state["key"], state["at"]
+        passed = key >= F.get(splitters, at + step - 1)
+        return F.struct(key.alias("key"), F.when(passed, at + step).otherwise(at).alias("at"))
+
+    # The row's key rides in the state, so that it is worked out once per row.
+    start = F.struct(F.struct(*keys).alias("key"), F.lit(0).alias("at"))
+    found = F.aggregate(F.array(*steps), start, advance, lambda state: state["at"])
     return F.coalesce(found, F.lit(0))
 
 
@@ -128,14 +157,12 @@ def line_chunks(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column
     ``bounds`` over the leading columns of ``order``.
     A null key forms a group of its own, as in GROUP BY.
     """
-    single = False
-    if chunk is None:
-        if bounds is None:
-            bounds = chunk_bounds(df, order, **bounds_args)
-        chunk, single = _chunk_of(df, order, bounds), not bounds
+    if chunk is None and bounds is None:
+        bounds = chunk_bounds(df, order, **bounds_args)
+    cut = _with_chunk(df, order, bounds) if chunk is None else df.withColumn(CHUNK, chunk)
     size = F.lit(0).cast("bigint") if size is None else size.cast("bigint")
     key = F.struct(*keys) if keys else F.struct(F.lit(0).alias("all"))
-    cut = df.withColumns({KEY: key, CHUNK: chunk, "_size": size})
+    cut = cut.withColumns({KEY: key, "_size": size})
 
     totals = cut.groupBy(KEY, CHUNK).agg(F.count(F.lit(1)).alias("_lines"),
                                          F.sum("_size").alias("chunk_bytes"))
@@ -154,7 +181,7 @@ def line_chunks(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column
         "local_start": F.coalesce(
             F.sum("_size").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
     }).drop("_size", *keys)
-    return LineChunks(rows, starts, df.columns, list(keys), single)
+    return LineChunks(rows, starts, df.columns, list(keys), chunk is None and not bounds)
 
 
 def number_lines(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column],
@@ -174,7 +201,7 @@ def _salt(df: DataFrame, order: Sequence[str], salts: int) -> Column:
     for name in order:
         if kinds[name].startswith("timestamp"):
             blocks.append(F.floor(F.unix_seconds(F.col(name).cast("timestamp")) / 3_600))
-        elif kinds[name] in ("tinyint", "smallint", "int", "bigint"):
+        elif kinds[name] in INTEGERS:
             blocks.append(F.shiftright(F.col(name).cast("bigint"), 20))
         else:
             blocks.append(F.col(name))
