@@ -2,7 +2,6 @@
 
 import random
 import re
-from pathlib import PurePosixPath
 
 from pyspark.sql import functions as F
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidelog.operators import catalog, retention
 from tidelog.operators.filters import pattern_count_by_run
-from tidelog.sources import sinks, tables
+from tidelog.sources import sinks, tables, tail
 from tidelog.sources.tail import ByteRange, LogTailReader, _owned_lines
 from tidelog.streaming.pipelines import drop_reread_lines, start_ingest, tail_stream
 
@@ -248,3 +248,27 @@ def test_archives_are_discovered_without_reading_them(spark, tmp_path):
         write(str(tmp_path / "zips" / f"archive_{run}.tar.gz"), b"12345")
     got = tables.discover_archives(spark, str(tmp_path / "zips")).collect()
     assert [(r.run, r.size_bytes) for r in got] == [("2024-01-02_00-00-00", 5), ("2024-01-01_00-00-00", 5)]
+
+
+def test_an_unreadable_compressed_file_waits(tmp_path, log):
+    write(log, b"x\n")
+    write(log + ".1.gz", b"not gzip")
+    steps = Steps(tmp_path / "logs")
+    assert [x[2] for x in steps.next()] == ["x"]
+    with gzip.open(log + ".1.gz", "wb") as z:
+        z.write(b"readable\n")
+    assert [x[2] for x in steps.next()] == ["readable"]
+
+
+def test_a_missing_root_has_no_lines(tmp_path):
+    assert Steps(tmp_path / "nowhere").next() == []
+
+
+def test_a_large_backlog_keeps_the_number_of_ranges_bounded(tmp_path, log, monkeypatch):
+    monkeypatch.setattr(tail, "MAX_RANGES", 10)
+    lines = [f"line {i}" for i in range(500)]
+    write(log, ("\n".join(lines) + "\n").encode())
+    reader = LogTailReader({"path": str(tmp_path / "logs"), "rangeBytes": "8"})
+    parts = reader.partitions(reader.initialOffset(), reader.latestOffset())
+    assert 2 < len(parts) <= 11
+    assert [r["line"] for p in parts for b in reader.read(p) for r in b.to_pylist()] == lines

@@ -126,22 +126,17 @@ def write_index(files: DataFrame, files_path: str, runs_path: str,
     """Replace the catalog partitions of the runs in ``files`` and leave other runs alone.
 
     Keyed by run, so writing the same run again leaves no orphans and a retried batch is harmless.
-    The file rows are written once; the run rows are summed from what was written.
+    The file rows are kept while both tables are written, so that lines are read once.
     """
-    spark = files.sparkSession
-    touched = [r.run for r in files.select("run").distinct().limit(MAX_RUNS_PER_WRITE + 1).collect()]
-    if len(touched) > MAX_RUNS_PER_WRITE:
-        raise ValueError(f"one index write covers at most {MAX_RUNS_PER_WRITE} runs")
-    if not touched:
-        return
-    (files.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("run").parquet(files_path))
-    written = spark.read.schema(files.schema).parquet(files_path).where(F.col("run").isin(touched))
-    runs = (with_run_timestamp(index_runs(written))
-            .withColumn("created_at", F.current_timestamp() if created_at is None else created_at))
-    (runs.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("run").parquet(runs_path))
-
-
-MAX_RUNS_PER_WRITE = 1_000
+    files = files.persist()
+    try:
+        runs = (with_run_timestamp(index_runs(files))
+                .withColumn("created_at", F.current_timestamp() if created_at is None else created_at))
+        for table, path in ((files, files_path), (runs, runs_path)):
+            (table.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+             .partitionBy("run").parquet(path))
+    finally:
+        files.unpersist()
+
+
 LEVEL_COUNT_COLUMNS = [f"{name}_count" for name in LEVELS]

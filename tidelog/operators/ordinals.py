@@ -90,7 +90,7 @@ def _chunk_by_lead(df: DataFrame, order: Sequence[str], lead: list[int]) -> Data
     value = F.coalesce(_comparable(df, order[:1])[0].cast("double"), F.lit(float("-inf")))
     bucketed = Bucketizer(splits=[float("-inf"), *splits, float("inf")], inputCol="_lead", outputCol="_bucket")
     return (bucketed.transform(df.withColumn("_lead", value))
-            .withColumn(CHUNK, F.col("_bucket").cast("int")).drop("_lead", "_bucket"))
+            .withColumn(CHUNK, F.coalesce(F.col("_bucket").cast("int"), F.lit(0))).drop("_lead", "_bucket"))
 
 
 def _chunk_by_search(df: DataFrame, order: Sequence[str], bounds: list[list]) -> Column:

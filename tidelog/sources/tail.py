@@ -23,6 +23,7 @@ import math
 import os
 import time
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pyarrow as pa
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
@@ -35,6 +36,7 @@ ARROW = pa.schema([
     ("start_byte", pa.int64()), ("n_bytes", pa.int64()),
     ("line", pa.string()), ("collected_at", pa.timestamp("us", tz="UTC"))])
 HEAD_BYTES = 64
+HEAD_READERS = 16
 BLOCK_BYTES = 8 * 1024 * 1024
 BACK_BYTES = 64 * 1024
 ROWS_PER_BATCH = 50_000
@@ -77,6 +79,10 @@ def _head(path: str) -> str:
         return f.read(HEAD_BYTES).decode("latin-1")
 
 
+def _version(stat: os.stat_result) -> tuple:
+    return stat.st_ino, stat.st_size, stat.st_mtime_ns
+
+
 def _compressed(path: str) -> bool:
     return path.endswith(".gz")
 
@@ -98,7 +104,7 @@ class LogTailReader(DataSourceStreamReader):
         self.namespaces = None if wanted is None else {n.strip() for n in wanted.split(",")}
         self.range_bytes = int(options.get("rangeBytes", RANGE_BYTES))
         self.fail_on_data_loss = str(options.get("failOnDataLoss", "true")).lower() == "true"
-        self.heads: dict[str, tuple[tuple, str]] = {}
+        self.seen: dict[str, tuple[os.stat_result, str]] = {}
         self.last = self.initialOffset()
 
     # -- driver: listings only ------------------------------------------------------------
@@ -107,23 +113,34 @@ class LogTailReader(DataSourceStreamReader):
         return {"at": 0, "files": "{}"}
 
     def latestOffset(self) -> dict:
-        files = {}
-        for path, stat in self._listing():
-            seen = (stat.st_ino, stat.st_size, stat.st_mtime_ns)
-            known = self.heads.get(path)
-            try:
-                head = known[1] if known and known[0] == seen else _head(path)
-            except FileNotFoundError:
-                continue
-            self.heads[path] = (seen, head)
-            files[path] = [stat.st_size, head]
-        self.heads = {p: h for p, h in self.heads.items() if p in files}
+        with ThreadPoolExecutor(HEAD_READERS) as pool:
+            seen = {path: found for path, found in pool.map(self._look, self._listing()) if found is not None}
+        self.seen = seen
+        files = {path: [stat.st_size, head] for path, (stat, head) in seen.items()}
         listing = json.dumps(files, sort_keys=True)
         if listing != self.last["files"]:
             # Whole seconds that never repeat: a batch is named after its listing.
             self.last = {"at": max(int(time.time()), self.last["at"] + 1), "files": listing}
         return self.last
 
+    def _look(self, listed: tuple[str, os.stat_result]) -> tuple[str, tuple[os.stat_result, str] | None]:
+        """Size and first bytes from one open file, so that a rotation in between cannot mix two
+        files. Unchanged files are not opened; nothing is returned for unreadable ones."""
+        path, stat = listed
+        known = self.seen.get(path)
+        if known and _version(known[0]) == _version(stat):
+            return path, known
+        try:
+            with open(path, "rb") as f:
+                stat = os.fstat(f.fileno())
+                if _compressed(path):
+                    head = gzip.GzipFile(fileobj=f).read(HEAD_BYTES)
+                else:
+                    head = f.read(min(HEAD_BYTES, stat.st_size))
+        except (FileNotFoundError, EOFError, gzip.BadGzipFile):
+            return path, None
+        return path, (stat, head.decode("latin-1"))
+
     def _listing(self) -> Iterator[tuple[str, os.stat_result]]:
         """Log files two levels below the root; a compressed copy counts once the plain file is gone."""
         for pod_dir in _subdirectories(self.root):
@@ -131,8 +148,7 @@ class LogTailReader(DataSourceStreamReader):
             if len(fields) < 2 or (self.namespaces is not None and fields[0] not in self.namespaces):
                 continue
             for container in _subdirectories(pod_dir):
-                with os.scandir(container) as entries:
-                    found = {e.name: e for e in entries if e.is_file() and not e.name.endswith(".tmp")}
+                found = {e.name: e for e in _entries(container) if e.is_file() and not e.name.endswith(".tmp")}
                 for name in sorted(found):
                     plain = name.removesuffix(".gz")
                     if (plain.endswith(".log") or _rotated(plain)) and (plain == name or plain not in found):
@@ -230,11 +246,7 @@ class LogTailReader(DataSourceStreamReader):
     @staticmethod
     def _locate(partition: ByteRange) -> str | None:
         """The file listed for this range, which may have been renamed in the meantime."""
-        directory = os.path.dirname(partition.path)
-        try:
-            others = sorted(e.path for e in os.scandir(directory) if e.is_file())
-        except FileNotFoundError:
-            return None
+        others = sorted(e.path for e in _entries(os.path.dirname(partition.path)) if e.is_file())
         for path in [partition.path, *[p for p in others if p != partition.path]]:
             try:
                 long_enough = _compressed(path) or os.path.getsize(path) >= partition.end
@@ -245,9 +257,17 @@ class LogTailReader(DataSourceStreamReader):
         return None
 
 
-def _subdirectories(root: str) -> list[str]:
-    with os.scandir(root) as entries:
-        return sorted(e.path for e in entries if e.is_dir() and not e.name.startswith("."))
+def _entries(directory: str) -> list[os.DirEntry]:
+    """Entries of a directory, which may be removed while the tree is listed."""
+    try:
+        with os.scandir(directory) as entries:
+            return list(entries)
+    except FileNotFoundError:
+        return []
+
+
+def _subdirectories(directory: str) -> list[str]:
+    return sorted(e.path for e in _entries(directory) if e.is_dir() and not e.name.startswith("."))
 
 
 def _line_start(f, position: int) -> int:
