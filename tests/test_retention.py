@@ -40,6 +40,13 @@ def test_capacity_cleanup_can_be_off(spark):
     assert retention.capacity_cleanup(df, retention.capacity_threshold(F.lit(10), 80)).where("dropped").count() == 1
 
 
+def test_threshold_of_very_large_stores(spark):
+    row = spark.range(1).select(retention.capacity_threshold(F.lit(150 * 1024**3), 80).alias("a"),
+                                retention.capacity_threshold(F.lit(2**60), 75).alias("b"),
+                                retention.capacity_threshold(F.lit(7), 50).alias("c")).first()
+    assert tuple(row) == (int(150 * 1024**3 * 80 / 100), int(2**60 * 75 / 100), 3)
+
+
 @pytest.mark.parametrize("max_drop", [1, 2, 10])
 def test_retention_drops_the_oldest_first(spark, max_drop):
     now = datetime(2024, 3, 1)

@@ -2,15 +2,15 @@
 
 import gzip
 import os
+from datetime import datetime, timedelta
 
 import pytest
 
-from pyspark.sql import functions as F
-
-from tidelog.operators import catalog, retention
+from tidelog.operators import catalog
 from tidelog.operators.filters import pattern_count_by_run
 from tidelog.sources import sinks, tables, tail
 from tidelog.sources.tail import ByteRange, LogTailReader, _owned_lines
+from tidelog.streaming.cycle import Store, archive_new_runs, clean_up, collect
 from tidelog.streaming.pipelines import drop_reread_lines, start_ingest, tail_stream
 
 
@@ -207,35 +207,35 @@ def test_ingest_keeps_lines_and_catalog_in_step(spark, tmp_path, log):
 
 def test_qa_scenario_collect_archive_and_retain(spark, tmp_path, log):
     """Numbered lines: the second run holds new lines only; old runs go with everything they own."""
-    store = {t: str(tmp_path / "store" / t) for t in ("lines", "files", "runs", "archives", "zip")}
+    store, logs = Store(str(tmp_path / "store")), str(tmp_path / "logs")
 
-    def collect():
-        start_ingest(spark, str(tmp_path / "logs"), store["lines"], store["files"], store["runs"],
-                     str(tmp_path / "cp"), now=True).awaitTermination()
-        newest = tables.runs(spark, store["runs"]).agg(F.max("run")).first()[0]
-        archived = sinks.archive_run(tables.log_lines(spark, store["lines"]), newest, store["zip"])
-        sinks.write_archives(archived, store["archives"])
-        return newest
+    def cycle():
+        collect(spark, logs, store)
+        return archive_new_runs(spark, store)
 
     write(log, "".join(f"QA_{i}\n" for i in range(1, 65)).encode())
-    first = collect()
+    [first] = cycle()
     write(log, "".join(f"QA_{i}\n" for i in range(65, 99)).encode())
-    second = collect()
-    counts = {r.run: r.matches for r in pattern_count_by_run(tables.log_lines(spark, store["lines"]), "QA_").collect()}
+    [second] = cycle()
+    assert cycle() == []
+    counts = {r.run: r.matches for r in pattern_count_by_run(tables.log_lines(spark, store.lines), "QA_").collect()}
     assert counts == {first: 64, second: 34}
-    stats = catalog.dashboard_stats(tables.runs(spark, store["runs"]), tables.archives(spark, store["archives"])).first()
+    runs, archives = tables.runs(spark, store.runs), tables.archives(spark, store.archives)
+    stats = catalog.dashboard_stats(runs, archives).first()
     assert (stats.runs, stats.files, stats.zips, stats.last_run) == (2, 2, 2, second)
 
-    sizes = retention.run_sizes(tables.runs(spark, store["runs"]), tables.archives(spark, store["archives"]))
-    doomed = [r.run for r in retention.capacity_cleanup(sizes, F.lit(1)).where("dropped").collect()]
-    assert doomed == [first]
-    sinks.drop_runs(spark, doomed, *store.values())
-    assert [r.run for r in tables.runs(spark, store["runs"]).collect()] == [second]
-    assert tables.log_lines(spark, store["lines"]).count() == 34
-    assert tables.archives(spark, store["archives"]).count() == 1
-    assert not os.path.exists(f"{store['zip']}/run={first}")
+    today = datetime.now()
+    assert clean_up(spark, store, today, capacity_bytes=10**9) == []
+    assert clean_up(spark, store, today, capacity_bytes=10) == [first]
+    assert [r.run for r in tables.runs(spark, store.runs).collect()] == [second]
+    assert tables.log_lines(spark, store.lines).count() == 34
+    assert tables.log_files(spark, store.files).count() == 1
+    assert tables.archives(spark, store.archives).count() == 1
+    assert not os.path.exists(f"{store.archive_data}/run={first}")
+    assert clean_up(spark, store, today + timedelta(days=31)) == [second]
+    assert tables.runs(spark, store.runs).count() == 0
     with pytest.raises(ValueError):
-        sinks.drop_runs(spark, ["../x"], store["runs"])
+        sinks.drop_runs(spark, ["../x"], store.runs)
 
 
 def test_tables_never_written_are_empty(spark, tmp_path):

@@ -82,4 +82,4 @@ def capacity_threshold(capacity: Column, percent: int) -> Column:
     """Byte threshold of a percentage; null (cleanup off) when the percentage is not positive."""
     if percent <= 0:
         return F.lit(None).cast("bigint")
-    return F.floor(capacity * percent / 100).cast("bigint")
+    return F.floor(capacity.cast("double") * percent / 100).cast("bigint")
