@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schemas import RETENTION_MONTH_DAYS
+from .sizes import keep_small
 
 
 def expired_runs(runs: DataFrame, now: Column, months: int = 1, mtime: str = "created_at") -> DataFrame:
@@ -53,6 +54,7 @@ def capacity_cleanup(sizes: DataFrame, threshold: Column, current_run: str | Non
     too high. Prefix sums are taken per day first and then over days, so the ordered windows
     hold at most one row per second of a day and one row per day.
     """
+    sizes = keep_small(sizes.select("run", "size_bytes"))
     # The current run frees nothing. The newest run needs no such care: nothing comes after it.
     freed = F.col("size_bytes")
     if current_run is not None:

@@ -107,13 +107,13 @@ def pod_number(pod: str = "pod") -> Column:
 
 def offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Saved offsets: files read fully, by half, past their end (rotated), not at all; and dead paths."""
-    files = log_files(spark, sf_dir)
-    size, kind = F.col("size_bytes"), pod_number() % 4
+    name, size, kind = F.col("filename"), F.col("size_bytes"), pod_number() % 4
     saved = F.when(kind == 0, size).when(kind == 1, F.floor(size / 2)).when(kind == 2, size + 100)
-    known = files.select(F.col("filename").alias("path"), saved.cast("bigint").alias("byte_offset"))
-    gone = files.where(F.col("pod") == "pod-7").select(
-        F.concat(F.lit("gone/"), F.col("filename")).alias("path"), size.alias("byte_offset"))
-    return known.where(F.col("byte_offset").isNotNull()).unionByName(gone)
+    entries = F.array(
+        F.struct(name.alias("path"), saved.cast("bigint").alias("byte_offset")),
+        F.struct(F.concat(F.lit("gone/"), name).alias("path"),
+                 F.when(F.col("pod") == "pod-7", size).alias("byte_offset")))
+    return log_files(spark, sf_dir).select(F.inline(entries)).where(F.col("byte_offset").isNotNull())
 
 
 def inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
