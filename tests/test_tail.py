@@ -106,6 +106,27 @@ def test_compressed_rotated_files(tmp_path, log):
     assert steps.next() == []
 
 
+def test_an_open_last_line_of_a_rotated_file_comes_once(tmp_path, log):
+    write(log, b"first line of this file\nopen end")
+    steps = Steps(tmp_path / "logs")
+    assert [x[2] for x in steps.next()] == ["first line of this file"]
+    os.rename(log, log + ".1")
+    assert [x[2] for x in steps.next()] == ["open end"]
+    os.rename(log + ".1", log + ".2")
+    assert steps.next() == []
+    squeeze(log + ".2")
+    os.remove(log + ".2")
+    assert steps.next() == []
+    # Rotated and compressed between two listings: the open line was never seen.
+    write(log, b"first line of another file\nopen again")
+    assert [x[2] for x in steps.next()] == ["first line of another file"]
+    squeeze(log)
+    os.rename(log + ".gz", log + ".3.gz")
+    os.remove(log)
+    assert [x[2] for x in steps.next()] == ["open again"]
+    assert steps.next() == []
+
+
 def test_a_file_replaced_by_a_longer_one_is_read_from_its_start(tmp_path, log):
     write(log, b"first file\n")
     steps = Steps(tmp_path / "logs")

@@ -162,22 +162,24 @@ class LogTailReader(DataSourceStreamReader):
         moved = self._moved(before, now)
         fresh = []
         for path, (size, head) in now.items():
-            if _compressed(path):
-                if before.get(path) != [size, head]:
-                    fresh.append((path, head, max(self._earlier(path, [size, head], moved), default=0), size, True))
+            if before.get(path) == [size, head]:
                 continue
-            first, renamed = self._resume(path, size, head, before, moved)
-            closed = _rotated(os.path.basename(path)) and (renamed or path not in before)
-            if size > first or closed:
-                fresh.append((path, head, first, size, closed))
+            if path in before and not _compressed(path) and self._continues(before[path], [size, head]):
+                fresh.append((path, head, before[path][0], size, False))
+                continue
+            first, ended = self._earlier(path, [size, head], moved)
+            # The last line of a rotated file counts without a line end, but only once.
+            fresh.append((path, head, first, size, _rotated(os.path.basename(path)) and not ended))
         # Ranges grow with a very large backlog, so that their number stays bounded.
         backlog = sum(max(size - first, 0) for _, _, first, size, _ in fresh)
         step = max(self.range_bytes, backlog // MAX_RANGES)
         ranges = []
         for path, head, first, size, closed in fresh:
             cuts = [first, size]
-            if size > first and not _compressed(path):
-                cuts = [*range(first, size, step), size]
+            if not _compressed(path):
+                if size == first and not closed:
+                    continue
+                cuts = [*range(first, size, step), size] if size > first else cuts
             for low, high in zip(cuts, cuts[1:]):
                 ranges.append(ByteRange(path, head, low, high, closed and high == size, end["at"]))
         return ranges
@@ -188,26 +190,20 @@ class LogTailReader(DataSourceStreamReader):
 
     @classmethod
     def _moved(cls, before: dict, now: dict) -> dict[str, list]:
-        """Files that are no longer what their path holds, by directory."""
+        """Files that are no longer what their path holds, by directory: (position, rotated, head)."""
         moved: dict[str, list] = {}
         for path, old in before.items():
             if old[1] and not _compressed(path) and not cls._continues(old, now.get(path)):
-                moved.setdefault(os.path.dirname(path), []).append(old)
+                moved.setdefault(os.path.dirname(path), []).append((old[0], _rotated(os.path.basename(path)), old[1]))
         return moved
 
     @classmethod
-    def _resume(cls, path: str, size: int, head: str, before: dict, moved: dict) -> tuple[int, bool]:
-        """Where to go on reading a file, and whether it is an earlier file renamed."""
-        if path in before and cls._continues(before[path], [size, head]):
-            return before[path][0], False
-        earlier = cls._earlier(path, [size, head], moved)
-        return (max(earlier), True) if earlier else (0, False)
-
-    @classmethod
-    def _earlier(cls, path: str, new: list, moved: dict) -> list[int]:
-        """Positions read in files of the same directory that this one continues."""
+    def _earlier(cls, path: str, new: list, moved: dict) -> tuple[int, bool]:
+        """Position read in a file of the same directory that this one continues, and whether
+        that one was a rotated file already. Neither, and the file is read from its start."""
         size = math.inf if _compressed(path) else new[0]
-        return [old[0] for old in moved.get(os.path.dirname(path), ()) if cls._continues(old, [size, new[1]])]
+        return max(((at, rotated) for at, rotated, head in moved.get(os.path.dirname(path), ())
+                    if cls._continues([at, head], [size, new[1]])), default=(0, False))
 
     def commit(self, end: dict) -> None:
         pass
