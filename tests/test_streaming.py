@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from tidelog.operators.incremental import drop_overlap
 from tidelog.plans import adapters
-from tidelog.streaming.pipelines import (drop_stream_overlap, landed_stream, run_trigger,
+from tidelog.sources import tables
+from tidelog.sources.tail import SCHEMA
+from tidelog.streaming.pipelines import (drop_stream_overlap, ingest_batch, landed_stream, run_trigger,
                                          streaming_level_counts, tumbling_level_counts)
 
 SF = "/root/testdata/sf0.001"
@@ -83,3 +85,33 @@ def test_landed_rotated_files_are_read_once(spark, tmp_path):
 def test_triggers():
     assert run_trigger(now=True) == {"availableNow": True}
     assert run_trigger() == {"processingTime": "4 hours"}
+
+
+def test_a_batch_tried_again_leaves_the_same_tables(spark, tmp_path):
+    """Ranges of two files, one of them rotated; the second try finds its own partitions and replaces them."""
+    at = datetime(2024, 1, 5, 7, 8, 9)
+    rows = []
+    for name, lines in {"0.log.1": ["old ERROR", "old"], "0.log": ["new info", "new", "newest"]}.items():
+        position = 0
+        for i, line in enumerate(lines):
+            rows.append(("ns", "pod", "uid", "app", f"/logs/ns_pod_uid/app/{name}", "fp" + name,
+                         0 if i < 2 else position, position, len(line), line, at))
+            position += len(line) + 1
+    batch = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    paths = [str(tmp_path / t) for t in ("lines", "files", "runs")]
+    seen = []
+    for _ in range(2):
+        ingest_batch(batch, *paths)
+        lines = tables.log_lines(spark, paths[0]).orderBy("line_no").collect()
+        files = tables.log_files(spark, paths[1]).collect()
+        runs = tables.runs(spark, paths[2]).drop("created_at").collect()
+        seen.append((lines, files, runs))
+    assert seen[0] == seen[1]
+    lines, [file], [run] = seen[0]
+    assert [r.line for r in lines] == ["old ERROR", "old", "new info", "new", "newest"]
+    assert [(r.line_no, r.start_byte) for r in lines] == [(1, 0), (2, 10), (3, 14), (4, 23), (5, 27)]
+    assert (file.filename, file.line_count, file.error_count, file.info_count) == (
+        "ns__pod__app__2024-01-05_07-08-09.log", 5, 1, 1)
+    assert (run.run, run.file_count, run.total_bytes) == ("2024-01-05_07-08-09", 1, 34)
+    ingest_batch(batch.limit(0), *paths)
+    assert tables.runs(spark, paths[2]).count() == 1
