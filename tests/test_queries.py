@@ -4,6 +4,8 @@ import pytest
 
 import __spark_entry__ as entry
 from compare import duck, duck_rows, spark_rows
+from tidelog.plans import oracle
+from tidelog.plans.queries import QUERIES
 
 SF = "/root/testdata/sf0.01"
 
@@ -14,10 +16,11 @@ def con():
 
 
 def test_every_query_has_a_twin():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(QUERIES) == set(oracle.statements())
+    assert set(QUERIES) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, con, name):
     names, rows = spark_rows(entry.queries()[name](spark, SF))
     expected_names, expected = duck_rows(con, entry.oracle_sql()[name])
