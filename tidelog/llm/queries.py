@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidelog.llm.fingerprints import fingerprint_report
 from tidelog.llm.line_dedup import line_report
 from tidelog.llm.pii import personal_data_report
 
@@ -14,6 +15,10 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_report(_read(spark, sf_dir, "documents"))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_report(_read(spark, sf_dir, "documents"))
 
@@ -23,5 +28,5 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op6_line_dedup, op8_pii)
+    f.__name__: f for f in (op4_fingerprints, op6_line_dedup, op8_pii)
 }
