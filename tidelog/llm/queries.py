@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidelog.llm.bpe import token_report
 from tidelog.llm.fingerprints import fingerprint_report
 from tidelog.llm.line_dedup import line_report
 from tidelog.llm.pii import personal_data_report
@@ -23,10 +24,14 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_report(_read(spark, sf_dir, "documents"))
 
 
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_report(_read(spark, sf_dir, "documents"))
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data_report(_read(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op4_fingerprints, op6_line_dedup, op8_pii)
+    f.__name__: f for f in (op4_fingerprints, op6_line_dedup, op7_bpe, op8_pii)
 }
