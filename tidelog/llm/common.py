@@ -8,10 +8,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 PIECE_BYTES = 8 << 20  # texts a Python function holds at once, unless one text alone is longer
+PIECE_ROWS = 1 << 15
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -46,19 +48,20 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str, limit: int = PIECE_BY
     for batch in batches:
         if not batch.num_rows:
             continue
-        sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0), dtype=np.int64)
+        sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), dtype=np.int64)
         ends = np.cumsum(sizes)
         at = 0
         while at < batch.num_rows:
             done = ends[at - 1] if at else 0
             to = max(at + 1, int(np.searchsorted(ends, done + limit, side="right")))
+            to = min(to, at + PIECE_ROWS)
             yield batch.slice(at, to - at)
             at = to
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string array, and n + 1 offsets into them. Null counts as empty."""
-    column = pa.compute.fill_null(column, "") if column.null_count else column
+    column = pc.fill_null(column, "") if column.null_count else column
     kind = np.int64 if pa.types.is_large_string(column.type) else np.int32
     _, offsets, data = column.buffers()
     if not len(column):

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidelog.llm.bpe import token_report
 from tidelog.llm.fingerprints import fingerprint_report
+from tidelog.llm.jaccard_join import group_documents
 from tidelog.llm.line_dedup import line_report
 from tidelog.llm.pii import personal_data_report
 
@@ -16,6 +17,10 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return group_documents(_read(spark, sf_dir, "documents"))
+
+
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_report(_read(spark, sf_dir, "documents"))
 
@@ -33,5 +38,5 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op4_fingerprints, op6_line_dedup, op7_bpe, op8_pii)
+    f.__name__: f for f in (op2_jaccard_join, op4_fingerprints, op6_line_dedup, op7_bpe, op8_pii)
 }
