@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tidelog.llm.bpe import token_report
 from tidelog.llm.fingerprints import fingerprint_report
 from tidelog.llm.jaccard_join import group_documents
+from tidelog.llm.langid import language_report
 from tidelog.llm.line_dedup import line_report
 from tidelog.llm.pii import personal_data_report
 
@@ -25,6 +26,10 @@ def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_report(_read(spark, sf_dir, "documents"))
 
 
+def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_report(_read(spark, sf_dir, "documents"))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_report(_read(spark, sf_dir, "documents"))
 
@@ -38,5 +43,5 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_jaccard_join, op4_fingerprints, op6_line_dedup, op7_bpe, op8_pii)
+    f.__name__: f for f in (op2_jaccard_join, op4_fingerprints, op5_langid, op6_line_dedup, op7_bpe, op8_pii)
 }
