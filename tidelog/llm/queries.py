@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tidelog.llm.bpe import token_report
+from tidelog.llm.decontaminate import leak_report
 from tidelog.llm.fingerprints import fingerprint_report
 from tidelog.llm.jaccard_join import group_documents
 from tidelog.llm.langid import language_report
 from tidelog.llm.line_dedup import line_report
 from tidelog.llm.pii import personal_data_report
+from tidelog.llm.substring_dedup import repeat_report
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +24,10 @@ def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return group_documents(_read(spark, sf_dir, "documents"))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeat_report(_read(spark, sf_dir, "documents"))
+
+
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_report(_read(spark, sf_dir, "documents"))
 
@@ -42,6 +48,11 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data_report(_read(spark, sf_dir, "documents"))
 
 
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leak_report(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_jaccard_join, op4_fingerprints, op5_langid, op6_line_dedup, op7_bpe, op8_pii)
+    f.__name__: f for f in (op2_jaccard_join, op3_substring_dedup, op4_fingerprints, op5_langid, op6_line_dedup, op7_bpe, op8_pii,
+                          op10_decontaminate)
 }
