@@ -19,4 +19,16 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE dropped) AS n_dropped
 FROM marked GROUP BY doc_id
 """
 
-SQL = {"op6_line_dedup": OP6}
+OP1 = """
+WITH digested AS (
+  SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages
+), originals AS (
+  SELECT payload_digest, min(page_id) AS original FROM digested WHERE payload_bytes >= 100 GROUP BY payload_digest
+)
+SELECT page_id, payload_bytes, d.payload_digest,
+       CASE WHEN page_id > original THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id > original THEN original END AS refers_to
+FROM digested d LEFT JOIN originals o ON d.payload_digest = o.payload_digest
+"""
+
+SQL = {"op1_warc": OP1, "op6_line_dedup": OP6}

@@ -14,12 +14,17 @@ from tidelog.llm.langid import language_report
 from tidelog.llm.line_dedup import line_report
 from tidelog.llm.pii import personal_data_report
 from tidelog.llm.substring_dedup import repeat_report
+from tidelog.llm.warc import archive_report
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_report(_read(spark, sf_dir, "pages"))
+
+
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return group_documents(_read(spark, sf_dir, "documents"))
 
@@ -53,6 +58,6 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_jaccard_join, op3_substring_dedup, op4_fingerprints, op5_langid, op6_line_dedup, op7_bpe, op8_pii,
+    f.__name__: f for f in (op1_warc, op2_jaccard_join, op3_substring_dedup, op4_fingerprints, op5_langid, op6_line_dedup, op7_bpe, op8_pii,
                           op10_decontaminate)
 }
