@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tidelog.llm.bpe import token_report
 from tidelog.llm.decontaminate import leak_report
 from tidelog.llm.fingerprints import fingerprint_report
+from tidelog.llm.html_extract import main_text_report
 from tidelog.llm.jaccard_join import group_documents
 from tidelog.llm.langid import language_report
 from tidelog.llm.line_dedup import line_report
@@ -53,11 +54,15 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data_report(_read(spark, sf_dir, "documents"))
 
 
+def op9_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text_report(_read(spark, sf_dir, "pages"))
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leak_report(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_warc, op2_jaccard_join, op3_substring_dedup, op4_fingerprints, op5_langid, op6_line_dedup, op7_bpe, op8_pii,
-                          op10_decontaminate)
+                          op9_html_extract, op10_decontaminate)
 }
