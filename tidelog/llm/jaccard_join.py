@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import partitions, pieces, shared_folder, stored, text_bytes
+from tidelog.llm.common import partitions, pieces, shared_folder, stored, text_bytes, text_hash
 from tidelog.llm.components import components
 from tidelog.llm.words import hashes, mix, runs, spans, whole
 
@@ -92,18 +92,21 @@ def keys_of(shingles: np.ndarray) -> np.ndarray:
         m = segments(lo)
         at = ((shingles >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)  # rises with the hash, so segments are runs
         starts = np.concatenate([[0], np.flatnonzero(np.diff(at)) + 1])
+        # A linked set agrees in at least `spare` segments that are not empty. Both sets know a bound of their own, and
+        # both hold; so each may leave out the last spare - 1 segments, and one that agrees is left.
+        spare = len(starts) - farthest(n, min(4 * n // 3, 2 * lo - 1))
         parity = np.bitwise_xor.reduceat(shingles, starts)
-        out.append(mix(parity + (at[starts] * np.uint64(64) + np.uint64(j)) * np.uint64(0x9E3779B97F4A7C15)))
-        partner = min(4 * n // 3, 2 * lo - 1)
-        if m - farthest(n, partner) - (m - len(starts)) < 1:
+        keys = mix(parity + (at[starts] * np.uint64(64) + np.uint64(j)) * np.uint64(0x9E3779B97F4A7C15))
+        out.append(keys[at[starts] < np.uint64(m - max(0, spare - 1))])
+        if spare < 1:
             prefix = shingles[:n - (3 * n + 3) // 4 + 1]
             out.append(mix(prefix ^ np.uint64(0x5851F42D4C957F2D + j)))
     return np.concatenate(out)
 
 
 def bit_sketch(shingles: np.ndarray) -> bytes:
-    """Parity of the shingles per bit; two bits or more to a shingle, a power of two in all."""
-    bits = max(64, 1 << (2 * len(shingles) - 1).bit_length()) if len(shingles) else 64
+    """Parity of the shingles per bit; one bit or more to a shingle, a power of two in all."""
+    bits = max(64, 1 << (len(shingles) - 1).bit_length())
     odd = np.bincount((shingles & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
@@ -117,24 +120,24 @@ def folded(sketches: list[bytes]) -> np.ndarray:
     return out
 
 
-def describe(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, n_shingles, set_id, sketch) per row of `docs`; set_id is null for a text without words."""
-    kind = docs.schema[key].dataType.simpleString()
+def describe(docs: DataFrame) -> DataFrame:
+    """(doc_id, row_hash, n_shingles, set_id, sketch) per row of `docs`; set_id is null for a text without words."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "t"):
-            sets = shingle_sets(batch.column("t"))
+        for batch in pieces(batches, "text"):
+            sets = shingle_sets(batch.column("text"))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("k"), pa.array([len(s) for s in sets], pa.int64()),
+                [batch.column("doc_id"), batch.column("row_hash"), pa.array([len(s) for s in sets], pa.int64()),
                  pa.array([set_id(s) if len(s) else None for s in sets], pa.int64()),
                  pa.array([bit_sketch(s) if len(s) >= SMALLEST else None for s in sets], pa.binary())],
-                [key, "n_shingles", "set_id", "sketch"])
+                ["doc_id", "row_hash", "n_shingles", "set_id", "sketch"])
 
-    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
-    return rows.mapInArrow(sketch, f"`{key}` {kind}, n_shingles bigint, set_id bigint, sketch binary")
+    rows = docs.select("doc_id", text_hash().alias("row_hash"), "text")
+    return rows.mapInArrow(sketch, f"doc_id {kind}, row_hash bigint, n_shingles bigint, set_id bigint, sketch binary")
 
 
-def buckets(docs: DataFrame, text: str = "text") -> DataFrame:
+def buckets(docs: DataFrame) -> DataFrame:
     """(bucket, members): sets that share a key, as packed set ids, the least first. A bucket's name is its content."""
     n = partitions(docs.sparkSession)
 
@@ -175,7 +178,7 @@ def buckets(docs: DataFrame, text: str = "text") -> DataFrame:
         if held:
             yield from _met(held)
 
-    rows = docs.select(F.col(text).alias("t")).mapInArrow(emit, "part int, names binary, places binary, packed binary")
+    rows = docs.select(F.col("text").alias("t")).mapInArrow(emit, "part int, names binary, places binary, packed binary")
     return rows.repartition(n, "part").sortWithinPartitions("part").mapInArrow(meet, "bucket bigint, members binary")
 
 
@@ -280,6 +283,26 @@ def _near(cell, held: list[tuple], nearest: bool) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1)], ["x", "y"])
 
 
+def plausible(pairs: DataFrame, traits: DataFrame) -> DataFrame:
+    """The pairs (x, y) that sizes and bit sketches do not rule out. `traits` is (set_id, n, sketch)."""
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = zip(*(batch.column(c).to_pylist() for c in ("n_x", "n_y", "sketch_x", "sketch_y")))
+            yield batch.select(["x", "y"]).filter(pa.array([_near_enough(*row) for row in rows], pa.bool_()))
+
+    sides = [traits.select(F.col("set_id").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"sketch_{c}"))
+             for c in "xy"]
+    return pairs.join(sides[0], "x").join(sides[1], "y").select(
+        "x", "y", "n_x", "n_y", "sketch_x", "sketch_y").mapInArrow(check, "x bigint, y bigint")
+
+
+def _near_enough(n: int, m: int, a: bytes, b: bytes) -> bool:
+    if 4 * min(n, m) < 3 * max(n, m):
+        return False
+    one, two = folded([a, b])
+    return int(np.bitwise_count(one ^ two).sum()) <= farthest(n, m)
+
+
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (x, y) whose sets link, by exact comparison. `texts` is (set_id, text)."""
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -299,18 +322,25 @@ class JaccardJoin:
 
     def __init__(self, docs: DataFrame):
         self.folder = shared_folder(docs.sparkSession)
-        docs = docs.select("doc_id", "text")
-        self.sets = stored(describe(docs), self.folder, "sets")
-        self.buckets = stored(buckets(docs), self.folder, "buckets")
+        self.docs = docs.select("doc_id", "text")
+        self.sets = stored(describe(self.docs), self.folder, "sets")
+        self.buckets = stored(buckets(self.docs), self.folder, "buckets")
         self.members = members(self.buckets)
         owners = self.sets.where("set_id IS NOT NULL").groupBy("set_id").agg(
             F.min("doc_id").alias("owner"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
         met = self.members.select(F.col("x").alias("m")).unionAll(self.members.select("pivot")).distinct()
         self.owners = stored(owners.join(met, F.col("set_id") == F.col("m")).drop("m"), self.folder, "owners")
-        # A text is found by doc_id and its set computed anew: rows may share a doc_id, or have none.
-        wanted = self.owners.select(F.col("owner"), F.col("set_id").alias("wanted"))
-        found = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("owner")))
-        self.texts = stored(_right_text(found), self.folder, "texts").dropDuplicates(["set_id"])
+
+    def _verified(self, pairs: DataFrame, name: str) -> DataFrame:
+        """Only texts of the pairs are fetched. They are found by doc_id and their sets computed anew, since rows may
+        share a doc_id or have none."""
+        pairs = stored(pairs, self.folder, f"{name}-pairs")
+        ids = pairs.select(F.col("x").alias("id")).unionAll(pairs.select("y")).distinct()
+        wanted = self.owners.join(ids, F.col("set_id") == F.col("id")).select("owner", F.col("set_id").alias("wanted"))
+        wanted = stored(wanted, self.folder, f"{name}-wanted")
+        found = self.docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("owner")))
+        texts = stored(_right_text(found), self.folder, f"{name}-texts")
+        return verified(pairs, texts)
 
     def _rows(self, labels: DataFrame | None) -> DataFrame:
         """Members of the buckets that hold more than one component, with what near_pairs needs."""
@@ -329,40 +359,44 @@ class JaccardJoin:
 
     def links(self) -> DataFrame:
         """All pairs (x, y) of different sets that link, by set_id; `sets` tells which documents have a set."""
-        return verified(near_pairs(self._rows(None), nearest=False), self.texts)
+        return self._verified(near_pairs(self._rows(None), nearest=False), "links")
 
     def groups(self) -> DataFrame:
         """(x, y): each set that is not the least of its component, and the least."""
-        first = self.members.groupBy("x").agg(F.min("pivot").alias("y"))
-        labels = components(verified(first, self.texts), self.folder, "first")
+        often = self.members.groupBy("x", "pivot").agg(F.count(F.lit(1)).alias("n"))
+        first = often.groupBy("x").agg(F.max_by("pivot", F.struct("n", "pivot")).alias("y"))
+        labels = components(self._verified(plausible(first, self.owners), "first"), self.folder, "first")
         for name, nearest in (("nearest", True), ("rest", False)):
-            pairs = stored(near_pairs(self._rows(labels), nearest), self.folder, f"pairs-{name}")
+            pairs = stored(near_pairs(self._rows(labels), nearest), self.folder, f"{name}-found")
             if pairs.isEmpty():
                 break
-            labels = components(labels.unionAll(verified(pairs, self.texts)), self.folder, name)
+            labels = components(labels.unionAll(self._verified(pairs, name)), self.folder, name)
         return labels
 
     def documents(self) -> DataFrame:
-        """(doc_id, n_shingles, component_id) per row: component_id is the least doc_id that links reach."""
+        """(doc_id, row_hash, n_shingles, component, component_id) per row. component_id is the least doc_id that links
+        reach; component names the group also where doc_ids are shared, and is null for documents without shingles."""
         labels = self.groups().select(F.col("x").alias("node"), F.col("y").alias("root"))
-        sets = self.sets.select("doc_id", "n_shingles", "set_id")
+        sets = self.sets.select("doc_id", "row_hash", "n_shingles", "set_id")
         of_set = sets.where("set_id IS NOT NULL").groupBy("set_id").agg(F.min("doc_id").alias("least"))
         of_set = of_set.join(labels, F.col("set_id") == F.col("node"), "left").select(
-            F.col("set_id"), F.coalesce("root", "set_id").alias("root"), "least")
-        of_root = of_set.groupBy(F.col("root").alias("top")).agg(F.min("least").alias("component_id"))
-        of_set = of_set.join(of_root, F.col("root") == F.col("top")).select(
-            F.col("set_id").alias("named"), "component_id")
+            F.col("set_id"), F.coalesce("root", "set_id").alias("component"), "least")
+        of_root = of_set.groupBy(F.col("component").alias("top")).agg(F.min("least").alias("component_id"))
+        of_set = of_set.join(of_root, F.col("component") == F.col("top")).select(
+            F.col("set_id").alias("named"), "component", "component_id")
         return sets.join(of_set, F.col("set_id") == F.col("named"), "left").select(
-            "doc_id", "n_shingles", F.when(F.col("set_id").isNull(), F.col("doc_id")).otherwise(
-                F.col("component_id")).alias("component_id"))
+            "doc_id", "row_hash", "n_shingles", "component",
+            F.when(F.col("set_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def _right_text(found: DataFrame) -> DataFrame:
+    """The texts that have the wanted set. Equal rows, which one task gets after the join, give one text."""
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()
         for batch in pieces(batches, "text"):
             ids = [set_id(s) for s in shingle_sets(batch.column("text"))]
-            same = np.array(ids, np.int64) == np.asarray(batch.column("set_id"))
-            yield batch.filter(pa.array(same))
+            good = [i == w and w not in seen and not seen.add(w) for i, w in zip(ids, batch.column("set_id").to_pylist())]
+            yield batch.filter(pa.array(good, pa.bool_()))
 
     return found.select(F.col("wanted").alias("set_id"), "text").mapInArrow(keep, "set_id bigint, text string")
 
@@ -374,4 +408,15 @@ def group_documents(docs: DataFrame) -> DataFrame:
     words is one shingle. Rows that share a doc_id are separate documents of that id. An empty table gives an empty
     result; other columns are not read. Null doc_ids are never the least unless all of a component are null.
     """
-    return JaccardJoin(docs).documents()
+    return JaccardJoin(docs).documents().select("doc_id", "n_shingles", "component_id")
+
+
+def one_of_each_group(docs: DataFrame) -> DataFrame:
+    """`docs` with one document of each group: the one with the least doc_id, of several with that doc_id the one whose
+    text has the least hash. Equal rows are one document and stay together; documents without shingles all stay."""
+    rows = JaccardJoin(docs).documents()
+    rank = F.struct(F.col("doc_id").isNull(), "doc_id", "row_hash")
+    best = rows.where("component IS NOT NULL").groupBy(F.col("component").alias("c")).agg(F.min(rank).alias("best"))
+    gone = rows.join(best, F.col("component") == F.col("c")).where(~rank.eqNullSafe(F.col("best"))).select(
+        F.col("doc_id").alias("gone_id"), F.col("row_hash").alias("gone_row")).distinct()
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")) & (text_hash() == F.col("gone_row")), "left_anti")
