@@ -269,3 +269,17 @@ def token_report(docs: DataFrame) -> DataFrame:
     out = decode_documents(encode_documents(docs, ranks, pattern), ranks)
     return out.select("doc_id", F.floor(F.octet_length("ids") / 4).alias("n_tokens"),
                       F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def with_id_arrays(encoded: DataFrame) -> DataFrame:
+    """(key, n_tokens, ids) with the ids as an array of integers."""
+    key = encoded.columns[0]
+
+    def widen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = [np.frombuffer(b, "<u4").astype(np.int32) for b in batch.column("ids").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(key), pa.array([len(i) for i in ids], pa.int64()),
+                                              pa.array(ids, pa.list_(pa.int32()))], [key, "n_tokens", "ids"])
+
+    kind = encoded.schema[key].dataType.simpleString()
+    return encoded.select(key, "ids").mapInArrow(widen, f"`{key}` {kind}, n_tokens bigint, ids array<int>")
