@@ -35,8 +35,8 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, the number of tokens, and the ids as an array."""
-    ranks, pattern = bpe.public_ranks()
-    return bpe.with_id_arrays(bpe.encode_documents(docs, ranks, pattern))
+    ranks = bpe.public_ranks()
+    return bpe.with_id_arrays(bpe.encode_documents(docs, ranks))
 
 
 STAGES = [("language ID", keep_identified), ("line dedup", drop_repeated_lines),

@@ -2,16 +2,17 @@
 
 1. Texts are cut into pre-tokens. Tasks gather documents into blocks; a block has a dictionary of its distinct
    pre-tokens, and for each document the places of its pre-tokens in that dictionary (the exploded positions, packed).
-2. The dictionaries of all blocks are shuffled by word. Sorted by word, each distinct word is merged once, and its ids
-   go back to every block that asked.
+2. The dictionaries of all blocks are shuffled by word, many words to a row. Where they meet, each distinct word is
+   merged once, and its ids go back to every block that asked.
 3. Each block puts the ids in their places.
 
-Only dictionaries and packed positions move, never texts, and the dictionary of a common word holds one row per block,
-not one per occurrence. Step 1 runs twice, for the dictionaries and for the positions, so that neither has to be
-stored; a block's name is a digest of its content, and a block without its dictionary is an error, so an input that
-changes between the two passes cannot give wrong ids.
+Only dictionaries and packed positions move, never texts, and a common word moves once per block, not once per
+occurrence. Step 1 runs twice, for the dictionaries and for the positions, so that neither has to be stored; a block's
+name is a digest of its content, and a block without its dictionary is an error, so an input that changes between the
+two passes cannot give wrong ids.
 
-Decoding joins ids with the token-byte table.
+Merging is vectorised over words: in each round the pair of least rank, of equals the leftmost, is joined in every word
+that still has one. Decoding joins ids with the token-byte table.
 """
 
 from __future__ import annotations
@@ -23,13 +24,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from tidelog.llm.common import partitions
+from tidelog.llm.common import partitions, pieces, text_bytes
+from tidelog.llm.pretokens import starts_of
+from tidelog.llm.words import OTHER_BYTE, hashes, mix
 
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 16 << 20
+CUT_BYTES = 2 << 20
+SHORT = 32  # bytes of a word that is merged together with others
+NO_RANK = np.iinfo(np.int32).max
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -74,172 +80,311 @@ def merge(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], pattern: str) -> Iterator[tuple[bytes, dict[str, int], list[tuple]]]:
-    """(name, dictionary, documents) of each block; documents are (key, hash of the text, packed places)."""
-    find = regex.compile(pattern).findall
-    words, docs, size, name = {}, [], 0, hashlib.blake2b(digest_size=16)
-    for batch in batches:
-        for key, text in zip(batch.column("k").to_pylist(), batch.column("t")):
-            text = text.as_py() or ""
-            name.update(f"{key}:{len(text)}:".encode())
-            name.update(raw := text.encode())
-            places = np.array([words.setdefault(w, len(words)) for w in find(text)], np.uint32)
-            docs.append((key, places))
-            size += len(raw)
-            if size >= BLOCK_BYTES:
-                yield name.digest(), words, docs
-                words, docs, size, name = {}, [], 0, hashlib.blake2b(digest_size=16)
-    if docs:
-        yield name.digest(), words, docs
+def spans_at(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The elements of some stretches of an array, one stretch after the other."""
+    if not len(lengths):
+        return data[:0]
+    ends = np.cumsum(lengths)
+    return data[np.arange(ends[-1]) + np.repeat(starts - (ends - lengths), lengths)]
+
+
+class Merger:
+    """A vocabulary prepared for merging many words at once."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.ranks = ranks
+        self.size = max(ranks.values()) + 1
+        self.bytes = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
+        pairs = {}
+        for token, rank in ranks.items():
+            for i in range(1, len(token)):
+                a, b = ranks.get(token[:i]), ranks.get(token[i:])
+                if a is not None and b is not None:
+                    pairs[a * self.size + b] = rank
+        self.pairs = np.array(sorted(pairs), np.int64)
+        self.joined = np.array([pairs[k] for k in self.pairs.tolist()], np.int32)
+        data = np.frombuffer(b"".join(ranks), np.uint8)
+        lengths = np.array([len(t) for t in ranks], np.int64)
+        ends = np.cumsum(lengths)
+        found = _names(data, ends - lengths, ends)
+        order = np.argsort(found)
+        self.whole, self.whole_rank = found[order], np.array(list(ranks.values()), np.int32)[order]
+
+    def _rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Rank of the token that two neighbours make, NO_RANK if there is none or one of them is -1."""
+        key = a.astype(np.int64) * self.size + b
+        at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
+        return np.where((self.pairs[at] == key) & (a >= 0) & (b >= 0), self.joined[at], NO_RANK)
+
+    def encode(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray,
+               names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words in a row, and how many each has. `names` are the words' hashes."""
+        lengths = ends - starts
+        counts = np.ones(len(starts), np.int64)
+        table = np.full((len(starts), SHORT), -1, np.int32)
+        at = np.minimum(np.searchsorted(self.whole, names), len(self.whole) - 1)
+        known = self.whole[at] == names
+        table[known, 0] = self.whole_rank[at[known]]
+        rest = np.flatnonzero(~known & (lengths <= SHORT))
+        rest = rest[np.argsort(lengths[rest], kind="stable")]
+        for low in range(0, len(rest), 8192):  # words of about one length at a time
+            some = rest[low:low + 8192]
+            ids = self._together(data, starts[some], lengths[some])
+            table[some, :ids.shape[1]] = ids
+            counts[some] = (ids >= 0).sum(axis=1)
+        long = np.flatnonzero(~known & (lengths > SHORT))
+        extra = {int(i): merge(data[starts[i]:ends[i]].tobytes(), self.ranks) for i in long}
+        if not extra:
+            return table[np.arange(SHORT) < counts[:, None]], counts
+        flat, low = [], 0
+        for i in long:
+            flat += [table[low:i][np.arange(SHORT) < counts[low:i, None]], np.array(extra[int(i)], np.int32)]
+            counts[i], low = len(extra[int(i)]), i + 1
+        flat.append(table[low:][np.arange(SHORT) < counts[low:, None]])
+        return np.concatenate(flat), counts
+
+    def _together(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Ids of words of a few bytes, one word to a row, filled up with -1."""
+        width = int(lengths.max())
+        columns = np.arange(width)
+        at = np.minimum(starts[:, None] + columns, len(data) - 1)
+        out = np.where(columns < lengths[:, None], self.bytes[data[at]], -1).astype(np.int32)
+        alive, ids = np.arange(len(out)), out
+        ranks = self._rank(ids[:, :-1], ids[:, 1:])
+        while width > 1:
+            best = ranks.argmin(axis=1)
+            rank = ranks[np.arange(len(ids)), best]
+            more = rank < NO_RANK
+            if not more.all():
+                out[alive[~more], :ids.shape[1]] = ids[~more]
+                out[alive[~more], ids.shape[1]:] = -1
+                alive, ids, ranks, best, rank = alive[more], ids[more], ranks[more], best[more], rank[more]
+            if not len(alive):
+                break
+            rows, width = np.arange(len(ids)), ids.shape[1]
+            ids[rows, best] = rank
+            shift = np.arange(width - 1) + (np.arange(width - 1) > best[:, None])
+            ids = np.take_along_axis(ids, shift, axis=1)
+            pairs = np.arange(width - 2)
+            ranks = np.take_along_axis(ranks, pairs + (pairs >= best[:, None]), axis=1)
+            left = best > 0
+            ranks[rows[left], best[left] - 1] = self._rank(ids[rows[left], best[left] - 1], ids[rows[left], best[left]])
+            right = best < width - 2
+            ranks[rows[right], best[right]] = self._rank(ids[rows[right], best[right]], ids[rows[right], best[right] + 1])
+            if width == 2:
+                out[alive, 0], out[alive, 1:] = ids[:, 0], -1
+                break
+        return out
+
+
+def _names(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    return hashes(data, starts, ends, lower=False)
+
+
+def distinct(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Name of each distinct span, the first span of that name, and the place of every span among them.
+
+    Names are 64-bit hashes; a second hash makes sure that equal names are equal spans.
+    """
+    names, other = _names(data, starts, ends), hashes(data, starts, ends, table=OTHER_BYTE)
+    found, first, place = np.unique(names, return_index=True, return_inverse=True)
+    if (other[first][place] != other).any():
+        raise ValueError("two words share a 64-bit hash")
+    return found, first, place
+
+
+class Block:
+    """Documents that share a dictionary."""
+
+    def __init__(self, batches: list[pa.RecordBatch]):
+        data, self.keys, spans, edges = [], [], [], [np.zeros(1, np.int64)]
+        digest, base, tokens = hashlib.blake2b(digest_size=16), 0, 0
+        for batch in batches:
+            raw, offsets = text_bytes(batch.column("t"))
+            starts = starts_of(raw, offsets)
+            digest.update(raw.tobytes())
+            digest.update(offsets.tobytes())
+            digest.update(str(batch.column("k").to_pylist()).encode())
+            data.append(raw)
+            spans.append(starts + base)
+            edges.append(np.searchsorted(starts, offsets[1:]) + tokens)
+            self.keys.append(batch.column("k"))
+            base, tokens = base + len(raw), tokens + len(starts)
+        self.name = digest.digest()
+        self.data, self.edges = np.concatenate(data), np.concatenate(edges)
+        starts = np.concatenate(spans)
+        ends = np.append(starts[1:], base)
+        names, first, place = distinct(self.data, starts, ends)
+        # Frequent words first, so that packed places are short.
+        order = np.argsort(-np.bincount(place, minlength=len(first)), kind="stable")
+        rank = np.empty(len(order), np.uint32)
+        rank[order] = np.arange(len(order), dtype=np.uint32)
+        self.places = rank[place]
+        self.names, self.starts, self.ends = names[order], starts[first[order]], ends[first[order]]
+
+
+def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
+    held, size = [], 0
+    for batch in pieces(batches, "t", CUT_BYTES):
+        held.append(batch)
+        size += batch.column("t").nbytes
+        if size >= BLOCK_BYTES:
+            yield Block(held)
+            held, size = [], 0
+    if held:
+        yield Block(held)
 
 
 def pack(numbers: np.ndarray) -> bytes:
     """Unsigned numbers as variable-length bytes: seven bits each, the high bit says that more follow."""
     numbers = numbers.astype(np.uint32)
-    columns = np.stack([numbers >> np.uint32(7 * i) for i in range(5)], axis=1) if len(numbers) else np.zeros((0, 5), np.uint32)
+    wide = max(1, -(-int(numbers.max(initial=0)).bit_length() // 7))
+    columns = numbers[:, None] >> (7 * np.arange(wide, dtype=np.uint32))
     used = columns > 0
     used[:, 0] = True
-    more = np.zeros_like(used)
-    more[:, :-1] = used[:, 1:]
-    return ((columns & 127) | (more * np.uint32(128))).astype(np.uint8)[used].tobytes()
+    out = (columns & 127).astype(np.uint8)
+    out[:, :-1] |= used[:, 1:].astype(np.uint8) << 7
+    return out[used].tobytes()
 
 
 def unpack(data: bytes) -> np.ndarray:
     raw = np.frombuffer(data, np.uint8)
     if not len(raw):
         return np.zeros(0, np.uint32)
-    last = raw < 128
-    starts = np.concatenate([[0], np.flatnonzero(last)[:-1] + 1])
-    place = np.arange(len(raw)) - np.repeat(starts, np.diff(np.append(starts, len(raw))))
-    parts = (raw & 127).astype(np.uint32) << (7 * place).astype(np.uint32)
-    return np.add.reduceat(parts, starts, dtype=np.uint32)
-
-
-def _frequent_first(words: dict[str, int], docs: list[tuple]) -> tuple[list[str], list[np.ndarray]]:
-    """Number the dictionary by falling count, so that packed places are short."""
-    counts = np.zeros(len(words), np.int64)
-    for _, places in docs:
-        counts += np.bincount(places, minlength=len(words))
-    order = np.argsort(-counts, kind="stable")
-    rank = np.empty(len(words), np.uint32)
-    rank[order] = np.arange(len(words), dtype=np.uint32)
-    names = list(words)
-    return [names[i] for i in order], [rank[places] for _, places in docs]
-
-
-ROWS = 1 << 14
+    ends = np.flatnonzero(raw < 128)
+    starts = np.empty_like(ends)
+    starts[0], starts[1:] = 0, ends[:-1] + 1
+    out = (raw[starts] & 127).astype(np.uint32)
+    for i in range(1, int((ends - starts).max()) + 1):
+        more = np.flatnonzero(ends - starts >= i)
+        out[more] |= (raw[starts[more] + i] & 127).astype(np.uint32) << np.uint32(7 * i)
+    return out
 
 
-def encode_documents(docs: DataFrame, ranks: dict[bytes, int], pattern: str, key: str = "doc_id",
-                     text: str = "text") -> DataFrame:
+def encode_documents(docs: DataFrame, ranks: dict[bytes, int], key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, ids) per row of `docs`, ids as little-endian unsigned 32-bit integers in one binary.
 
     Null texts count as empty and have no ids; null and repeated keys are kept as they are; equal rows are encoded each;
     an empty table gives an empty result; further columns are not read. `ranks` must hold all 256 single bytes.
     """
     spark = docs.sparkSession
-    held = spark.sparkContext.broadcast(ranks)  # one vocabulary: its size does not depend on the data
-    kind = docs.schema[key].dataType.simpleString()
+    merger = spark.sparkContext.broadcast(Merger(ranks))  # one vocabulary: its size does not depend on the data
+    narrow = np.dtype("<u2") if max(ranks.values()) < 1 << 16 else np.dtype("<u4")
+    kind, arrow_kind = docs.schema[key].dataType.simpleString(), to_arrow_type(docs.schema[key].dataType)
     rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
+    n = partitions(spark)
 
     def dictionaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for name, words, documents in _blocks(batches, pattern):
-            listed, _ = _frequent_first(words, documents)
-            for at in range(0, len(listed), ROWS):
-                part = listed[at:at + ROWS]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([name] * len(part), pa.binary()), pa.array(range(at, at + len(part)), pa.int32()),
-                     pa.array([w.encode() for w in part], pa.binary())], ["block", "place", "word"])
+        for block in blocks(batches):
+            part = (mix(block.names) % np.uint64(n)).astype(np.int64)
+            order = np.argsort(part, kind="stable")
+            edges = np.searchsorted(part[order], np.arange(n + 1))
+            used = [i for i in range(n) if edges[i + 1] > edges[i]]
+            out = {"places": [], "sizes": [], "words": []}
+            for i in used:
+                at = order[edges[i]:edges[i + 1]]
+                sizes = block.ends[at] - block.starts[at]
+                out["places"].append(pack(at))
+                out["sizes"].append(pack(sizes))
+                out["words"].append(spans_at(block.data, block.starts[at], sizes).tobytes())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(used, pa.int32()), pa.array([block.name] * len(used), pa.binary()),
+                 *(pa.array(c, pa.binary()) for c in out.values())], ["part", "block", *out])
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for name, words, documents in _blocks(batches, pattern):
-            _, packed = _frequent_first(words, documents)
-            for at in range(0, len(documents), 256):
-                part = documents[at:at + 256]
+        for block in blocks(batches):
+            keys = pa.chunked_array(block.keys, arrow_kind).combine_chunks()
+            for low in range(0, len(keys), 512):
+                some = range(low, min(low + 512, len(keys)))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([name] * len(part), pa.binary()), pa.array([k for k, _ in part], pa_key),
-                     pa.array([pack(p) for p in packed[at:at + 256]], pa.binary()),
-                     pa.array([len(words)] * len(part), pa.int32())], ["block", "k", "packed", "n_words"])
+                    [pa.array([block.name] * len(some), pa.binary()), keys.slice(low, len(some)),
+                     pa.array([pack(block.places[block.edges[i]:block.edges[i + 1]]) for i in some], pa.binary()),
+                     pa.array([len(block.names)] * len(some), pa.int32())], ["block", "k", "packed", "n_words"])
 
     def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows are sorted by word; a word is merged when it first turns up."""
-        last, ids = None, b""
+        """Rows are sorted by part; the rows of a part hold all that is asked about its words."""
+        held, part = [], None
         for batch in batches:
-            out = []
-            for word in batch.column("word").to_pylist():
-                if word != last:
-                    last, ids = word, np.array(merge(word, held.value), "<u4").tobytes()
-                out.append(ids)
-            yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("place"), pa.array(out, pa.binary())],
-                                             ["block", "place", "ids"])
+            for row in batch.to_pylist():
+                if held and row["part"] != part:
+                    yield from _merged(held, merger.value, narrow)
+                    held = []
+                part = row["part"]
+                held.append(row)
+        if held:
+            yield from _merged(held, merger.value, narrow)
 
     def assembled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows are sorted by block, dictionary first; a task holds one dictionary at a time."""
         block, parts, table = None, [], None
         for batch in batches:
-            names = batch.column("block").to_pylist()
-            packed, found = batch.column("packed").to_pylist(), batch.column("ids").to_pylist()
-            place, n_words = batch.column("place").to_pylist(), batch.column("n_words").to_pylist()
-            keys, out = [], []
-            for i, name in enumerate(names):
-                if name != block:
-                    block, parts, table = name, [], None
-                if found[i] is not None:
-                    parts.append((place[i], found[i]))
-                    continue
-                if table is None:
-                    table = _table(parts, n_words[i])
-                keys.append(i)
-                out.append(_gather(table, unpack(packed[i])))
-            if keys:
-                yield pa.RecordBatch.from_arrays([batch.column("k").take(pa.array(keys)), pa.array(out, pa.binary())],
-                                                 [key, "ids"])
-
-    pa_key = _arrow_type(docs, key)
-    n = partitions(spark)
-    words = rows.mapInArrow(dictionaries, "block binary, place int, word binary")
-    encoded = words.repartition(n, "word").sortWithinPartitions("word").mapInArrow(merged, "block binary, place int, ids binary")
+            for low in range(0, len(batch), 256):
+                some, at, out = batch.slice(low, 256), [], []
+                for i, row in enumerate(some.drop_columns(["k"]).to_pylist()):
+                    if row["block"] != block:
+                        block, parts, table = row["block"], [], None
+                    if row["ids"] is not None:
+                        parts.append(row)
+                        continue
+                    if table is None:
+                        table, parts = _table(parts, row["n_words"], narrow), []
+                    ids, starts, counts = table
+                    own = unpack(row["packed"])
+                    at.append(i)
+                    out.append(spans_at(ids, starts[own], counts[own]).astype("<u4").tobytes())
+                if at:
+                    yield pa.RecordBatch.from_arrays([some.column("k").take(pa.array(at)), pa.array(out, pa.binary())],
+                                                     [key, "ids"])
+
+    words = rows.mapInArrow(dictionaries, "part int, block binary, places binary, sizes binary, words binary")
+    encoded = words.repartition(n, "part").sortWithinPartitions("part").mapInArrow(
+        merged, "block binary, places binary, counts binary, ids binary")
     positions = rows.mapInArrow(places, f"block binary, k {kind}, packed binary, n_words int")
     both = encoded.unionByName(positions, allowMissingColumns=True).repartition(n, "block")
     both = both.sortWithinPartitions("block", F.col("ids").isNull())
-    return both.select("block", "place", "ids", "k", "packed", "n_words").mapInArrow(assembled, f"`{key}` {kind}, ids binary")
-
-
-def _arrow_type(df: DataFrame, column: str) -> pa.DataType:
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    return to_arrow_type(df.schema[column].dataType)
-
-
-def _table(parts: list[tuple[int, bytes]], n_words: int) -> tuple[np.ndarray, np.ndarray]:
-    """All ids of a dictionary in a row, and where each place's begin."""
-    if len(parts) != n_words:
-        raise ValueError(f"a block has {len(parts)} of its {n_words} words: the input changed between two passes")
-    ordered = [ids for _, ids in sorted(parts)]
-    starts = np.zeros(n_words + 1, np.int64)
-    np.cumsum([len(ids) // 4 for ids in ordered], out=starts[1:])
-    return np.frombuffer(b"".join(ordered), "<u4"), starts
-
-
-def _gather(table: tuple[np.ndarray, np.ndarray], places: np.ndarray) -> bytes:
-    """The pieces of a table at some places, one after the other."""
-    values, starts = table
-    lengths = starts[places + 1] - starts[places]
-    ends = np.cumsum(lengths)
-    if not len(ends):
-        return b""
-    at = np.arange(ends[-1]) + np.repeat(starts[places] - (ends - lengths), lengths)
-    return values[at].tobytes()
-
-
-def token_bytes(ranks: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
-    """The token-byte table: bytes of all tokens in order of their ids, and where each id's begin."""
+    return both.select("block", "places", "counts", "ids", "k", "packed", "n_words").mapInArrow(
+        assembled, f"`{key}` {kind}, ids binary")
+
+
+def _merged(rows: list[dict], merger: Merger, narrow: np.dtype) -> Iterator[pa.RecordBatch]:
+    """Merge each distinct word of some dictionaries once, and answer each dictionary."""
+    data = np.frombuffer(b"".join(r["words"] for r in rows), np.uint8)
+    each = [unpack(r["sizes"]).astype(np.int64) for r in rows]
+    ends = np.cumsum(np.concatenate(each))
+    starts = np.concatenate([[0], ends[:-1]])
+    names, first, place = distinct(data, starts, ends)
+    ids, counts = merger.encode(data, starts[first], ends[first], names)
+    at = np.cumsum(counts) - counts
+    low = 0
+    for row, sizes in zip(rows, each):
+        own = place[low:low + len(sizes)]
+        low += len(sizes)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([v], pa.binary()) for v in (row["block"], row["places"], pack(counts[own]),
+                                                  spans_at(ids, at[own], counts[own]).astype(narrow).tobytes())],
+            ["block", "places", "counts", "ids"])
+
+
+def _table(parts: list[dict], n_words: int, narrow: np.dtype) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All ids of a dictionary, and where and how many each place has."""
+    places = np.concatenate([unpack(p["places"]) for p in parts]) if parts else np.zeros(0, np.uint32)
+    if len(places) != n_words:
+        raise ValueError(f"a block has {len(places)} of its {n_words} words: the input changed between two passes")
+    if not n_words:
+        return np.zeros(0, narrow), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    found = np.concatenate([unpack(p["counts"]) for p in parts]).astype(np.int64)
+    starts, counts = np.empty(n_words, np.int64), np.empty(n_words, np.int64)
+    starts[places], counts[places] = np.cumsum(found) - found, found
+    return np.frombuffer(b"".join(p["ids"] for p in parts), narrow), starts, counts
+
+
+def token_bytes(ranks: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The token-byte table: bytes of all tokens in order of their ids; where and how many each id has."""
     by_id = [b""] * (max(ranks.values()) + 1)
     for token, rank in ranks.items():
         by_id[rank] = token
-    starts = np.zeros(len(by_id) + 1, np.int64)
-    np.cumsum([len(t) for t in by_id], out=starts[1:])
-    return np.frombuffer(b"".join(by_id), np.uint8), starts
+    lengths = np.array([len(t) for t in by_id], np.int64)
+    return np.frombuffer(b"".join(by_id), np.uint8), np.cumsum(lengths) - lengths, lengths
 
 
 def decode_documents(encoded: DataFrame, ranks: dict[bytes, int], key: str = "doc_id") -> DataFrame:
@@ -247,26 +392,35 @@ def decode_documents(encoded: DataFrame, ranks: dict[bytes, int], key: str = "do
     table = encoded.sparkSession.sparkContext.broadcast(token_bytes(ranks))  # one vocabulary, as above
     kind = encoded.schema[key].dataType.simpleString()
 
+    def text_of(ids: bytes | None) -> bytes | None:
+        if ids is None:
+            return None
+        data, starts, lengths = table.value
+        tokens = np.frombuffer(ids, "<u4")
+        return spans_at(data, starts[tokens], lengths[tokens]).tobytes()
+
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [None if ids is None else _gather(table.value, np.frombuffer(ids, "<u4"))
-                   for ids in batch.column("ids").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("k"), batch.column("ids"), pa.array(out, pa.binary())],
-                                             [key, "ids", "decoded"])
+            for low in range(0, len(batch), 1024):
+                part = batch.slice(low, 1024)
+                out = [text_of(ids) for ids in part.column("ids").to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column("k"), part.column("ids"), pa.array(out, pa.binary())],
+                                                 [key, "ids", "decoded"])
 
     return encoded.select(F.col(key).alias("k"), "ids").mapInArrow(decode, f"`{key}` {kind}, ids binary, decoded binary")
 
 
-def public_ranks() -> tuple[dict[bytes, int], str]:
+def public_ranks() -> dict[bytes, int]:
+    """The ranks of the public vocabulary that the queries use; starts_of cuts texts as its pattern does."""
     import public_tokenizers
 
-    return read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")), public_tokenizers.PATTERN
+    return read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 
 
 def token_report(docs: DataFrame) -> DataFrame:
     """Token counts and digests of ids and decoded bytes, per document."""
-    ranks, pattern = public_ranks()
-    out = decode_documents(encode_documents(docs, ranks, pattern), ranks)
+    ranks = public_ranks()
+    out = decode_documents(encode_documents(docs, ranks), ranks)
     return out.select("doc_id", F.floor(F.octet_length("ids") / 4).alias("n_tokens"),
                       F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 

@@ -17,6 +17,7 @@ LOWER[65:91] += 32
 _numbers = np.random.Generator(np.random.PCG64(20240611))
 BYTE = _numbers.integers(1, 2**63, 256, dtype=np.uint64)
 LOW_BYTE = BYTE[LOWER]
+OTHER_BYTE = _numbers.integers(1, 2**63, 256, dtype=np.uint64)  # for a second, independent hash
 BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 1 << 64)
 
@@ -53,9 +54,11 @@ def spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return np.flatnonzero(starts), np.flatnonzero(ends) + 1
 
 
-def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = True) -> np.ndarray:
+def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = True,
+           table: np.ndarray | None = None) -> np.ndarray:
     """A hash for each span of bytes; spans are in order and don't overlap. Memory is bounded by BLOCK."""
-    table = LOW_BYTE if lower else BYTE
+    if table is None:
+        table = LOW_BYTE if lower else BYTE
     out = np.empty(len(starts), np.uint64)
     at = 0
     while at < len(starts):
