@@ -200,8 +200,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """`docs` without the contaminated documents; all columns are kept."""
-    bad = leaks(docs, benchmark).select(F.col("doc_id").alias("leak_id"), F.col("row_hash").alias("leak_row")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("leak_id")) & (text_hash() == F.col("leak_row")), "left_anti")
+    bad = leaks(docs, benchmark).select(F.col("doc_id").alias("tidelog__leak_id"), F.col("row_hash").alias("tidelog__leak_row")).distinct()
+    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("tidelog__leak_id")) & (text_hash() == F.col("tidelog__leak_row")), "left_anti")
 
 
 def leak_report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

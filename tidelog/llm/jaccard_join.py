@@ -418,5 +418,5 @@ def one_of_each_group(docs: DataFrame) -> DataFrame:
     rank = F.struct(F.col("doc_id").isNull(), "doc_id", "row_hash")
     best = rows.where("component IS NOT NULL").groupBy(F.col("component").alias("c")).agg(F.min(rank).alias("best"))
     gone = rows.join(best, F.col("component") == F.col("c")).where(~rank.eqNullSafe(F.col("best"))).select(
-        F.col("doc_id").alias("gone_id"), F.col("row_hash").alias("gone_row")).distinct()
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")) & (text_hash() == F.col("gone_row")), "left_anti")
+        F.col("doc_id").alias("tidelog__gone_id"), F.col("row_hash").alias("tidelog__gone_row")).distinct()
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("tidelog__gone_id")) & (text_hash() == F.col("tidelog__gone_row")), "left_anti")

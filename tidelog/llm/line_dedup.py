@@ -177,18 +177,18 @@ class LineState:
 
         All columns of `docs` are kept. A null text stays null when nothing was dropped from it.
         """
-        drops = self.hits(docs).groupBy(F.col("doc_id").alias("drop_doc"), F.col("row_hash").alias("drop_row")).agg(
-            F.collect_set("line_no").alias("drop_lines"))
-        docs = docs.withColumn("drop_hash", text_hash())
-        joined = docs.join(drops, F.col("doc_id").eqNullSafe(F.col("drop_doc"))
-                           & (F.col("drop_hash") == F.col("drop_row")), "left")
+        drops = self.hits(docs).groupBy(F.col("doc_id").alias("tidelog__drop_doc"), F.col("row_hash").alias("tidelog__drop_row")).agg(
+            F.collect_set("line_no").alias("tidelog__drop_lines"))
+        docs = docs.withColumn("tidelog__drop_hash", text_hash())
+        joined = docs.join(drops, F.col("doc_id").eqNullSafe(F.col("tidelog__drop_doc"))
+                           & (F.col("tidelog__drop_hash") == F.col("tidelog__drop_row")), "left")
         lines = lines_of(F.col("text"))
-        kept = F.filter(lines, lambda line, i: ~F.array_contains("drop_lines", i))
-        text = F.when(F.col("drop_lines").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+        kept = F.filter(lines, lambda line, i: ~F.array_contains("tidelog__drop_lines", i))
+        text = F.when(F.col("tidelog__drop_lines").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
         counts = {"lines_before": F.size(lines).cast("bigint"),
-                  "lines_dropped": F.when(F.col("drop_lines").isNull(), 0).otherwise(F.size("drop_lines")).cast("bigint")}
+                  "lines_dropped": F.when(F.col("tidelog__drop_lines").isNull(), 0).otherwise(F.size("tidelog__drop_lines")).cast("bigint")}
         return joined.withColumns(counts).withColumn("text", text).drop(
-            "drop_hash", "drop_doc", "drop_row", "drop_lines")
+            "tidelog__drop_hash", "tidelog__drop_doc", "tidelog__drop_row", "tidelog__drop_lines")
 
 
 def _probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
