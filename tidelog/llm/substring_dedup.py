@@ -1,7 +1,8 @@
 """Substring de-duplication by sliding spans of sentences.
 
 Sentences end after `.`, `!`, `?` or an ideographic full stop, and at line ends; longer ones are cut every LONGEST
-words. From each sentence a span runs over the next sentences, until it has RUN sentences and MIN_WORDS words. Spans
+words. From each sentence a span runs over the next sentences, until it has RUN sentences and MIN_WORDS words, and to each line's last sentence one
+runs from as late as that allows. Spans
 are hashed (words by ASCII white space, A-Z in lower case) and joined over the whole corpus. A sentence covered by any
 span that is not the first of its kind, in order of doc_id and position, is removed.
 
@@ -56,24 +57,36 @@ class Sentences:
         self.text = np.repeat(np.arange(len(column)), np.diff(self.edges))
         self.begin = starts[self.first]  # first byte
         stop = self.edges[1:][self.text]  # sentences up to the end of the text
-        enough = np.searchsorted(self.first, self.first + MIN_WORDS)  # sentences up to the one that completes the words
-        self.end = np.maximum(np.arange(len(self.first)) + RUN, enough)
-        words_end = np.append(self.first, n)[np.minimum(self.end, len(self.first))]
-        full = (self.end < stop) | (self.end == stop) & (edges[1:][self.text] - self.first >= MIN_WORDS)
-        self.whole = np.flatnonzero(full & (self.end <= stop))  # sentences that start a span
-        low, high = self.first[self.whole], np.minimum(words_end[self.whole], edges[1:][self.text[self.whole]])
+        to = np.append(self.first, n)  # words up to the start of each sentence
+        every = np.arange(len(self.first))
+        forward = np.maximum(every + RUN, np.searchsorted(to, self.first + MIN_WORDS))
+        good = forward <= stop
+        start, end = every[good], forward[good]
+        # The last sentences of a line may be too few for a span of their own: one more span ends with them.
+        closes = np.ones(len(self.first), bool)
+        if n:
+            closes[:-1] = (lines[self.begin[1:]] > lines[ends[self.first[1:] - 1] - 1]) | (self.text[1:] != self.text[:-1])
+        last = np.flatnonzero(closes) + 1
+        back = np.minimum(last - RUN, np.searchsorted(to, to[last] - MIN_WORDS, side="right") - 1)
+        good = back >= self.edges[:-1][self.text[last - 1]]
+        back, last = back[good], last[good]
+        new = forward[back] != last
+        self.start, self.end = np.concatenate([start, back[new]]), np.concatenate([end, last[new]])
+        order = np.lexsort((self.end, self.start))
+        self.start, self.end = self.start[order], self.end[order]
+        low, high = to[self.start], to[self.end]
         sums = np.zeros(n + 1, np.uint64)
         np.cumsum(words * powers(BASE, n), out=sums[1:])
         self.hash = mix((sums[high] - sums[low]) * powers(INVERSE, n + 1)[low] + (high - low).astype(np.uint64))
 
     def nth(self) -> np.ndarray:
         """Number of the first sentence of each span within its text."""
-        return self.whole - self.edges[:-1][self.text[self.whole]]
+        return self.start - self.edges[:-1][self.text[self.start]]
 
     def again(self) -> np.ndarray:
         """True for spans that came before in the same text."""
-        out = np.ones(len(self.whole), bool)
-        of_text = mix(self.hash + self.text[self.whole].astype(np.uint64) * np.uint64(BASE))
+        out = np.ones(len(self.start), bool)
+        of_text = mix(self.hash + self.text[self.start].astype(np.uint64) * np.uint64(BASE))
         out[np.unique(of_text, return_index=True)[1]] = False
         return out
 
@@ -84,7 +97,7 @@ def _spans(docs: DataFrame, again: bool) -> DataFrame:
         for batch in pieces(batches, "t"):
             s = Sentences(batch.column("t"))
             chosen = s.again() == again
-            at = s.whole[chosen]
+            at = s.start[chosen]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(s.hash[chosen].view(np.int64)), batch.column("id").take(pa.array(s.text[at])),
                  pa.array(s.nth()[chosen].astype(np.int32))], ["h", "id", "nth"])
@@ -107,23 +120,24 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     counted = once.groupBy(F.col("h").alias("k")).agg(F.min("id").alias("first"), F.max("id").alias("last"))
     common = counted.where("first < last").select("k", "first")
     later = once.join(common, F.col("h") == F.col("k")).where("id > first").select("id", "h", "nth", "first")
-    own = _spans(rows, again=True).select("id", "h", "nth", F.col("id").alias("first"))
+    own = _spans(rows, again=True).join(common, F.col("h") == F.col("k"), "left").select(
+        "id", "h", "nth", F.coalesce("first", "id").alias("first"))
     drops = later.unionAll(own).groupBy(F.col("id").alias("drop_id")).agg(
-        F.collect_list(F.struct("nth", "h", "first")).alias("drops"))  # at most one per sentence of a document
+        F.collect_list(F.struct("nth", "h", "first")).alias("drops"))  # at most two per sentence of a document
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "t"):
             s = Sentences(batch.column("t"))
-            found = {(int(t), int(n)): (h, int(e)) for t, n, h, e in
-                     zip(s.text[s.whole], s.nth(), s.hash.view(np.int64), s.end[s.whole])}
+            found = {(t, n, h): e for t, n, h, e in zip(s.text[s.start].tolist(), s.nth().tolist(),
+                                                        s.hash.view(np.int64).tolist(), s.end.tolist())}
             raw, out = s.data.tobytes(), []
             for i, drops in enumerate(batch.column("drops").to_pylist()):
                 low, high = s.edges[i], s.edges[i + 1]
                 gone = np.zeros(high - low, bool)
                 firsts = set()
                 for d in drops:
-                    h, end = found.get((i, d["nth"]), (None, 0))
-                    if h == d["h"]:  # else it is of another row with this doc_id
+                    end = found.get((i, d["nth"], d["h"]))
+                    if end is not None:  # else it is of another row with this doc_id
                         gone[d["nth"]:end - low] = True
                         firsts.add(d["first"])
                 if gone.any():
