@@ -12,11 +12,11 @@ FORBIDDEN = ["CartesianProduct", "BroadcastNestedLoopJoin", "PythonUDF", "ArrowE
 
 # Unpartitioned windows are allowed over: a limited report, a merge of bounded tails, one row per
 # day (capacity), and a whole merge that was counted to fit one chunk.
-GLOBAL_WINDOW = {"runs_page", "search_top500", "search_sorted_by_size", "merge_view", "merge_whole_files",
+GLOBAL_WINDOW = {"runs_page", "search_top500", "merge_view", "merge_whole_files",
                  "capacity_cleanup"}
 
 # Global aggregates gather one partial row per task.
-ONE_ROW = {"dashboard_stats", "search_count", "merge_summary", "merged_filter_count", "shown_line_count",
+ONE_ROW = {"dashboard_stats", "retention_next", "search_count", "merge_summary", "merged_filter_count", "shown_line_count",
            "storage_usage", "phase_counts"}
 
 
@@ -55,7 +55,7 @@ def test_run_predicates_reach_the_scan(plans):
 
 
 def test_reports_are_top_k(plans):
-    for name in ("search_top500", "search_sorted_by_size", "runs_page", "retention_next"):
+    for name in ("search_top500", "runs_page", "retention_next"):
         assert "TakeOrderedAndProject" in plans[name]
 
 

@@ -7,12 +7,12 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from tidelog.operators.incremental import drop_overlap
+from tidelog.operators.incremental import drop_overlap, number_copies
 from tidelog.plans import adapters
 from tidelog.sources import tables
 from tidelog.sources.tail import SCHEMA
 from tidelog.streaming.pipelines import (drop_stream_overlap, ingest_batch, landed_stream, run_trigger,
-                                         streaming_level_counts, tumbling_level_counts)
+                                         start_level_counts, stored_level_counts, tumbling_level_counts)
 
 SF = "/root/testdata/sf0.001"
 
@@ -40,28 +40,36 @@ def run(stream, tmp_path, name, mode="append"):
 
 
 def test_streaming_level_counts_equal_the_batch_counts(spark, tmp_path, staged):
-    lines, folder = staged
+    """One source after the other: each is far behind the one before it, and nothing is dropped."""
+    lines, _ = staged
+    folder, sources = str(tmp_path / "by_source"), sorted(r.ns for r in lines.select("ns").distinct().collect())
+    for ns in sources:
+        lines.where(F.col("ns") == ns).coalesce(1).write.mode("append").parquet(folder)
     source = spark.readStream.schema(lines.schema).option("maxFilesPerTrigger", 1).parquet(folder)
-    out = run(streaming_level_counts(source, ["ns"]), tmp_path, "counts")
-    got = {tuple(r) for r in spark.read.parquet(out).collect()}
-    want = {tuple(r) for r in tumbling_level_counts(lines, ["ns"]).collect()}
-    newest = max(r[0] for r in want)
-    closed = {r for r in want if r[0] + timedelta(hours=4, minutes=5) <= newest}
-    assert closed <= got <= want and len(got) > 500
+    for _ in range(2):  # the second one finds nothing new
+        start_level_counts(source, str(tmp_path / "counts"), str(tmp_path / "cp"), ["ns"], now=True).awaitTermination()
+    got = {tuple(r) for r in stored_level_counts(spark, str(tmp_path / "counts"), ["ns"]).collect()}
+    assert len(sources) == 5 and got == {tuple(r) for r in tumbling_level_counts(lines, ["ns"]).collect()}
 
 
 def test_streaming_overlap_is_dropped(spark, tmp_path):
-    at = datetime(2024, 1, 1)
-    rows = [("n", "p", "c", at + timedelta(seconds=i), f"line {i}") for i in range(200)]
-    schema = "ns string, pod string, container string, ts timestamp, line string"
+    """Five sources in one file each, the later ones older; fetches overlap, and some lines were logged twice."""
+    at, fetches = datetime(2024, 1, 1), []
+    for s in range(5):
+        rows = [("n", "p", f"c{s}", at - timedelta(days=s) + timedelta(seconds=i // 2), f"line {i // 2}") for i in range(480)]
+        fetches += [rows[:300], rows[200:]]
+    schema = "batch int, ns string, pod string, container string, ts timestamp, line string"
     folder = str(tmp_path / "api")
-    for low, high in [(0, 120), (60, 200), (140, 200)]:
-        spark.createDataFrame(rows[low:high], schema).coalesce(1).write.mode("append").parquet(folder)
-    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    for i, rows in enumerate(fetches):
+        fetch = number_copies(spark.createDataFrame([(i, *r) for r in rows], schema))
+        fetch = fetch.withColumn("collected_at", F.lit(datetime(2024, 2, 1) + timedelta(hours=i)))
+        fetch.coalesce(1).write.mode("append").parquet(folder)
+    stored = spark.read.parquet(folder)
+    source = spark.readStream.schema(stored.schema).option("maxFilesPerTrigger", 1).parquet(folder)
     out = run(drop_stream_overlap(source), tmp_path, "dedup")
-    got = sorted(r.line for r in spark.read.parquet(out).collect())
-    assert got == sorted(r.line for r in drop_overlap(spark.read.parquet(folder)).collect())
-    assert len(got) == 200
+    got = sorted((r.container, r.line) for r in spark.read.parquet(out).collect())
+    assert got == sorted((r.container, r.line) for r in drop_overlap(stored).collect())
+    assert len(got) == 2_400
 
 
 def test_landed_rotated_files_are_read_once(spark, tmp_path):

@@ -8,9 +8,11 @@ import pytest
 
 from tidelog.operators import catalog
 from tidelog.operators.filters import pattern_count_by_run
-from tidelog.sources import sinks, tables, tail
+from tidelog.sources import sinks, tables
 from tidelog.sources.tail import ByteRange, LogTailReader, _owned_lines
 from tidelog.streaming.cycle import Store, archive_new_runs, clean_up, collect
+from tidelog.sources.text_tree import read_node_logs
+from tidelog.streaming import pipelines
 from tidelog.streaming.pipelines import drop_reread_lines, start_ingest, tail_stream
 
 
@@ -162,10 +164,11 @@ def test_ranges_cut_anywhere_give_every_line_once(tmp_path, size):
     got = []
     for low in range(0, len(data), size):
         high = min(low + size, len(data))
-        got += list(_owned_lines(path, low, high, closed=high == len(data)))
+        for starts, sizes, texts in _owned_lines(path, low, high, closed=high == len(data)):
+            got += list(zip(starts.tolist(), sizes.tolist(), texts.to_pylist()))
     expected, at = [], 0
     for line in [*lines, b"open"]:
-        expected.append((at, line))
+        expected.append((at, len(line), line.removesuffix(b"\r").decode()))
         at += len(line) + 1
     assert got == expected
 
@@ -253,8 +256,9 @@ def test_qa_scenario_collect_archive_and_retain(spark, tmp_path, log):
     assert tables.log_files(spark, store.files).count() == 1
     assert tables.archives(spark, store.archives).count() == 1
     assert not os.path.exists(f"{store.archive_data}/run={first}")
-    assert clean_up(spark, store, today + timedelta(days=31)) == [second]
-    assert tables.runs(spark, store.runs).count() == 0
+    # The newest run stays, however old it is and however full the store.
+    assert clean_up(spark, store, today + timedelta(days=31), capacity_bytes=10) == []
+    assert tables.runs(spark, store.runs).count() == 1
     with pytest.raises(ValueError):
         sinks.drop_runs(spark, ["../x"], store.runs)
 
@@ -285,11 +289,93 @@ def test_a_missing_root_has_no_lines(tmp_path):
     assert Steps(tmp_path / "nowhere").next() == []
 
 
-def test_a_large_backlog_keeps_the_number_of_ranges_bounded(tmp_path, log, monkeypatch):
-    monkeypatch.setattr(tail, "MAX_RANGES", 10)
+def test_a_large_backlog_is_cut_into_ranges_of_one_size(tmp_path, log):
     lines = [f"line {i}" for i in range(500)]
     write(log, ("\n".join(lines) + "\n").encode())
     reader = LogTailReader({"path": str(tmp_path / "logs"), "rangeBytes": "8"})
     parts = reader.partitions(reader.initialOffset(), reader.latestOffset())
-    assert 2 < len(parts) <= 11
+    assert len(parts) == -(-os.path.getsize(log) // 8)
     assert [r["line"] for p in parts for b in reader.read(p) for r in b.to_pylist()] == lines
+
+
+BANNER = b"=" * 64 + b" the same banner of every file\n"
+
+
+@pytest.mark.parametrize("extra", [0, 5000])
+@pytest.mark.parametrize("squeezed", [False, True])
+def test_files_that_begin_alike_are_told_apart(tmp_path, log, extra, squeezed):
+    """Rotated, and the new file has outgrown the old position when it is listed."""
+    old, new = b"old a\n" * 3 + b"o" * extra + b"\n", b"new a\n" * 40 + b"n" * extra + b"\n"
+    write(log, BANNER + old)
+    steps = Steps(tmp_path / "logs")
+    first = steps.next()
+    write(log, b"old late\n")
+    os.rename(log, log + ".1")
+    if squeezed:
+        squeeze(log + ".1")
+        os.remove(log + ".1")
+    write(log, BANNER + new)
+    second = steps.next()
+    assert [x[2] for x in second if x[0].startswith("0.log.1")] == ["old late"]
+    assert [x[2] for x in second if x[0] == "0.log"] == (BANNER + new).decode().splitlines()
+    assert len(first) == len((BANNER + old).splitlines()) and steps.next() == []
+
+
+def test_a_copied_and_truncated_file_is_read_on_under_its_new_name(tmp_path, log):
+    write(log, BANNER + b"a\n")
+    steps = Steps(tmp_path / "logs")
+    steps.next()
+    write(log, b"late\n")
+    with open(log, "rb") as f:
+        write(log + ".1", f.read())
+    write(log, BANNER + b"fresh\n" * 30, "wb")
+    got = steps.next()
+    assert [x[2] for x in got if x[0] == "0.log.1"] == ["late"]
+    assert [x[2] for x in got if x[0] == "0.log"][1:] == ["fresh"] * 30
+
+
+def test_the_fingerprint_of_a_file_does_not_change_as_it_grows(tmp_path, log):
+    reader, seen = LogTailReader({"path": str(tmp_path / "logs")}), set()
+    at = reader.initialOffset()
+    for _ in range(3):
+        write(log, b"x\n")
+        end = reader.latestOffset()
+        seen |= {p.fingerprint for p in reader.partitions(at, end)}
+        at = end
+    write(log + "x.log", b"x\n")
+    seen |= {p.fingerprint for p in reader.partitions(at, reader.latestOffset())}
+    assert len(seen) == 2
+
+
+def test_run_names_are_never_used_twice(tmp_path, log, monkeypatch):
+    """Two readers in one second, and a clock that is set back between them."""
+    from tidelog.sources import tail
+
+    at, names = LogTailReader({"path": str(tmp_path / "logs")}).initialOffset(), []
+    for now in (1_000, 1_000, 400, 401, 2_000):
+        monkeypatch.setattr(tail.time, "time", lambda: now)
+        reader = LogTailReader({"path": str(tmp_path / "logs")})
+        for _ in range(2):
+            write(log, b"x\n")
+            end = reader.latestOffset()
+            names += {p.collected_at for p in reader.partitions(at, end)}
+            at = end
+    assert len(names) == len(set(names)) == 10
+
+
+def test_runs_are_named_in_utc(spark):
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        rows = spark.sql("SELECT timestamp_seconds(s) AS ts FROM VALUES (1730611800L), (1730615400L) AS t(s)")
+        names = [r[0] for r in rows.select(pipelines.utc_run_name(rows.ts)).collect()]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert names == ["2024-11-03_05-30-00", "2024-11-03_06-30-00"]
+
+
+def test_tail_and_batch_agree_on_line_ends(spark, tmp_path, log):
+    write(log, b"one\rtwo\r\nthree\r\r\n\n\rfour \xc3\xa9\n")
+    got = [x[2] for x in Steps(tmp_path / "logs").next()]
+    batch = [r.line for r in read_node_logs(spark, str(tmp_path / "logs")).orderBy("line_no").collect()]
+    assert got == batch == ["one", "two", "three", "", "", "", "four é"]
+    write(log, b"bad \xff\n")

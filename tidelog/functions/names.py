@@ -78,6 +78,12 @@ def run_name(ts: Column) -> Column:
     return F.date_format(ts, RUN_FORMAT)
 
 
+def utc_run_name(ts: Column) -> Column:
+    """Run name of an instant in UTC, whatever the session's zone: names follow the order of time."""
+    since = F.make_dt_interval(secs=F.unix_micros(ts) / 1_000_000)
+    return F.date_format(F.to_timestamp_ntz(F.lit("1970-01-01 00:00:00")) + since, RUN_FORMAT)
+
+
 def run_date_label(run: Column) -> Column:
     return F.coalesce(F.date_format(run_timestamp(run), "MMM dd, yyyy  HH:mm"), F.lit("—"))
 

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from ..functions.levels import LEVELS, level_by_substring, level_counts
 from ..functions.names import archive_run, run_timestamp
 from ..functions.text import human_size
-from ..schemas import INDEX_SAMPLE
 from .ordinals import head_lines
 
 FILE_KEYS = ["run", "filename", "ns", "pod", "container"]
@@ -23,11 +22,11 @@ def file_totals(lines: DataFrame, keys: Sequence[str] = FILE_KEYS) -> DataFrame:
         F.count(F.lit(1)).alias("line_count"))
 
 
-def index_files(lines: DataFrame, sample: int | None = INDEX_SAMPLE, keys: Sequence[str] = FILE_KEYS,
+def index_files(lines: DataFrame, sample: int | None = None, keys: Sequence[str] = FILE_KEYS,
                 order: Sequence[str] = ("line_no",)) -> DataFrame:
-    """One catalog row per file: totals of the whole file, level counts of its first lines.
+    """One catalog row per file: totals and level counts of the whole file, in one pass.
 
-    ``sample=None`` counts levels over whole files in the same pass as the totals.
+    With ``sample`` the levels of only the first ``sample`` lines are counted.
     """
     level = level_by_substring(F.col("line"))
     if sample is None or "line_no" in lines.columns:

@@ -23,6 +23,6 @@ def part_summary(parts: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def nonempty_outputs(lines: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Outputs that hold any bytes; an output without a line does not exist."""
-    return (lines.groupBy(*keys).agg(F.sum("n_bytes").cast("bigint").alias("n_bytes"))
+    """Outputs that hold any bytes, line ends included; an output without a line does not exist."""
+    return (lines.groupBy(*keys).agg(F.sum(F.col("n_bytes") + 1).cast("bigint").alias("n_bytes"))
             .where(F.col("n_bytes") > 0))

@@ -29,8 +29,8 @@ def with_offsets(files: DataFrame, offsets: DataFrame, path: str = "filename") -
 
 
 def files_with_new_data(files: DataFrame, offsets: DataFrame, path: str = "filename") -> DataFrame:
-    known = with_offsets(files, offsets, path)
-    return known.where(F.col("size_bytes") > F.col("byte_offset"))
+    """Files that hold bytes past their resume point; a rotated file is read from its start."""
+    return with_offsets(files, offsets, path).where(F.col("new_bytes") > 0)
 
 
 def incremental_lines(lines: DataFrame, files: DataFrame, offsets: DataFrame, order: Sequence[str] = (),
@@ -106,6 +106,11 @@ def api_candidates(containers: DataFrame, coverage: DataFrame) -> DataFrame:
     return containers.join(done, CONTAINER, "left_anti")
 
 
+def uncovered(containers: DataFrame, coverage: DataFrame) -> DataFrame:
+    """Containers whose current lines come from the API: those the node phase did not cover at all."""
+    return containers.join(coverage.select(*CONTAINER), CONTAINER, "left_anti")
+
+
 def previous_only(containers: DataFrame, coverage: DataFrame) -> DataFrame:
     """Containers whose previous instance alone is fetched: covered and rotated."""
     return containers.join(coverage.where("rotated").select(*CONTAINER), CONTAINER, "left_semi")
@@ -130,9 +135,23 @@ def since_window(lines: DataFrame, now: Column, last: Column | None,
     return lines.where((F.col("ts") >= since) & (F.col("ts") <= now))
 
 
-def drop_overlap(lines: DataFrame, keys: Sequence[str] = CONTAINER) -> DataFrame:
-    """One copy of each line that overlapping fetches returned; copies combine map-side."""
-    return lines.dropDuplicates([*keys, "ts", "line"])
+def drop_overlap(lines: DataFrame, keys: Sequence[str] = CONTAINER, fetch: str = "batch") -> DataFrame:
+    """Each line as often as the fetch that holds most copies of it returned it.
+
+    Copies within one fetch are genuine repeats, copies in several fetches are their overlap. Counts
+    combine map-side, so a line that is repeated very often moves as one row per task.
+    """
+    line = [*keys, "ts", "line"]
+    counted = lines.groupBy(fetch, *line).agg(F.count(F.lit(1)).alias("_copies"))
+    most = counted.groupBy(*line).agg(F.max("_copies").alias("_copies"))
+    return most.select(*line, F.explode(F.sequence(F.lit(1).cast("bigint"), "_copies")).alias("_copy")).drop("_copy")
+
+
+def number_copies(fetched: DataFrame, keys: Sequence[str] = CONTAINER, fetch: str = "batch") -> DataFrame:
+    """Number the copies of each line within its fetch, as ``copy``, so that streams keep genuine repeats."""
+    line = [fetch, *keys, "ts", "line"]
+    counted = fetched.groupBy(*line).agg(F.count(F.lit(1)).alias("_copies"))
+    return counted.select(*line, F.explode(F.sequence(F.lit(1).cast("bigint"), "_copies")).alias("copy"))
 
 
 def union_rotated_active(rotated: DataFrame, active: DataFrame) -> DataFrame:
@@ -141,12 +160,18 @@ def union_rotated_active(rotated: DataFrame, active: DataFrame) -> DataFrame:
             .unionByName(active.withColumn("src_rank", F.lit(1)), allowMissingColumns=True))
 
 
-def union_phases(node_lines: DataFrame, api_lines: DataFrame | None) -> DataFrame:
-    """Lines of both phases, tagged; None switches the API phase off."""
-    if api_lines is None:
-        return node_lines.withColumn("phase", F.lit("node"))
-    return (node_lines.withColumn("phase", F.lit("node"))
-            .unionByName(api_lines.withColumn("phase", F.lit("api")), allowMissingColumns=True))
+def union_phases(node_lines: DataFrame, api_lines: DataFrame | None,
+                 previous_lines: DataFrame | None = None) -> DataFrame:
+    """Lines of all phases, tagged `node`, `api` and `previous`; None switches a phase off.
+
+    The API gives current lines of containers the node phase did not cover (`uncovered`), and the previous
+    instance of those that were covered and rotated (`previous_only`), so that no line is fetched twice.
+    """
+    both = node_lines.withColumn("phase", F.lit("node"))
+    for phase, lines in (("api", api_lines), ("previous", previous_lines)):
+        if lines is not None:
+            both = both.unionByName(lines.withColumn("phase", F.lit(phase)), allowMissingColumns=True)
+    return both
 
 
 def phase_counts(lines: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.levels import level_in_merge
 from ..functions.names import source_label
 from ..functions.text import sort_key
-from ..schemas import MERGE_TAIL, SELECTION, SOURCE_GROUPS
+from ..schemas import SELECTION, SOURCE_GROUPS
 from .ordinals import CHUNK, KEY, ROWS_PER_CHUNK, number_lines, tail_lines
 from .sizes import keep_small
 
@@ -22,20 +22,37 @@ def make_selection(spark: SparkSession, runs: Sequence[str], files: Sequence[str
     return spark.createDataFrame(rows, SELECTION)
 
 
+PRUNED_NAMES = 1_000
+
+
+def pruned(lines: DataFrame, selection: DataFrame) -> DataFrame:
+    """``lines`` cut to the runs and file names of a selection by literals, which prune partitions and row groups.
+
+    A selection is a list of chosen files. At most ``PRUNED_NAMES`` pairs are looked at on the driver; a longer one
+    is left to the join alone.
+    """
+    rows = selection.select("run", "filename").limit(PRUNED_NAMES + 1).collect()
+    if len(rows) > PRUNED_NAMES:
+        return lines
+    runs, files = (sorted({r[i] for r in rows if r[i] is not None}) for i in (0, 1))
+    return lines.where(F.col("run").isin(runs) & F.col("filename").isin(files))
+
+
 def selected_lines(lines: DataFrame, selection: DataFrame) -> DataFrame:
     """Lines of the selected files, once per selection entry; missing files give nothing."""
-    return lines.join(keep_small(selection), ["run", "filename"])
+    selection = keep_small(selection)
+    return pruned(lines, selection).join(selection, ["run", "filename"])
 
 
 def export_lines(lines: DataFrame, selection: DataFrame) -> DataFrame:
     """Lines of the selected files, each file once."""
     chosen = keep_small(selection.select("run", "filename").distinct())
-    return lines.join(chosen, ["run", "filename"], "left_semi")
+    return pruned(lines, chosen).join(chosen, ["run", "filename"], "left_semi")
 
 
-def merge_sources(lines: DataFrame, selection: DataFrame, tail: int | None = MERGE_TAIL,
+def merge_sources(lines: DataFrame, selection: DataFrame, tail: int | None = None,
                   order: Sequence[str] = ("line_no",), carry_forward: bool = False) -> DataFrame:
-    """The last ``tail`` lines of every selected source, tagged for the merge.
+    """All lines of every selected source, or its last ``tail`` ones, tagged for the merge.
 
     Adds ``label``, ``ts_key``, ``level``, ``source_group`` and ``line_no``. Sort by ``ts_key, sel_idx, line_no``:
     that is a range-partitioned sort. ``carry_forward`` gives a line without a timestamp the

@@ -17,8 +17,13 @@ def expired_runs(runs: DataFrame, now: Column, months: int = 1, mtime: str = "cr
 
 def retention_next(runs: DataFrame, now: Column, months: int = 1, mtime: str = "created_at",
                    max_drop: int = 1) -> DataFrame:
-    """The runs one retention cycle drops: the oldest expired ones, a single one by default."""
-    return expired_runs(runs, now, months, mtime).orderBy(mtime, "run").limit(max_drop)
+    """The runs one retention cycle drops: the oldest expired ones, a single one by default.
+
+    The newest run of all stays, however old it is.
+    """
+    newest = runs.where(~F.col("run").startswith(".")).agg(F.max("run").alias("run"))
+    old = expired_runs(runs, now, months, mtime).join(newest, "run", "left_anti")
+    return old.orderBy(mtime, "run").limit(max_drop)
 
 
 def storage_usage(files: DataFrame, archives: DataFrame, capacity: Column) -> DataFrame:
@@ -35,6 +40,12 @@ def storage_usage(files: DataFrame, archives: DataFrame, capacity: Column) -> Da
             ).otherwise(F.lit(0)).cast("bigint")))
 
 
+def stored_sizes(listed: DataFrame, path: str = "path") -> DataFrame:
+    """Bytes on storage per run, from a listing of tables partitioned by run; those outside any run under ``''``."""
+    run = F.regexp_extract(path, r"/run=([^/]+)/", 1)
+    return listed.groupBy(run.alias("run")).agg(F.sum("size_bytes").alias("size_bytes"))
+
+
 def run_sizes(runs: DataFrame, archives: DataFrame) -> DataFrame:
     """Bytes freed by dropping each run: its files and its archives."""
     held = (runs.select("run", F.col("total_bytes").alias("size_bytes"), F.lit(True).alias("is_run"))
@@ -46,7 +57,8 @@ def run_sizes(runs: DataFrame, archives: DataFrame) -> DataFrame:
 def capacity_cleanup(sizes: DataFrame, threshold: Column, current_run: str | None = None) -> DataFrame:
     """Mark the oldest runs to drop while usage is at or above ``threshold``.
 
-    ``sizes`` has ``run`` and ``size_bytes``; ``threshold`` may refer to ``total_bytes``, and a
+    ``sizes`` has ``run`` and ``size_bytes``; bytes that belong to no run have an empty one: they count, and
+    dropping runs does not free them. ``threshold`` may refer to ``total_bytes``, and a
     null threshold disables the cleanup. The current run (the newest by default) always stays.
     Adds ``used_before`` (usage when it is the run's turn) and ``dropped``.
 
@@ -56,7 +68,7 @@ def capacity_cleanup(sizes: DataFrame, threshold: Column, current_run: str | Non
     """
     sizes = keep_small(sizes.select("run", "size_bytes"))
     # The current run frees nothing. The newest run needs no such care: nothing comes after it.
-    freed = F.col("size_bytes")
+    freed = F.when(F.col("run") == "", 0).otherwise(F.col("size_bytes"))
     if current_run is not None:
         freed = F.when(F.col("run") == current_run, 0).otherwise(freed)
     dated = sizes.withColumns({"_day": F.substring("run", 1, 10), "_freed": freed})
@@ -76,7 +88,7 @@ def capacity_cleanup(sizes: DataFrame, threshold: Column, current_run: str | Non
             .join(days, "_day")
             .withColumn("used_before", F.col("total_bytes") - older)
             .withColumn("dropped", F.coalesce(
-                (F.col("used_before") >= threshold) & (F.col("run") != current), F.lit(False)))
+                (F.col("used_before") >= threshold) & (F.col("run") != current) & (F.col("run") != ""), F.lit(False)))
             .select("run", "size_bytes", "used_before", "dropped"))
 
 

@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import contains_text, like_text
-from ..schemas import RECENT_RUNS, SEARCH_LIMIT
 from .filters import files_in_namespace, files_named
 
 RESULT = ["run", "filename", "ns", "pod", "container", "size_bytes", "line_count",
@@ -51,7 +50,7 @@ def search(files: DataFrame, runs: DataFrame, pod: str = "", ns: str = "", date_
     return found.join(known, "run").select(*RESULT)
 
 
-def top_results(found: DataFrame, limit: int = SEARCH_LIMIT) -> DataFrame:
+def top_results(found: DataFrame, limit: int) -> DataFrame:
     """The report: newest run first, then file name, at most ``limit`` rows."""
     return found.orderBy(F.col("run").desc(), F.col("filename").asc()).limit(limit)
 
@@ -63,9 +62,11 @@ def sort_results(found: DataFrame, column: str, descending: bool = False) -> Dat
 
 
 def search_recent_runs(files: DataFrame, query: str = "", ns: str = "", date_from: str = "",
-                       date_to: str = "", max_runs: int = RECENT_RUNS) -> DataFrame:
-    """Search without an index: file names only, in the newest ``max_runs`` runs of the range."""
+                       date_to: str = "", max_runs: int | None = None) -> DataFrame:
+    """Search without an index: file names only, in the range, or in the newest ``max_runs`` runs of it."""
     ranged = in_date_range(files, date_from, date_to)
-    recent = ranged.select("run").distinct().orderBy(F.col("run").desc()).limit(max_runs)
     found = files_named(files_in_namespace(ranged, ns), query)
+    if max_runs is None:
+        return found
+    recent = ranged.select("run").distinct().orderBy(F.col("run").desc()).limit(max_runs)
     return found.join(recent, "run", "left_semi")

@@ -140,18 +140,19 @@ def rotated_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def api_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two overlapping fetches of the event lines around a boundary."""
-    lines = event_lines(spark, sf_dir).select("ns", "pod", "container", "ts", "line")
+    """Two overlapping fetches of the event lines around a boundary; some lines were logged twice."""
+    lines = event_lines(spark, sf_dir)
+    lines = lines.unionAll(lines.where(F.col("event_id") % 50 == 0)).select("ns", "pod", "container", "ts", "line")
     first = lines.where(F.col("ts") < ntz("2024-01-15 06:00:00"))
     second = lines.where(F.col("ts") >= ntz("2024-01-14 18:00:00"))
     return (first.withColumn("batch", F.lit(1)).unionByName(second.withColumn("batch", F.lit(2))))
 
 
-SELECTION_ROWS = 6
+SELECTION_ROWS = 7
 
 
 def selection(spark: SparkSession, sf_dir: str, run: str) -> DataFrame:
-    """First four files of a run, the first one again, and a missing one: six rows."""
+    """First four files of a run, the first one again, a missing one, and the last file of the day after: seven rows."""
     names = log_files(spark, sf_dir, run, run).select("run", "filename")
     four = names.orderBy("filename").limit(4)
     ranked = four.selectExpr(
@@ -160,7 +161,10 @@ def selection(spark: SparkSession, sf_dir: str, run: str) -> DataFrame:
         F.lit(4).alias("sel_idx"), "run", "filename")
     missing = spark.range(1).select(F.lit(5).alias("sel_idx"), F.lit("no-run").alias("run"),
                                     F.lit("no-file.log").alias("filename"))
-    return ranked.unionByName(again).unionByName(missing)
+    after = f"{date.fromisoformat(run[:10]) + timedelta(days=1)}_00-00-00"
+    other = log_files(spark, sf_dir, after, after).groupBy("run").agg(F.max("filename").alias("filename")).select(
+        F.lit(6).alias("sel_idx"), "run", "filename")
+    return ranked.unionByName(again).unionByName(missing).unionByName(other)
 
 
 def doc_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

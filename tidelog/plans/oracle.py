@@ -50,11 +50,12 @@ ADAPTERS = {
     "rotated_files": """
         SELECT ns, pod, container, concat('0.log.', substring(run, 1, 10)) AS name, size_bytes, run AS mtime
         FROM log_files WHERE run < '2024-01-06'""",
+    "logged_lines": "SELECT * FROM event_lines UNION ALL SELECT * FROM event_lines WHERE event_id % 50 = 0",
     "api_lines": """
-        SELECT 1 AS batch, ns, pod, container, ts, line FROM event_lines
+        SELECT 1 AS batch, ns, pod, container, ts, line FROM logged_lines
         WHERE ts < timestamp '2024-01-15 06:00:00'
         UNION ALL
-        SELECT 2 AS batch, ns, pod, container, ts, line FROM event_lines
+        SELECT 2 AS batch, ns, pod, container, ts, line FROM logged_lines
         WHERE ts >= timestamp '2024-01-14 18:00:00'""",
     "selection": f"""
         SELECT cast(row_number() OVER (ORDER BY filename) - 1 AS INT) AS sel_idx, run, filename
@@ -62,7 +63,9 @@ ADAPTERS = {
         UNION ALL
         SELECT 4 AS sel_idx, run, min(filename) AS filename FROM log_files WHERE run = '{RUN}' GROUP BY run
         UNION ALL
-        SELECT 5 AS sel_idx, 'no-run' AS run, 'no-file.log' AS filename""",
+        SELECT 5 AS sel_idx, 'no-run' AS run, 'no-file.log' AS filename
+        UNION ALL
+        SELECT 6 AS sel_idx, run, max(filename) AS filename FROM log_files WHERE run = '2024-01-03_00-00-00' GROUP BY run""",
     "doc_lines": """
         SELECT doc_id, cast(generate_subscripts(string_split(text, chr(10)), 1) AS BIGINT) AS line_no,
                unnest(string_split(text, chr(10))) AS line, source AS ns,
@@ -82,11 +85,16 @@ ADAPTERS = {
     "file_index": """
         SELECT run, filename, ns, pod, container, cast(sum(n_bytes + 1) AS BIGINT) AS size_bytes,
                count(*) AS line_count,
+               count(*) FILTER (level = 'error') AS error_count, count(*) FILTER (level = 'warn') AS warn_count,
+               count(*) FILTER (level = 'info') AS info_count, count(*) FILTER (level = 'debug') AS debug_count
+        FROM levels GROUP BY run, filename, ns, pod, container""",
+    "file_heads": """
+        SELECT run, filename, count(*) AS line_count,
                count(*) FILTER (level = 'error' AND line_no <= 5) AS error_count,
                count(*) FILTER (level = 'warn' AND line_no <= 5) AS warn_count,
                count(*) FILTER (level = 'info' AND line_no <= 5) AS info_count,
                count(*) FILTER (level = 'debug' AND line_no <= 5) AS debug_count
-        FROM levels GROUP BY run, filename, ns, pod, container""",
+        FROM levels GROUP BY run, filename""",
     "results": """
         SELECT f.run, f.filename, f.ns, f.pod, f.container, f.size_bytes, f.line_count,
                f.error_count, f.warn_count, f.info_count, f.debug_count
@@ -117,7 +125,11 @@ ADAPTERS = {
     "phases": """
         SELECT 'node' AS phase, ns, pod, container, line FROM event_lines SEMI JOIN coverage USING (ns, pod, container)
         UNION ALL
-        SELECT 'api' AS phase, ns, pod, container, line FROM event_lines SEMI JOIN candidates USING (ns, pod, container)""",
+        SELECT 'api' AS phase, ns, pod, container, line FROM event_lines
+        WHERE (ns, pod, container) NOT IN (SELECT (ns, pod, container) FROM coverage)
+        UNION ALL
+        SELECT 'previous' AS phase, ns, pod, container, line FROM event_lines
+        SEMI JOIN (SELECT * FROM coverage WHERE rotated) v USING (ns, pod, container)""",
     "expired": """
         SELECT run, total_bytes FROM runs
         WHERE try_strptime(run, '%Y-%m-%d_%H-%M-%S') < timestamp '2024-02-10 00:00:00' - interval 30 days""",
@@ -148,7 +160,7 @@ BODIES = {
         SELECT run, filename,
                count(*) FILTER (regexp_matches(line, '(?i)\berror\b') AND contains(line, 'user=1')) AS shown_lines
         FROM event_lines WHERE run = '{RUN}' GROUP BY run, filename""",
-    "viewer_level_counts": f"SELECT run, filename, {COUNTS} FROM file_index WHERE run = '{RUN}'",
+    "viewer_level_counts": f"SELECT run, filename, {COUNTS} FROM file_heads WHERE run = '{RUN}'",
     "pattern_count_by_run": """
         SELECT run, count(*) FILTER (contains(line, 'user=1')) AS matches FROM event_lines GROUP BY run""",
     "files_by_namespace": f"SELECT {FILES} FROM log_files WHERE ns = 'ns2'",
@@ -162,12 +174,8 @@ BODIES = {
         SELECT {FILES} FROM log_files
         WHERE date_trunc('second', mtime) > timestamp '2024-01-15 00:00:00' - interval 300 seconds""",
     "file_line_counts": "SELECT run, filename, count(*) AS line_count FROM event_lines GROUP BY run, filename",
-    "file_level_counts": f"SELECT run, filename, line_count, {COUNTS} FROM file_index",
-    "file_level_counts_exact": """
-        SELECT run, filename, count(*) AS line_count, count(*) FILTER (level = 'error') AS error_count,
-               count(*) FILTER (level = 'warn') AS warn_count, count(*) FILTER (level = 'info') AS info_count,
-               count(*) FILTER (level = 'debug') AS debug_count
-        FROM levels GROUP BY run, filename""",
+    "file_level_counts": f"SELECT run, filename, line_count, {COUNTS} FROM file_heads",
+    "file_level_counts_exact": f"SELECT run, filename, line_count, {COUNTS} FROM file_index",
     "index_run": f"SELECT {RESULT} FROM file_index WHERE run = '{RUN}'",
     "run_totals": "SELECT run, file_count, total_bytes FROM runs",
     "run_count": """
@@ -225,14 +233,12 @@ BODIES = {
     "search_all_filters": f"""
         SELECT {RESULT} FROM results
         WHERE {POD_HIT} AND ns = 'ns2' AND run >= '2024-01-05' AND run <= '2024-01-10_99-99-99'""",
-    "search_no_filter": f"SELECT {RESULT} FROM results WHERE false",
     "search_count": f"SELECT count(*) AS results FROM results WHERE {POD_HIT}",
     "search_top500": f"""
         SELECT {RESULT}, row_number() OVER (ORDER BY run DESC, filename) AS rank
         FROM results WHERE run >= '2024' ORDER BY run DESC, filename LIMIT 500""",
     "search_sorted_by_size": f"""
-        SELECT {RESULT}, row_number() OVER (ORDER BY size_bytes DESC, run, filename) AS rank
-        FROM results WHERE {POD_HIT} ORDER BY size_bytes DESC, run, filename LIMIT 500""",
+        SELECT {RESULT} FROM results WHERE {POD_HIT} ORDER BY size_bytes DESC, run, filename""",
     "search_recent_runs": f"""
         SELECT {FILES} FROM log_files
         WHERE ns = 'ns2' AND contains(lower(filename), 'pod-1')
@@ -266,14 +272,15 @@ BODIES = {
                     ELSE concat(ns, '__all__text.part', cast(part AS VARCHAR), '.log') END AS out_name
         FROM doc_parts""",
     "nonempty_outputs": r"""
-        SELECT run, filename, cast(sum(n_bytes) AS BIGINT) AS n_bytes FROM event_lines
-        WHERE regexp_matches(line, '(?i)\berror\b') AND contains(lower(line), '"k": 6')
-        GROUP BY run, filename HAVING sum(n_bytes) > 0""",
+        SELECT run, filename, cast(sum(n + 1) AS BIGINT) AS n_bytes
+        FROM (SELECT *, CASE WHEN cast(substring(pod, 5) AS INT) % 4 = 0 THEN 0 ELSE n_bytes END AS n FROM event_lines
+              WHERE regexp_matches(line, '(?i)\berror\b') AND contains(lower(line), '"k": 6')) t
+        GROUP BY run, filename""",
     "offset_lookup": "SELECT filename, size_bytes, byte_offset FROM resumed",
     "rotation_detect": """
         SELECT filename, byte_offset, effective_offset, size_bytes < byte_offset AS rotated FROM resumed""",
     "new_bytes": "SELECT filename, size_bytes - effective_offset AS new_bytes FROM resumed",
-    "files_with_new_data": "SELECT filename, size_bytes, byte_offset FROM resumed WHERE size_bytes > byte_offset",
+    "files_with_new_data": "SELECT filename, size_bytes, byte_offset FROM resumed WHERE size_bytes > effective_offset",
     "incremental_lines": """
         SELECT p.filename, p.line_no, p.start_byte, p.line FROM positions p JOIN resumed r ON p.filename = r.filename
         WHERE p.start_byte + p.n_bytes + 1 > r.effective_offset""",
@@ -302,7 +309,11 @@ BODIES = {
         SELECT batch, ns, pod, container, line FROM api_lines
         WHERE ts >= timestamp '2024-01-15 00:00:00' - interval 60 seconds AND ts <= timestamp '2024-02-10 00:00:00'""",
     "overlap_dedup": """
-        SELECT ns, pod, container, line FROM (SELECT DISTINCT ns, pod, container, ts, line FROM api_lines) t""",
+        SELECT ns, pod, container, line FROM (
+          SELECT ns, pod, container, ts, line, unnest(range(max(n))) FROM (
+            SELECT batch, ns, pod, container, ts, line, count(*) AS n FROM api_lines
+            GROUP BY batch, ns, pod, container, ts, line) c
+          GROUP BY ns, pod, container, ts, line) t""",
     "union_rotated_active": """
         SELECT ns, pod, container, src_rank, name, cast(sum(size_bytes) AS BIGINT) AS size_bytes
         FROM (SELECT ns, pod, container, name, size_bytes, 0 AS src_rank FROM rotated_files

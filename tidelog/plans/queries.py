@@ -47,7 +47,7 @@ def _ranked(df: DataFrame, *order) -> DataFrame:
 
 
 def _index(spark: SparkSession, sf: str, run_from: str | None = None, run_to: str | None = None) -> DataFrame:
-    return src.indexed_files(spark, sf, SAMPLE, run_from, run_to)
+    return src.indexed_files(spark, sf, None, run_from, run_to)
 
 
 FILE_COLUMNS = ["run", "filename", "ns", "pod", "container", "size_bytes"]
@@ -172,13 +172,14 @@ def file_line_counts(spark, sf):
 
 @query
 def file_level_counts(spark, sf):
-    return _index(spark, sf).select("run", "filename", "line_count", *catalog.LEVEL_COUNT_COLUMNS)
+    """The levels of each file's first lines, whose number is the feature."""
+    return src.indexed_files(spark, sf, SAMPLE).select(
+        "run", "filename", "line_count", *catalog.LEVEL_COUNT_COLUMNS)
 
 
 @query
 def file_level_counts_exact(spark, sf):
-    return src.indexed_files(spark, sf, None).select(
-        "run", "filename", "line_count", *catalog.LEVEL_COUNT_COLUMNS)
+    return _index(spark, sf).select("run", "filename", "line_count", *catalog.LEVEL_COUNT_COLUMNS)
 
 
 @query
@@ -307,11 +308,6 @@ def search_all_filters(spark, sf):
     return _searched(spark, sf, DATE_FROM, DATE_TO, pod=POD_TEXT, ns=NS, date_from=DATE_FROM, date_to=DATE_TO)
 
 
-@query
-def search_no_filter(spark, sf):
-    return _searched(spark, sf)
-
-
 @query
 def search_count(spark, sf):
     return _searched(spark, sf, pod=POD_TEXT).agg(F.count(F.lit(1)).alias("results"))
@@ -319,14 +315,13 @@ def search_count(spark, sf):
 
 @query
 def search_top500(spark, sf):
-    top = search.top_results(_searched(spark, sf, date_from="2024"))
+    top = search.top_results(_searched(spark, sf, date_from="2024"), 500)
     return _ranked(top, F.col("run").desc(), "filename")
 
 
 @query
 def search_sorted_by_size(spark, sf):
-    top = search.sort_results(_searched(spark, sf, pod=POD_TEXT), "size_bytes", descending=True).limit(500)
-    return _ranked(top, F.col("size_bytes").desc(), "run", "filename")
+    return search.sort_results(_searched(spark, sf, pod=POD_TEXT), "size_bytes", descending=True)
 
 
 @query
@@ -357,8 +352,8 @@ def line_positions(spark, sf):
 
 
 def _selected(spark, sf):
-    """Lines of the selected run, and the selection."""
-    return src.event_lines(spark, sf, RUN, RUN), src.selection(spark, sf, RUN)
+    """All lines, and a selection that reaches over two runs."""
+    return src.event_lines(spark, sf), src.selection(spark, sf, RUN)
 
 
 def _merged(spark, sf):
@@ -430,7 +425,8 @@ def part_names(spark, sf):
 @query
 def nonempty_outputs(spark, sf):
     errors = filters.filter_lines(src.event_lines(spark, sf), "error", LINE_TEXT)
-    return export.nonempty_outputs(errors, ["run", "filename"])
+    blank = F.when(src.pod_number() % 4 == 0, 0).otherwise(F.col("n_bytes"))
+    return export.nonempty_outputs(errors.withColumn("n_bytes", blank), ["run", "filename"])
 
 
 # ---- incremental collection --------------------------------------------------------------
@@ -542,10 +538,12 @@ def union_rotated_active(spark, sf):
 
 
 def _phases(spark, sf):
-    coverage = keep_small(src.coverage(spark, sf))
+    coverage, containers = keep_small(src.coverage(spark, sf)), keep_small(_containers(spark, sf))
     lines = src.event_lines(spark, sf).select(*CONTAINER, "line")
-    asked = incremental.api_candidates(_containers(spark, sf), coverage)
-    return incremental.union_phases(incremental.lines_of(lines, coverage), incremental.lines_of(lines, asked))
+    return incremental.union_phases(
+        incremental.lines_of(lines, coverage),
+        incremental.lines_of(lines, incremental.uncovered(containers, coverage)),
+        incremental.lines_of(lines, incremental.previous_only(containers, coverage)))
 
 
 @query

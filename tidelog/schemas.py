@@ -61,12 +61,7 @@ CONTAINER = ["ns", "pod", "container"]
 
 # Fixed values.
 RUN_FORMAT = "yyyy-MM-dd_HH-mm-ss"
-INDEX_SAMPLE = 200            # lines per file behind the catalog's level counts
-VIEWER_SAMPLE = 5_000         # lines per file behind the viewer's level counts
-MERGE_TAIL = 1_000            # lines per source in a merged view
 SOURCE_GROUPS = 10            # sources of a merged view are marked in so many groups
-SEARCH_LIMIT = 500            # rows of a catalog search
-RECENT_RUNS = 30              # runs looked at by a search without an index
 PART_BYTES = 100 * 1024 * 1024
 MTIME_TOLERANCE_S = 300
 API_OVERLAP_S = 60

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.names import archive_name, part_filename
 from ..operators.export import split_parts
 from ..operators.merge import export_lines
-from ..schemas import PART_BYTES
+from ..schemas import ARCHIVES, PART_BYTES
 from .text_tree import list_files
 
 
@@ -39,6 +40,24 @@ def write_text(lines: DataFrame, path: str, max_bytes: int = PART_BYTES,
      .select("run", "file", F.col("line").alias("value"))
      .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .option("compression", compression).partitionBy("run", "file").text(path))
+    _drop_stale_parts(lines.sparkSession, path)
+
+
+def _drop_stale_parts(spark: SparkSession, path: str) -> None:
+    """Remove parts that an earlier, larger export of the same file left behind.
+
+    All parts of one export carry its job's id in their file names, so of every file the newest id counts.
+    """
+    folder, step = F.element_at(F.split("path", "/"), -2), F.element_at(F.split("path", "/"), -1)
+    written = list_files(spark, path).select(
+        F.regexp_extract("path", r"/run=([^/]+)/", 1).alias("run"),
+        F.regexp_replace(F.regexp_replace(folder, r"\.part\d+\.log$", ""), r"\.log$", "").alias("stem"),
+        F.regexp_extract(step, r"^part-\d+-(.{36})", 1).alias("job"),
+        F.regexp_replace("path", r"/[^/]*$", "").alias("folder"), "mtime")
+    newest = written.groupBy("run", "stem").agg(F.max_by("job", "mtime").alias("newest"))
+    stale = written.join(newest, ["run", "stem"]).where(F.col("job") != F.col("newest")).select("folder").distinct()
+    for row in stale.toLocalIterator():
+        _delete(spark, unquote(row.folder))
 
 
 def write_selection(lines: DataFrame, selection: DataFrame, path: str) -> None:
@@ -54,22 +73,25 @@ def write_file(lines: DataFrame, run: str, filename: str, path: str) -> None:
     write_text(chosen, path)
 
 
-def archive_run(lines: DataFrame, run: str, path: str, max_bytes: int = PART_BYTES) -> DataFrame:
-    """Write one run compressed and return its ``archives`` row from the bytes written.
+def archive_runs(lines: DataFrame, runs: Sequence[str], path: str, max_bytes: int = PART_BYTES) -> DataFrame:
+    """Write some runs compressed, in one job, and return their ``archives`` rows from the bytes written.
 
     A run without a line gets no archive and gives no row.
     """
     spark = lines.sparkSession
-    chosen = lines.where(F.col("run") == run)
-    if chosen.isEmpty():
-        return spark.range(0).select(
-            F.lit("").alias("filename"), F.lit(run).alias("run"), F.col("id").alias("size_bytes"),
-            F.current_timestamp().alias("created_at"))
+    chosen = lines.where(F.col("run").isin(list(runs)))
+    if not runs or chosen.isEmpty():
+        return spark.createDataFrame([], ARCHIVES)
+    drop_runs(spark, runs, path)
     write_text(chosen, path, max_bytes, "gzip")
-    written = list_files(spark, f"{path}/run={run}", "*.gz")
-    return written.agg(F.sum("size_bytes").alias("size_bytes")).select(
-        archive_name(F.lit(run)).alias("filename"), F.lit(run).alias("run"), "size_bytes",
-        F.current_timestamp().alias("created_at"))
+    run = F.regexp_extract("path", r"/run=([^/]+)/", 1)
+    written = list_files(spark, path, "*.gz").select(run.alias("run"), "size_bytes").where(F.col("run").isin(list(runs)))
+    return written.groupBy("run").agg(F.sum("size_bytes").alias("size_bytes")).select(
+        archive_name(F.col("run")).alias("filename"), "run", "size_bytes", F.current_timestamp().alias("created_at"))
+
+
+def archive_run(lines: DataFrame, run: str, path: str, max_bytes: int = PART_BYTES) -> DataFrame:
+    return archive_runs(lines, [run], path, max_bytes)
 
 
 def write_archives(archives: DataFrame, path: str) -> None:
@@ -83,10 +105,14 @@ RUN_NAME = re.compile(r"\d{4}-\d\d-\d\d_\d\d-\d\d-\d\d")
 
 def drop_runs(spark: SparkSession, runs: Sequence[str], *tables: str) -> None:
     """Remove the partitions of the given runs from every table partitioned by run."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     for run in runs:
         if not RUN_NAME.fullmatch(run):
             raise ValueError(f"not a run name: {run!r}")
         for table in tables:
-            partition = jvm.org.apache.hadoop.fs.Path(f"{table}/run={run}")
-            partition.getFileSystem(conf).delete(partition, True)
+            _delete(spark, f"{table}/run={run}")
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    """Remove a folder from whatever storage it is on. Spark has no public call for that."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

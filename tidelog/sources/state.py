@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,8 +23,8 @@ def read_offsets_json(spark: SparkSession, path: str) -> DataFrame:
              .option("recursiveFileLookup", True))
     try:
         raw = found.load(path)
-    except Exception as error:  # only an absent path counts as "no state yet"
-        if "PATH_NOT_FOUND" not in str(error):
+    except AnalysisException as error:  # only an absent path counts as "no state yet"
+        if error.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], OFFSETS)
     return offsets_from_json(raw.select(F.decode("content", "UTF-8").alias("value")))

@@ -1,17 +1,19 @@
 """``log_tail``: a streaming source over growing, rotating log files, by byte range.
 
 Spark's file source never looks at a file again once it has read it, so growth needs a source
-of its own. Progress is the listing itself: path to size and first bytes. A batch
-reads, for every file, the bytes added between two listings, cut into ranges read in parallel.
+of its own. Progress is the listing itself: path to size, file identity and a hash of the bytes just before
+the size. A batch reads, for every file, the bytes added between two listings, cut into ranges read in parallel.
 
 * A line belongs to the range that holds its line end. An unfinished last line therefore waits,
   ranges can be cut anywhere, and reading a range again gives the same lines.
-* The first bytes tell files apart. A file whose first bytes changed, or that shrank, is read
-  from the start; a file that shows up under a new name next to where its first bytes were
-  seen before is the rotated one and continues at the old position.
-* A rotated file that was compressed is the same file: its first bytes are compared after
-  decoding, and positions count decoded bytes. It is read once, by one task.
+* A file goes on where it was left only if the bytes before that position are still the ones that
+  were read; tasks check that. Otherwise it is another file, however it begins, and is read from its start.
+* A file that shows up under a new name may continue one of its folder: the one
+  with the same device and inode, else one whose last bytes read stand at the same position.
+* A rotated file that was compressed is checked in the same way after decoding, and positions count decoded
+  bytes. It is read once, by one task.
 * Files that are gone leave the offset with the next listing.
+* Lines end with a line feed, a carriage return, or both, as in the batch reader.
 """
 
 from __future__ import annotations
@@ -25,6 +27,7 @@ import time
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
@@ -35,24 +38,27 @@ ARROW = pa.schema([
     ("path", pa.string()), ("file_fp", pa.string()), ("range_start", pa.int64()),
     ("start_byte", pa.int64()), ("n_bytes", pa.int64()),
     ("line", pa.string()), ("collected_at", pa.timestamp("us", tz="UTC"))])
-HEAD_BYTES = 64
-HEAD_READERS = 16
+CHECK_BYTES = 4096  # bytes before a position by which its file is known again
+LISTERS = 16
 BLOCK_BYTES = 8 * 1024 * 1024
 BACK_BYTES = 64 * 1024
-ROWS_PER_BATCH = 50_000
 RANGE_BYTES = 128 * 1024 * 1024
-MAX_RANGES = 100_000
+LF, CR = 10, 13
 
 
 class ByteRange(InputPartition):
     """Bytes ``[start, end)`` of one file; of a compressed one, decoded bytes up to its end.
 
-    ``closed`` marks the end of a file that cannot grow.
+    ``earlier`` are the positions at which the file may go on: (position, hash of the bytes before it, whether
+    the file counted as closed then). If none holds, the first range also takes what stands before it.
+    ``closed`` marks the end of a file that cannot grow. ``size`` and ``mark`` are those of the listing.
     """
 
-    def __init__(self, path: str, head: str, start: int, end: int, closed: bool, collected_at: int):
-        self.path, self.head = path, head
-        self.start, self.end, self.closed = start, end, closed
+    def __init__(self, path: str, fingerprint: str, start: int, end: int, first: bool, closed: bool,
+                 earlier: list[tuple[int, str, bool]], size: int, mark: str, collected_at: int):
+        self.path, self.fingerprint = path, fingerprint
+        self.start, self.end, self.first, self.closed = start, end, first, closed
+        self.earlier, self.size, self.mark = earlier, size, mark
         self.collected_at = collected_at
 
 
@@ -74,9 +80,12 @@ def _open(path: str):
     return gzip.open(path, "rb") if _compressed(path) else open(path, "rb")
 
 
-def _head(path: str) -> str:
-    with _open(path) as f:
-        return f.read(HEAD_BYTES).decode("latin-1")
+def _mark(f, position: int) -> str:
+    """Hash of the bytes just before a position of an open file; of none if the file is shorter."""
+    low = max(0, position - CHECK_BYTES)
+    f.seek(low)
+    block = f.read(position - low)
+    return hashlib.md5(block, usedforsecurity=False).hexdigest() if len(block) == position - low else ""
 
 
 def _version(stat: os.stat_result) -> tuple:
@@ -98,6 +107,8 @@ def _parts(path: str) -> tuple[str, str, str, str]:
 
 
 class LogTailReader(DataSourceStreamReader):
+    """Offsets: ``at`` (seconds, names the run) and ``files``, path to [size, identity, mark, first seen]."""
+
     def __init__(self, options):
         self.root = options["path"]
         wanted = options.get("namespaces")
@@ -106,6 +117,7 @@ class LogTailReader(DataSourceStreamReader):
         self.fail_on_data_loss = str(options.get("failOnDataLoss", "true")).lower() == "true"
         self.seen: dict[str, tuple[os.stat_result, str]] = {}
         self.last = self.initialOffset()
+        self.named = 0  # the latest name given to a run
 
     # -- driver: listings only ------------------------------------------------------------
 
@@ -113,18 +125,24 @@ class LogTailReader(DataSourceStreamReader):
         return {"at": 0, "files": "{}"}
 
     def latestOffset(self) -> dict:
-        with ThreadPoolExecutor(HEAD_READERS) as pool:
+        with ThreadPoolExecutor(LISTERS) as pool:
             seen = {path: found for path, found in pool.map(self._look, self._listing()) if found is not None}
         self.seen = seen
-        files = {path: [stat.st_size, head] for path, (stat, head) in seen.items()}
+        # Whole seconds that never repeat: a batch is named after its listing.
+        at = max(int(time.time()), self.last["at"] + 1, self.named + 1)
+        born = {entry[1]: (entry[0], entry[3]) for entry in json.loads(self.last["files"]).values()}
+        files = {}
+        for path, (stat, mark) in seen.items():
+            identity = f"{stat.st_dev}:{stat.st_ino}"
+            size, first = born.get(identity, (0, at))
+            files[path] = [stat.st_size, identity, mark, first if stat.st_size >= size else at]
         listing = json.dumps(files, sort_keys=True)
         if listing != self.last["files"]:
-            # Whole seconds that never repeat: a batch is named after its listing.
-            self.last = {"at": max(int(time.time()), self.last["at"] + 1), "files": listing}
+            self.last = {"at": at, "files": listing}
         return self.last
 
     def _look(self, listed: tuple[str, os.stat_result]) -> tuple[str, tuple[os.stat_result, str] | None]:
-        """Size and first bytes from one open file, so that a rotation in between cannot mix two
+        """Size and mark from one open file, so that a rotation in between cannot mix two
         files. Unchanged files are not opened; nothing is returned for unreadable ones."""
         path, stat = listed
         known = self.seen.get(path)
@@ -134,12 +152,10 @@ class LogTailReader(DataSourceStreamReader):
             with open(path, "rb") as f:
                 stat = os.fstat(f.fileno())
                 if _compressed(path):
-                    head = gzip.GzipFile(fileobj=f).read(HEAD_BYTES)
-                else:
-                    head = f.read(min(HEAD_BYTES, stat.st_size))
+                    gzip.GzipFile(fileobj=f).read(1)
+                return path, (stat, _mark(f, stat.st_size))
         except (FileNotFoundError, EOFError, gzip.BadGzipFile):
             return path, None
-        return path, (stat, head.decode("latin-1"))
 
     def _listing(self) -> Iterator[tuple[str, os.stat_result]]:
         """Log files two levels below the root; a compressed copy counts once the plain file is gone."""
@@ -159,51 +175,41 @@ class LogTailReader(DataSourceStreamReader):
 
     def partitions(self, start: dict, end: dict) -> list[ByteRange]:
         before, now = json.loads(start["files"]), json.loads(end["files"])
-        moved = self._moved(before, now)
-        fresh = []
-        for path, (size, head) in now.items():
-            if before.get(path) == [size, head]:
-                continue
-            if path in before and not _compressed(path) and self._continues(before[path], [size, head]):
-                fresh.append((path, head, before[path][0], size, False))
-                continue
-            first, ended = self._earlier(path, [size, head], moved)
-            # The last line of a rotated file counts without a line end, but only once.
-            fresh.append((path, head, first, size, _rotated(os.path.basename(path)) and not ended))
-        # Ranges grow with a very large backlog, so that their number stays bounded.
-        backlog = sum(max(size - first, 0) for _, _, first, size, _ in fresh)
-        step = max(self.range_bytes, backlog // MAX_RANGES)
-        ranges = []
-        for path, head, first, size, closed in fresh:
-            cuts = [first, size]
+        # The name of a run never falls behind that of the batch before it, whatever the clock did since.
+        at = max(end["at"], start["at"] + 1)
+        self.named = max(self.named, at)
+        folders: dict[str, list] = {}
+        for path, entry in before.items():
             if not _compressed(path):
-                if size == first and not closed:
-                    continue
-                cuts = [*range(first, size, step), size] if size > first else cuts
-            for low, high in zip(cuts, cuts[1:]):
-                ranges.append(ByteRange(path, head, low, high, closed and high == size, end["at"]))
+                folders.setdefault(os.path.dirname(path), []).append((path, entry))
+        ranges = []
+        for path, entry in now.items():
+            if before.get(path, [])[:3] != entry[:3]:
+                ranges += self._ranges(path, entry, before.get(path), folders.get(os.path.dirname(path), []), at)
         return ranges
 
-    @staticmethod
-    def _continues(old: list, new: list | None) -> bool:
-        return new is not None and old[0] <= new[0] and new[1].startswith(old[1])
-
-    @classmethod
-    def _moved(cls, before: dict, now: dict) -> dict[str, list]:
-        """Files that are no longer what their path holds, by directory: (position, rotated, head)."""
-        moved: dict[str, list] = {}
-        for path, old in before.items():
-            if old[1] and not _compressed(path) and not cls._continues(old, now.get(path)):
-                moved.setdefault(os.path.dirname(path), []).append((old[0], _rotated(os.path.basename(path)), old[1]))
-        return moved
-
-    @classmethod
-    def _earlier(cls, path: str, new: list, moved: dict) -> tuple[int, bool]:
-        """Position read in a file of the same directory that this one continues, and whether
-        that one was a rotated file already. Neither, and the file is read from its start."""
-        size = math.inf if _compressed(path) else new[0]
-        return max(((at, rotated) for at, rotated, head in moved.get(os.path.dirname(path), ())
-                    if cls._continues([at, head], [size, new[1]])), default=(0, False))
+    def _ranges(self, path: str, entry: list, old: list | None, folder: list, at: int) -> list[ByteRange]:
+        size, identity, mark, born = entry
+        packed, rotated = _compressed(path), _rotated(os.path.basename(path))
+        # The same inode, or any file of the folder: inodes are used again, and copies have new ones.
+        known = [(p, e) for p, e in folder if e[1] == identity] or folder
+        if old and not packed and old[1] == identity:
+            known = [(path, old)]
+        earlier = [(e[0], e[2], _rotated(os.path.basename(p))) for p, e in known
+                   if packed or e[0] < size or (e[0] == size and e[2] == mark)]
+        low = min((position for position, _, _ in earlier), default=0)
+        fingerprint = hashlib.md5(f"{identity}:{born}".encode(), usedforsecurity=False).hexdigest()
+        closed = rotated  # its last line counts without a line end, but only once
+        if packed:
+            cuts = [0, size]
+        elif size == low:
+            if not closed:
+                return []
+            cuts = [low, size]
+        else:
+            cuts = [*range(low, size, self.range_bytes), size]
+        return [ByteRange(path, fingerprint, a, b, i == 0, closed and b == size, earlier, size, mark, at)
+                for i, (a, b) in enumerate(zip(cuts, cuts[1:]))]
 
     def commit(self, end: dict) -> None:
         pass
@@ -216,38 +222,30 @@ class LogTailReader(DataSourceStreamReader):
             if self.fail_on_data_loss:
                 raise FileNotFoundError(f"{partition.path} is gone or was replaced before it was read")
             return
-        ns, pod, uid, container = _parts(partition.path)
-        fingerprint = hashlib.md5(partition.head.encode("latin-1"), usedforsecurity=False).hexdigest()
-        starts, sizes, texts = [], [], []
-
-        def batch() -> pa.RecordBatch:
-            n = len(texts)
-            same = [ns, pod, uid, container, partition.path, fingerprint]
+        with _open(path) as f:
+            held = [(position, ended) for position, mark, ended in sorted(partition.earlier) if _mark(f, position) == mark]
+        position, ended = max(held, default=(0, False))
+        start = position if partition.first else max(partition.start, position)
+        end = math.inf if _compressed(partition.path) else partition.end
+        same = [*_parts(partition.path), partition.path, partition.fingerprint]
+        for starts, sizes, lines in _owned_lines(path, start, end, partition.closed and not ended):
+            n = len(starts)
             columns = [pa.array([v] * n, pa.string()) for v in same]
-            columns += [pa.array([partition.start] * n, pa.int64()), pa.array(starts, pa.int64()), pa.array(sizes, pa.int64()), pa.array(texts, pa.string()),
+            columns += [pa.array([partition.start] * n, pa.int64()), pa.array(starts), pa.array(sizes), lines,
                         pa.array([partition.collected_at * 1_000_000] * n, ARROW.field("collected_at").type)]
-            return pa.RecordBatch.from_arrays(columns, schema=ARROW)
-
-        end = math.inf if _compressed(partition.path) else partition.end
-        for at, raw in _owned_lines(path, partition.start, end, partition.closed):
-            starts.append(at)
-            sizes.append(len(raw))
-            texts.append(raw.rstrip(b"\r").decode("utf-8", "replace"))
-            if len(texts) >= ROWS_PER_BATCH:
-                yield batch()
-                starts, sizes, texts = [], [], []
-        if texts:
-            yield batch()
+            yield pa.RecordBatch.from_arrays(columns, schema=ARROW)
 
     @staticmethod
     def _locate(partition: ByteRange) -> str | None:
-        """The file listed for this range, which may have been renamed in the meantime."""
+        """The file listed for this range, which may have been renamed or compressed in the meantime."""
         others = sorted(e.path for e in _entries(os.path.dirname(partition.path)) if e.is_file())
         for path in [partition.path, *[p for p in others if p != partition.path]]:
             try:
-                long_enough = _compressed(path) or os.path.getsize(path) >= partition.end
-                if long_enough and _head(path).startswith(partition.head):
-                    return path
+                # A listed compressed file is known by its bytes as they are, a plain one by its text.
+                as_is = _compressed(partition.path) or not _compressed(path)
+                with (open(path, "rb") if as_is else _open(path)) as f:
+                    if _mark(f, partition.size) == partition.mark:
+                        return path
             except (FileNotFoundError, EOFError, gzip.BadGzipFile):
                 continue
         return None
@@ -279,8 +277,8 @@ def _line_start(f, position: int) -> int:
     return 0
 
 
-def _owned_lines(path: str, start: int, end: float, closed: bool) -> Iterator[tuple[int, bytes]]:
-    """``(position, bytes)`` of lines whose line end lies in ``[start, end)``, block by block.
+def _owned_lines(path: str, start: int, end: float, closed: bool) -> Iterator[tuple[np.ndarray, np.ndarray, pa.Array]]:
+    """Positions, sizes and texts of lines whose line feed lies in ``[start, end)``, block by block.
 
     With ``closed`` the unfinished last line counts too. A compressed file is decoded from its
     beginning, since it has no other place to start.
@@ -294,13 +292,39 @@ def _owned_lines(path: str, start: int, end: float, closed: bool) -> Iterator[tu
             if not block:
                 break
             position += len(block)
-            lines = block.split(b"\n")
-            lines[0] = b"".join([*rest, lines[0]]) if len(lines) > 1 else lines[0]
-            for raw in lines[:-1]:
-                if at + len(raw) >= start:
-                    yield at, raw
-                at += len(raw) + 1
-            rest = [lines[-1]] if len(lines) > 1 else [*rest, lines[0]]
+            cut = block.rfind(b"\n") + 1
+            if not cut:
+                rest.append(block)
+                continue
+            whole = b"".join([*rest, block[:cut]])
+            skip = min(len(whole), max(0, whole.rfind(b"\n", 0, start - at) + 1 if start > at else 0))
+            if skip < len(whole):
+                yield _lines(whole[skip:], at + skip)
+            at += len(whole)
+            rest = [block[cut:]] if cut < len(block) else []
         last = b"".join(rest)
         if closed and last:
-            yield at, last
+            yield _lines(last + b"\n", at)
+
+
+def _lines(data: bytes, at: int) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Lines of some bytes that end with a line feed. A carriage return ends a line as well; before
+    a line feed it is no part of the text, but counts in the line's bytes."""
+    raw = np.frombuffer(data, np.uint8)
+    feed = raw == LF
+    back = np.flatnonzero(raw == CR)
+    before_feed = feed[np.minimum(back + 1, len(raw) - 1)]
+    alone = back[~before_feed]
+    ends = np.sort(np.concatenate([np.flatnonzero(feed), alone]))
+    starts = np.concatenate([[0], ends[:-1] + 1])
+    sizes = ends - starts
+    keep = np.ones(len(raw), bool)
+    keep[ends] = keep[back] = False
+    lengths = sizes - np.isin(ends - 1, back[before_feed])
+    offsets = np.zeros(len(ends) + 1, np.int32)
+    np.cumsum(lengths, out=offsets[1:])
+    texts = pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(raw[keep])])
+    try:
+        return starts + at, sizes, texts.cast(pa.string())
+    except pa.ArrowInvalid:  # not UTF-8
+        return starts + at, sizes, pa.array([t.decode("utf-8", "replace") for t in texts.to_pylist()], pa.string())

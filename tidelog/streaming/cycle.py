@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import retention
 from ..sources import sinks, tables
+from ..sources.text_tree import list_files
 from .pipelines import start_ingest
 
 
@@ -16,6 +17,7 @@ class Store:
     """Where a deployment keeps its tables: one folder on shared storage."""
 
     def __init__(self, root: str):
+        self.root = root
         self.lines, self.files, self.runs = f"{root}/lines", f"{root}/files", f"{root}/runs"
         self.archives, self.archive_data = f"{root}/archives", f"{root}/archive_data"
         self.checkpoint = f"{root}/checkpoint"
@@ -36,8 +38,8 @@ def archive_new_runs(spark: SparkSession, store: Store) -> list[str]:
     done = tables.archives(spark, store.archives).select("run")
     missing = tables.runs(spark, store.runs).select("run").join(done, "run", "left_anti").orderBy("run")
     names = [r.run for r in missing.collect()]
-    for run in names:
-        archived = sinks.archive_run(tables.log_lines(spark, store.lines), run, store.archive_data)
+    if names:
+        archived = sinks.archive_runs(tables.log_lines(spark, store.lines), names, store.archive_data)
         sinks.write_archives(archived, store.archives)
     return names
 
@@ -46,11 +48,11 @@ def clean_up(spark: SparkSession, store: Store, now: datetime, months: int = 1,
              capacity_bytes: int | None = None, capacity_percent: int = 80) -> list[str]:
     """Drop runs until usage is below the threshold, then the oldest expired ones.
 
-    The newest run always stays. Dropping a run removes its lines, catalog rows and archive.
+    Usage is what the store's files take on storage, whether they belong to a run or not. The newest run always stays. Dropping a run removes its lines, catalog rows and archive.
     """
     dropped = []
     if capacity_bytes is not None:
-        sizes = retention.run_sizes(tables.runs(spark, store.runs), tables.archives(spark, store.archives))
+        sizes = retention.stored_sizes(list_files(spark, store.root))
         threshold = retention.capacity_threshold(F.lit(capacity_bytes), capacity_percent)
         over = retention.capacity_cleanup(sizes, threshold).where("dropped").orderBy("run")
         dropped += [r.run for r in over.select("run").collect()]

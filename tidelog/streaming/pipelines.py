@@ -9,17 +9,17 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.levels import level_by_substring, level_counts
-from ..functions.names import output_name, run_name
+from ..functions.names import output_name, utc_run_name
 from ..functions.text import sort_key
 from ..operators.catalog import index_files, write_index
 from ..operators.ordinals import number_lines
-from ..schemas import CONTAINER, INDEX_SAMPLE, LOG_LINES
-from ..sources.sinks import write_log_lines
+from ..schemas import CONTAINER, LOG_LINES
+from ..sources.sinks import drop_runs, write_log_lines
 from ..sources.tail import LogTailSource
 from ..sources.text_tree import ROTATED_GLOB
 
 WINDOW = "4 hours"
-LATENESS = "5 minutes"
+LATENESS = "9 hours"  # two cycles and their overlap
 
 
 def run_trigger(now: bool = False, every: str = WINDOW) -> dict:
@@ -44,21 +44,30 @@ def landed_stream(spark: SparkSession, root: str, max_files: int = 1_000, max_ag
     return reader.load(root).select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("path"))
 
 
-def drop_reread_lines(tail: DataFrame) -> DataFrame:
-    """One copy of every node line, however often its bytes were read."""
-    return (tail.withWatermark("collected_at", LATENESS)
-            .dropDuplicatesWithinWatermark(["uid", "container", "file_fp", "start_byte"]))
+def drop_reread_lines(tail: DataFrame, lateness: str = LATENESS) -> DataFrame:
+    """One copy of every node line, however often its bytes were read.
 
+    ``lateness`` is time of collection, not of the log: it bounds how long a line is remembered.
+    """
+    return (tail.withWatermark("collected_at", lateness)
+            .dropDuplicatesWithinWatermark(["uid", "container", "file_fp", "start_byte", "line"]))
+
+
+def drop_stream_overlap(api_lines: DataFrame, keys: Sequence[str] = CONTAINER, lateness: str = LATENESS) -> DataFrame:
+    """One copy of every API line that overlapping fetches returned.
 
-def drop_stream_overlap(api_lines: DataFrame, keys: Sequence[str] = CONTAINER) -> DataFrame:
-    """One copy of every API line that overlapping fetches returned within the lateness bound."""
-    return (api_lines.withWatermark("ts", LATENESS)
-            .dropDuplicatesWithinWatermark([*keys, "ts", "line"]))
+    ``collected_at`` is when a fetch was made. Lines are remembered for ``lateness`` of that, which must cover a cycle
+    and its overlap; how old the lines are does not matter. Genuine repeats within a fetch stay if the fetch numbered
+    them in ``copy`` (``number_copies``).
+    """
+    copy = ["copy"] if "copy" in api_lines.columns else []
+    return (api_lines.withWatermark("collected_at", lateness)
+            .dropDuplicatesWithinWatermark([*keys, "ts", "line", *copy]))
 
 
 def tumbling_level_counts(lines: DataFrame, keys: Sequence[str] = ("ns", "pod"),
                           width: str = WINDOW) -> DataFrame:
-    """Level counts per source and tumbling window; the same plan serves batch and stream."""
+    """Level counts per source and tumbling window."""
     levelled = lines.withColumn("_level", level_by_substring(F.col("line")))
     return (levelled.groupBy(F.window("ts", width).alias("_window"), *keys)
             .agg(*level_counts(F.col("_level")))
@@ -66,10 +75,27 @@ def tumbling_level_counts(lines: DataFrame, keys: Sequence[str] = ("ns", "pod"),
                     "error_count", "warn_count", "info_count", "debug_count"))
 
 
-def streaming_level_counts(lines: DataFrame, keys: Sequence[str] = ("ns", "pod"),
-                           width: str = WINDOW) -> DataFrame:
-    """The same counts over a stream, closed once lines can be no more than five minutes late."""
-    return tumbling_level_counts(lines.withWatermark("ts", LATENESS), keys, width)
+def write_level_counts(lines: DataFrame, path: str, keys: Sequence[str] = ("ns", "pod"), width: str = WINDOW) -> None:
+    """Replace the level counts of the runs in ``lines``. Counts of several runs add up, so a source that comes
+    late adds to its window, and a batch that is tried again changes nothing."""
+    (tumbling_level_counts(lines, ["run", *keys], width).write.mode("overwrite")
+     .option("partitionOverwriteMode", "dynamic").partitionBy("run").parquet(path))
+
+
+def stored_level_counts(spark: SparkSession, path: str, keys: Sequence[str] = ("ns", "pod")) -> DataFrame:
+    """Level counts per source and window over all runs written so far."""
+    counts = [F.sum(f"{level}_count").alias(f"{level}_count") for level in ("error", "warn", "info", "debug")]
+    return spark.read.parquet(path).groupBy("window_start", *keys).agg(*counts)
+
+
+def start_level_counts(lines: DataFrame, path: str, checkpoint: str, keys: Sequence[str] = ("ns", "pod"),
+                       width: str = WINDOW, now: bool = False, every: str = WINDOW) -> StreamingQuery:
+    """Keep level counts of a stream of lines; each micro-batch stands for a run."""
+    def each(batch: DataFrame, number: int) -> None:
+        write_level_counts(batch.withColumn("run", F.lit(f"batch-{number:012d}")), path, keys, width)
+
+    return (lines.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
+            .trigger(**run_trigger(now, every)).start())
 
 
 def as_log_lines(batch: DataFrame) -> DataFrame:
@@ -77,7 +103,7 @@ def as_log_lines(batch: DataFrame) -> DataFrame:
 
     The byte ranges the source read are the chunks for numbering.
     """
-    run = run_name(F.col("collected_at"))
+    run = utc_run_name(F.col("collected_at"))
     key = sort_key(F.col("line"))
     named = batch.withColumns({
         "run": run, "filename": output_name(*[F.col(c) for c in CONTAINER], run),
@@ -90,8 +116,8 @@ def as_log_lines(batch: DataFrame) -> DataFrame:
 
 
 def ingest_batch(batch: DataFrame, lines_path: str, files_path: str, runs_path: str,
-                 sample: int | None = INDEX_SAMPLE) -> None:
-    """Write a batch's lines and index them from what was written.
+                 sample: int | None = None, counts_path: str | None = None) -> None:
+    """Write a batch's lines, index them from what was written, and count levels per window if asked to.
 
     A batch is one listing and therefore one run. Every table is replaced by run, and the run
     is fixed by the batch's offsets, so a batch that is tried again ends in the same tables.
@@ -99,21 +125,33 @@ def ingest_batch(batch: DataFrame, lines_path: str, files_path: str, runs_path:
     spark = batch.sparkSession
     batch = batch.persist()
     try:
-        any_line = batch.select(run_name(F.col("collected_at")).alias("run")).first()
+        any_line = batch.select(utc_run_name(F.col("collected_at")).alias("run")).first()
         if any_line is None:
             return
+        drop_runs(spark, [any_line.run], lines_path)  # an earlier try may have seen namespaces that are gone
         write_log_lines(as_log_lines(batch), lines_path)
     finally:
         batch.unpersist()
-    written = spark.read.schema(LOG_LINES).parquet(lines_path).where(F.col("run") == any_line.run)
+    written = (spark.read.schema(LOG_LINES).option("basePath", lines_path)
+               .parquet(f"{lines_path}/run={any_line.run}"))
     write_index(index_files(written, sample), files_path, runs_path)
+    if counts_path:
+        write_level_counts(written, counts_path)
 
 
 def start_ingest(spark: SparkSession, root: str, lines_path: str, files_path: str, runs_path: str,
-                 checkpoint: str, now: bool = False, every: str = WINDOW, **options) -> StreamingQuery:
-    """Collect new lines on a schedule, or once, and keep the line table and catalog up to date."""
+                 checkpoint: str, now: bool = False, every: str = WINDOW, counts_path: str | None = None,
+                 reread_guard: str | None = None, **options) -> StreamingQuery:
+    """Collect new lines on a schedule, or once, and keep the line table and catalog up to date.
+
+    ``counts_path`` keeps level counts per window. ``reread_guard`` is a span of collection time within which bytes that
+    are read again, say after a file was copied back, give no second line; it costs a state row per line.
+    """
     def each(batch: DataFrame, _: int) -> None:
-        ingest_batch(batch, lines_path, files_path, runs_path)
+        ingest_batch(batch, lines_path, files_path, runs_path, counts_path=counts_path)
 
-    return (tail_stream(spark, root, **options).writeStream.foreachBatch(each)
+    lines = tail_stream(spark, root, **options)
+    if reread_guard:
+        lines = drop_reread_lines(lines, reread_guard)
+    return (lines.writeStream.foreachBatch(each)
             .option("checkpointLocation", checkpoint).trigger(**run_trigger(now, every)).start())
