@@ -13,8 +13,8 @@ argument fails adds the keys of its shortest sufficient prefix in hash order, wh
 *Verify.* A second sketch of single bits bounds the symmetric difference of two sets from below and removes most false
 candidates; the rest are compared exactly.
 
-Groups need less than all pairs. First each set is compared with one pivot of its buckets; then only sets of one bucket
-in different components are compared: the nearest one first, and then whatever is left, so no link is lost.
+Groups need less than all pairs. First as many pairs of each bucket are compared, the nearest, as tie its members
+together; then whatever pairs of a bucket are still in different components, so no link is lost.
 """
 
 from __future__ import annotations
@@ -34,6 +34,7 @@ SHINGLE = 5
 SMALLEST = 3  # smaller sets link with equal ones only
 CHUNK = 1 << 15  # members to a row
 CELL = 2048  # members of a block of a large bucket
+FILTER_BITS = 1 << 22  # the size of a filter of doc_ids, whatever the table's is
 
 
 def shingle_sets(column: pa.Array) -> list[np.ndarray]:
@@ -111,13 +112,15 @@ def bit_sketch(shingles: np.ndarray) -> bytes:
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
 
-def folded(sketches: list[bytes]) -> np.ndarray:
-    """Sketches as rows of 64-bit words, all as long as the shortest: halves of longer ones are XORed."""
-    size = min(map(len, sketches)) // 8
-    out = np.empty((len(sketches), size), np.uint64)
-    for i, raw in enumerate(sketches):
-        out[i] = np.bitwise_xor.reduce(np.frombuffer(raw, np.uint64).reshape(-1, size), axis=0)
-    return out
+def unpacked(sketches: list[bytes]) -> np.ndarray:
+    """Sketches of one length as rows of 64-bit words."""
+    return np.frombuffer(b"".join(sketches), np.uint64).reshape(len(sketches), -1)
+
+
+def halved(words: np.ndarray) -> np.ndarray:
+    """Sketches of half the length: both halves XORed."""
+    half = words.shape[1] // 2
+    return words[:, :half] ^ words[:, half:]
 
 
 def describe(docs: DataFrame) -> DataFrame:
@@ -229,10 +232,11 @@ def members(table: DataFrame) -> DataFrame:
     return table.mapInArrow(expand, "bucket bigint, pivot bigint, x bigint")
 
 
-def near_pairs(rows: DataFrame, nearest: bool) -> DataFrame:
+def near_pairs(rows: DataFrame, spanning: bool) -> DataFrame:
     """(x, y) of different components that share a bucket and that the bit sketches do not rule out.
 
-    `rows` are (bucket, x, component, n, sketch). With `nearest` only the nearest such y for each x of a bucket.
+    `rows` are (bucket, x, component, n, sketch). With `spanning` only as many pairs of a bucket, the nearest, as tie its
+    components together; if all of them link, no other pair of the bucket has to be looked at.
     Large buckets are cut into blocks, and each pair of blocks is a group of its own, so that none is unbounded.
     """
     sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"))
@@ -251,56 +255,87 @@ def near_pairs(rows: DataFrame, nearest: bool) -> DataFrame:
             for row in zip(*(batch.column(c).to_pylist() for c in
                              ("bucket", "i", "j", "block", "x", "component", "n", "sketch"))):
                 if row[:3] != cell:
-                    yield from _near(cell, held, nearest)
+                    yield from _near(cell, held, spanning)
                     cell, held = row[:3], []
                 held.append(row[3:])
-        yield from _near(cell, held, nearest)
+        yield from _near(cell, held, spanning)
 
     return rows.mapInArrow(compare, "x bigint, y bigint").distinct()
 
 
-def _near(cell, held: list[tuple], nearest: bool) -> Iterator[pa.RecordBatch]:
+def _near(cell, held: list[tuple], spanning: bool) -> Iterator[pa.RecordBatch]:
     if len(held) < 2:
         return
+    held.sort(key=lambda h: len(h[4]))
     block, x, component, n = (np.array([h[i] for h in held]) for i in range(4))
-    sketches = folded([h[4] for h in held])
-    pairs = set()
-    for r in range(len(held)):
-        fits = (component != component[r]) & (4 * np.minimum(n, n[r]) >= 3 * np.maximum(n, n[r]))
-        if cell[1] != cell[2]:
-            fits &= block != block[r]
-        if not nearest:
-            fits[:r + 1] = False
-        at = np.flatnonzero(fits)
-        if not len(at):
-            continue
-        apart = np.bitwise_count(sketches[at] ^ sketches[r]).sum(axis=1)
-        at, apart = (a[apart <= farthest(n[at], n[r])] for a in (at, apart))
-        if nearest and len(at):
-            at = at[[np.argmin(apart)]]
-        pairs.update((min(int(x[r]), int(x[o])), max(int(x[r]), int(x[o]))) for o in at)
-    if pairs:
-        yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1)], ["x", "y"])
-
-
-def plausible(pairs: DataFrame, traits: DataFrame) -> DataFrame:
-    """The pairs (x, y) that sizes and bit sketches do not rule out. `traits` is (set_id, n, sketch)."""
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = zip(*(batch.column(c).to_pylist() for c in ("n_x", "n_y", "sketch_x", "sketch_y")))
-            yield batch.select(["x", "y"]).filter(pa.array([_near_enough(*row) for row in rows], pa.bool_()))
+    apart = _distances([h[4] for h in held], n)
+    apart[component[:, None] == component] = FAR
+    if cell[1] != cell[2]:
+        apart[block[:, None] == block] = FAR
+    a, b = _spanning(apart, component) if spanning else np.nonzero(np.triu(apart < FAR))
+    if len(a):
+        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x[a], x[b])), pa.array(np.maximum(x[a], x[b]))], ["x", "y"])
 
-    sides = [traits.select(F.col("set_id").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"sketch_{c}"))
-             for c in "xy"]
-    return pairs.join(sides[0], "x").join(sides[1], "y").select(
-        "x", "y", "n_x", "n_y", "sketch_x", "sketch_y").mapInArrow(check, "x bigint, y bigint")
 
+FAR = np.iinfo(np.int32).max
 
-def _near_enough(n: int, m: int, a: bytes, b: bytes) -> bool:
-    if 4 * min(n, m) < 3 * max(n, m):
-        return False
-    one, two = folded([a, b])
-    return int(np.bitwise_count(one ^ two).sum()) <= farthest(n, m)
+
+def _distances(sketches: list[bytes], n: np.ndarray) -> np.ndarray:
+    """Bits in which sketches differ, FAR where that or the sizes rule a link out. Sketches are sorted by length.
+
+    Linked sets are so close in size that their sketches have one length, or one twice the other's; the longer one is then
+    halved.
+    """
+    out = np.full((len(n), len(n)), FAR, np.int32)
+    length = np.array([len(s) for s in sketches])
+    classes = {}
+    for size in np.unique(length).tolist():
+        low, high = np.searchsorted(length, [size, size + 1])
+        classes[size] = low, high, unpacked(sketches[low:high])
+    for size, (low, high, own) in classes.items():
+        for other in (size, 2 * size):
+            if other not in classes:
+                continue
+            first, last, words = classes[other]
+            words = words if other == size else halved(words)
+            for r in range(low, high):
+                apart = np.bitwise_count(words ^ own[r - low]).sum(axis=1, dtype=np.int32)
+                sizes = n[first:last]
+                good = (apart <= farthest(sizes, n[r])) & (4 * np.minimum(sizes, n[r]) >= 3 * np.maximum(sizes, n[r]))
+                out[r, first:last] = np.where(good, apart, FAR)
+            if other != size:
+                out[first:last, low:high] = out[low:high, first:last].T
+    return out
+
+
+def _spanning(apart: np.ndarray, component: np.ndarray) -> tuple[list[int], list[int]]:
+    """Pairs that tie the components together as far as distances allow, the nearest of each component first."""
+    _, label = np.unique(component, return_inverse=True)
+    a, b = [], []
+    apart = apart.copy()
+    while True:
+        best = apart.argmin(axis=1)
+        least = apart[np.arange(len(apart)), best]
+        order = np.lexsort((least, label))
+        heads = order[np.unique(label[order], return_index=True)[1]]  # the nearest row of each component
+        heads = heads[least[heads] < FAR]
+        if not len(heads):
+            return a, b
+        parent = np.arange(label.max() + 1)
+        for r in heads.tolist():
+            i, j = label[r], label[best[r]]
+            while parent[i] != i:
+                i = parent[i]
+            while parent[j] != j:
+                j = parent[j]
+            if i != j:
+                parent[max(i, j)] = min(i, j)
+                a.append(r)
+                b.append(int(best[r]))
+        while (parent[parent] != parent).any():
+            parent = parent[parent]
+        label = parent[label]
+        apart[label[:, None] == label] = FAR
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -338,7 +373,7 @@ class JaccardJoin:
         ids = pairs.select(F.col("x").alias("id")).unionAll(pairs.select("y")).distinct()
         wanted = self.owners.join(ids, F.col("set_id") == F.col("id")).select("owner", F.col("set_id").alias("wanted"))
         wanted = stored(wanted, self.folder, f"{name}-wanted")
-        found = self.docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("owner")))
+        found = _perhaps(self.docs, wanted).join(wanted, F.col("doc_id").eqNullSafe(F.col("owner")))
         texts = stored(_right_text(found), self.folder, f"{name}-texts")
         return verified(pairs, texts)
 
@@ -359,18 +394,14 @@ class JaccardJoin:
 
     def links(self) -> DataFrame:
         """All pairs (x, y) of different sets that link, by set_id; `sets` tells which documents have a set."""
-        return self._verified(near_pairs(self._rows(None), nearest=False), "links")
+        return self._verified(near_pairs(self._rows(None), spanning=False), "links")
 
     def groups(self) -> DataFrame:
         """(x, y): each set that is not the least of its component, and the least."""
-        often = self.members.groupBy("x", "pivot").agg(F.count(F.lit(1)).alias("n"))
-        first = often.groupBy("x").agg(F.max_by("pivot", F.struct("n", "pivot")).alias("y"))
-        labels = components(self._verified(plausible(first, self.owners), "first"), self.folder, "first")
-        for name, nearest in (("nearest", True), ("rest", False)):
-            pairs = stored(near_pairs(self._rows(labels), nearest), self.folder, f"{name}-found")
-            if pairs.isEmpty():
-                break
-            labels = components(labels.unionAll(self._verified(pairs, name)), self.folder, name)
+        labels = None
+        for name, spanning in (("spanning", True), ("rest", False)):
+            links = self._verified(near_pairs(self._rows(labels), spanning), name)
+            labels = components(links if labels is None else labels.unionAll(links), self.folder, name)
         return labels
 
     def documents(self) -> DataFrame:
@@ -389,6 +420,26 @@ class JaccardJoin:
             F.when(F.col("set_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
+def _cell(doc_id: str):
+    return F.pmod(F.xxhash64(doc_id), F.lit(FILTER_BITS)).cast("int")
+
+
+def _perhaps(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Documents whose doc_id may be an owner's, by a filter of fixed size, so that the others' texts don't travel."""
+    cells = wanted.select(_cell("owner").alias("cell")).distinct().toArrow().column(0)  # at most FILTER_BITS numbers
+    bits = np.zeros(FILTER_BITS, bool)
+    bits[np.asarray(cells, dtype=np.int64)] = True
+    held = docs.sparkSession.sparkContext.broadcast(np.packbits(bits))
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.unpackbits(held.value).astype(bool)
+        for batch in batches:
+            yield batch.filter(pa.array(bits[np.asarray(batch.column("cell"))])).select(["doc_id", "text"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text", _cell("doc_id").alias("cell")).mapInArrow(keep, f"doc_id {kind}, text string")
+
+
 def _right_text(found: DataFrame) -> DataFrame:
     """The texts that have the wanted set. Equal rows, which one task gets after the join, give one text."""
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
