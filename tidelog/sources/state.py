@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timezone
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,6 +32,23 @@ def read_offsets_json(spark: SparkSession, path: str) -> DataFrame:
     return offsets_from_json(raw.select(F.decode("content", "UTF-8").alias("value")))
 
 
+def read_last_run(spark: SparkSession, path: str) -> datetime | None:
+    """When the last cycle began; None before the first one."""
+    try:
+        row = spark.read.schema("at timestamp").parquet(path).agg(F.unix_micros(F.max("at")).alias("at")).first()
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+    return None if row["at"] is None else datetime.fromtimestamp(row["at"] / 1_000_000, timezone.utc)
+
+
+def write_last_run(spark: SparkSession, path: str, at: datetime) -> None:
+    """Save when a cycle began, once everything it collected is stored."""
+    micros = int(at.timestamp() * 1_000_000)
+    spark.range(1).select(F.timestamp_micros(F.lit(micros)).alias("at")).coalesce(1).write.mode("overwrite").parquet(path)
+
+
 def write_offsets(offsets: DataFrame, path: str) -> None:
     """Offsets as a table: each run replaces the saved map."""
     offsets.select("path", "byte_offset").write.mode("overwrite").parquet(path)

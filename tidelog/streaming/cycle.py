@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import datetime, timezone
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import retention
-from ..sources import sinks, tables
-from ..sources.text_tree import list_files
-from .pipelines import start_ingest
+from ..functions.names import output_name
+from ..functions.text import line_bytes, sort_key
+from ..operators import incremental, retention
+from ..operators.ordinals import number_lines
+from ..schemas import API_OVERLAP_S, CONTAINER, LOG_LINES
+from ..sources import sinks, state, tables
+from ..sources.text_tree import list_files, list_node_files
+from .pipelines import start_ingest, store_run
 
 
 class Store:
@@ -20,17 +24,75 @@ class Store:
         self.root = root
         self.lines, self.files, self.runs = f"{root}/lines", f"{root}/files", f"{root}/runs"
         self.archives, self.archive_data = f"{root}/archives", f"{root}/archive_data"
-        self.checkpoint = f"{root}/checkpoint"
+        self.checkpoint, self.last_run = f"{root}/checkpoint", f"{root}/last_run"
 
     @property
     def by_run(self) -> list[str]:
         return [self.lines, self.files, self.runs, self.archives, self.archive_data]
 
 
-def collect(spark: SparkSession, logs: str, store: Store, **options) -> None:
-    """Read what is new under ``logs`` into the line table and the catalog."""
+class ApiPhase:
+    """Landed answers of the log API: lines (ns, pod, container, ts, line, seq) of current and of previous instances,
+    and the inventory (ns, pod, containers) of what runs. ``seq`` is a line's number in its container's answer."""
+
+    def __init__(self, lines: DataFrame, previous: DataFrame, inventory: DataFrame, overlap_s: int = API_OVERLAP_S):
+        self.lines, self.previous, self.inventory, self.overlap_s = lines, previous, inventory, overlap_s
+
+
+def node_coverage(spark: SparkSession, logs: str, last: datetime | None) -> DataFrame:
+    """Containers with log files on the node, and whether one of their files was rotated since the last cycle."""
+    recent = F.lit(True) if last is None else F.col("mtime") > F.lit(last)
+    rotated = list_node_files(spark, logs, rotated=True).select(*CONTAINER, recent.alias("rotated"))
+    active = list_node_files(spark, logs).select(*CONTAINER, F.lit(False).alias("rotated"))
+    return active.unionAll(rotated).groupBy(*CONTAINER).agg(F.max("rotated").alias("rotated"))
+
+
+def api_log_lines(spark: SparkSession, logs: str, store: Store, api: ApiPhase, run: str, last: datetime | None,
+                  now: datetime) -> DataFrame:
+    """What the API adds to a run, as ``log_lines``: current lines of containers the node does not have, less what earlier
+    runs hold of the overlap, and the previous instance of containers whose file was rotated."""
+    coverage = node_coverage(spark, logs, last)
+    containers = incremental.explode_inventory(api.inventory)
+    asked = incremental.lines_of(api.lines, incremental.uncovered(containers, coverage))
+    since = None if last is None else F.lit(last)
+    current = incremental.since_window(asked, F.lit(now), since, api.overlap_s)
+    if last is not None:
+        known = tables.log_lines(spark, store.lines).where(
+            (F.col("run") != run) & (F.col("ts") >= F.lit(last) - F.make_dt_interval(secs=F.lit(api.overlap_s))))
+        held = known.groupBy(*CONTAINER, "ts", "line").agg(F.count(F.lit(1)).alias("held"))
+        nth = Window.partitionBy(*CONTAINER, "ts", "line").orderBy("seq")
+        current = (current.withColumn("nth", F.row_number().over(nth)).join(held, [*CONTAINER, "ts", "line"], "left")
+                   .where(F.col("nth") > F.coalesce("held", F.lit(0))).drop("nth", "held"))
+    previous = incremental.lines_of(api.previous, incremental.previous_only(containers, coverage))
+    parts = [lines.select(*CONTAINER, "ts", "line", "seq", output_name(*[F.col(c) for c in CONTAINER], F.lit(run),
+                                                                       previous=old).alias("filename"))
+             for lines, old in ((current, False), (previous, True))]
+    both = parts[0].unionByName(parts[1]).withColumns({
+        "run": F.lit(run), "uid": F.lit(""), "n_bytes": line_bytes(F.col("line")), "ts_key": sort_key(F.col("line"))})
+    numbered = number_lines(both, ["run", "filename"], ["seq"], F.col("n_bytes") + 1)
+    return numbered.select(*LOG_LINES.fieldNames())
+
+
+def collect(spark: SparkSession, logs: str, store: Store, api: ApiPhase | None = None, now: datetime | None = None,
+            **options) -> str | None:
+    """Read what is new under ``logs``, and what the API adds to it, into one run; returns its name, None if all is known.
+
+    The time of the cycle is saved when all of it is stored.
+    """
+    now = now or datetime.now(timezone.utc)
+    last = state.read_last_run(spark, store.last_run)
+    more = None if api is None else lambda run: api_log_lines(spark, logs, store, api, run, last, now)
+    written: list[str] = []
     start_ingest(spark, logs, store.lines, store.files, store.runs, store.checkpoint,
-                 now=True, **options).awaitTermination()
+                 now=True, more=more, written=written, **options).awaitTermination()
+    if not written and more is not None:
+        run = now.astimezone(timezone.utc).strftime("%Y-%m-%d_%H-%M-%S")
+        lines = more(run)
+        if not lines.isEmpty():
+            store_run(lines, run, store.lines, store.files, store.runs)
+            written.append(run)
+    state.write_last_run(spark, store.last_run, now)
+    return written[0] if written else None
 
 
 def archive_new_runs(spark: SparkSession, store: Store) -> list[str]:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -116,9 +116,13 @@ def as_log_lines(batch: DataFrame) -> DataFrame:
 
 
 def ingest_batch(batch: DataFrame, lines_path: str, files_path: str, runs_path: str,
-                 sample: int | None = None, counts_path: str | None = None) -> None:
+                 sample: int | None = None, counts_path: str | None = None,
+                 more: Callable[[str], DataFrame] | None = None) -> str | None:
     """Write a batch's lines, index them from what was written, and count levels per window if asked to.
 
+    ``more`` gives further ``log_lines`` for the run's name, which are written with it. Returns the name; None and
+    nothing written if the batch is empty.
+
     A batch is one listing and therefore one run. Every table is replaced by run, and the run
     is fixed by the batch's offsets, so a batch that is tried again ends in the same tables.
     """
@@ -127,13 +131,22 @@ def ingest_batch(batch: DataFrame, lines_path: str, files_path: str, runs_path:
     try:
         any_line = batch.select(utc_run_name(F.col("collected_at")).alias("run")).first()
         if any_line is None:
-            return
-        drop_runs(spark, [any_line.run], lines_path)  # an earlier try may have seen namespaces that are gone
-        write_log_lines(as_log_lines(batch), lines_path)
+            return None
+        lines = as_log_lines(batch)
+        store_run(lines if more is None else lines.unionByName(more(any_line.run)), any_line.run, lines_path,
+                  files_path, runs_path, sample, counts_path)
     finally:
         batch.unpersist()
-    written = (spark.read.schema(LOG_LINES).option("basePath", lines_path)
-               .parquet(f"{lines_path}/run={any_line.run}"))
+    return any_line.run
+
+
+def store_run(lines: DataFrame, run: str, lines_path: str, files_path: str, runs_path: str,
+              sample: int | None = None, counts_path: str | None = None) -> None:
+    """Write the lines of one run and index them from what was written."""
+    drop_runs(lines.sparkSession, [run], lines_path)  # an earlier try may have seen namespaces that are gone
+    write_log_lines(lines, lines_path)
+    written = (lines.sparkSession.read.schema(LOG_LINES).option("basePath", lines_path)
+               .parquet(f"{lines_path}/run={run}"))
     write_index(index_files(written, sample), files_path, runs_path)
     if counts_path:
         write_level_counts(written, counts_path)
@@ -141,14 +154,21 @@ def ingest_batch(batch: DataFrame, lines_path: str, files_path: str, runs_path:
 
 def start_ingest(spark: SparkSession, root: str, lines_path: str, files_path: str, runs_path: str,
                  checkpoint: str, now: bool = False, every: str = WINDOW, counts_path: str | None = None,
-                 reread_guard: str | None = None, **options) -> StreamingQuery:
+                 reread_guard: str | None = None, more: Callable[[str], DataFrame] | None = None,
+                 written: list[str] | None = None, **options) -> StreamingQuery:
     """Collect new lines on a schedule, or once, and keep the line table and catalog up to date.
 
     ``counts_path`` keeps level counts per window. ``reread_guard`` is a span of collection time within which bytes that
     are read again, say after a file was copied back, give no second line; it costs a state row per line.
+    ``more`` adds lines to the first run that is written; ``written`` gets the names of the runs.
     """
+    names = [] if written is None else written
+
     def each(batch: DataFrame, _: int) -> None:
-        ingest_batch(batch, lines_path, files_path, runs_path, counts_path=counts_path)
+        run = ingest_batch(batch, lines_path, files_path, runs_path, counts_path=counts_path,
+                           more=None if names else more)
+        if run is not None:
+            names.append(run)
 
     lines = tail_stream(spark, root, **options)
     if reread_guard:
