@@ -34,6 +34,7 @@ from tidelog.llm.common import partitions, shared_folder, text_hash
 from tidelog.llm.cuckoo import CuckooFilter
 
 SHARDS = 64
+CELLS = 4  # parts of a shard's lines, at least
 MIN_CHARS = 40
 MIN_DOCS = 5
 SPACES = " \t\n\x0b\x0c\r"
@@ -158,10 +159,11 @@ class LineState:
     def hits(self, docs: DataFrame) -> DataFrame:
         """The lines to drop: (doc_id, row_hash, line_no). Filters first, then the exact table."""
         lines = line_keys(docs, self.min_chars).withColumn("shard", _shard(F.col("k1")))
-        cells = (_shard(F.col("k1")), F.pmod(F.col("k2"), F.lit(max(1, partitions(self.spark) // SHARDS))))
-        lines = lines.withColumn("cell", cells[1].cast("int"))
-        # Each filter goes to every cell of its shard, ahead of the lines; a task holds one filter at a time.
-        spread = F.explode(F.sequence(F.lit(0), F.lit(max(1, partitions(self.spark) // SHARDS) - 1)))
+        # Each filter goes to every cell of its shard, ahead of the lines; a task holds one filter at a time. Cells
+        # follow the document, so that a very common line is spread over them.
+        cells = max(CELLS, partitions(self.spark) // SHARDS)
+        lines = lines.withColumn("cell", F.pmod(F.xxhash64("doc_id", "row_hash"), F.lit(cells)).cast("int"))
+        spread = F.explode(F.sequence(F.lit(0), F.lit(cells - 1)))
         tables = self.filters().select("shard", "table", spread.alias("cell"))
         rows = tables.unionByName(lines, allowMissingColumns=True)
         rows = rows.repartition(partitions(self.spark), "shard", "cell").sortWithinPartitions(
