@@ -159,7 +159,7 @@ def write_pages(pages: DataFrame, folder: str, file_bytes: int = FILE_BYTES, sha
     verdicts = small.join(shared, F.col("digest") == F.col("d")).where("page_id IS NULL OR page_id > original").select(
         "shard", "key", "digest", "original").distinct()
     every = rows.unionByName(verdicts, allowMissingColumns=True)
-    every = every.repartition(partitions(spark), "shard").sortWithinPartitions(
+    every = every.repartition(max(partitions(spark), len(cuts)), "shard").sortWithinPartitions(
         "shard", "key", "digest", F.col("payload").isNotNull(), "url")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
