@@ -98,3 +98,10 @@ def test_selections_are_broadcast_only_when_small(spark, lines, files, monkeypat
 def test_keep_small_of_nothing(spark):
     empty = spark.createDataFrame([], "a string, b bigint")
     assert sizes.keep_small(empty).collect() == [] and sizes.keep_small(empty).schema == empty.schema
+
+
+def test_a_broken_promise_of_rows_is_an_error(spark):
+    merged = spark.createDataFrame([("k", 0, i) for i in range(5)], "ts_key string, sel_idx int, line_no bigint")
+    assert merge.merge_positions(merged, 5).count() == 5
+    with pytest.raises(Exception, match="more than the 4 rows"):
+        merge.merge_positions(merged, 4).collect()

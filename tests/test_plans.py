@@ -16,7 +16,7 @@ GLOBAL_WINDOW = {"runs_page", "search_top500", "merge_view", "merge_whole_files"
                  "capacity_cleanup"}
 
 # Global aggregates gather one partial row per task.
-ONE_ROW = {"dashboard_stats", "retention_next", "search_count", "merge_summary", "merged_filter_count", "shown_line_count",
+ONE_ROW = {"dashboard_stats", "cleanup_counts", "retention_next", "search_count", "merge_summary", "merged_filter_count", "shown_line_count",
            "storage_usage", "phase_counts"}
 
 

@@ -98,18 +98,20 @@ def merge_order(merged: DataFrame) -> DataFrame:
     return merged.orderBy("ts_key", "sel_idx", "line_no")
 
 
-def merge_positions(merged: DataFrame, rows_bound: int | None = None) -> DataFrame:
+def merge_positions(merged: DataFrame, rows_bound: int | None = None,
+                    rows_per_chunk: int | None = None) -> DataFrame:
     """Explicit 1-based position in the merge.
 
-    With a proven bound (selection size times tail) of at most a chunk, one window is enough;
-    otherwise positions come from range chunks.
+    With a proven bound (selection size times tail) of at most a chunk, one window is enough; a merge that turns out
+    larger is an error. Otherwise positions come from range chunks.
     """
     order = ["ts_key", "sel_idx", "line_no"]
     if rows_bound is not None and rows_bound <= ROWS_PER_CHUNK:
         pos = F.row_number().over(Window.orderBy(*order)).cast("bigint")
-        return merged.withColumn("pos", pos)
+        too_many = F.raise_error(F.lit(f"the merge has more than the {rows_bound} rows promised")).cast("bigint")
+        return merged.withColumn("pos", F.when(pos <= rows_bound, pos).otherwise(too_many))
     renamed = merged.withColumnRenamed("line_no", "_line_no")
-    numbered = number_lines(renamed, [], ["ts_key", "sel_idx", "_line_no"])
+    numbered = number_lines(renamed, [], ["ts_key", "sel_idx", "_line_no"], rows_per_chunk=rows_per_chunk)
     return (numbered.withColumnRenamed("line_no", "pos").withColumnRenamed("_line_no", "line_no")
             .drop("start_byte"))
 

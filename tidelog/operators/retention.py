@@ -15,6 +15,13 @@ def expired_runs(runs: DataFrame, now: Column, months: int = 1, mtime: str = "cr
     return runs.where(~F.col("run").startswith(".") & (F.col(mtime) < cutoff))
 
 
+def cleanup_counts(dead_offsets: DataFrame, expired: DataFrame) -> DataFrame:
+    """How many saved offsets have lost their file, and how many runs are past their age; none counts as 0."""
+    parts = [rows.agg(F.count(F.lit(1)).alias("n")).select(F.lit(kind).alias("kind"), "n")
+             for kind, rows in (("dead_offsets", dead_offsets), ("expired_runs", expired))]
+    return parts[0].unionAll(parts[1])
+
+
 def retention_next(runs: DataFrame, now: Column, months: int = 1, mtime: str = "created_at",
                    max_drop: int = 1) -> DataFrame:
     """The runs one retention cycle drops: the oldest expired ones, a single one by default.

@@ -327,6 +327,10 @@ BODIES = {
         FROM (SELECT phase, count(*) AS n FROM (SELECT DISTINCT phase, ns, pod, container FROM phases) d GROUP BY phase) c
         GROUP BY ROLLUP (phase)""",
     "expired_runs": "SELECT run, total_bytes FROM expired",
+    "cleanup_counts": """
+        SELECT 'dead_offsets' AS kind, count(*) AS n FROM offsets WHERE path NOT IN (SELECT filename FROM log_files)
+        UNION ALL
+        SELECT 'expired_runs' AS kind, count(*) AS n FROM expired""",
     "retention_next": "SELECT run, total_bytes FROM expired ORDER BY run LIMIT 1",
     "storage_usage": """
         SELECT used_bytes, used_bytes * 3 AS capacity_bytes,

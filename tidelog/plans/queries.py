@@ -371,7 +371,8 @@ def merge_view(spark, sf):
 def merge_whole_files(spark, sf):
     lines, chosen = _selected(spark, sf)
     merged = merge.merge_sources(lines, chosen, None, src.ORDER)
-    return merge.merge_positions(merged).select("pos", "sel_idx", "ts_key", "line_no", "line")
+    merged = merge.merge_positions(merged, rows_per_chunk=src.MERGED_PER_CHUNK)
+    return merged.select("pos", "sel_idx", "ts_key", "line_no", "line")
 
 
 @query
@@ -568,6 +569,13 @@ def expired_runs(spark, sf):
         "run", "total_bytes")
 
 
+@query
+def cleanup_counts(spark, sf):
+    dead = incremental.dead_offsets(src.offsets(spark, sf), src.log_files(spark, sf))
+    expired = retention.expired_runs(_aged_runs(spark, sf), F.to_timestamp(F.lit(NOW)), mtime="mtime")
+    return retention.cleanup_counts(dead, expired)
+
+
 @query
 def retention_next(spark, sf):
     return retention.retention_next(_aged_runs(spark, sf), F.to_timestamp(F.lit(NOW)), mtime="mtime").select(
