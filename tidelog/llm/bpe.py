@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from tidelog.llm.common import partitions, pieces, text_bytes
+from tidelog.llm.common import partitions, pieces, text_bytes, tidy
 from tidelog.llm.pretokens import starts_of
 from tidelog.llm.words import OTHER_BYTE, hashes, mix
 
@@ -186,8 +186,9 @@ def distinct(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np
 
     Names are 64-bit hashes; a second hash makes sure that equal names are equal spans.
     """
-    names, other = _names(data, starts, ends), hashes(data, starts, ends, table=OTHER_BYTE)
-    found, first, place = np.unique(names, return_index=True, return_inverse=True)
+    found, first, place = np.unique(_names(data, starts, ends), return_index=True, return_inverse=True)
+    place = place.astype(np.uint32)
+    other = hashes(data, starts, ends, table=OTHER_BYTE)
     if (other[first][place] != other).any():
         raise ValueError("two words share a 64-bit hash")
     return found, first, place
@@ -336,14 +337,14 @@ def encode_documents(docs: DataFrame, ranks: dict[bytes, int], key: str = "doc_i
                     yield pa.RecordBatch.from_arrays([some.column("k").take(pa.array(at)), pa.array(out, pa.binary())],
                                                      [key, "ids"])
 
-    words = rows.mapInArrow(dictionaries, "part int, block binary, places binary, sizes binary, words binary")
+    words = rows.mapInArrow(tidy(dictionaries), "part int, block binary, places binary, sizes binary, words binary")
     encoded = words.repartition(n, "part").sortWithinPartitions("part").mapInArrow(
-        merged, "block binary, places binary, counts binary, ids binary")
-    positions = rows.mapInArrow(places, f"block binary, k {kind}, packed binary, n_words int")
+        tidy(merged), "block binary, places binary, counts binary, ids binary")
+    positions = rows.mapInArrow(tidy(places), f"block binary, k {kind}, packed binary, n_words int")
     both = encoded.unionByName(positions, allowMissingColumns=True).repartition(n, "block")
     both = both.sortWithinPartitions("block", F.col("ids").isNull())
     return both.select("block", "places", "counts", "ids", "k", "packed", "n_words").mapInArrow(
-        assembled, f"`{key}` {kind}, ids binary")
+        tidy(assembled), f"`{key}` {kind}, ids binary")
 
 
 def _merged(rows: list[dict], merger: Merger, narrow: np.dtype) -> Iterator[pa.RecordBatch]:
@@ -407,7 +408,7 @@ def decode_documents(encoded: DataFrame, ranks: dict[bytes, int], key: str = "do
                 yield pa.RecordBatch.from_arrays([part.column("k"), part.column("ids"), pa.array(out, pa.binary())],
                                                  [key, "ids", "decoded"])
 
-    return encoded.select(F.col(key).alias("k"), "ids").mapInArrow(decode, f"`{key}` {kind}, ids binary, decoded binary")
+    return encoded.select(F.col(key).alias("k"), "ids").mapInArrow(tidy(decode), f"`{key}` {kind}, ids binary, decoded binary")
 
 
 def public_ranks() -> dict[bytes, int]:
@@ -436,4 +437,4 @@ def with_id_arrays(encoded: DataFrame) -> DataFrame:
                                               pa.array(ids, pa.list_(pa.int32()))], [key, "n_tokens", "ids"])
 
     kind = encoded.schema[key].dataType.simpleString()
-    return encoded.select(key, "ids").mapInArrow(widen, f"`{key}` {kind}, n_tokens bigint, ids array<int>")
+    return encoded.select(key, "ids").mapInArrow(tidy(widen), f"`{key}` {kind}, n_tokens bigint, ids array<int>")

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-PIECE_BYTES = 8 << 20  # texts a Python function holds at once, unless one text alone is longer
+PIECE_BYTES = 4 << 20  # texts a Python function holds at once, unless one text alone is longer
 PIECE_ROWS = 1 << 15
 
 
@@ -59,6 +61,24 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str, limit: int = PIECE_BY
             at = to
 
 
+def tidy(function: Callable) -> Callable:
+    """A function over Arrow batches that gives freed memory back to the system at its end: Python workers serve many
+    tasks, and what their allocators keep adds up."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from function(batches)
+        release()
+
+    return run
+
+
+def release() -> None:
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # not every C library has it
+    if trim is not None:
+        trim(0)
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string array, and n + 1 offsets into them. Null counts as empty."""
     column = pc.fill_null(column, "") if column.null_count else column

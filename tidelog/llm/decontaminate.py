@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import pieces, text_bytes, text_hash
+from tidelog.llm.common import pieces, text_bytes, text_hash, tidy
 from tidelog.llm.words import LOWER, hashes, mix, runs, spans
 
 WINDOW = 8
@@ -134,7 +134,7 @@ def item_windows(benchmark: DataFrame) -> DataFrame:
                      *(out.column(c) for c in ("h", "at", "slots"))], ["item_id", "length", "h", "at", "slots"])
 
     kind = benchmark.schema["item_id"].dataType.simpleString()
-    return benchmark.select("item_id", "text").mapInArrow(emit, f"item_id {kind}, length int, {COLUMNS}")
+    return benchmark.select("item_id", "text").mapInArrow(tidy(emit), f"item_id {kind}, length int, {COLUMNS}")
 
 
 def document_windows(docs: DataFrame, items: DataFrame) -> DataFrame:
@@ -160,7 +160,7 @@ def document_windows(docs: DataFrame, items: DataFrame) -> DataFrame:
 
     rows = docs.select("doc_id", text_hash().alias("row_hash"), "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(emit, f"doc_id {kind}, row_hash bigint, {COLUMNS}")
+    return rows.mapInArrow(tidy(emit), f"doc_id {kind}, row_hash bigint, {COLUMNS}")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

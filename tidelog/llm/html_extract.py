@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import pieces
+from tidelog.llm.common import pieces, tidy
 from tidelog.llm.html_blocks import Block, blocks
 from tidelog.llm.words import hashes, spans
 
@@ -279,7 +279,7 @@ def extract(pages: DataFrame, labeller: Labeller) -> DataFrame:
                      for page, ps in zip(found, held.value.label(found))]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(texts, pa.string())], [*names, "text"])
 
-    return pages.select(*names).mapInArrow(read, pages.select(*names).schema.add("text", "string"))
+    return pages.select(*names).mapInArrow(tidy(read), pages.select(*names).schema.add("text", "string"))
 
 
 def main_text_report(pages: DataFrame) -> DataFrame:

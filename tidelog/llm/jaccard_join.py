@@ -26,14 +26,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import partitions, pieces, shared_folder, stored, text_bytes, text_hash
+from tidelog.llm.common import partitions, pieces, shared_folder, stored, text_bytes, text_hash, tidy
 from tidelog.llm.components import components
 from tidelog.llm.words import hashes, mix, runs, spans, whole
 
 SHINGLE = 5
 SMALLEST = 3  # smaller sets link with equal ones only
 CHUNK = 1 << 15  # members to a row
-CELL = 2048  # members of a block of a large bucket
+CELL = 1024  # members of a block of a large bucket
 FILTER_BITS = 1 << 22  # the size of a filter of doc_ids, whatever the table's is
 
 
@@ -137,7 +137,7 @@ def describe(docs: DataFrame) -> DataFrame:
                 ["doc_id", "row_hash", "n_shingles", "set_id", "sketch"])
 
     rows = docs.select("doc_id", text_hash().alias("row_hash"), "text")
-    return rows.mapInArrow(sketch, f"doc_id {kind}, row_hash bigint, n_shingles bigint, set_id bigint, sketch binary")
+    return rows.mapInArrow(tidy(sketch), f"doc_id {kind}, row_hash bigint, n_shingles bigint, set_id bigint, sketch binary")
 
 
 def buckets(docs: DataFrame) -> DataFrame:
@@ -181,8 +181,8 @@ def buckets(docs: DataFrame) -> DataFrame:
         if held:
             yield from _met(held)
 
-    rows = docs.select(F.col("text").alias("t")).mapInArrow(emit, "part int, names binary, places binary, packed binary")
-    return rows.repartition(n, "part").sortWithinPartitions("part").mapInArrow(meet, "bucket bigint, members binary")
+    rows = docs.select(F.col("text").alias("t")).mapInArrow(tidy(emit), "part int, names binary, places binary, packed binary")
+    return rows.repartition(n, "part").sortWithinPartitions("part").mapInArrow(tidy(meet), "bucket bigint, members binary")
 
 
 def _met(rows: list[list[bytes]]) -> Iterator[pa.RecordBatch]:
@@ -229,7 +229,7 @@ def members(table: DataFrame) -> DataFrame:
                      pa.array(np.repeat([m[0] for m in each], sizes), pa.int64()),
                      pa.array(np.concatenate([m[1:] for m in each]), pa.int64())], ["bucket", "pivot", "x"])
 
-    return table.mapInArrow(expand, "bucket bigint, pivot bigint, x bigint")
+    return table.mapInArrow(tidy(expand), "bucket bigint, pivot bigint, x bigint")
 
 
 def near_pairs(rows: DataFrame, spanning: bool) -> DataFrame:
@@ -260,7 +260,7 @@ def near_pairs(rows: DataFrame, spanning: bool) -> DataFrame:
                 held.append(row[3:])
         yield from _near(cell, held, spanning)
 
-    return rows.mapInArrow(compare, "x bigint, y bigint").distinct()
+    return rows.mapInArrow(tidy(compare), "x bigint, y bigint").distinct()
 
 
 def _near(cell, held: list[tuple], spanning: bool) -> Iterator[pa.RecordBatch]:
@@ -349,7 +349,7 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     of_x = texts.select(F.col("set_id").alias("x"), F.col("text").alias("text_x"))
     of_y = texts.select(F.col("set_id").alias("y"), F.col("text").alias("text_y"))
     return pairs.join(of_x, "x").join(of_y, "y").select("x", "y", "text_x", "text_y").mapInArrow(
-        check, "x bigint, y bigint")
+        tidy(check), "x bigint, y bigint")
 
 
 class JaccardJoin:
@@ -437,7 +437,7 @@ def _perhaps(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             yield batch.filter(pa.array(bits[np.asarray(batch.column("cell"))])).select(["doc_id", "text"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text", _cell("doc_id").alias("cell")).mapInArrow(keep, f"doc_id {kind}, text string")
+    return docs.select("doc_id", "text", _cell("doc_id").alias("cell")).mapInArrow(tidy(keep), f"doc_id {kind}, text string")
 
 
 def _right_text(found: DataFrame) -> DataFrame:
@@ -449,7 +449,7 @@ def _right_text(found: DataFrame) -> DataFrame:
             good = [i == w and w not in seen and not seen.add(w) for i, w in zip(ids, batch.column("set_id").to_pylist())]
             yield batch.filter(pa.array(good, pa.bool_()))
 
-    return found.select(F.col("wanted").alias("set_id"), "text").mapInArrow(keep, "set_id bigint, text string")
+    return found.select(F.col("wanted").alias("set_id"), "text").mapInArrow(tidy(keep), "set_id bigint, text string")
 
 
 def group_documents(docs: DataFrame) -> DataFrame:

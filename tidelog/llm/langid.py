@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.llm.bpe import read_ranks
-from tidelog.llm.common import pieces, text_bytes
+from tidelog.llm.common import pieces, text_bytes, tidy
 from tidelog.llm.words import BASE, BYTE, INVERSE, LOWER, hashes, mix, powers, spans
 
 MAX_PIECE = 8
@@ -34,7 +34,8 @@ SAMPLE_CHARS = 20_000  # longer documents are not learned from
 SAMPLE_WORDS = 60_000  # distinct words to learn from, per language, the most frequent
 ROUNDS = 4
 SMOOTH = 0.01
-MEMO = 1 << 19
+MEMO = 1 << 18
+SCORED_BYTES = 2 << 20  # texts scored at once
 UNKNOWN = "und"
 
 _up, _down = powers(BASE, UNIT), powers(INVERSE, UNIT + 1)
@@ -191,7 +192,7 @@ def learn(docs: DataFrame, vocabulary_path: str) -> Model:
         p = fit([bytes(w) for w in best["word"]], best["n"].to_numpy(float), Vocabulary(held.value))
         return pd.DataFrame({"lang": [words["lang"].iloc[0]], "p": [p.tobytes()]})
 
-    counted = (sample.select("lang", "text").mapInArrow(count, "lang string, word binary, n bigint")
+    counted = (sample.select("lang", "text").mapInArrow(tidy(count), "lang string, word binary, n bigint")
                .groupBy("lang", "word").agg(F.sum("n").alias("n")))
     rows = sorted(counted.groupBy("lang").applyInPandas(train, "lang string, p binary").collect())  # a row per language
     table = np.zeros((vocabulary.size + 1, len(rows)))
@@ -257,7 +258,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = Memo(held.value)
         languages = np.array(held.value.languages, object)
-        for batch in pieces(batches, "text"):
+        for batch in pieces(batches, "text", SCORED_BYTES):
             sure = np.asarray(batch.column(letters)).astype(bool) & bool(len(languages))
             best, score = np.full(len(batch), UNKNOWN, object), np.zeros(len(batch))
             if sure.any():
@@ -269,7 +270,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
     rows = docs.select(*names, F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias(letters))
     schema = docs.select(*names).schema.add("lang_pred", "string").add("lang_score", "double")
-    return rows.mapInArrow(predict, schema)
+    return rows.mapInArrow(tidy(predict), schema)
 
 
 def public_vocabulary() -> str:

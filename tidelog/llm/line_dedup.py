@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import partitions, shared_folder, text_hash
+from tidelog.llm.common import partitions, shared_folder, text_hash, tidy
 from tidelog.llm.cuckoo import CuckooFilter
 
 SHARDS = 64
@@ -169,7 +169,7 @@ class LineState:
         rows = rows.repartition(partitions(self.spark), "shard", "cell").sortWithinPartitions(
             "shard", "cell", F.col("table").isNull())
         probed = rows.select("shard", "cell", "table", "doc_id", "row_hash", "line_no", "k1", "k2").mapInArrow(
-            _probe, "doc_id bigint, row_hash bigint, line_no int, k1 bigint, k2 bigint")
+            tidy(_probe), "doc_id bigint, row_hash bigint, line_no int, k1 bigint, k2 bigint")
         exact = self.common().select(F.col("k1").alias("c1"), F.col("k2").alias("c2"), "last_doc")
         found = probed.join(exact, (F.col("k1") == F.col("c1")) & (F.col("k2") == F.col("c2")))
         return found.where(~F.col("doc_id").eqNullSafe(F.col("last_doc"))).select("doc_id", "row_hash", "line_no")

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import pieces
+from tidelog.llm.common import pieces, tidy
 
 BASE = ["email", "ip", "card", "phone"]
 KINDS = [*BASE, "url", "account"]
@@ -146,7 +146,7 @@ def find_personal_data(docs: DataFrame, key: str = "doc_id", text: str = "text")
             yield pa.RecordBatch.from_arrays([batch.column("k"), pa.array(spans, of)], [key, "spans"])
 
     rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
-    return rows.mapInArrow(search, f"`{key}` {kind}, spans array<struct<kind:string,start:bigint,end:bigint>>")
+    return rows.mapInArrow(tidy(search), f"`{key}` {kind}, spans array<struct<kind:string,start:bigint,end:bigint>>")
 
 
 def listed(spans: Column) -> Column:

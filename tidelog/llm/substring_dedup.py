@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import pieces, text_bytes
+from tidelog.llm.common import pieces, text_bytes, tidy
 from tidelog.llm.words import BASE, INVERSE, hashes, mix, powers, spans
 
 RUN = 3
@@ -102,7 +102,7 @@ def _spans(docs: DataFrame, again: bool) -> DataFrame:
                 [pa.array(s.hash[chosen].view(np.int64)), batch.column("id").take(pa.array(s.text[at])),
                  pa.array(s.nth()[chosen].astype(np.int32))], ["h", "id", "nth"])
 
-    return docs.select("id", "t").mapInArrow(emit, "h bigint, id bigint, nth int")
+    return docs.select("id", "t").mapInArrow(tidy(emit), "h bigint, id bigint, nth int")
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
@@ -153,7 +153,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                 ["doc_id", "first_docs", "n_sentences", "n_removed", "removed", "text"])
 
     joined = rows.join(drops, F.col("id") == F.col("drop_id")).select("doc_id", "t", "drops")
-    return joined.mapInArrow(cut, "doc_id bigint, first_docs array<bigint>, n_sentences bigint, n_removed bigint, "
+    return joined.mapInArrow(tidy(cut), "doc_id bigint, first_docs array<bigint>, n_sentences bigint, n_removed bigint, "
                                   "removed array<struct<start:bigint,end:bigint>>, text string")
 
 

@@ -28,7 +28,7 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import partitions, pieces, shared_folder
+from tidelog.llm.common import partitions, pieces, shared_folder, tidy
 
 MIN_SHARED = 100
 FILE_BYTES = 64 << 20  # compressed
@@ -185,7 +185,7 @@ def write_pages(pages: DataFrame, folder: str, file_bytes: int = FILE_BYTES, sha
             yield pa.RecordBatch.from_pylist([dict(zip(
                 ("shard", "name", "temporary", "records", "size", "sha256"), row)) for row in done], _ARROW)
 
-    written = every.select("shard", "key", "digest", "original", "page_id", "url", "payload").mapInArrow(write, MANIFEST)
+    written = every.select("shard", "key", "digest", "original", "page_id", "url", "payload").mapInArrow(tidy(write), MANIFEST)
     written.write.mode("overwrite").parquet(f"{folder}/pending")
 
     def commit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,7 +197,7 @@ def write_pages(pages: DataFrame, folder: str, file_bytes: int = FILE_BYTES, sha
             yield batch
 
     pending = spark.read.schema(MANIFEST).parquet(f"{folder}/pending")
-    pending.mapInArrow(commit, MANIFEST).write.mode("overwrite").parquet(f"{folder}/manifest")
+    pending.mapInArrow(tidy(commit), MANIFEST).write.mode("overwrite").parquet(f"{folder}/manifest")
     return read_manifest(spark, folder)
 
 
@@ -249,7 +249,7 @@ def read_pages(spark: SparkSession, folder: str, payloads: bool = True) -> DataF
             yield pa.RecordBatch.from_pylist(rows, _PAGES)
 
     names = read_manifest(spark, folder).select("name").repartition(partitions(spark))
-    return names.mapInArrow(read, "page_id bigint, url string, record_type string, refers_to bigint, "
+    return names.mapInArrow(tidy(read), "page_id bigint, url string, record_type string, refers_to bigint, "
                                   "payload_digest string, payload_bytes bigint, payload binary")
 
 
