@@ -33,6 +33,7 @@ from tidelog.llm.words import hashes, mix, runs, spans, whole
 SHINGLE = 5
 SMALLEST = 3  # smaller sets link with equal ones only
 CHUNK = 1 << 15  # members to a row
+SKETCH_BITS = 1024  # of a sketch of single bits, at least
 CELL = 1024  # members of a block of a large bucket
 FILTER_BITS = 1 << 22  # the size of a filter of doc_ids, whatever the table's is
 
@@ -106,8 +107,11 @@ def keys_of(shingles: np.ndarray) -> np.ndarray:
 
 
 def bit_sketch(shingles: np.ndarray) -> bytes:
-    """Parity of the shingles per bit; one bit or more to a shingle, a power of two in all."""
-    bits = max(64, 1 << (len(shingles) - 1).bit_length())
+    """Parity of the shingles per bit; one bit or more to a shingle, a power of two in all.
+
+    Short sets get many bits to a shingle: then few pairs pass that are just below the threshold.
+    """
+    bits = max(SKETCH_BITS, 1 << (len(shingles) - 1).bit_length())
     odd = np.bincount((shingles & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
