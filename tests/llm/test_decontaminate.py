@@ -92,3 +92,17 @@ def test_odd_rows(spark):
     none = spark.createDataFrame([], ITEMS)
     assert d.leaks(docs, none).collect() == [] and d.without_leaks(docs, none).count() == len(rows)
     assert d.leaks(docs.limit(0), items).collect() == []
+
+
+def test_each_occurrence_is_judged_alone(spark):
+    other = QUESTION.replace("Alice", "Eve").replace("Bob", "Tom").replace("12", "40").replace("7", "9")
+    third = other.replace("Eve", "Zoe").replace("Tom", "Max").replace("40", "31").replace("5", "6")
+    rows = {r.doc_id: r for r in d.leaks(*frames(spark, [f"{other} {third}", f"{other} Words between. {QUESTION}",
+                                                         f"Numbered: {third}\n{other}\n{QUESTION}", "clean"])).collect()}
+    assert set(rows) == {0, 1, 2}
+    assert not rows[0].exact and rows[1].exact and rows[2].exact
+
+
+def test_edited_copies_are_one_occurrence(spark):
+    edited = QUESTION.replace("buys", "quickly buys").replace("because", "only because").replace("Alice", "Eve")
+    assert found(d.leaks(*frames(spark, [f"{edited} {edited.replace('Eve', 'Zoe')}"]))) == {(0, 0)}

@@ -6,7 +6,9 @@ Every window of WINDOW tokens is hashed, and the hashes of documents and benchma
 other numbers or names in it still has the same windows; whether it is the same question is told by its slots: where
 the item has one value twice, the document must have one value twice as well.
 
-A document is contaminated by an item if it holds MIN_SHARE of the item's windows, and its slots are consistent.
+A document is contaminated by an item if one occurrence in it holds MIN_SHARE of the item's windows, and that
+occurrence's slots are consistent. Occurrences are the windows of one distance between document and item, the windows
+of distances that lie within half an item (an edited copy has several), and all windows together (scattered parts).
 Items with fewer tokens than WINDOW are one window of their own length; those with fewer than SHORTEST are left out.
 Windows with fewer than MIN_LITERAL ordinary words count on neither side.
 """
@@ -17,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.llm.common import pieces, text_bytes, text_hash, tidy
@@ -119,7 +121,7 @@ def _rows(t: Templates, at: np.ndarray, h: np.ndarray, length: int, batch: pa.Re
 
 
 def item_windows(benchmark: DataFrame) -> DataFrame:
-    """(item_id, length, h, at, slots) of every item; length is WINDOW, or the item's own if that is shorter."""
+    """(item_id, length, size, h, at, slots) of every item; size is its tokens, length is WINDOW, or size if that is less."""
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):
             t = Templates(batch.column("text"))
@@ -130,11 +132,11 @@ def item_windows(benchmark: DataFrame) -> DataFrame:
                 right = sizes[of] >= WINDOW if length == WINDOW else sizes[of] == length
                 out = _rows(t, at[right], h[right], length, batch, ["item_id"])
                 yield pa.RecordBatch.from_arrays(
-                    [out.column("item_id"), pa.array([length] * len(out), pa.int32()),
-                     *(out.column(c) for c in ("h", "at", "slots"))], ["item_id", "length", "h", "at", "slots"])
+                    [out.column("item_id"), pa.array([length] * len(out), pa.int32()), pa.array(sizes[of[right]].astype(np.int32)),
+                     *(out.column(c) for c in ("h", "at", "slots"))], ["item_id", "length", "size", "h", "at", "slots"])
 
     kind = benchmark.schema["item_id"].dataType.simpleString()
-    return benchmark.select("item_id", "text").mapInArrow(tidy(emit), f"item_id {kind}, length int, {COLUMNS}")
+    return benchmark.select("item_id", "text").mapInArrow(tidy(emit), f"item_id {kind}, length int, size int, {COLUMNS}")
 
 
 def document_windows(docs: DataFrame, items: DataFrame) -> DataFrame:
@@ -167,7 +169,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row per contaminated document and item.
 
     Columns: doc_id, row_hash, item_id; n_matched and n_windows (of the item); n_slots and n_consistent (distinct slot
-    values of the item, and those with one counterpart); exact (every slot has the item's own value).
+    values of the item, and those with one counterpart); exact (every slot has the item's own value). The figures are
+    those of one occurrence: an exact one if there is any, of several the one with most windows.
 
     Null texts have no windows; null ids are kept, and rows with equal doc_id are told apart by their text; equal rows
     count once. Equal items are separate items. Empty tables give an empty result; other columns are not read.
@@ -175,27 +178,38 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     items = item_windows(benchmark)
     found = document_windows(docs, items)
     sizes = items.groupBy("item_id").agg(F.countDistinct("at").alias("n_windows"))
-    item_side = items.select(F.col("h").alias("item_h"), "item_id", F.col("at").alias("item_at"),
+    item_side = items.select(F.col("h").alias("item_h"), "item_id", "size", F.col("at").alias("item_at"),
                              F.col("slots").alias("item_slots"))
     met = found.join(item_side, F.col("h") == F.col("item_h")).where(F.size("slots") == F.size("item_slots"))
-    pair = ["doc_id", "row_hash", "item_id"]
-    matched = met.groupBy(*pair).agg(F.countDistinct("item_at").alias("n_matched"))
-    slots = met.select(*pair, F.explode(F.arrays_zip("item_slots", "slots")).alias("s")).select(
-        *pair, F.col("s.item_slots").alias("own"), F.col("s.slots").alias("other")).distinct()
-    per_value = slots.groupBy(*pair, "own").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("own") != F.col("other")).alias("differs"))
-    judged = per_value.groupBy(*pair).agg(F.count(F.lit(1)).alias("n_slots"),
-                                          F.count(F.when(F.col("n") == 1, 1)).alias("n_consistent"),
-                                          F.max("differs").alias("differs"))
-    judged = judged.select(*(F.col(c).alias(f"j_{c}") for c in pair), "n_slots", "n_consistent", "differs")
+    met = met.withColumn("place", F.explode(_places(F.col("at") - F.col("item_at"), F.col("size"))))
+    group = ["doc_id", "row_hash", "item_id", "place"]
+    matched = met.groupBy(*group).agg(F.countDistinct("item_at").alias("n_matched"))
+    slots = met.select(*group, F.explode(F.arrays_zip("item_slots", "slots")).alias("s")).select(
+        *group, F.col("s.item_slots").alias("own"), F.col("s.slots").alias("other")).distinct()
+    per_value = slots.groupBy(*group, "own").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("own") != F.col("other")).alias("differs"))
+    judged = per_value.groupBy(*group).agg(F.count(F.lit(1)).alias("n_slots"),
+                                           F.count(F.when(F.col("n") == 1, 1)).alias("n_consistent"),
+                                           F.max("differs").alias("differs"))
+    judged = judged.select(*(F.col(c).alias(f"j_{c}") for c in group), "n_slots", "n_consistent", "differs")
     both = matched.join(judged, F.col("doc_id").eqNullSafe(F.col("j_doc_id"))
-                        & (F.col("row_hash") == F.col("j_row_hash"))
-                        & F.col("item_id").eqNullSafe(F.col("j_item_id")), "left").drop(*(f"j_{c}" for c in pair))
+                        & (F.col("row_hash") == F.col("j_row_hash")) & (F.col("place") == F.col("j_place"))
+                        & F.col("item_id").eqNullSafe(F.col("j_item_id")), "left").drop(*(f"j_{c}" for c in group))
     sizes = sizes.withColumnRenamed("item_id", "size_item")
     both = both.join(sizes, F.col("item_id").eqNullSafe(F.col("size_item"))).drop("size_item")
     both = both.fillna(0, ["n_slots", "n_consistent"]).withColumn("exact", ~F.coalesce("differs", F.lit(False)))
     enough = F.col("n_matched") >= F.greatest(F.lit(1), F.ceil(F.col("n_windows") * MIN_SHARE))
-    return both.where(enough & (F.col("n_consistent") >= F.col("n_slots") * CONSISTENT)).select(
-        *pair, "n_matched", "n_windows", "n_slots", "n_consistent", "exact")
+    held = both.where(enough & (F.col("n_consistent") >= F.col("n_slots") * CONSISTENT))
+    best = F.max(F.struct("exact", "n_matched", "n_consistent", "n_slots", "n_windows")).alias("best")
+    return held.groupBy("doc_id", "row_hash", "item_id").agg(best).select(
+        "doc_id", "row_hash", "item_id", *(f"best.{c}" for c in ("n_matched", "n_windows", "n_slots", "n_consistent", "exact")))
+
+
+def _places(shift: Column, size: Column) -> Column:
+    """The occurrences a matched window may belong to, by its distance from the place it has in the item: that distance
+    alone, two runs of distances half an item wide that overlap by half, and the whole document."""
+    width = F.greatest(F.lit(2), F.floor(size / 2))
+    places = [(0, F.lit(0)), (1, shift), (2, F.floor(shift / width)), (3, F.floor((shift + F.floor(width / 2)) / width))]
+    return F.array(*(F.struct(F.lit(kind).alias("kind"), at.cast("bigint").alias("at")) for kind, at in places))
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
