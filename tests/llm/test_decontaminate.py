@@ -106,3 +106,23 @@ def test_each_occurrence_is_judged_alone(spark):
 def test_edited_copies_are_one_occurrence(spark):
     edited = QUESTION.replace("buys", "quickly buys").replace("because", "only because").replace("Alice", "Eve")
     assert found(d.leaks(*frames(spark, [f"{edited} {edited.replace('Eve', 'Zoe')}"]))) == {(0, 0)}
+
+
+STORY = "Tom has 5 apples. Tom buys 3 more apples. Tom gives 2 of them away. Tom then counts what is left."
+
+
+def test_names_that_begin_sentences(spark):
+    other = STORY.replace("Tom", "Kate").replace("5", "9")
+    mixed = STORY
+    for name in ("Kate", "Ann", "Max", "Eve"):
+        mixed = mixed.replace("Tom", name, 1)
+    rows = {r.doc_id: r for r in d.leaks(*frames(spark, [f"Solve this. {other}", mixed, STORY], [STORY])).collect()}
+    assert set(rows) == {0, 2} and not rows[0].exact and rows[2].exact
+
+
+def test_names_of_two_words(spark):
+    both = QUESTION.replace("Alice", "Mary Ann").replace("Bob", "John Smith")
+    broken = QUESTION.replace("Alice", "Mary Ann", 1).replace("Bob", "John Smith", 1).replace("12", "5")
+    assert found(d.leaks(*frames(spark, [both, "Text. " + both, broken]))) >= {(0, 0), (1, 0)}
+    t = d.Templates(pa.array(["Later Mary Ann met Bob, Eve. Tom", None, "Ann"])).wide()
+    assert t.slot.tolist() == [2, 0, 2, 2, 2, 2] and t.edges.tolist() == [0, 5, 5, 6]
