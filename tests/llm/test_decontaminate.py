@@ -126,3 +126,16 @@ def test_names_of_two_words(spark):
     assert found(d.leaks(*frames(spark, [both, "Text. " + both, broken]))) >= {(0, 0), (1, 0)}
     t = d.Templates(pa.array(["Later Mary Ann met Bob, Eve. Tom", None, "Ann"])).wide()
     assert t.slot.tolist() == [2, 0, 2, 2, 2, 2] and t.edges.tolist() == [0, 5, 5, 6]
+
+
+def test_items_of_numbers_are_found_verbatim(spark):
+    items = ["3 5 7 9 11 13, what is next", "Ann Bob 3 kg 4", "1 2 3 4 5 6 7 8 9 10 11 12"]
+    texts = [f"Quiz: {items[0]}?", "So Ann Bob 3 kg 4 is it", f"0 {items[2]} 13", "3 5 7 9 11 15, what is next",
+             "1 2 3 4 5 6 7 8 9 10 and 3 4 5 6 7 8 9 10 11 12"]
+    assert found(d.leaks(*frames(spark, texts, items))) == {(0, 0), (1, 1), (2, 2)}
+
+
+def test_scripts_without_spaces(spark):
+    items = ["日本の首都はどこですか", "ประเทศไทยมีกี่จังหวัด"]
+    texts = [f"問題:{items[0]}。答えは東京です。", f"ถาม {items[1]} ตอบ", "日本の首都は東京です"]
+    assert found(d.leaks(*frames(spark, texts, items))) >= {(0, 0), (1, 1)}

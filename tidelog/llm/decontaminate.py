@@ -13,7 +13,9 @@ A document is contaminated by an item if one occurrence in it holds MIN_SHARE of
 occurrence's slots are consistent. Occurrences are the windows of one distance between document and item, the windows
 of distances that lie within half an item (an edited copy has several), and all windows together (scattered parts).
 Items with fewer tokens than WINDOW are one window of their own length; those with fewer than SHORTEST are left out.
-Windows with fewer than MIN_LITERAL ordinary words count on neither side.
+Windows with fewer than MIN_LITERAL ordinary words count on neither side. An item without any other windows has a third
+form, of the words and values themselves; a document holds it only if it has all of its windows in the item's order.
+Each character of a script written without spaces is a token.
 """
 
 from __future__ import annotations
@@ -46,10 +48,32 @@ _MARKS = np.zeros(256, bool)
 _MARKS[list(b".,;:!?()[]{}\"'*#&$%<>")] = True
 _STOP = np.zeros(256, bool)
 _STOP[list(b".!?:")] = True
-PLAIN, WIDE = 0, 1  # forms of windows
+PLAIN, WIDE, VERBATIM = 0, 1, 2  # forms of windows
 _NUMBER, _NAME, _UNIT = mix(np.arange(1, 4, dtype=np.uint64))
 
 
+# Scripts without spaces: kana and ideographs of three and four bytes; Thai and Lao, Burmese, Khmer. By the first two bytes.
+_UNSPACED = np.zeros((256, 256), bool)
+_UNSPACED[0xE3:0xEA, 0x80:0xC0] = True
+_UNSPACED[0xE0, 0xB8:0xBC] = True
+_UNSPACED[0xE1, 0x80:0x83] = True
+_UNSPACED[0xE1, 0x9E:0xA0] = True
+_UNSPACED[0xEF, 0xA4:0xAC] = True
+_UNSPACED[0xF0, 0xA0:0xB4] = True
+
+
+def _cut_unspaced(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Spans cut before and after each character of a script without spaces."""
+    lead = np.flatnonzero(data[:-1] >= 0xE0)
+    lead = lead[_UNSPACED[data[lead], data[lead + 1]]]
+    if not len(lead):
+        return starts, ends
+    cuts = np.unique(np.concatenate([lead, lead + np.where(data[lead] >= 0xF0, 4, 3)]))
+    word = np.searchsorted(starts, cuts, side="right") - 1
+    cuts = cuts[(word >= 0) & (cuts > starts[word]) & (cuts < ends[word])]
+    return np.sort(np.concatenate([starts, cuts])), np.sort(np.concatenate([ends, cuts]))
+
+
 def _listed(words: list[str]) -> np.ndarray:
     data = np.frombuffer("".join(words).encode(), np.uint8)
     ends = np.cumsum([len(w) for w in words])
@@ -72,7 +96,7 @@ class Templates:
 
     def __init__(self, column: pa.Array):
         data, offsets = text_bytes(column)
-        starts, ends = spans(data, offsets)
+        starts, ends = _cut_unspaced(data, *spans(data, offsets))
         if not len(starts):
             self.edges, self.slot = np.zeros(len(column) + 1, np.int64), np.zeros(0, np.int8)
             self.value = self.token = self.head = self.rest = np.zeros(0, np.uint64)
@@ -140,6 +164,14 @@ class Templates:
             out.value[several] = value_of(0)
         return out
 
+    def verbatim(self) -> Templates:
+        """The same texts, with each word and value standing for itself."""
+        out = Templates.__new__(Templates)
+        out.form, out.edges, out.value, out.token = VERBATIM, self.edges, self.value, self.value
+        out.slot = np.zeros(len(self.value), np.int8)
+        out.head = out.rest = np.zeros(len(self.value), np.uint64)
+        return out
+
     def windows(self, length: int) -> tuple[np.ndarray, np.ndarray]:
         """First token and hash of every window of a length that lies in one text and has enough literal words."""
         n = len(self.token) - length + 1
@@ -175,17 +207,22 @@ def item_windows(benchmark: DataFrame) -> DataFrame:
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):
             plain = Templates(batch.column("text"))
-            for t in (plain, plain.wide()):
-                sizes = np.diff(t.edges)
+            bare = np.ones(len(batch), bool)  # no window yet
+            for t in (plain, plain.wide(), plain.verbatim()):
+                sizes, held = np.diff(t.edges), np.zeros(len(batch), bool)
                 for length in range(SHORTEST, WINDOW + 1):
                     at, h = t.windows(length)
                     of = np.searchsorted(t.edges, at, side="right") - 1
                     right = sizes[of] >= WINDOW if length == WINDOW else sizes[of] == length
+                    if t.form == VERBATIM:
+                        right &= bare[of]
+                    held[of[right]] = True
                     out = _rows(t, at[right], h[right], length, batch, ["item_id"])
                     yield pa.RecordBatch.from_arrays(
                         [out.column("item_id"), pa.array([t.form] * len(out), pa.int32()), pa.array([length] * len(out), pa.int32()),
                          pa.array(sizes[of[right]].astype(np.int32)), *(out.column(c) for c in ("h", "at", "slots"))],
                         ["item_id", "form", "length", "size", "h", "at", "slots"])
+                bare &= ~held
 
     kind = benchmark.schema["item_id"].dataType.simpleString()
     return benchmark.select("item_id", "text").mapInArrow(tidy(emit), f"item_id {kind}, form int, length int, size int, {COLUMNS}")
@@ -205,7 +242,7 @@ def document_windows(docs: DataFrame, items: DataFrame) -> DataFrame:
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):
             plain = Templates(batch.column("text"))
-            forms = {PLAIN: plain, WIDE: plain.wide()}
+            forms = {PLAIN: plain, WIDE: plain.wide(), VERBATIM: plain.verbatim()}
             for form, length in lengths:
                 t = forms[form]
                 at, h = t.windows(length)
@@ -226,7 +263,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     values of the item, and those with one counterpart); exact (every slot has the item's own value). The figures are
     those of one occurrence: an exact one if there is any, of several the one with most windows.
 
-    Null texts have no windows; null ids are kept, and rows with equal doc_id are told apart by their text; equal rows
+    Null texts have no windows, and items of fewer than SHORTEST tokens are not looked for; null ids are kept, and rows with equal doc_id are told apart by their text; equal rows
     count once. Equal items are separate items. Empty tables give an empty result; other columns are not read.
     """
     items = item_windows(benchmark)
@@ -252,7 +289,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     sizes = sizes.withColumnsRenamed({"item_id": "size_item", "form": "size_form"})
     both = both.join(sizes, F.col("item_id").eqNullSafe(F.col("size_item")) & (F.col("form") == F.col("size_form")))
     both = both.fillna(0, ["n_slots", "n_consistent"]).withColumn("exact", ~F.coalesce("differs", F.lit(False)))
-    enough = F.col("n_matched") >= F.greatest(F.lit(1), F.ceil(F.col("n_windows") * MIN_SHARE))
+    whole = (F.col("n_matched") == F.col("n_windows")) & (F.col("place.kind") == 1)  # all windows, at one distance
+    enough = F.when(F.col("form") == VERBATIM, whole).otherwise(
+        F.col("n_matched") >= F.greatest(F.lit(1), F.ceil(F.col("n_windows") * MIN_SHARE)))
     held = both.where(enough & (F.col("n_consistent") >= F.col("n_slots") * CONSISTENT))
     best = F.max(F.struct("exact", "n_matched", "n_consistent", "n_slots", "n_windows")).alias("best")
     return held.groupBy("doc_id", "row_hash", "item_id").agg(best).select(
