@@ -1,4 +1,5 @@
 import hashlib
+import random
 
 from tidelog.llm import fingerprints as f
 from tidelog.llm.queries import QUERIES
@@ -98,3 +99,13 @@ def test_no_python_on_the_main_path(spark):
     plan = QUERIES["op4_fingerprints"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert not any(word in plan for word in ("Python", "Arrow", "Pandas"))
     assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_ids_beyond_doubles(spark):
+    rng = random.Random(5)
+    ids = [2**62 + 37 * i for i in range(150)] + [rng.randrange(-2**63, 2**63) for _ in range(150)] + [2**63 - 1 - i for i in range(9)]
+    ids = sorted(set(ids), reverse=True)
+    frame = spark.createDataFrame([(i, f"text of {i}") for i in ids], SCHEMA)
+    for cells in (3, 40):
+        got = {r.doc_id: r.next_text for r in f.with_next(frame, cells).collect()}
+        assert got == {d: f"text of {ids[(n + 1) % len(ids)]}" for n, d in enumerate(ids)}

@@ -100,12 +100,17 @@ def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
 def cell_cuts(docs: DataFrame, cells: int) -> list[int]:
     """At most `cells` values of doc_id that cut the table into runs of about equal length; the last is the largest.
 
-    Only these numbers reach the driver. percentile_approx merges bounded sketches.
+    Only these numbers reach the driver. percentile_approx merges bounded sketches, in doubles, so its cuts may equal no
+    row; each one gives way to the largest doc_id of its run.
     """
     key = F.coalesce(F.col("doc_id"), F.lit(LOWEST))
     shares = F.array(*[F.lit(i / cells) for i in range(1, cells)], F.lit(1.0))
     row = docs.agg(F.percentile_approx(key, shares).alias("cuts"), F.max(key).alias("top")).first()
-    return sorted({*(row["cuts"] or []), row["top"]}) if row["cuts"] else []
+    if not row["cuts"]:
+        return []
+    rough = sorted({*row["cuts"], row["top"]})
+    run = _cell_of(key, rough, 0, len(rough) - 1).alias("run")
+    return sorted(r["cut"] for r in docs.groupBy(run).agg(F.max(key).alias("cut")).collect())  # a row per run at most
 
 
 def _cell_of(key: Column, cuts: list[int], low: int, high: int) -> Column:
