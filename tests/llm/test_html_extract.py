@@ -88,3 +88,8 @@ def test_odd_rows(spark):
     assert got == sorted([("1", ""), ("2", ""), ("None", whole), ("3", whole), ("3", whole), ("5", ""),
                           ("4", "\n\n".join(["word word."] * 8_000))])
     assert h.main_text_report(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_self_closing_svg_is_skipped_alone():
+    page = "<p>one</p><svg class='a>b' href=\"x\"/><p>two</p><SVG/><p>three</p><svg><path/>no</svg><p>four <svg />five</p>"
+    assert [b.text for b in blocks(page)] == ["one", "two", "three", "four five"]
