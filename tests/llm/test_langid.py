@@ -92,3 +92,16 @@ def test_prediction_does_not_look_at_labels(spark):
     b = langid.identify(frame.withColumn("lang", F.lit("xx")), model).select("doc_id", "lang_pred", "lang_score").collect()
     assert sorted(a) == sorted(b)
     assert pa.array([r.lang_pred for r in a]).null_count == 0
+
+
+def test_languages_of_long_documents_are_learned(spark):
+    short = [(i, "the cat and the dog went to the house with a friend", "en") for i in range(1, 30)]
+    long = [(i, "der Hund und die Katze gingen zum Haus mit einem Freund " * 400, "de") for i in range(30, 60)]
+    assert all(len(text) > langid.SAMPLE_CHARS for _, text, _ in long)
+    docs = spark.createDataFrame(short + long, SCHEMA)
+    model = langid.learn(docs, langid.public_vocabulary())
+    assert model.languages == ["de", "en"]
+    counts = {r["lang"]: r["count"] for r in docs.where(langid.bucket() != 0).groupBy("lang").count().collect()}
+    assert np.exp(model.priors) == pytest.approx([counts["de"] / sum(counts.values()), counts["en"] / sum(counts.values())])
+    (row,) = langid.identify(spark.createDataFrame([(99, "die Katze und der Hund", None)], SCHEMA), model).collect()
+    assert row.lang_pred == "de"

@@ -30,7 +30,7 @@ from tidelog.llm.words import BASE, BYTE, INVERSE, LOWER, hashes, mix, powers, s
 MAX_PIECE = 8
 UNIT = 24
 SAMPLE_DOCS = 1_500  # labelled documents to learn from, per language, about
-SAMPLE_CHARS = 20_000  # longer documents are not learned from
+SAMPLE_CHARS = 20_000  # of longer documents the sample holds the start
 SAMPLE_WORDS = 60_000  # distinct words to learn from, per language, the most frequent
 ROUNDS = 4
 SMOOTH = 0.01
@@ -157,12 +157,12 @@ def bucket(doc_id: str = "doc_id") -> Column:
 
 
 def learn(docs: DataFrame, vocabulary_path: str) -> Model:
-    """A model from the labelled documents whose bucket is not 0. The sample is bounded by the constants above."""
+    """A model from the labelled documents whose bucket is not 0. The sample is bounded by the constants above;
+    languages and priors are those of all these documents."""
     tokens = list(read_ranks(vocabulary_path))
     spark = docs.sparkSession
     held = spark.sparkContext.broadcast(tokens)  # one vocabulary: its size does not depend on the data
-    usable = docs.where((bucket() != 0) & F.col("lang").isNotNull() & F.col("text").isNotNull()
-                        & (F.length("text") <= SAMPLE_CHARS)).select("lang", "text", "doc_id")
+    usable = docs.where((bucket() != 0) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text", "doc_id")
     sizes = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().collect()}  # a row per language
     vocabulary = Vocabulary(tokens)
     if not sizes:
@@ -192,7 +192,7 @@ def learn(docs: DataFrame, vocabulary_path: str) -> Model:
         p = fit([bytes(w) for w in best["word"]], best["n"].to_numpy(float), Vocabulary(held.value))
         return pd.DataFrame({"lang": [words["lang"].iloc[0]], "p": [p.tobytes()]})
 
-    counted = (sample.select("lang", "text").mapInArrow(tidy(count), "lang string, word binary, n bigint")
+    counted = (sample.select("lang", F.substring("text", 1, SAMPLE_CHARS).alias("text")).mapInArrow(tidy(count), "lang string, word binary, n bigint")
                .groupBy("lang", "word").agg(F.sum("n").alias("n")))
     rows = sorted(counted.groupBy("lang").applyInPandas(train, "lang string, p binary").collect())  # a row per language
     table = np.zeros((vocabulary.size + 1, len(rows)))
