@@ -6,7 +6,8 @@ runs from as late as that allows. Spans
 are hashed (words by ASCII white space, A-Z in lower case) and joined over the whole corpus. A sentence covered by any
 span that is not the first of its kind, in order of doc_id and position, is removed.
 
-A repeated passage of over 50 words has at least five sentences so cut, so spans within it reach all of them.
+A repeated passage of over 50 words that begins at a sentence start has at least five sentences so cut, so spans within it
+reach all of them. In one that begins within a sentence, cuts agree only after its first stop.
 """
 
 from __future__ import annotations
