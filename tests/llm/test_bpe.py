@@ -61,7 +61,8 @@ def test_merging_together_and_alone(ranks, library):
     raw = [w.encode() for w in words]
     ends = np.cumsum([len(w) for w in raw])
     data, starts = np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], ends[:-1]])
-    ids, counts = bpe.Merger(ranks).encode(data, starts, ends, bpe._names(data, starts, ends))
+    ids, counts = bpe.Merger(ranks).encode(data, starts, ends, bpe._names(data, starts, ends),
+                                               bpe.hashes(data, starts, ends, table=bpe.OTHER_BYTE))
     at = np.cumsum(counts) - counts
     for i, w in enumerate(raw):
         expected = bpe.merge(w, ranks)
@@ -88,3 +89,24 @@ def test_odd_rows(spark, library):
 def test_a_block_without_its_dictionary_is_an_error():
     with pytest.raises(ValueError, match="changed between"):
         bpe._table([], 3, np.dtype("<u2"))
+
+
+def test_equal_rows_in_several_partitions(spark, ranks, library):
+    text = "the same words, the same block"
+    spread = spark.range(0, 8, 1, 8).selectExpr("cast(1 as bigint) doc_id", f"'{text}' text")  # one row to a task
+    out = bpe.encode_documents(spread, ranks).collect()
+    assert [(r.doc_id, bytes(r.ids)) for r in out] == [(1, np.array(library.encode_ordinary(text), "<u4").tobytes())] * 8
+
+
+def test_words_that_share_a_hash(ranks, library, monkeypatch):
+    words = [" one", " two", "three", " one", "quite a long one", "zzq"]
+    data = np.frombuffer("".join(words).encode(), np.uint8)
+    ends = np.cumsum([len(w) for w in words])
+    starts = np.append(0, ends[:-1])
+    monkeypatch.setattr(bpe, "_names", lambda data, starts, ends: (ends - starts).astype(np.uint64) % np.uint64(2))
+    names, others, first, place = bpe.distinct(data, starts, ends)
+    assert len(first) == 5 and [words[i] for i in first[place]] == words
+    flat, counts = bpe.Merger(ranks).encode(data, starts[first], ends[first], names, others)
+    cuts = np.split(flat, np.cumsum(counts)[:-1])
+    assert [cuts[i].tolist() for i in place] == [library.encode_ordinary(w) if w in (" one", " two", "three", "zzq")
+                                                 else bpe.merge(w.encode(), ranks) for w in words]

@@ -8,8 +8,9 @@
 
 Only dictionaries and packed positions move, never texts, and a common word moves once per block, not once per
 occurrence. Step 1 runs twice, for the dictionaries and for the positions, so that neither has to be stored; a block's
-name is a digest of its content, and a block without its dictionary is an error, so an input that changes between the
-two passes cannot give wrong ids.
+name is a digest of its content, blocks of equal content share one dictionary, and a block without its dictionary is an
+error, so an input that changes between the two passes cannot give wrong ids. Both passes must therefore see the same
+rows in the same order: read `docs` from a stored table, or store a shuffled frame first.
 
 Merging is vectorised over words: in each round the pair of least rank, of equals the leftmost, is joined in every word
 that still has one. Decoding joins ids with the token-byte table.
@@ -109,6 +110,7 @@ class Merger:
         found = _names(data, ends - lengths, ends)
         order = np.argsort(found)
         self.whole, self.whole_rank = found[order], np.array(list(ranks.values()), np.int32)[order]
+        self.whole_other = hashes(data, ends - lengths, ends, table=OTHER_BYTE)[order]
 
     def _rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Rank of the token that two neighbours make, NO_RANK if there is none or one of them is -1."""
@@ -116,14 +118,14 @@ class Merger:
         at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
         return np.where((self.pairs[at] == key) & (a >= 0) & (b >= 0), self.joined[at], NO_RANK)
 
-    def encode(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray,
-               names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all words in a row, and how many each has. `names` are the words' hashes."""
+    def encode(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, names: np.ndarray,
+               others: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words in a row, and how many each has. `names` and `others` are the words' two hashes."""
         lengths = ends - starts
         counts = np.ones(len(starts), np.int64)
         table = np.full((len(starts), SHORT), -1, np.int32)
         at = np.minimum(np.searchsorted(self.whole, names), len(self.whole) - 1)
-        known = self.whole[at] == names
+        known = (self.whole[at] == names) & (self.whole_other[at] == others)
         table[known, 0] = self.whole_rank[at[known]]
         rest = np.flatnonzero(~known & (lengths <= SHORT))
         rest = rest[np.argsort(lengths[rest], kind="stable")]
@@ -181,17 +183,19 @@ def _names(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray
     return hashes(data, starts, ends, lower=False)
 
 
-def distinct(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Name of each distinct span, the first span of that name, and the place of every span among them.
+def distinct(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Name and second hash of each distinct span, its first occurrence, and the place of every span among them.
 
-    Names are 64-bit hashes; a second hash makes sure that equal names are equal spans.
+    Names are 64-bit hashes. Different spans of one name are told apart by the second hash; each has a place of its own.
     """
-    found, first, place = np.unique(_names(data, starts, ends), return_index=True, return_inverse=True)
-    place = place.astype(np.uint32)
+    names = _names(data, starts, ends)
+    found, first, place = np.unique(names, return_index=True, return_inverse=True)
     other = hashes(data, starts, ends, table=OTHER_BYTE)
     if (other[first][place] != other).any():
-        raise ValueError("two words share a 64-bit hash")
-    return found, first, place
+        both = np.rec.fromarrays([names, other])
+        _, first, place = np.unique(both, return_index=True, return_inverse=True)
+        found = names[first]
+    return found, other[first], first, place.astype(np.uint32)
 
 
 class Block:
@@ -215,7 +219,7 @@ class Block:
         self.data, self.edges = np.concatenate(data), np.concatenate(edges)
         starts = np.concatenate(spans)
         ends = np.append(starts[1:], base)
-        names, first, place = distinct(self.data, starts, ends)
+        names, _, first, place = distinct(self.data, starts, ends)
         # Frequent words first, so that packed places are short.
         order = np.argsort(-np.bincount(place, minlength=len(first)), kind="stable")
         rank = np.empty(len(order), np.uint32)
@@ -265,8 +269,9 @@ def unpack(data: bytes) -> np.ndarray:
 def encode_documents(docs: DataFrame, ranks: dict[bytes, int], key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, ids) per row of `docs`, ids as little-endian unsigned 32-bit integers in one binary.
 
-    Null texts count as empty and have no ids; null and repeated keys are kept as they are; equal rows are encoded each;
-    an empty table gives an empty result; further columns are not read. `ranks` must hold all 256 single bytes.
+    Null texts count as empty and have no ids; null and repeated keys are kept as they are; equal rows are encoded each,
+    however they are dealt to tasks; a very long text is a block of its own; an empty table gives an empty result; further
+    columns are not read. `ranks` must hold all 256 single bytes.
     """
     spark = docs.sparkSession
     merger = spark.sparkContext.broadcast(Merger(ranks))  # one vocabulary: its size does not depend on the data
@@ -316,16 +321,19 @@ def encode_documents(docs: DataFrame, ranks: dict[bytes, int], key: str = "doc_i
             yield from _merged(held, merger.value, narrow)
 
     def assembled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows are sorted by block, dictionary first; a task holds one dictionary at a time."""
-        block, parts, table = None, [], None
+        """Rows are sorted by block, dictionary first; a task holds one dictionary at a time. Where several blocks have
+        the same content, each part of their dictionary has come several times, and one copy is kept."""
+        block, parts, table, held = None, [], None, set()
         for batch in batches:
             for low in range(0, len(batch), 256):
                 some, at, out = batch.slice(low, 256), [], []
                 for i, row in enumerate(some.drop_columns(["k"]).to_pylist()):
                     if row["block"] != block:
-                        block, parts, table = row["block"], [], None
+                        block, parts, table, held = row["block"], [], None, set()
                     if row["ids"] is not None:
-                        parts.append(row)
+                        if row["places"] not in held:
+                            held.add(row["places"])
+                            parts.append(row)
                         continue
                     if table is None:
                         table, parts = _table(parts, row["n_words"], narrow), []
@@ -353,8 +361,8 @@ def _merged(rows: list[dict], merger: Merger, narrow: np.dtype) -> Iterator[pa.R
     each = [unpack(r["sizes"]).astype(np.int64) for r in rows]
     ends = np.cumsum(np.concatenate(each))
     starts = np.concatenate([[0], ends[:-1]])
-    names, first, place = distinct(data, starts, ends)
-    ids, counts = merger.encode(data, starts[first], ends[first], names)
+    names, others, first, place = distinct(data, starts, ends)
+    ids, counts = merger.encode(data, starts[first], ends[first], names, others)
     at = np.cumsum(counts) - counts
     low = 0
     for row, sizes in zip(rows, each):
