@@ -16,6 +16,7 @@ from tidelog.llm.line_dedup import line_report
 from tidelog.llm.pii import personal_data_report
 from tidelog.llm.substring_dedup import repeat_report
 from tidelog.llm.warc import archive_report
+from tidelog.llm.whitening import whitening_report
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,7 +63,11 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leak_report(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening_report(_read(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_warc, op2_jaccard_join, op3_substring_dedup, op4_fingerprints, op5_langid, op6_line_dedup, op7_bpe, op8_pii,
-                          op9_html_extract, op10_decontaminate)
+                          op9_html_extract, op10_decontaminate, op12_whitening)
 }
