@@ -1,0 +1,133 @@
+import hashlib
+import random
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+from compare import duck, duck_rows, spark_rows
+from tidelog.llm import merkle as m
+from tidelog.llm.oracle import SQL
+from tidelog.llm.queries import QUERIES
+
+SF = "/root/testdata/sf0.01"
+SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+
+
+def sha(*parts):
+    return hashlib.sha256("".join(parts).encode()).hexdigest()
+
+
+def leaf(doc_id, text, lang, source, n_chars):
+    def framed(value):
+        return "-" if value is None else f"{len(str(value).encode())}:{value}"
+    return sha(*map(framed, (doc_id, source, lang, n_chars, text)))
+
+
+def tree(nodes):
+    """The root, and the siblings (left, right) of every leaf level by level."""
+    owners, paths = [[i] for i in range(len(nodes))], [[] for _ in nodes]
+    while len(nodes) > 1:
+        runs = [range(i, min(i + 3, len(nodes))) for i in range(0, len(nodes), 3)]
+        for run in runs:
+            for i in run:
+                for o in owners[i]:
+                    paths[o].append(([nodes[j] for j in run if j < i], [nodes[j] for j in run if j > i]))
+        nodes, owners = [sha(*(nodes[i] for i in run)) for run in runs], [[o for i in run for o in owners[i]] for run in runs]
+    return nodes[0], paths
+
+
+def plain(docs):
+    """Rows of the report, in order of source, doc_id and leaf."""
+    groups = {}
+    for d in docs:
+        groups.setdefault(d[3], []).append((d[0] is not None, d[0] or 0, leaf(*d), d))
+    order = sorted(groups, key=lambda s: (s is not None, (s or "").encode()))
+    trees = {s: tree([x[2] for x in sorted(groups[s], key=lambda x: x[:3])]) for s in order}
+    root, upper = tree([trees[s][0] for s in order]) if order else ("", [])
+    out = []
+    for s, above in zip(order, upper):
+        for (_, _, own, d), path in zip(sorted(groups[s], key=lambda x: x[:3]), trees[s][1]):
+            even = d[0] is not None and zlib.crc32(str(d[0]).encode()) % 2 == 0
+            top = leaf(d[0], d[1].replace("\n", "") if even and d[1] is not None else d[1], *d[2:])
+            for left, right in path + above:
+                top = sha(*left, top, *right)
+            proof = sha(*(x for left, right in path + above for x in left + right))
+            out.append((d[0], own, trees[s][0], root, proof, top, top == root))
+    return out
+
+
+def check(frame, docs):
+    got = [tuple(r) for r in m.manifest_report(frame).collect()]
+    assert sorted(got, key=repr) == sorted(plain(docs), key=repr)
+    return got
+
+
+def test_report_against_sql(spark):
+    assert spark_rows(QUERIES["op11_merkle"](spark, SF)) == duck_rows(duck(SF), SQL["op11_merkle"])
+
+
+def test_report_against_plain_version(spark):
+    docs = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars").collect()]
+    got = [tuple(r) for r in QUERIES["op11_merkle"](spark, SF).collect()]
+    assert sorted(got) == sorted(plain(docs))
+    assert 0.2 < sum(r[-1] for r in got) / len(got) < 1
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 4, 2186, 2187, 2188, 4374, 4375])
+def test_sizes_around_a_block(spark, n):
+    rows = [(i * 7 - 50, f"text\n{i}", "en", "hot", i) for i in range(n)] + [(-1000, "x", None, None, None)]
+    random.Random(n).shuffle(rows)
+    check(spark.createDataFrame(rows, SCHEMA).repartition(5), rows)
+
+
+def test_more_groups_than_leaves_of_a_block(spark):
+    rows = [(i, f"a\nb{i}", "de", f"s{i % 2300}", i) for i in range(2500)]
+    check(spark.createDataFrame(rows, SCHEMA), rows)
+
+
+def test_odd_rows(spark):
+    long = "many words\n" * 50_000
+    rows = [(None, "no id\n", None, "a", None), (None, "no id\n", None, "a", None), (4, None, "en", "b", 0), (4, "", "en", "b", 0),
+            (4, "", "en", "b", 0), (9, long, "en", None, len(long)), (9, long, "en", None, len(long)), (2**63 - 1, "é\n日本", "", "", 3),
+            (-5, "\n", "en", "a", 1), (7, "x\ny", "en", "ä", 3), (8, "x\ny", "en", "Z", 3)]
+    frame = spark.createDataFrame(rows, SCHEMA).repartition(6).select("*", *[F.lit(1).alias(c) for c in ("leaf", "gid", "at", "key", "tampered", "range__")])
+    got = check(frame, rows)
+    assert len(got) == len(rows) and not all(r[-1] for r in got)
+    assert check(spark.createDataFrame([], SCHEMA), []) == []
+
+
+@pytest.mark.parametrize("levels", range(1, 11))
+def test_layout(levels):
+    """Every place is used once, and a lower subtree is one stretch of places that is laid out as a tree of its own."""
+    places = [m.address(level, np.arange(3 ** (levels - 1 - level)), levels) for level in range(levels)]
+    assert sorted(np.concatenate(places).tolist()) == list(range(m.slots(levels)))
+    assert places[-1].tolist() == [0]
+    if levels > 1:
+        low = 1 << ((levels - 1).bit_length() - 1)
+        for t in range(3 ** (levels - low)):
+            own = [places[level][t * 3 ** (low - 1 - level):(t + 1) * 3 ** (low - 1 - level)] for level in range(low)]
+            base = min(int(p.min()) for p in own)
+            assert base == m.slots(levels - low) + t * m.slots(low)
+            for level in range(low):
+                assert (own[level] - base).tolist() == m.address(level, np.arange(3 ** (low - 1 - level)), low).tolist()
+
+
+@pytest.mark.parametrize("n, first", [(1, True), (1, False), (5, True), (5, False), (100, True), (2187, True), (2187, False)])
+def test_blocks(n, first):
+    leaves = [hashlib.sha256(bytes([i % 256, i // 256])).digest() for i in range(n)]
+    block = m.Block.build(leaves, first)
+    top = tree([x.hex() for x in leaves])[0]
+    for _ in range(block.levels - m.height(n, True)):
+        top = sha(top)
+    assert block.root().hex() == top
+    for i in {0, n // 2, n - 1}:
+        assert m.folded(leaves[i], block.path(i)) == block.root()
+
+
+def test_order_is_bytewise_and_rows_are_numbered_across_ranges(spark):
+    rows = spark.range(0, 5000, 1, 16).select((F.col("id") % 3).alias("g"), F.hash("id").alias("o"), "id").where("g < 2 or id < 3")
+    out = m.numbered(rows, "g", ["o", "id"], m.shared_folder(spark), "numbers").collect()
+    for g in range(3):
+        own = sorted((r for r in out if r.g == g), key=lambda r: (r.o, r.id))
+        assert [r["at"] for r in own] == list(range(len(own))) and {r.gid for r in own} == {g}

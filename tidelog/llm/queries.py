@@ -13,6 +13,7 @@ from tidelog.llm.html_extract import main_text_report
 from tidelog.llm.jaccard_join import group_documents
 from tidelog.llm.langid import language_report
 from tidelog.llm.line_dedup import line_report
+from tidelog.llm.merkle import manifest_report
 from tidelog.llm.pii import personal_data_report
 from tidelog.llm.substring_dedup import repeat_report
 from tidelog.llm.warc import archive_report
@@ -63,11 +64,15 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leak_report(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest_report(_read(spark, sf_dir, "documents"))
+
+
 def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening_report(_read(spark, sf_dir, "embeddings"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_warc, op2_jaccard_join, op3_substring_dedup, op4_fingerprints, op5_langid, op6_line_dedup, op7_bpe, op8_pii,
-                          op9_html_extract, op10_decontaminate, op12_whitening)
+                          op9_html_extract, op10_decontaminate, op11_merkle, op12_whitening)
 }
