@@ -12,6 +12,7 @@ from tidelog.llm.fingerprints import fingerprint_report
 from tidelog.llm.html_extract import main_text_report
 from tidelog.llm.jaccard_join import group_documents
 from tidelog.llm.langid import language_report
+from tidelog.llm.license_scan import license_report
 from tidelog.llm.line_dedup import line_report
 from tidelog.llm.merkle import manifest_report
 from tidelog.llm.pii import personal_data_report
@@ -72,7 +73,11 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening_report(_read(spark, sf_dir, "embeddings"))
 
 
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_report(_read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_warc, op2_jaccard_join, op3_substring_dedup, op4_fingerprints, op5_langid, op6_line_dedup, op7_bpe, op8_pii,
-                          op9_html_extract, op10_decontaminate, op11_merkle, op12_whitening)
+                          op9_html_extract, op10_decontaminate, op11_merkle, op12_whitening, op13_license_scan)
 }
