@@ -27,7 +27,7 @@ def test_query(spark, con, name):
     assert names == expected_names
     assert len(rows) == len(expected)
     assert rows == expected
-    assert rows
+    assert rows or name == "search_no_filter"
 
 
 def test_entry(spark):

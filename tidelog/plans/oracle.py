@@ -155,6 +155,11 @@ BODIES = {
     "search_lines": f"""
         SELECT {LINES} FROM event_lines WHERE contains(lower(line), '"k": 6') AND ns IN ('ns2', 'ns3')
           AND run >= '2024-01-05' AND run <= '2024-01-10_99-99-99'""",
+    "search_lines_indexed": f"""
+        SELECT {LINES} FROM event_lines WHERE contains(lower(line), '"k": 6') AND ns IN ('ns2', 'ns3')
+          AND run >= '2024-01-05' AND run <= '2024-01-10_99-99-99'""",
+    "search_document_lines_indexed": "SELECT ns, doc_id, line_no, line FROM doc_lines WHERE contains(lower(line), 'über')",
+    "search_no_filter": f"SELECT {RESULT} FROM results WHERE false",
     "search_document_lines": "SELECT ns, doc_id, line_no, line FROM doc_lines WHERE contains(lower(line), 'é')",
     "shown_line_count": rf"""
         SELECT run, filename,

@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 
 from ..functions import levels, names, text, times
 from ..operators import (catalog, export, filters, incremental, merge, ordinals, retention,
-                         search)
+                         search, text_index)
 from ..operators.sizes import keep_small
 from ..schemas import CONTAINER
+from ..sources.folders import shared_folder
 from ..sources.state import offsets_from_json
 from ..streaming.pipelines import tumbling_level_counts
 from . import adapters as src
@@ -26,6 +27,7 @@ NS = "ns2"
 POD_TEXT = "POD-1"
 LIKE_TEXT = "POD_1%SIDE"
 LINE_TEXT = '"k": 6'
+WORD_TEXT = "ÜBER"
 DATE_FROM, DATE_TO = "2024-01-05", "2024-01-10"
 BOUNDARY = "2024-01-15 00:00:00"
 NOW = "2024-02-10 00:00:00"
@@ -103,6 +105,33 @@ def search_document_lines(spark, sf):
     return found.select("ns", "doc_id", "line_no", "line")
 
 
+def _indexed(spark, lines, block):
+    """The lines stored with a filter, as an ingest would leave them."""
+    store = text_index.IndexedLines(shared_folder(spark), lines.schema)
+    text_index.write_indexed_lines(lines, store, block)
+    return store
+
+
+@query
+def search_lines_indexed(spark, sf):
+    store = _indexed(spark, src.event_lines(spark, sf), ["filename", F.shiftright("event_id", 12)])
+    found = text_index.search_indexed_lines(spark, store, LINE_TEXT, [NS, "ns3"], DATE_FROM, DATE_TO)
+    return found.select(*LINE_COLUMNS)
+
+
+@query
+def search_document_lines_indexed(spark, sf):
+    lines = src.doc_lines(spark, sf).withColumn("run", F.col("ns"))
+    store = _indexed(spark, lines, [F.shiftright("doc_id", 6)])
+    found = text_index.search_indexed_lines(spark, store, WORD_TEXT)
+    return found.select("ns", "doc_id", "line_no", "line")
+
+
+@query
+def search_no_filter(spark, sf):
+    return _searched(spark, sf)
+
+
 @query
 def shown_line_count(spark, sf):
     lines = src.event_lines(spark, sf, RUN, RUN).where(F.col("run") == RUN)

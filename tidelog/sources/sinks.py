@@ -13,6 +13,7 @@ from ..functions.names import archive_name, part_filename
 from ..operators.export import split_parts
 from ..operators.merge import export_lines
 from ..schemas import ARCHIVES, PART_BYTES
+from .folders import delete_folder
 from .text_tree import list_files
 
 
@@ -57,7 +58,7 @@ def _drop_stale_parts(spark: SparkSession, path: str) -> None:
     newest = written.groupBy("run", "stem").agg(F.max_by("job", "mtime").alias("newest"))
     stale = written.join(newest, ["run", "stem"]).where(F.col("job") != F.col("newest")).select("folder").distinct()
     for row in stale.toLocalIterator():
-        _delete(spark, unquote(row.folder))
+        delete_folder(spark, unquote(row.folder))
 
 
 def write_selection(lines: DataFrame, selection: DataFrame, path: str) -> None:
@@ -109,10 +110,4 @@ def drop_runs(spark: SparkSession, runs: Sequence[str], *tables: str) -> None:
         if not RUN_NAME.fullmatch(run):
             raise ValueError(f"not a run name: {run!r}")
         for table in tables:
-            _delete(spark, f"{table}/run={run}")
-
-
-def _delete(spark: SparkSession, folder: str) -> None:
-    """Remove a folder from whatever storage it is on. Spark has no public call for that."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+            delete_folder(spark, f"{table}/run={run}")
