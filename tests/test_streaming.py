@@ -88,6 +88,13 @@ def test_landed_rotated_files_are_read_once(spark, tmp_path):
     with gzip.open(f"{root}/0.log.20240102.gz", "wb") as f:
         f.write(b"zipped\n")
     assert lines() == ["old", "zipped"]
+    with open(f"{root}/0.log.20200101", "w") as f:
+        f.write("ancient\nérror\n")
+    os.utime(f"{root}/0.log.20200101", (1_577_836_800, 1_577_836_800))
+    assert lines() == ["ancient", "old", "zipped", "érror"]  # its age does not matter
+    rows = spark.read.parquet(str(tmp_path / "out_landed")).where("line = 'érror'").collect()
+    assert [(r.ns, r.pod, r.uid, r.container, r.range_start, r.n_bytes) for r in rows] == [("ns", "pod", "uid", "app", 0, 6)]
+    assert spark.read.parquet(str(tmp_path / "out_landed")).select("file_fp").distinct().count() == 3
 
 
 def test_triggers():

@@ -9,16 +9,18 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.levels import level_by_substring, level_counts
-from ..functions.names import output_name, utc_run_name
-from ..functions.text import sort_key
+from ..functions.names import output_name, pod_dir_parts, utc_run_name
+from ..functions.text import line_bytes, sort_key
 from ..operators.catalog import index_files, write_index
 from ..operators.ordinals import number_lines
 from ..schemas import CONTAINER, LOG_LINES
 from ..sources.sinks import drop_runs, write_log_lines
 from ..sources.tail import LogTailSource
 from ..sources.text_tree import ROTATED_GLOB
+from .intervals import drop_read_ranges
 
 WINDOW = "4 hours"
+EVER = "36500d"
 LATENESS = "9 hours"  # two cycles and their overlap
 
 
@@ -33,24 +35,35 @@ def tail_stream(spark: SparkSession, root: str, **options) -> DataFrame:
     return spark.readStream.format("log_tail").option("path", root).options(**options).load()
 
 
-def landed_stream(spark: SparkSession, root: str, max_files: int = 1_000, max_age: str = "7d",
+def landed_stream(spark: SparkSession, root: str, max_files: int = 1_000, max_age: str | None = None,
                   clean: str = "off", archive_dir: str | None = None) -> DataFrame:
-    """Lines of rotated files, which never change once they have landed."""
+    """Lines of rotated files, which never change once they have landed, with their container and file identity.
+
+    Every file is read, however old, unless ``max_age`` says otherwise. A file is known by its path, so ``file_fp`` is a
+    digest of path, size and time. ``range_start`` is where the piece of the file begins that a task read.
+    """
     reader = (spark.readStream.format("text").option("pathGlobFilter", ROTATED_GLOB)
               .option("recursiveFileLookup", True).option("maxFilesPerTrigger", max_files)
-              .option("maxFileAge", max_age).option("cleanSource", clean))
+              .option("maxFileAge", max_age or EVER).option("cleanSource", clean))
     if archive_dir:
         reader = reader.option("sourceArchiveDir", archive_dir)
-    return reader.load(root).select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("path"))
+    path = F.col("_metadata.file_path")
+    folder = pod_dir_parts(F.element_at(F.split(path, "/"), -3))
+    return reader.load(root).select(
+        *[folder[c].alias(c) for c in ("ns", "pod", "uid")], F.element_at(F.split(path, "/"), -2).alias("container"),
+        path.alias("path"), F.md5(F.concat_ws(":", path, F.col("_metadata.file_size").cast("string"), F.unix_micros(
+            F.col("_metadata.file_modification_time")).cast("string"))).alias("file_fp"),
+        F.col("_metadata.file_block_start").alias("range_start"), line_bytes(F.col("value")).alias("n_bytes"),
+        F.col("value").alias("line"), F.current_timestamp().alias("collected_at"))
 
 
 def drop_reread_lines(tail: DataFrame, lateness: str = LATENESS) -> DataFrame:
     """One copy of every node line, however often its bytes were read.
 
-    ``lateness`` is time of collection, not of the log: it bounds how long a line is remembered.
+    ``lateness`` is time of collection, not of the log: it bounds how long a file is remembered after its last new line.
+    The state is the byte intervals of each file, not its lines.
     """
-    return (tail.withWatermark("collected_at", lateness)
-            .dropDuplicatesWithinWatermark(["uid", "container", "file_fp", "start_byte", "line"]))
+    return drop_read_ranges(tail, lateness)
 
 
 def drop_stream_overlap(api_lines: DataFrame, keys: Sequence[str] = CONTAINER, lateness: str = LATENESS) -> DataFrame:
@@ -159,7 +172,7 @@ def start_ingest(spark: SparkSession, root: str, lines_path: str, files_path: st
     """Collect new lines on a schedule, or once, and keep the line table and catalog up to date.
 
     ``counts_path`` keeps level counts per window. ``reread_guard`` is a span of collection time within which bytes that
-    are read again, say after a file was copied back, give no second line; it costs a state row per line.
+    are read again, say after a file was copied back, give no second line; it costs a few numbers of state per file.
     ``more`` adds lines to the first run that is written; ``written`` gets the names of the runs.
     """
     names = [] if written is None else written
