@@ -12,7 +12,7 @@ FORBIDDEN = ["CartesianProduct", "BroadcastNestedLoopJoin", "PythonUDF", "ArrowE
 
 # Unpartitioned windows are allowed over: a limited report, a merge of bounded tails, one row per
 # day (capacity), and a whole merge that was counted to fit one chunk.
-GLOBAL_WINDOW = {"runs_page", "search_top500", "merge_view", "merge_whole_files",
+GLOBAL_WINDOW = {"runs_page", "search_top500", "merge_view", "merge_whole_files", "merge_all_files",
                  "capacity_cleanup"}
 
 # Global aggregates gather one partial row per task.

@@ -9,11 +9,11 @@ import pytest
 
 import __spark_entry__ as entry
 from compare import duck, duck_rows, spark_rows
-from tidelog.operators import ordinals
+from tidelog.operators import ordinals, zones
 from tidelog.plans import adapters
 
 QUERIES = ["line_positions", "incremental_lines", "next_offsets", "head_n_per_file", "tail_n_per_file",
-           "file_level_counts", "merge_view", "merge_whole_files", "overlap_dedup", "split_parts",
+           "file_level_counts", "merge_view", "merge_whole_files", "merge_all_files", "overlap_dedup", "split_parts",
            "split_parts_summary", "part_names", "previous_only_lines", "union_phases", "search_top500",
            "level_counts_tumbling", "capacity_cleanup", "selection_join", "extract_ts"]
 
@@ -46,6 +46,7 @@ def skewed(tmp_path_factory):
 @pytest.mark.parametrize("name", QUERIES)
 def test_skewed(spark, skewed, name, monkeypatch):
     monkeypatch.setattr(ordinals, "ROWS_PER_CHUNK", 100)
+    monkeypatch.setattr(zones, "RANGE_ROWS", 150)
     monkeypatch.setattr(adapters, "DOCS_PER_CHUNK", 10)
     names, rows = spark_rows(entry.queries()[name](spark, skewed))
     expected_names, expected = duck_rows(duck(skewed), entry.oracle_sql()[name])

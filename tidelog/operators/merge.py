@@ -13,6 +13,7 @@ from ..functions.text import sort_key
 from ..schemas import SELECTION, SOURCE_GROUPS
 from .ordinals import CHUNK, KEY, ROWS_PER_CHUNK, number_lines, tail_lines
 from .sizes import keep_small
+from .zones import merge_by_zones
 
 def make_selection(spark: SparkSession, runs: Sequence[str], files: Sequence[str]) -> DataFrame:
     """Parallel lists to an ordered selection; lists of different length are an error."""
@@ -103,17 +104,14 @@ def merge_positions(merged: DataFrame, rows_bound: int | None = None,
     """Explicit 1-based position in the merge.
 
     With a proven bound (selection size times tail) of at most a chunk, one window is enough; a merge that turns out
-    larger is an error. Otherwise positions come from range chunks.
+    larger is an error. Otherwise ranges are cut by the zone map of the lines.
     """
     order = ["ts_key", "sel_idx", "line_no"]
     if rows_bound is not None and rows_bound <= ROWS_PER_CHUNK:
         pos = F.row_number().over(Window.orderBy(*order)).cast("bigint")
         too_many = F.raise_error(F.lit(f"the merge has more than the {rows_bound} rows promised")).cast("bigint")
         return merged.withColumn("pos", F.when(pos <= rows_bound, pos).otherwise(too_many))
-    renamed = merged.withColumnRenamed("line_no", "_line_no")
-    numbered = number_lines(renamed, [], ["ts_key", "sel_idx", "_line_no"], rows_per_chunk=rows_per_chunk)
-    return (numbered.withColumnRenamed("line_no", "pos").withColumnRenamed("_line_no", "line_no")
-            .drop("start_byte"))
+    return merge_by_zones(merged, ["sel_idx"], rows_per_zone=rows_per_chunk, rows_per_range=rows_per_chunk)
 
 
 def merge_summary(merged: DataFrame) -> DataFrame:

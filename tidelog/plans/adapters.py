@@ -19,9 +19,7 @@ from ..operators.ordinals import chunk_bounds, line_chunks
 
 FILE = ["run", "ns", "pod", "container"]
 ORDER = ["ts", "event_id"]
-DOCS_PER_CHUNK = 128
-EVENTS_PER_CHUNK = 2_048
-MERGED_PER_CHUNK = 64
+DOCS_PER_CHUNK = 4_096  # documents are long: some 100 MB of text
 
 
 # Declared schemas: opening a table needs no job that reads footers.
@@ -68,8 +66,8 @@ def event_lines(spark: SparkSession, sf_dir: str, run_from: str | None = None,
 
 
 def event_bounds(spark: SparkSession, sf_dir: str) -> list[list]:
-    """Chunk borders along the event order, from the bare table; small chunks, so that small tables have several."""
-    return chunk_bounds(events(spark, sf_dir), ORDER, rows_per_chunk=EVENTS_PER_CHUNK)
+    """Chunk borders along the event order, from the bare table."""
+    return chunk_bounds(events(spark, sf_dir), ORDER)
 
 
 def log_files(spark: SparkSession, sf_dir: str, run_from: str | None = None,

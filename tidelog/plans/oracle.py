@@ -258,6 +258,9 @@ BODIES = {
     "merge_whole_files": """
         SELECT row_number() OVER (ORDER BY ts_key, sel_idx, line_no) AS pos, sel_idx, ts_key, line_no, line
         FROM whole_merge""",
+    "merge_all_files": """
+        SELECT row_number() OVER (ORDER BY split_part(line, ' ', 1), run, filename, line_no) AS pos, run, filename, line_no, line
+        FROM event_lines""",
     "merge_summary": "SELECT count(*) AS total_lines, count(DISTINCT sel_idx) AS sources FROM merged",
     "merged_filter_count": """
         SELECT count(*) AS visible FROM merged

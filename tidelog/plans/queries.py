@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import levels, names, text, times
 from ..operators import (catalog, export, filters, incremental, merge, ordinals, retention,
-                         search, text_index)
+                         search, text_index, zones)
 from ..operators.sizes import keep_small
 from ..schemas import CONTAINER
 from ..sources.folders import shared_folder
@@ -400,10 +400,18 @@ def merge_view(spark, sf):
 def merge_whole_files(spark, sf):
     lines, chosen = _selected(spark, sf)
     merged = merge.merge_sources(lines, chosen, None, src.ORDER)
-    merged = merge.merge_positions(merged, rows_per_chunk=src.MERGED_PER_CHUNK)
+    merged = merge.merge_positions(merged)
     return merged.select("pos", "sel_idx", "ts_key", "line_no", "line")
 
 
+@query
+def merge_all_files(spark, sf):
+    """Every line of every run in the order of time."""
+    numbered = ordinals.number_lines(src.event_lines(spark, sf), ["run", "filename"], src.ORDER, bounds=src.event_bounds(spark, sf))
+    merged = zones.merge_by_zones(numbered.withColumn("ts_key", text.sort_key(F.col("line"))), ["run", "filename"])
+    return merged.select("pos", "run", "filename", "line_no", "line")
+
+
 @query
 def merge_summary(spark, sf):
     return merge.merge_summary(_merged(spark, sf))
