@@ -4,7 +4,8 @@ import os
 from datetime import datetime, timedelta, timezone
 
 from tidelog.sources import state, tables
-from tidelog.streaming.cycle import ApiPhase, Store, collect
+from tidelog.sources.sinks import drop_runs
+from tidelog.streaming.cycle import ApiPhase, Store, archive_new_runs, collect, reopen
 
 LINES = "ns string, pod string, container string, ts timestamp, line string, seq bigint"
 
@@ -61,3 +62,20 @@ def test_a_cycle_without_the_api(spark, tmp_path):
     logs, store = str(tmp_path / "logs"), Store(str(tmp_path / "store"))
     write(f"{logs}/ns_p_u/c/0.log", b"x\n")
     assert collect(spark, logs, store) is not None and collect(spark, logs, store) is None
+
+
+def test_a_dropped_run_is_read_from_its_archive(spark, tmp_path):
+    logs, store = str(tmp_path / "logs"), Store(str(tmp_path / "store"))
+    write(f"{logs}/ns_p_u/c/0.log", b"first\nsecond\r\nthird\n")
+    write(f"{logs}/ns_q_u/c/0.log", b"other\n")
+    run = collect(spark, logs, store, reread_guard="9 hours")
+    before = sorted(tuple(r) for r in tables.log_lines(spark, store.lines).select("run", "filename", "line_no", "start_byte", "n_bytes", "line").collect())
+    assert archive_new_runs(spark, store) == [run] and archive_new_runs(spark, store) == []
+    assert tables.archives(spark, store.archives).first().size_bytes > 0
+    drop_runs(spark, [run], store.lines, store.files, store.runs)
+    assert tables.log_lines(spark, store.lines).count() == 0
+    assert sorted(tuple(r) for r in reopen(spark, store).select("run", "filename", "line_no", "start_byte", "n_bytes", "line").collect()) == before
+    names = sorted({r[1] for r in before})
+    assert [r.line for r in reopen(spark, store, [run], names[1:]).collect()] == ["other"]
+    drop_runs(spark, [run], *store.by_run)
+    assert reopen(spark, store).count() == 0

@@ -20,6 +20,10 @@ ONE_ROW = {"dashboard_stats", "cleanup_counts", "retention_next", "search_count"
            "storage_usage", "phase_counts"}
 
 
+# Blocks of compressed objects are opened by byte range, which needs a task function.
+OPENS_OBJECTS = {"archive_read_back"}
+
+
 def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
@@ -32,7 +36,7 @@ def plans(spark):
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_plan(plans, name):
     plan = plans[name]
-    assert not [word for word in FORBIDDEN if word in plan]
+    assert not [word for word in FORBIDDEN if word in plan] or name in OPENS_OBJECTS
     assert "Exchange SinglePartition" not in plan or (
         name in GLOBAL_WINDOW or name in ONE_ROW)
 

@@ -255,7 +255,7 @@ def test_qa_scenario_collect_archive_and_retain(spark, tmp_path, log):
     assert tables.log_lines(spark, store.lines).count() == 34
     assert tables.log_files(spark, store.files).count() == 1
     assert tables.archives(spark, store.archives).count() == 1
-    assert not os.path.exists(f"{store.archive_data}/run={first}")
+    assert not os.path.exists(f"{store.archive_data}/data/run={first}")
     # The newest run stays, however old it is and however full the store.
     assert clean_up(spark, store, today + timedelta(days=31), capacity_bytes=10) == []
     assert tables.runs(spark, store.runs).count() == 1

@@ -258,6 +258,12 @@ BODIES = {
     "merge_whole_files": """
         SELECT row_number() OVER (ORDER BY ts_key, sel_idx, line_no) AS pos, sel_idx, ts_key, line_no, line
         FROM whole_merge""",
+    "archive_read_back": """
+        SELECT run, filename, line_no, cast(coalesce(sum(n_bytes + 1) OVER (
+                 PARTITION BY run, filename ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start_byte,
+               n_bytes, line
+        FROM event_lines""",
+    "committed_files": f"SELECT run, filename, size_bytes, line_count, {COUNTS} FROM results",
     "merge_all_files": """
         SELECT row_number() OVER (ORDER BY split_part(line, ' ', 1), run, filename, line_no) AS pos, run, filename, line_no, line
         FROM event_lines""",

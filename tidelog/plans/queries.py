@@ -12,8 +12,10 @@ from ..functions import levels, names, text, times
 from ..operators import (catalog, export, filters, incremental, merge, ordinals, retention,
                          search, text_index, zones)
 from ..operators.sizes import keep_small
-from ..schemas import CONTAINER
+from ..schemas import CONTAINER, LOG_LINES
+from ..sources import archives
 from ..sources.folders import shared_folder
+from ..sources.run_store import RunStore
 from ..sources.state import offsets_from_json
 from ..streaming.pipelines import tumbling_level_counts
 from . import adapters as src
@@ -460,6 +462,31 @@ def part_names(spark, sf):
         "ns", "part", names.part_filename(F.concat("ns", F.lit("__all__text.log")), F.col("part")).alias("out_name"))
 
 
+def _log_lines(spark, sf):
+    """The event lines as ``log_lines``, positions included."""
+    numbered = ordinals.number_lines(src.event_lines(spark, sf), ["run", "filename"], src.ORDER,
+                                     F.col("n_bytes") + 1, bounds=src.event_bounds(spark, sf))
+    return numbered.withColumns({"uid": F.lit(""), "ts_key": text.sort_key(F.col("line")), "ts": F.col("ts").cast("timestamp")}).select(
+        *LOG_LINES.fieldNames())
+
+
+@query
+def archive_read_back(spark, sf):
+    """Every run is archived and read back from its archive."""
+    lines, path = _log_lines(spark, sf), shared_folder(spark)
+    archives.write_archives(lines, [r.run for r in catalog.list_runs(src.event_lines(spark, sf)).collect()], path)
+    return archives.read_archived(spark, path).select("run", "filename", "line_no", "start_byte", "n_bytes", "line")
+
+
+@query
+def committed_files(spark, sf):
+    """The catalog of a run store after two writes, the second of which replaces the runs of the first one."""
+    store, lines = RunStore(spark, shared_folder(spark)), _log_lines(spark, sf)
+    store.put(lines.where(F.col("run") <= DATE_TO))
+    store.put(lines)
+    return store.files().select("run", "filename", "size_bytes", "line_count", *catalog.LEVEL_COUNT_COLUMNS)
+
+
 @query
 def nonempty_outputs(spark, sf):
     errors = filters.filter_lines(src.event_lines(spark, sf), "error", LINE_TEXT)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -12,7 +13,7 @@ from ..functions.text import line_bytes, sort_key
 from ..operators import incremental, retention
 from ..operators.ordinals import number_lines
 from ..schemas import API_OVERLAP_S, CONTAINER, LOG_LINES
-from ..sources import sinks, state, tables
+from ..sources import archives, sinks, state, tables
 from ..sources.text_tree import list_files, list_node_files
 from .pipelines import start_ingest, store_run
 
@@ -28,7 +29,8 @@ class Store:
 
     @property
     def by_run(self) -> list[str]:
-        return [self.lines, self.files, self.runs, self.archives, self.archive_data]
+        stored = archives.Archive(self.archive_data)  # the index goes first: no row may lead to an object that is gone
+        return [self.lines, self.files, self.runs, self.archives, stored.index, stored.data]
 
 
 class ApiPhase:
@@ -101,11 +103,16 @@ def archive_new_runs(spark: SparkSession, store: Store) -> list[str]:
     missing = tables.runs(spark, store.runs).select("run").join(done, "run", "left_anti").orderBy("run")
     names = [r.run for r in missing.collect()]
     if names:
-        archived = sinks.archive_runs(tables.log_lines(spark, store.lines), names, store.archive_data)
+        archived = archives.write_archives(tables.log_lines(spark, store.lines), names, store.archive_data)
         sinks.write_archives(archived, store.archives)
     return names
 
 
+def reopen(spark: SparkSession, store: Store, runs: Sequence[str] | None = None, filenames: Sequence[str] | None = None) -> DataFrame:
+    """Lines of archived runs or files, whether their runs are still stored or not."""
+    return archives.read_archived(spark, store.archive_data, runs, filenames)
+
+
 def clean_up(spark: SparkSession, store: Store, now: datetime, months: int = 1, max_drop: int = 1,
              capacity_bytes: int | None = None, capacity_percent: int = 80) -> list[str]:
     """Drop runs until usage is below the threshold, then the oldest expired ones.

@@ -14,6 +14,7 @@ from ..functions.text import line_bytes, sort_key
 from ..operators.catalog import index_files, write_index
 from ..operators.ordinals import number_lines
 from ..schemas import CONTAINER, LOG_LINES
+from ..sources.run_store import RunStore
 from ..sources.sinks import drop_runs, write_log_lines
 from ..sources.tail import LogTailSource
 from ..sources.text_tree import ROTATED_GLOB
@@ -139,17 +140,12 @@ def ingest_batch(batch: DataFrame, lines_path: str, files_path: str, runs_path:
     A batch is one listing and therefore one run. Every table is replaced by run, and the run
     is fixed by the batch's offsets, so a batch that is tried again ends in the same tables.
     """
-    spark = batch.sparkSession
-    batch = batch.persist()
-    try:
-        any_line = batch.select(utc_run_name(F.col("collected_at")).alias("run")).first()
-        if any_line is None:
-            return None
-        lines = as_log_lines(batch)
-        store_run(lines if more is None else lines.unionByName(more(any_line.run)), any_line.run, lines_path,
-                  files_path, runs_path, sample, counts_path)
-    finally:
-        batch.unpersist()
+    any_line = batch.select(utc_run_name(F.col("collected_at")).alias("run")).first()  # a batch has one time of collection
+    if any_line is None:
+        return None
+    lines = as_log_lines(batch)
+    store_run(lines if more is None else lines.unionByName(more(any_line.run)), any_line.run, lines_path,
+              files_path, runs_path, sample, counts_path)
     return any_line.run
 
 
@@ -188,3 +184,16 @@ def start_ingest(spark: SparkSession, root: str, lines_path: str, files_path: st
         lines = drop_reread_lines(lines, reread_guard)
     return (lines.writeStream.foreachBatch(each)
             .option("checkpointLocation", checkpoint).trigger(**run_trigger(now, every)).start())
+
+
+def start_store_ingest(spark: SparkSession, root: str, store: RunStore, checkpoint: str, now: bool = False, every: str = WINDOW,
+                       reread_guard: str | None = None, **options) -> StreamingQuery:
+    """Collect new lines into a run store: a batch's lines and catalog rows become visible together, in one version.
+
+    A batch that is tried again replaces its own run. Its lines are read once.
+    """
+    lines = tail_stream(spark, root, **options)
+    if reread_guard:
+        lines = drop_reread_lines(lines, reread_guard)
+    return (lines.writeStream.foreachBatch(lambda batch, _: store.put(as_log_lines(batch)) and None)
+            .option("checkpointLocation", checkpoint).trigger(**run_trigger(now, every)).start())
