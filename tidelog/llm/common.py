@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import ctypes
 import gc
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -14,22 +12,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidelog.sources.folders import shared_folder  # noqa: F401  the operators take it from here
+
 PIECE_BYTES = 4 << 20  # texts a Python function holds at once, unless one text alone is longer
 PIECE_ROWS = 1 << 15
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, which driver and executors share; where it is unset, a local one."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        context = spark.sparkContext
-        root = context.getCheckpointDir() if hasattr(context, "getCheckpointDir") else None
-        if not root:
-            root = tempfile.mkdtemp(prefix="tidelog-")
-            context.setCheckpointDir(root)
-    return f"{root.rstrip('/')}/tidelog-{uuid.uuid4().hex}"
-
-
 def stored(df: DataFrame, folder: str, name: str) -> DataFrame:
     """Write a frame to the shared folder and read it back: its lineage ends there, and it survives lost executors."""
     df.write.mode("overwrite").parquet(f"{folder}/{name}")

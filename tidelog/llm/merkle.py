@@ -314,7 +314,9 @@ def manifest_report(docs: DataFrame) -> DataFrame:
     changed = leaf_digest(fields | {"text": tampered_text(F.col("doc_id"), F.col("text"))})
     leaves = docs.select("doc_id", "source", leaf.alias("leaf"), F.when(other, changed).alias("changed"))
     leaves = leaves.select("doc_id", "source", "leaf", F.coalesce("changed", "leaf").alias("tampered"))
-    out = Manifest(leaves, "doc_id", "source", shared_folder(docs.sparkSession)).proofs()
+    folder = shared_folder(docs.sparkSession)
+    # Stored, so that cutting the ranges and sorting read digests, and each text is read and hashed once.
+    out = Manifest(stored(leaves, folder, "leaves"), "doc_id", "source", folder).proofs()
     hexed = [F.lower(F.hex(c)).alias(n) for c, n in (("leaf", "leaf"), ("subroot", "subroot"), ("root", "root"),
                                                       ("proof", "proof_sha256"), ("folded_root", "folded_root"))]
     return out.select("doc_id", *hexed, "verified")
