@@ -75,8 +75,17 @@ def test_tokens_against_plain_rules():
 
 
 def test_short_items(spark):
-    docs, items = frames(spark, ["so what is the capital then", "what is the"], ["what is the capital then", "what is the"])
-    assert found(d.leaks(docs, items)) == {(0, 0)}
+    items = ["what is the capital then", "Name the largest planet", "What is DNA?", "Paris", "5 6", "?!", ""]
+    texts = ["so what is the capital then", "Quiz: name the largest planet. What is DNA? Name the largest planet!", "what is DNS",
+             "(Paris) 5 5 6", "5 7 6, name the planet", "comparison"]
+    rows = d.leaks(*frames(spark, texts, items)).collect()
+    assert {(r.doc_id, r.item_id) for r in rows} == {(0, 0), (1, 1), (1, 2), (3, 3), (3, 4)}
+    assert len(rows) == 5 and all(r.exact and r.n_matched == r.n_windows == 1 for r in rows)
+
+
+def test_a_short_item_gives_one_window_a_document(spark):
+    docs, items = frames(spark, ["the cat and the dog " * 500, "the end"], ["the"])
+    assert d.document_windows(docs, d.item_windows(items)).count() == 2
 
 
 def test_odd_rows(spark):

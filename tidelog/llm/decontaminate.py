@@ -12,9 +12,10 @@ of a sentence taken for a name too, and neighbouring names, with no mark between
 A document is contaminated by an item if one occurrence in it holds MIN_SHARE of the item's windows, and that
 occurrence's slots are consistent. Occurrences are the windows of one distance between document and item, the windows
 of distances that lie within half an item (an edited copy has several), and all windows together (scattered parts).
-Items with fewer tokens than WINDOW are one window of their own length; those with fewer than SHORTEST are left out.
+Items with fewer tokens than WINDOW are one window of their own length, with fewer than SHORTEST in the third form alone.
 Windows with fewer than MIN_LITERAL ordinary words count on neither side. An item without any other windows has a third
-form, of the words and values themselves; a document holds it only if it has all of its windows in the item's order.
+form, of the words and values themselves; a document holds it only if it has all of its windows in the item's order. So
+each item with a word can be found, and the shortest ones only word for word.
 Each character of a script written without spaces is a token.
 """
 
@@ -126,7 +127,7 @@ class Templates:
         name |= (one == 0xC3) & (two >= 0x80) & (two <= 0x9E) & (long > 2) & small(three)
         number = digit | _in(self.value, _NUMBER_WORDS)
         unit = _in(self.value, _UNIT_WORDS)
-        unit[0] = False
+        unit[:1] = False
         unit[1:] &= number[:-1]
         self.slot = np.where(number, 1, np.where(unit, 3, np.where(name & ~opens, 2, 0))).astype(np.int8)
         self.token = np.select([self.slot == 1, self.slot == 2, self.slot == 3], [_NUMBER, _NAME, _UNIT], self.value)
@@ -210,7 +211,7 @@ def item_windows(benchmark: DataFrame) -> DataFrame:
             bare = np.ones(len(batch), bool)  # no window yet
             for t in (plain, plain.wide(), plain.verbatim()):
                 sizes, held = np.diff(t.edges), np.zeros(len(batch), bool)
-                for length in range(SHORTEST, WINDOW + 1):
+                for length in range(1 if t.form == VERBATIM else SHORTEST, WINDOW + 1):
                     at, h = t.windows(length)
                     of = np.searchsorted(t.edges, at, side="right") - 1
                     right = sizes[of] >= WINDOW if length == WINDOW else sizes[of] == length
@@ -228,6 +229,14 @@ def item_windows(benchmark: DataFrame) -> DataFrame:
     return benchmark.select("item_id", "text").mapInArrow(tidy(emit), f"item_id {kind}, form int, length int, size int, {COLUMNS}")
 
 
+def _first_in_text(text: np.ndarray, h: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(h), bool)
+    order = np.lexsort((h, text))  # stable: of equal windows the first one leads
+    text, h = text[order], h[order]
+    out[order] = np.append(True, (text[1:] != text[:-1]) | (h[1:] != h[:-1]))[:len(h)]
+    return out
+
+
 def document_windows(docs: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, row_hash, h, at, slots) of the windows that may be an item's, by a filter of fixed size."""
     spark = docs.sparkSession
@@ -248,6 +257,8 @@ def document_windows(docs: DataFrame, items: DataFrame) -> DataFrame:
                 at, h = t.windows(length)
                 cells = (h & np.uint64(FILTER_BITS - 1)).astype(np.int64)
                 maybe = (shared.value[cells >> 3] >> (cells & 7).astype(np.uint8)) & 1 == 1
+                if length < SHORTEST:  # the item's only window: one place in a text is enough
+                    maybe &= _first_in_text(np.searchsorted(t.edges, at, side="right"), h)
                 if maybe.any():
                     yield _rows(t, at[maybe], h[maybe], length, batch, ["doc_id", "row_hash"])
 
@@ -263,8 +274,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     values of the item, and those with one counterpart); exact (every slot has the item's own value). The figures are
     those of one occurrence: an exact one if there is any, of several the one with most windows.
 
-    Null texts have no windows, and items of fewer than SHORTEST tokens are not looked for; null ids are kept, and rows with equal doc_id are told apart by their text; equal rows
-    count once. Equal items are separate items. Empty tables give an empty result; other columns are not read.
+    Null texts have no windows; null ids are kept, and rows with equal doc_id are told apart by their text; equal rows
+    count once. Items without a word are not looked for. Equal items are separate items. Empty tables give an empty result; other columns are not read.
     """
     items = item_windows(benchmark)
     found = document_windows(docs, items)
