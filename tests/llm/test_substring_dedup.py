@@ -1,9 +1,12 @@
 import random
 import re
 
+import numpy as np
 import pyarrow as pa
+import pytest
 from tidelog.llm import substring_dedup as s
 from tidelog.llm.queries import QUERIES
+from tidelog.llm.words import hashes, mix
 
 SF = "/root/testdata/sf0.01"
 SCHEMA = "doc_id bigint, text string"
@@ -13,12 +16,28 @@ def sentences(text):
     """(first byte, words) of each sentence, word by word."""
     raw, out, new, at = (text or "").encode(), [], True, 0
     for m in re.finditer(rb"[^\x20\x09-\x0d]+", raw):
-        if new or b"\n" in raw[at:m.start()] or len(out[-1][1]) == s.LONGEST:
-            out.append((m.start(), []))
-        out[-1][1].append(m[0].lower())
+        if new or b"\n" in raw[at:m.start()]:
+            out.append([])
+        out[-1].append((m.start(), m[0].lower()))
         at = m.end()
         new = m[0][-1:] in (b".", b"!", b"?") or m[0].endswith("。".encode())
-    return out
+    return [(part[0][0], [w for _, w in part]) for whole in out for part in parts_of(whole)]
+
+
+def rank(word):
+    data = np.frombuffer(word, np.uint8)
+    return int(mix(hashes(data, np.array([0]), np.array([len(data)])))[0])
+
+
+def parts_of(words):
+    """A long sentence, cut before least words, and by length where there are none."""
+    if len(words) <= s.LONGEST:
+        return [words]
+    ranks, cuts = [rank(w) for _, w in words], [0]
+    for i in range(s.NEAR, len(words)):
+        if all(ranks[i] < r for r in ranks[i - s.NEAR:i]) and all(ranks[i] <= r for r in ranks[i + 1:i + 1 + s.NEAR]):
+            cuts.append(i)
+    return [words[j:min(j + s.LONGEST, b)] for a, b in zip(cuts, [*cuts[1:], len(words)]) for j in range(a, b, s.LONGEST)]
 
 
 def enough(parts):
@@ -88,7 +107,8 @@ def test_passages_within_texts(spark):
 
 
 def test_removed_stretches_are_code_points(spark):
-    passage = "é" * 5 + " ein Satz mit vielen Wörtern. Noch ein Satz mit Wörtern. Ein dritter Satz mit Wörtern, der folgt."
+    passage = ("é" * 5 + " ein Satz mit sehr vielen Wörtern. Noch ein Satz mit vielen Wörtern. Ein dritter Satz mit Wörtern, "
+               "der nun folgt.")
     docs = [(1, passage), (2, "Größe davor. " + passage + " Danach ist es aus.")]
     (row,) = s.repeat_report(spark.createDataFrame(docs, SCHEMA)).collect()
     start, end = map(int, row.removed.split(":"))
@@ -102,8 +122,37 @@ def test_every_passage_over_fifty_words_has_five_sentences():
             assert len(s.Sentences(pa.array([" ".join(words)])).first) >= 5
 
 
+@pytest.mark.parametrize("stops", [0, 2, 5])
+def test_passages_at_any_word(spark, stops):
+    """A passage after some words of one sentence in one text, after others in another, with more words behind it."""
+    rng = random.Random(stops)
+
+    def words(n, low, high):
+        return [f"w{rng.randrange(low, high)}" for _ in range(n)]
+
+    docs, planted, n = [], {}, 200
+    for i in range(n):
+        passage = [w + ("." if stops and j % (60 // stops) == 7 else "") for j, w in enumerate(words(60, 0, 5_000))]
+        for copy in range(2):
+            before, after = words(rng.randint(0, 30), 5_000, 9_000), words(rng.randint(0, 30), 5_000, 9_000)
+            docs.append((2 * i + copy, " ".join([*before, *passage, *after])))
+            planted[2 * i + copy] = (len(before), len(after))
+    docs += [(2 * n + i, " ".join(w + rng.choice(["", "", ".", "\n"]) for w in words(rng.randint(20, 120), 0, 9_000))) for i in range(n)]
+    texts, found = dict(docs), {r.doc_id: r for r in s.remove_repeats(spark.createDataFrame(docs, SCHEMA)).collect()}
+    assert set(found) <= {2 * i + 1 for i in range(n)} and len(found) >= 0.99 * n  # first copies and clean texts stay
+    gone = [len(texts[d].split()) - len(r.text.split()) for d, r in found.items()]
+    assert sum(gone) >= 0.75 * 60 * n and min(gone) >= 20
+    assert sum(g > 60 for g in gone) == 0
+
+
+def test_equal_words_are_cut_by_length():
+    t = s.Sentences(pa.array(["x " * 40, "x y " * 40]))
+    assert t.first[:4].tolist() == [0, 12, 24, 36] and max(np.diff(np.append(t.first, 120))) <= s.LONGEST
+
+
 def test_odd_rows(spark):
-    text = "one two three four. five six seven eight. nine ten eleven twelve. thirteen."
+    text = ("one two three four five six. seven eight nine ten eleven twelve thirteen. fourteen fifteen sixteen seventeen. "
+            "eighteen nineteen twenty thirty. forty.")
     rows = [(1, None, 0), (2, "", 0), (3, text, 0), (3, text, 0), (3, "other words", 0), (None, text, 0), (4, text, 0), (5, "x " * 40_000, 0)]
     frame = spark.createDataFrame(rows, "doc_id bigint, text string, h int")
     out = sorted((str(r.doc_id), r.first_docs, r.n_removed, r.text) for r in s.remove_repeats(frame).collect())

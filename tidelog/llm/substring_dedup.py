@@ -1,13 +1,16 @@
 """Substring de-duplication by sliding spans of sentences.
 
-Sentences end after `.`, `!`, `?` or an ideographic full stop, and at line ends; longer ones are cut every LONGEST
-words. From each sentence a span runs over the next sentences, until it has RUN sentences and MIN_WORDS words, and to each line's last sentence one
-runs from as late as that allows. Spans
+Sentences end after `.`, `!`, `?` or an ideographic full stop, and at line ends. Those of more than LONGEST words are cut
+before each word whose hash is the least of the NEAR words on either side of it, so cuts depend on what is near and not
+on where the sentence began, and every LONGEST words where there is no such word. From each sentence a span runs over
+the next ones, until it has RUN sentences and MIN_WORDS words, and to each line's last sentence one runs from as late as
+that allows. Spans
 are hashed (words by ASCII white space, A-Z in lower case) and joined over the whole corpus. A sentence covered by any
 span that is not the first of its kind, in order of doc_id and position, is removed.
 
-A repeated passage of over 50 words that begins at a sentence start has at least five sentences so cut, so spans within it
-reach all of them. In one that begins within a sentence, cuts agree only after its first stop.
+A repeated passage of over 50 words has at least five sentences so cut, so spans within it reach all of them. Where it
+begins or ends within a sentence, cuts agree from its first stop or its first least word on; the few words before that,
+and after its last such place, stay.
 """
 
 from __future__ import annotations
@@ -23,8 +26,9 @@ from tidelog.llm.common import pieces, text_bytes, tidy
 from tidelog.llm.words import BASE, INVERSE, hashes, mix, powers, spans
 
 RUN = 3
-MIN_WORDS = 10
+MIN_WORDS = 20
 LONGEST = 12
+NEAR = 3
 LAST = (1 << 63) - 1
 
 _STOP = np.zeros(256, bool)
@@ -51,6 +55,9 @@ class Sentences:
         over[edges] = True
         first = np.flatnonzero(over[:n])
         sizes = np.diff(np.append(first, n))
+        if n:
+            first = np.flatnonzero(over[:n] | _least(mix(words), first, sizes))
+            sizes = np.diff(np.append(first, n))
         parts = -(-sizes // LONGEST)
         nth = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
         self.first = np.repeat(first, parts) + nth * LONGEST  # first word of each sentence
@@ -92,6 +99,19 @@ class Sentences:
         return out
 
 
+def _least(h: np.ndarray, first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Words of long sentences, not too near to their start, that are less than the NEAR words before them and no more
+    than those after them."""
+    n = len(h)
+    nth = np.arange(n) - np.repeat(first, sizes)
+    size = np.repeat(sizes, sizes)
+    out = (size > LONGEST) & (nth >= NEAR)
+    for d in range(1, NEAR + 1):
+        out[d:] &= h[d:] < h[:-d]  # both are of one sentence, since nth >= NEAR
+        out[:-d] &= (h[:-d] <= h[d:]) | (nth[:-d] + d >= size[:-d])
+    return out
+
+
 def _spans(docs: DataFrame, again: bool) -> DataFrame:
     """(h, id, nth): spans that are the first of their kind in their text, or those that are not."""
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
