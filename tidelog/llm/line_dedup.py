@@ -185,7 +185,9 @@ class LineState:
         joined = docs.join(drops, F.col("doc_id").eqNullSafe(F.col("tidelog__drop_doc"))
                            & (F.col("tidelog__drop_hash") == F.col("tidelog__drop_row")), "left")
         lines = lines_of(F.col("text"))
-        kept = F.filter(lines, lambda line, i: ~F.array_contains("tidelog__drop_lines", i))
+        # Kept numbers by a set operation and lines by number: time is linear in the lines, however many of them go.
+        kept = F.get(F.transform(F.array(lines), lambda every: F.transform(
+            F.array_except(F.sequence(F.lit(0), F.size(every) - 1), "tidelog__drop_lines"), lambda i: F.get(every, i))), 0)
         text = F.when(F.col("tidelog__drop_lines").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
         counts = {"lines_before": F.size(lines).cast("bigint"),
                   "lines_dropped": F.when(F.col("tidelog__drop_lines").isNull(), 0).otherwise(F.size("tidelog__drop_lines")).cast("bigint")}
