@@ -11,8 +11,8 @@ from tidelog.operators.incremental import drop_overlap, number_copies
 from tidelog.plans import adapters
 from tidelog.sources import tables
 from tidelog.sources.tail import SCHEMA
-from tidelog.streaming.pipelines import (drop_stream_overlap, ingest_batch, landed_stream, run_trigger,
-                                         start_level_counts, stored_level_counts, tumbling_level_counts)
+from tidelog.streaming.level_windows import LevelWindows, start_level_windows
+from tidelog.streaming.pipelines import drop_stream_overlap, ingest_batch, landed_stream, run_trigger, tumbling_level_counts
 
 SF = "/root/testdata/sf0.001"
 
@@ -46,9 +46,10 @@ def test_streaming_level_counts_equal_the_batch_counts(spark, tmp_path, staged):
     for ns in sources:
         lines.where(F.col("ns") == ns).coalesce(1).write.mode("append").parquet(folder)
     source = spark.readStream.schema(lines.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    store = LevelWindows(spark, str(tmp_path / "counts"), ["ns"])
     for _ in range(2):  # the second one finds nothing new
-        start_level_counts(source, str(tmp_path / "counts"), str(tmp_path / "cp"), ["ns"], now=True).awaitTermination()
-    got = {tuple(r) for r in stored_level_counts(spark, str(tmp_path / "counts"), ["ns"]).collect()}
+        start_level_windows(source, store, str(tmp_path / "cp"), merge_every=2, **run_trigger(now=True)).awaitTermination()
+    got = {tuple(r) for r in store.windows().collect()}
     assert len(sources) == 5 and got == {tuple(r) for r in tumbling_level_counts(lines, ["ns"]).collect()}
 
 

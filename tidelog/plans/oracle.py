@@ -409,6 +409,11 @@ BODIES = {
                count(*) FILTER (level = 'error') AS error_count, count(*) FILTER (level = 'warn') AS warn_count,
                count(*) FILTER (level = 'info') AS info_count, count(*) FILTER (level = 'debug') AS debug_count
         FROM levels GROUP BY 1, 2""",
+    "level_counts_daily": """
+        SELECT strftime(ts, '%Y-%m-%d') AS day, ns, pod,
+               count(*) FILTER (level = 'error') AS error_count, count(*) FILTER (level = 'warn') AS warn_count,
+               count(*) FILTER (level = 'info') AS info_count, count(*) FILTER (level = 'debug') AS debug_count
+        FROM levels GROUP BY 1, 2, 3""",
 }
 
 

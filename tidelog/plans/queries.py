@@ -17,6 +17,7 @@ from ..sources import archives
 from ..sources.folders import shared_folder
 from ..sources.run_store import RunStore
 from ..sources.state import offsets_from_json
+from ..streaming.level_windows import counted_windows, daily
 from ..streaming.pipelines import tumbling_level_counts
 from . import adapters as src
 
@@ -742,3 +743,10 @@ def run_bucket(spark, sf):
 def level_counts_tumbling(spark, sf):
     counts = tumbling_level_counts(src.event_lines(spark, sf), keys=["ns"])
     return counts.withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss"))
+
+
+@query
+def level_counts_daily(spark, sf):
+    """The daily totals that the stream of counts keeps: windows first, then days."""
+    windows = counted_windows(src.event_lines(spark, sf), ["ns", "pod"])
+    return daily(windows, ["ns", "pod"]).withColumn("day", F.date_format("day", "yyyy-MM-dd"))

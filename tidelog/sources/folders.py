@@ -41,3 +41,10 @@ def delete_folder(spark: SparkSession, folder: str) -> None:
     """Remove a folder from whatever storage it is on. Spark has no public call for that."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def mark_folder(spark: SparkSession, folder: str) -> None:
+    """Make an empty folder, which happens at once or not at all: the point from which what it marks counts."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(path):
+        raise OSError(f"cannot make {folder}")

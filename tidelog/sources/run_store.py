@@ -22,7 +22,7 @@ from ..functions.names import run_timestamp
 from ..functions.text import human_size
 from ..operators.catalog import index_files
 from ..schemas import ARCHIVES, LOG_FILES, LOG_LINES, RUNS
-from .folders import delete_folder, list_folders
+from .folders import delete_folder, list_folders, mark_folder
 
 VERSIONS_KEPT = 2
 MARKER = "COMMITTED"
@@ -143,10 +143,7 @@ class RunStore:
         return row.asDict() if row else dict.fromkeys(COUNTS, 0) | {"last_run": None}
 
     def _mark(self, version: str) -> None:
-        """The point from which a version counts: making a folder happens at once or not at all."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{version}/{MARKER}")
-        if not path.getFileSystem(self.spark._jsc.hadoopConfiguration()).mkdirs(path):
-            raise OSError(f"cannot commit {version}")
+        mark_folder(self.spark, f"{version}/{MARKER}")
 
     def vacuum(self, keep: int = VERSIONS_KEPT) -> list[str]:
         """Remove all but the newest versions, and attempts that none of them refers to. Not while a run is written."""

@@ -102,16 +102,6 @@ def stored_level_counts(spark: SparkSession, path: str, keys: Sequence[str] = ("
     return spark.read.parquet(path).groupBy("window_start", *keys).agg(*counts)
 
 
-def start_level_counts(lines: DataFrame, path: str, checkpoint: str, keys: Sequence[str] = ("ns", "pod"),
-                       width: str = WINDOW, now: bool = False, every: str = WINDOW) -> StreamingQuery:
-    """Keep level counts of a stream of lines; each micro-batch stands for a run."""
-    def each(batch: DataFrame, number: int) -> None:
-        write_level_counts(batch.withColumn("run", F.lit(f"batch-{number:012d}")), path, keys, width)
-
-    return (lines.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
-            .trigger(**run_trigger(now, every)).start())
-
-
 def as_log_lines(batch: DataFrame) -> DataFrame:
     """Collected lines as ``log_lines`` of the run named after the batch's listing.
 
