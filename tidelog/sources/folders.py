@@ -5,7 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 SHARED = "spark.checkpoint.dir"
 
@@ -28,6 +30,16 @@ def shared_folder(spark: SparkSession, prefix: str = "tidelog") -> str:
     return f"{root.rstrip('/')}/{prefix}-{uuid.uuid4().hex}"
 
 
+def read_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """A table that was never written is empty."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
 def list_folders(spark: SparkSession, folder: str) -> list[str]:
     """Names of the folders in a folder, sorted; none if it does not exist. For folders of runs, not of files."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)

@@ -2,40 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.names import archive_run
 from ..schemas import ARCHIVES, LOG_FILES, LOG_LINES, RUNS
+from .folders import read_table
 from .text_tree import list_files
 
 
-def _read(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """A table that was never written is empty."""
-    try:
-        return spark.read.schema(schema).parquet(path)
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], schema)
-
-
 def log_lines(spark: SparkSession, path: str) -> DataFrame:
-    return _read(spark, path, LOG_LINES)
+    return read_table(spark, path, LOG_LINES)
 
 
 def log_files(spark: SparkSession, path: str) -> DataFrame:
-    return _read(spark, path, LOG_FILES)
+    return read_table(spark, path, LOG_FILES)
 
 
 def runs(spark: SparkSession, path: str) -> DataFrame:
-    return _read(spark, path, RUNS)
+    return read_table(spark, path, RUNS)
 
 
 def archives(spark: SparkSession, path: str) -> DataFrame:
-    return _read(spark, path, ARCHIVES)
+    return read_table(spark, path, ARCHIVES)
 
 
 def discover_archives(spark: SparkSession, root: str) -> DataFrame:

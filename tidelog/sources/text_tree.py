@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.names import filename_parts, is_pod_dir, pod_dir_parts
 from ..functions.text import line_bytes, sort_key
 from ..operators.ordinals import line_chunks
+from . import gzip_index
 
 ACTIVE_GLOB = "*.log"
 ROTATED_GLOB = "{0.log.*,*.log.*.gz}"
@@ -83,6 +84,20 @@ def read_node_logs(spark: SparkSession, root: str, rotated: bool = False,
                               "ts_key": sort_key(F.col("line"))})
 
 
+def read_compressed_logs(spark: SparkSession, root: str, index: str, namespaces: Sequence[str] | None = None,
+                         spacing: int = gzip_index.SPACING) -> DataFrame:
+    """The compressed files among ``read_node_logs(rotated=True)``, with the same columns, a large one read by several tasks.
+
+    ``index`` is a folder in which the places are kept where decoding can begin; files that it does not have are decoded
+    once for that.
+    """
+    path = F.col("path")
+    files = list_files(spark, root, "*.log.*.gz")
+    pieces = gzip_index.update_index(spark, files.where(_is_node_file(path, True) & _in_namespaces(path, namespaces)), index, spacing)
+    raw = gzip_index.read_pieces(pieces).select(F.col("line").alias("value"), "path", F.col("piece_start").alias("block_start"))
+    return numbered_text(raw).withColumns({**_node_columns(path), "src_rank": F.lit(0), "ts_key": sort_key(F.col("line"))})
+
+
 def list_node_files(spark: SparkSession, root: str, rotated: bool = False,
                     namespaces: Sequence[str] | None = None) -> DataFrame:
     """The files ``read_node_logs`` reads, with size and modification time; contents are not read."""
