@@ -34,7 +34,7 @@ LONGS = ["first_line", "first_byte", "n_lines", "offset", "length"]
 INDEX = T.StructType([T.StructField(c, T.LongType() if c in LONGS else T.StringType()) for c in [*LEADING, *LONGS, "object", "digest"]])
 
 
-def storage(path: str) -> tuple[fs.FileSystem, str]:
+def open_storage(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
 
 
@@ -57,7 +57,7 @@ class _Objects:
             self.close()
             self.run, self.at = run, 0
             self.name = f"run={run}/{uuid.uuid4().hex}.log.gz"
-            storage, path = storage(f"{self.folder}/{self.name}")
+            storage, path = open_storage(f"{self.folder}/{self.name}")
             storage.create_dir(path.rpartition("/")[0])
             self.stream = storage.open_output_stream(path, compression=None)
         self.stream.write(member)
@@ -167,7 +167,7 @@ def open_blocks(index: DataFrame, path: str) -> DataFrame:
                 if row["object"] != name:
                     if source is not None:
                         source.close()
-                    storage, at = storage(f"{folder}/{row['object']}")
+                    storage, at = open_storage(f"{folder}/{row['object']}")
                     name, source = row["object"], storage.open_input_file(at)
                 member = source.read_at(row["length"], row["offset"])
                 if hashlib.sha256(member).hexdigest() != row["digest"]:
@@ -200,7 +200,7 @@ def sweep_archives(spark: SparkSession, path: str) -> int:
     for folder in list_folders(spark, store.data):
         run = folder.removeprefix("run=")
         known = {r.object.rpartition("/")[2] for r in archive_index(spark, path).where(F.col("run") == run).select("object").distinct().collect()}
-        storage, at = storage(f"{store.data}/{folder}")
+        storage, at = open_storage(f"{store.data}/{folder}")
         for found in storage.get_file_info(fs.FileSelector(at)):
             if found.base_name not in known:
                 storage.delete_file(found.path)

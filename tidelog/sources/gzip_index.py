@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .archives import storage
+from .archives import open_storage
 from .folders import read_table
 
 WINDOW = 32 * 1024
@@ -229,7 +229,7 @@ def index_gzip(files: DataFrame, spacing: int = SPACING) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for low, path in enumerate(batch.column("path").to_pylist()):
-                files, name = storage(path)
+                files, name = open_storage(path)
                 with files.open_input_file(name) as f:
                     done = Pass(spacing).run(f)
                 n = len(done.pieces)
@@ -271,7 +271,7 @@ def read_pieces(index: DataFrame) -> DataFrame:
 
 
 def _lines_of(piece: dict) -> Iterator[pa.RecordBatch]:
-    files, name = storage(piece["path"])
+    files, name = open_storage(piece["path"])
     at, end = piece["start_byte"], piece["end_byte"]
     skip = at > 0 and not piece["window"].endswith(b"\n")  # the line before goes on here
     number, rest = piece["lines_before"] + 1, []
