@@ -145,6 +145,21 @@ def test_passages_at_any_word(spark, stops):
     assert sum(g > 60 for g in gone) == 0
 
 
+def test_a_hot_passage_is_dealt_over_tasks(spark):
+    passage = " ".join(f"w{i}" + ("." if i % 9 == 8 else "") for i in range(60))
+    docs = [(i, f"{passage}\nown words of document {i}") for i in range(400)] + [(400 + d, t) for d, t in made(8)]
+    frame = spark.createDataFrame(docs, SCHEMA)
+    expected = plain(docs)
+    assert len(expected) > 400 and got(s.remove_repeats(frame)) == expected
+    spans = s._spans(frame.select(s.F.col("doc_id").alias("id"), s.F.col("text").alias("t")), again=False)
+    common = spans.groupBy(s.F.col("h").alias("k")).agg(s.F.min("id").alias("first"), s.F.count("*").alias("n")).where("n > 1")
+    hot = s._hot(common)
+    assert 0 < hot.count() <= 4 * 8 and hot.agg(s.F.min("parts")).first()[0] >= 2
+    shares, salted = s._salted(common, hot)
+    most = shares(spans).groupBy("h", "salt").count().agg(s.F.max("count")).first()[0]
+    assert most < 200 and salted.count() <= common.count() + 8 * 8
+
+
 def test_equal_words_are_cut_by_length():
     t = s.Sentences(pa.array(["x " * 40, "x y " * 40]))
     assert t.first[:4].tolist() == [0, 12, 24, 36] and max(np.diff(np.append(t.first, 120))) <= s.LONGEST

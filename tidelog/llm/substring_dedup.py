@@ -15,14 +15,14 @@ and after its last such place, stay.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import pieces, text_bytes, tidy
+from tidelog.llm.common import partitions, pieces, shared_folder, stored, text_bytes, tidy
 from tidelog.llm.words import BASE, INVERSE, hashes, mix, powers, spans
 
 RUN = 3
@@ -126,6 +126,31 @@ def _spans(docs: DataFrame, again: bool) -> DataFrame:
     return docs.select("id", "t").mapInArrow(tidy(emit), "h bigint, id bigint, nth int")
 
 
+def _hot(common: DataFrame) -> DataFrame:
+    """(hot, parts) of the spans in so many documents that a task of a join would have more than its share, as a local table.
+
+    A share is a quarter of a partition's rows of ``common``, so there are at most four such spans per partition.
+    """
+    spark = common.sparkSession
+    rows = common.agg(F.sum("n")).first()[0] or 0
+    share = max(1, rows // (4 * partitions(spark)))
+    found = common.where(F.col("n") > share).select(F.col("k").alias("hot"), F.ceil(F.col("n") / share).cast("int").alias("parts"))
+    return spark.createDataFrame(found.toArrow(), "hot bigint, parts int")
+
+
+def _salted(common: DataFrame, hot: DataFrame) -> tuple[Callable[[DataFrame], DataFrame], DataFrame]:
+    """How to deal rows of spans by document over the parts of hot spans, and the common spans, a row for each part."""
+    few = F.broadcast(hot)  # at most four rows per partition
+    one = F.coalesce("parts", F.lit(1))
+
+    def shares(spans: DataFrame) -> DataFrame:
+        dealt = spans.join(few, F.col("h") == F.col("hot"), "left")
+        return dealt.select("h", "id", "nth", F.pmod(F.xxhash64("id"), one).cast("int").alias("salt"))
+
+    parts = common.join(few, F.col("k") == F.col("hot"), "left")
+    return shares, parts.select("k", "first", F.explode(F.sequence(F.lit(0), one - 1)).alias("of"))
+
+
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """One row per document that loses sentences, the others stay as they are.
 
@@ -138,10 +163,14 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     """
     rows = docs.select("doc_id", F.coalesce("doc_id", F.lit(LAST)).alias("id"), F.col("text").alias("t"))
     once = _spans(rows, again=False)
-    counted = once.groupBy(F.col("h").alias("k")).agg(F.min("id").alias("first"), F.max("id").alias("last"))
-    common = counted.where("first < last").select("k", "first")
-    later = once.join(common, F.col("h") == F.col("k")).where("id > first").select("id", "h", "nth", "first")
-    own = _spans(rows, again=True).join(common, F.col("h") == F.col("k"), "left").select(
+    counted = once.groupBy(F.col("h").alias("k")).agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count(F.lit(1)).alias("n"))
+    spark = docs.sparkSession
+    common = stored(counted.where("first < last").select("k", "first", "n"), shared_folder(spark), "common")
+    hot = _hot(common)
+    shares, salted = _salted(common, hot)
+    later = shares(once).join(salted, (F.col("h") == F.col("k")) & (F.col("salt") == F.col("of"))).where("id > first").select(
+        "id", "h", "nth", "first")
+    own = shares(_spans(rows, again=True)).join(salted, (F.col("h") == F.col("k")) & (F.col("salt") == F.col("of")), "left").select(
         "id", "h", "nth", F.coalesce("first", "id").alias("first"))
     drops = later.unionAll(own).groupBy(F.col("id").alias("drop_id")).agg(
         F.collect_list(F.struct("nth", "h", "first")).alias("drops"))  # at most two per sentence of a document
