@@ -100,6 +100,30 @@ def _rotated(name: str) -> bool:
     return ".log." in name
 
 
+def seen_file(path: str) -> tuple[os.stat_result, str] | None:
+    """Status and mark of a file from one opening; None if it cannot be read as what its name says."""
+    try:
+        with open(path, "rb") as f:
+            stat = os.fstat(f.fileno())
+            if _compressed(path):
+                gzip.GzipFile(fileobj=f).read(1)
+            return stat, _mark(f, stat.st_size)
+    except (FileNotFoundError, EOFError, gzip.BadGzipFile):
+        return None
+
+
+def log_entries(container: str) -> Iterator[tuple[str, os.stat_result]]:
+    """Log files of a container's folder; a compressed copy counts once the plain file is gone."""
+    found = {e.name: e for e in _entries(container) if e.is_file() and not e.name.endswith(".tmp")}
+    for name in sorted(found):
+        plain = name.removesuffix(".gz")
+        if (plain.endswith(".log") or _rotated(plain)) and (plain == name or plain not in found):
+            try:
+                yield found[name].path, found[name].stat()
+            except FileNotFoundError:
+                continue
+
+
 def _parts(path: str) -> tuple[str, str, str, str]:
     directory = os.path.dirname(path)
     fields = (os.path.basename(os.path.dirname(directory)).split("_") + ["", ""])[:3]
@@ -148,30 +172,16 @@ class LogTailReader(DataSourceStreamReader):
         known = self.seen.get(path)
         if known and _version(known[0]) == _version(stat):
             return path, known
-        try:
-            with open(path, "rb") as f:
-                stat = os.fstat(f.fileno())
-                if _compressed(path):
-                    gzip.GzipFile(fileobj=f).read(1)
-                return path, (stat, _mark(f, stat.st_size))
-        except (FileNotFoundError, EOFError, gzip.BadGzipFile):
-            return path, None
+        return path, seen_file(path)
 
     def _listing(self) -> Iterator[tuple[str, os.stat_result]]:
-        """Log files two levels below the root; a compressed copy counts once the plain file is gone."""
+        """Log files two levels below the root."""
         for pod_dir in _subdirectories(self.root):
             fields = os.path.basename(pod_dir).split("_")
             if len(fields) < 2 or (self.namespaces is not None and fields[0] not in self.namespaces):
                 continue
             for container in _subdirectories(pod_dir):
-                found = {e.name: e for e in _entries(container) if e.is_file() and not e.name.endswith(".tmp")}
-                for name in sorted(found):
-                    plain = name.removesuffix(".gz")
-                    if (plain.endswith(".log") or _rotated(plain)) and (plain == name or plain not in found):
-                        try:
-                            yield found[name].path, found[name].stat()
-                        except FileNotFoundError:
-                            continue
+                yield from log_entries(container)
 
     def partitions(self, start: dict, end: dict) -> list[ByteRange]:
         before, now = json.loads(start["files"]), json.loads(end["files"])
@@ -185,32 +195,10 @@ class LogTailReader(DataSourceStreamReader):
         ranges = []
         for path, entry in now.items():
             if before.get(path, [])[:3] != entry[:3]:
-                ranges += self._ranges(path, entry, before.get(path), folders.get(os.path.dirname(path), []), at)
+                ranges += file_ranges(path, entry, before.get(path), folders.get(os.path.dirname(path), []), at,
+                                      self.range_bytes)
         return ranges
 
-    def _ranges(self, path: str, entry: list, old: list | None, folder: list, at: int) -> list[ByteRange]:
-        size, identity, mark, born = entry
-        packed, rotated = _compressed(path), _rotated(os.path.basename(path))
-        # The same inode, or any file of the folder: inodes are used again, and copies have new ones.
-        known = [(p, e) for p, e in folder if e[1] == identity] or folder
-        if old and not packed and old[1] == identity:
-            known = [(path, old)]
-        earlier = [(e[0], e[2], _rotated(os.path.basename(p))) for p, e in known
-                   if packed or e[0] < size or (e[0] == size and e[2] == mark)]
-        low = min((position for position, _, _ in earlier), default=0)
-        fingerprint = hashlib.md5(f"{identity}:{born}".encode(), usedforsecurity=False).hexdigest()
-        closed = rotated  # its last line counts without a line end, but only once
-        if packed:
-            cuts = [0, size]
-        elif size == low:
-            if not closed:
-                return []
-            cuts = [low, size]
-        else:
-            cuts = [*range(low, size, self.range_bytes), size]
-        return [ByteRange(path, fingerprint, a, b, i == 0, closed and b == size, earlier, size, mark, at)
-                for i, (a, b) in enumerate(zip(cuts, cuts[1:]))]
-
     def commit(self, end: dict) -> None:
         pass
 
@@ -251,6 +239,38 @@ class LogTailReader(DataSourceStreamReader):
         return None
 
 
+def _whole(entry: list) -> bool:
+    return len(entry) < 5 or entry[4]
+
+
+def file_ranges(path: str, entry: list, old: list | None, folder: list, at: int, range_bytes: int) -> list[ByteRange]:
+    """Ranges of a file from where one of the ``earlier`` entries of its folder may have left it.
+
+    An entry is [position, identity, mark, first seen], and False after that if the position is not the file's end.
+    """
+    size, identity, mark, born = entry[:4]
+    packed, rotated = _compressed(path), _rotated(os.path.basename(path))
+    # The same inode, or any file of the folder: inodes are used again, and copies have new ones.
+    known = [(p, e) for p, e in folder if e[1] == identity] or folder
+    if old and not packed and old[1] == identity:
+        known = [(path, old)]
+    earlier = [(e[0], e[2], _rotated(os.path.basename(p)) and _whole(e)) for p, e in known
+               if packed or e[0] < size or (e[0] == size and e[2] == mark)]
+    low = min((position for position, _, _ in earlier), default=0)
+    fingerprint = hashlib.md5(f"{identity}:{born}".encode(), usedforsecurity=False).hexdigest()
+    closed = rotated and _whole(entry)  # its last line counts without a line end, but only once
+    if packed:
+        cuts = [0, size]
+    elif size == low:
+        if not closed:
+            return []
+        cuts = [low, size]
+    else:
+        cuts = [*range(low, size, range_bytes), size]
+    return [ByteRange(path, fingerprint, a, b, i == 0, closed and b == size, earlier, size, mark, at)
+            for i, (a, b) in enumerate(zip(cuts, cuts[1:]))]
+
+
 def _entries(directory: str) -> list[os.DirEntry]:
     """Entries of a directory, which may be removed while the tree is listed."""
     try:
