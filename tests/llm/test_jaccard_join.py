@@ -82,3 +82,50 @@ def test_linked_sets_share_a_key(n):
         b = np.unique(np.concatenate([a[gone:], rng.integers(0, 2**63, rng.integers(0, most + 1), dtype=np.uint64)]))
         if j.linked(a, b):
             assert len(np.intersect1d(j.keys_of(a), j.keys_of(b)))
+
+
+def near_copies(n, base=120):
+    rng = random.Random(8)
+    words = [f"w{rng.randrange(500)}" for _ in range(base)]
+    out = []
+    for i in range(n):
+        at = rng.randrange(base)
+        out.append((i, " ".join([*words[:at], f"own{i}", *words[at + 1:]])))
+    return out
+
+
+def test_large_groups_of_near_copies_grow_in_proportion(spark):
+    """Rows that are compared: before, each member of a bucket went to every block of it."""
+    rows = {}
+    for n in (1500, 3000, 6000):
+        join = j.JaccardJoin(spark.createDataFrame(near_copies(n), SCHEMA))
+        assert not join.buckets.where(f"size > {j.CELL}").isEmpty()
+        labels = join._turns()
+        left = join._rows(labels)
+        rows[n] = j.cells(join._rows(None, large=True), 0).count() + j.cells(left, None).count()
+        if n == 1500:
+            assert {r.component_id for r in join.documents().select("component_id").collect()} == {0}
+    assert rows[3000] < 2.5 * rows[1500] and rows[6000] < 2.5 * rows[3000]
+
+
+def test_large_buckets_against_brute_force(spark, monkeypatch):
+    """Blocks of a few members, groups that share a passage but do not link, and chains."""
+    monkeypatch.setattr(j, "CELL", 4)
+    rng = random.Random(9)
+    shared = [f"s{i}" for i in range(40)]
+    docs = []
+    for g in range(3):
+        own = [f"g{g}w{i}" for i in range(45)]
+        base = shared + own
+        for _ in range(25):
+            base = edited(rng, base, 0.01)
+            docs.append(" ".join(base))
+    docs = list(enumerate(docs))
+    assert groups(j.group_documents(spark.createDataFrame(docs, SCHEMA))) == jaccard_groups(docs)
+
+
+def test_many_rows_without_a_doc_id(spark):
+    docs = near_copies(300)
+    frame = spark.createDataFrame([(None if i % 3 else i, t) for i, t in docs], SCHEMA)
+    out = j.group_documents(frame).collect()
+    assert len(out) == 300 and {r.component_id for r in out} == {0}

@@ -13,8 +13,10 @@ argument fails adds the keys of its shortest sufficient prefix in hash order, wh
 *Verify.* A second sketch of single bits bounds the symmetric difference of two sets from below and removes most false
 candidates; the rest are compared exactly.
 
-Groups need less than all pairs. First as many pairs of each bucket are compared, the nearest, as tie its members
-together; then whatever pairs of a bucket are still in different components, so no link is lost.
+Groups need less than all pairs. A bucket of more than a block is first dealt into blocks at random, a few times anew, and
+only members of one block are compared, which costs in proportion to the bucket: copies of one text are then one component,
+and their buckets are done. In the others as many pairs are compared, the nearest, as tie the members together; then whatever
+pairs of a bucket are still in different components, so no link is lost.
 """
 
 from __future__ import annotations
@@ -35,6 +37,7 @@ SMALLEST = 3  # smaller sets link with equal ones only
 CHUNK = 1 << 15  # members to a row
 SKETCH_BITS = 1024  # of a sketch of single bits, at least
 CELL = 1024  # members of a block of a large bucket
+TURNS = 3  # times that a large bucket is dealt into blocks before its blocks are compared with each other
 FILTER_BITS = 1 << 22  # the size of a filter of doc_ids, whatever the table's is
 
 
@@ -145,7 +148,7 @@ def describe(docs: DataFrame) -> DataFrame:
 
 
 def buckets(docs: DataFrame) -> DataFrame:
-    """(bucket, members): sets that share a key, as packed set ids, the least first. A bucket's name is its content."""
+    """(bucket, size, members): sets that share a key, as packed set ids, the least first. A bucket's name is its content."""
     n = partitions(docs.sparkSession)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,7 +189,7 @@ def buckets(docs: DataFrame) -> DataFrame:
             yield from _met(held)
 
     rows = docs.select(F.col("text").alias("t")).mapInArrow(tidy(emit), "part int, names binary, places binary, packed binary")
-    return rows.repartition(n, "part").sortWithinPartitions("part").mapInArrow(tidy(meet), "bucket bigint, members binary")
+    return rows.repartition(n, "part").sortWithinPartitions("part").mapInArrow(tidy(meet), "bucket bigint, size bigint, members binary")
 
 
 def _met(rows: list[list[bytes]]) -> Iterator[pa.RecordBatch]:
@@ -209,15 +212,16 @@ def _met(rows: list[list[bytes]]) -> Iterator[pa.RecordBatch]:
     _, first = np.unique(names[shared], return_index=True)
     shared = shared[first]  # buckets with the same members say the same
     for low in range(0, len(shared), 4096):
-        out_names, out = [], []
+        out_names, out_sizes, out = [], [], []
         for g in shared[low:low + 4096]:
             whole_bucket = ids[starts[g]:starts[g] + sizes[g]]
             for at in range(1, len(whole_bucket), CHUNK):  # the pivot heads every row
                 out_names.append(int(names[g].view(np.int64)))
+                out_sizes.append(len(whole_bucket))
                 out.append(np.concatenate([whole_bucket[:1], whole_bucket[at:at + CHUNK]]).tobytes())
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(out_names, pa.int64()), pa.array(out, pa.binary())],
-                                             ["bucket", "members"])
+            yield pa.RecordBatch.from_arrays([pa.array(out_names, pa.int64()), pa.array(out_sizes, pa.int64()),
+                                              pa.array(out, pa.binary())], ["bucket", "size", "members"])
 
 
 def members(table: DataFrame) -> DataFrame:
@@ -236,20 +240,28 @@ def members(table: DataFrame) -> DataFrame:
     return table.mapInArrow(tidy(expand), "bucket bigint, pivot bigint, x bigint")
 
 
-def near_pairs(rows: DataFrame, spanning: bool) -> DataFrame:
-    """(x, y) of different components that share a bucket and that the bit sketches do not rule out.
+def cells(rows: DataFrame, turn: int | None) -> DataFrame:
+    """Members with the pair of blocks (i, j) of their bucket in which they are compared, so that no group is unbounded.
 
-    `rows` are (bucket, x, component, n, sketch). With `spanning` only as many pairs of a bucket, the nearest, as tie its
-    components together; if all of them link, no other pair of the bucket has to be looked at.
-    Large buckets are cut into blocks, and each pair of blocks is a group of its own, so that none is unbounded.
+    With a `turn` a member is in its own block alone, which is another one each turn; without, in all pairs of its block.
     """
     sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"))
-    blocks = F.ceil(F.col("size") / CELL).cast("int")
-    rows = rows.join(sizes, "bucket").withColumn("blocks", blocks)
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("x"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
+    rows = rows.join(sizes, "bucket").withColumn("blocks", F.ceil(F.col("size") / CELL).cast("int"))
+    name = F.xxhash64("x") if turn is None else F.xxhash64("x", F.lit(turn))
+    rows = rows.withColumn("block", F.pmod(name, F.col("blocks")).cast("int"))
+    every = F.sequence(F.lit(0), F.col("blocks") - 1)
+    rows = rows.withColumn("other", F.explode(every) if turn is None else F.col("block"))
+    return rows.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
                        "block", "x", "component", "n", "sketch")
+
+
+def near_pairs(rows: DataFrame, spanning: bool, turn: int | None = None) -> DataFrame:
+    """(x, y) of different components that share a cell and that the bit sketches do not rule out.
+
+    `rows` are (bucket, x, component, n, sketch). With `spanning` only as many pairs of a cell, the nearest, as tie its
+    components together; if all of them link, no other pair of the cell has to be looked at.
+    """
+    rows = cells(rows, turn)
     n = partitions(rows.sparkSession)
     rows = rows.repartition(n, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
 
@@ -365,8 +377,10 @@ class JaccardJoin:
         self.sets = stored(describe(self.docs), self.folder, "sets")
         self.buckets = stored(buckets(self.docs), self.folder, "buckets")
         self.members = members(self.buckets)
+        first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_hash"))
         owners = self.sets.where("set_id IS NOT NULL").groupBy("set_id").agg(
-            F.min("doc_id").alias("owner"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
+            first.alias("row"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
+        owners = owners.select("set_id", F.col("row.doc_id").alias("owner"), F.col("row.row_hash").alias("owner_row"), "n", "sketch")
         met = self.members.select(F.col("x").alias("m")).unionAll(self.members.select("pivot")).distinct()
         self.owners = stored(owners.join(met, F.col("set_id") == F.col("m")).drop("m"), self.folder, "owners")
 
@@ -375,15 +389,17 @@ class JaccardJoin:
         share a doc_id or have none."""
         pairs = stored(pairs, self.folder, f"{name}-pairs")
         ids = pairs.select(F.col("x").alias("id")).unionAll(pairs.select("y")).distinct()
-        wanted = self.owners.join(ids, F.col("set_id") == F.col("id")).select("owner", F.col("set_id").alias("wanted"))
+        wanted = self.owners.join(ids, F.col("set_id") == F.col("id")).select(
+            "owner", "owner_row", F.col("set_id").alias("wanted"))
         wanted = stored(wanted, self.folder, f"{name}-wanted")
-        found = _perhaps(self.docs, wanted).join(wanted, F.col("doc_id").eqNullSafe(F.col("owner")))
+        found = _perhaps(self.docs, wanted).join(wanted, F.col("doc_id").eqNullSafe(F.col("owner")) & (text_hash() == F.col("owner_row")))
         texts = stored(_right_text(found), self.folder, f"{name}-texts")
         return verified(pairs, texts)
 
-    def _rows(self, labels: DataFrame | None) -> DataFrame:
-        """Members of the buckets that hold more than one component, with what near_pairs needs."""
-        every = self.members.select("bucket", "x").unionAll(self.members.select("bucket", F.col("pivot").alias("x")))
+    def _rows(self, labels: DataFrame | None, large: bool = False) -> DataFrame:
+        """Members of the buckets (or of the large ones) that hold more than one component, with what near_pairs needs."""
+        found = members(self.buckets.where(F.col("size") > CELL)) if large else self.members
+        every = found.select("bucket", "x").unionAll(found.select("bucket", F.col("pivot").alias("x")))
         every = every.distinct()
         if labels is None:
             every = every.withColumn("component", F.col("x"))
@@ -402,12 +418,25 @@ class JaccardJoin:
 
     def groups(self) -> DataFrame:
         """(x, y): each set that is not the least of its component, and the least."""
-        labels = None
+        labels = self._turns()
         for name, spanning in (("spanning", True), ("rest", False)):
             links = self._verified(near_pairs(self._rows(labels), spanning), name)
             labels = components(links if labels is None else labels.unionAll(links), self.folder, name)
         return labels
 
+    def _turns(self) -> DataFrame | None:
+        """Components as far as large buckets show them when each member is compared within its own block."""
+        labels = None
+        if self.buckets.where(F.col("size") > CELL).isEmpty():
+            return labels
+        for turn in range(TURNS):
+            name = f"turn-{turn}"
+            links = stored(self._verified(near_pairs(self._rows(labels, large=True), True, turn), name), self.folder, f"{name}-links")
+            if links.isEmpty():
+                break
+            labels = components(links if labels is None else labels.unionAll(links), self.folder, name)
+        return labels
+
     def documents(self) -> DataFrame:
         """(doc_id, row_hash, n_shingles, component, component_id) per row. component_id is the least doc_id that links
         reach; component names the group also where doc_ids are shared, and is null for documents without shingles."""
