@@ -3,7 +3,8 @@ import random
 import numpy as np
 import pytest
 
-from brute import jaccard_groups
+from brute import Groups, jaccard_groups
+from tidelog.llm import components
 from tidelog.llm import jaccard_join as j
 from tidelog.llm.queries import QUERIES
 
@@ -129,3 +130,31 @@ def test_many_rows_without_a_doc_id(spark):
     frame = spark.createDataFrame([(None if i % 3 else i, t) for i, t in docs], SCHEMA)
     out = j.group_documents(frame).collect()
     assert len(out) == 300 and {r.component_id for r in out} == {0}
+
+
+def test_buckets_come_once_and_looks_are_few(spark, monkeypatch):
+    """Tables written, since each costs a few stages: before, buckets came once per part of the keys, large ones were dealt
+    into blocks in turns of their own, and each confirmed its components in another round."""
+    tables = []
+    write = components.stored
+    for module in (j, components):
+        monkeypatch.setattr(module, "stored", lambda df, folder, name: tables.append(name) or write(df, folder, name))
+    join = j.JaccardJoin(spark.createDataFrame(near_copies(1500), SCHEMA))
+    assert join.buckets.count() == join.buckets.select("bucket").distinct().count()
+    assert {r.y for r in join.groups().collect()} == {min(r.set_id for r in join.sets.collect())}
+    assert len(tables) <= 12
+
+
+def test_components_of_paths_hubs_and_repeats(spark, tmp_path):
+    rng = random.Random(10)
+    edges = [(i, i + 1) for i in range(40)] + [(500, 100 + i) for i in range(300)] + [(300 + 200 * i, 1000 + i) for i in range(20)]
+    edges += [(rng.randrange(2000, 2400), rng.randrange(2000, 2400)) for _ in range(150)]
+    edges = [e[::rng.choice([1, -1])] for e in edges + edges[::3]]
+    groups = Groups()
+    for a, b in edges:
+        groups.join(a, b)
+    expected = sorted((n, groups.find(n)) for n in {n for e in edges for n in e} if groups.find(n) != n)
+    found = components.components(spark.createDataFrame(edges, "x bigint, y bigint"), str(tmp_path), "mixed")
+    assert sorted((r.x, r.y) for r in found.collect()) == expected
+    components.components(found, str(tmp_path), "done")
+    assert [p.name for p in tmp_path.glob("done-*")] == ["done-0"]

@@ -13,10 +13,11 @@ argument fails adds the keys of its shortest sufficient prefix in hash order, wh
 *Verify.* A second sketch of single bits bounds the symmetric difference of two sets from below and removes most false
 candidates; the rest are compared exactly.
 
-Groups need less than all pairs. A bucket of more than a block is first dealt into blocks at random, a few times anew, and
-only members of one block are compared, which costs in proportion to the bucket: copies of one text are then one component,
-and their buckets are done. In the others as many pairs are compared, the nearest, as tie the members together; then whatever
-pairs of a bucket are still in different components, so no link is lost.
+Groups need less than all pairs. First as many pairs of a bucket are compared, the nearest, as tie its members together; one of
+more than a block is dealt into blocks at random, twice, and only members of one block are compared, which costs in proportion
+to the bucket: copies of one text are then one component, and their buckets are done. A bucket is looked at again if it had more
+pairs, or more than a block, and still holds different components; then if these had too many pairs to compare them all
+at once. In the last look all that are left are compared, so no link is lost.
 """
 
 from __future__ import annotations
@@ -37,7 +38,9 @@ SMALLEST = 3  # smaller sets link with equal ones only
 CHUNK = 1 << 15  # members to a row
 SKETCH_BITS = 1024  # of a sketch of single bits, at least
 CELL = 1024  # members of a block of a large bucket
-TURNS = 3  # times that a large bucket is dealt into blocks before its blocks are compared with each other
+TURNS = 2  # times that a large bucket is dealt into blocks before its blocks are compared with each other
+FEW = 4  # pairs to a member that the second look compares without choosing among them
+PAIRS = 1 << 16  # pairs to an Arrow batch
 FILTER_BITS = 1 << 22  # the size of a filter of doc_ids, whatever the table's is
 
 
@@ -148,7 +151,7 @@ def describe(docs: DataFrame) -> DataFrame:
 
 
 def buckets(docs: DataFrame) -> DataFrame:
-    """(bucket, size, members): sets that share a key, as packed set ids, the least first. A bucket's name is its content."""
+    """(bucket, size, members): sets that share a key, as packed set ids. A bucket's name is its content, and each comes once."""
     n = partitions(docs.sparkSession)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,7 +192,8 @@ def buckets(docs: DataFrame) -> DataFrame:
             yield from _met(held)
 
     rows = docs.select(F.col("text").alias("t")).mapInArrow(tidy(emit), "part int, names binary, places binary, packed binary")
-    return rows.repartition(n, "part").sortWithinPartitions("part").mapInArrow(tidy(meet), "bucket bigint, size bigint, members binary")
+    met = rows.repartition(n, "part").sortWithinPartitions("part").mapInArrow(tidy(meet), "bucket bigint, size bigint, members binary")
+    return met.distinct()  # parts may have buckets with the same members
 
 
 def _met(rows: list[list[bytes]]) -> Iterator[pa.RecordBatch]:
@@ -215,113 +219,169 @@ def _met(rows: list[list[bytes]]) -> Iterator[pa.RecordBatch]:
         out_names, out_sizes, out = [], [], []
         for g in shared[low:low + 4096]:
             whole_bucket = ids[starts[g]:starts[g] + sizes[g]]
-            for at in range(1, len(whole_bucket), CHUNK):  # the pivot heads every row
+            for at in range(0, len(whole_bucket), CHUNK):
                 out_names.append(int(names[g].view(np.int64)))
                 out_sizes.append(len(whole_bucket))
-                out.append(np.concatenate([whole_bucket[:1], whole_bucket[at:at + CHUNK]]).tobytes())
+                out.append(whole_bucket[at:at + CHUNK].tobytes())
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(out_names, pa.int64()), pa.array(out_sizes, pa.int64()),
                                               pa.array(out, pa.binary())], ["bucket", "size", "members"])
 
 
 def members(table: DataFrame) -> DataFrame:
-    """(bucket, pivot, x) with a row for each member but the pivot."""
+    """(bucket, size, x) with a row for each member."""
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for low in range(0, len(batch), 512):
                 part = batch.slice(low, 512)
                 each = [np.frombuffer(m, np.int64) for m in part.column("members").to_pylist()]
-                sizes = [len(m) - 1 for m in each]
+                counts = [len(m) for m in each]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(part.column("bucket").to_numpy(zero_copy_only=False), sizes), pa.int64()),
-                     pa.array(np.repeat([m[0] for m in each], sizes), pa.int64()),
-                     pa.array(np.concatenate([m[1:] for m in each]), pa.int64())], ["bucket", "pivot", "x"])
+                    [pa.array(np.repeat(part.column(c).to_numpy(zero_copy_only=False), counts), pa.int64())
+                     for c in ("bucket", "size")] + [pa.array(np.concatenate(each), pa.int64())], ["bucket", "size", "x"])
 
-    return table.mapInArrow(tidy(expand), "bucket bigint, pivot bigint, x bigint")
+    return table.mapInArrow(tidy(expand), "bucket bigint, size bigint, x bigint")
 
 
-def cells(rows: DataFrame, turn: int | None) -> DataFrame:
+def cells(rows: DataFrame, turn) -> DataFrame:
     """Members with the pair of blocks (i, j) of their bucket in which they are compared, so that no group is unbounded.
 
-    With a `turn` a member is in its own block alone, which is another one each turn; without, in all pairs of its block.
+    With a `turn`, a number or a column of them, a member is in its own block alone, which is another one each turn;
+    without, in all pairs of its block.
     """
-    sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"))
-    rows = rows.join(sizes, "bucket").withColumn("blocks", F.ceil(F.col("size") / CELL).cast("int"))
-    name = F.xxhash64("x") if turn is None else F.xxhash64("x", F.lit(turn))
-    rows = rows.withColumn("block", F.pmod(name, F.col("blocks")).cast("int"))
-    every = F.sequence(F.lit(0), F.col("blocks") - 1)
-    rows = rows.withColumn("other", F.explode(every) if turn is None else F.col("block"))
+    rows = rows.withColumn("blocks", F.ceil(F.col("size") / CELL).cast("int"))
+    if turn is None:
+        rows = rows.withColumn("block", F.pmod(F.xxhash64("x"), F.col("blocks")).cast("int"))
+        rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    else:
+        block = F.pmod(F.xxhash64("x", F.lit(turn)), F.col("blocks")) + F.lit(turn) * F.col("blocks")
+        rows = rows.withColumn("block", block.cast("int")).withColumn("other", F.col("block"))
     return rows.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
                        "block", "x", "component", "n", "sketch")
 
 
-def near_pairs(rows: DataFrame, spanning: bool, turn: int | None = None) -> DataFrame:
-    """(x, y) of different components that share a cell and that the bit sketches do not rule out.
+def near_pairs(rows: DataFrame, few: int | None = None, turns: int = 0) -> DataFrame:
+    """(x, y, bucket): pairs of different components that share a cell and that the bit sketches do not rule out.
 
-    `rows` are (bucket, x, component, n, sketch). With `spanning` only as many pairs of a cell, the nearest, as tie its
-    components together; if all of them link, no other pair of the cell has to be looked at.
+    `rows` are (bucket, size, x, component, n, sketch). With `few`, of a cell with more pairs than that to a member only as
+    many are given, the nearest, as tie its components together, and a row names the bucket instead of a pair if that
+    left any out. With `turns` large buckets are dealt that often into blocks, and blocks are not compared with each other.
     """
-    rows = cells(rows, turn)
+    if turns:
+        last = F.when(F.col("size") > CELL, F.lit(turns - 1)).otherwise(F.lit(0))
+        rows = cells(rows.withColumn("turn", F.explode(F.sequence(F.lit(0), last))), F.col("turn"))
+    else:
+        rows = cells(rows, None)
     n = partitions(rows.sparkSession)
     rows = rows.repartition(n, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         cell, held = None, []
         for batch in batches:
             for row in zip(*(batch.column(c).to_pylist() for c in
                              ("bucket", "i", "j", "block", "x", "component", "n", "sketch"))):
                 if row[:3] != cell:
-                    yield from _near(cell, held, spanning)
+                    yield cell, *_near(cell, held, few)
                     cell, held = row[:3], []
                 held.append(row[3:])
-        yield from _near(cell, held, spanning)
-
-    return rows.mapInArrow(tidy(compare), "x bigint, y bigint").distinct()
-
+        yield cell, *_near(cell, held, few)
 
-def _near(cell, held: list[tuple], spanning: bool) -> Iterator[pa.RecordBatch]:
-    if len(held) < 2:
-        return
-    held.sort(key=lambda h: len(h[4]))
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        xs, ys, marks, size = [], [], [], 0
+        for cell, x, y, all_of_them in found(batches):
+            if len(x):
+                xs.append(x)
+                ys.append(y)
+                size += len(x)
+            if not all_of_them:
+                marks.append(cell[0])
+            if size >= PAIRS:
+                yield _batch(xs, ys, marks)
+                xs, ys, marks, size = [], [], [], 0
+        if xs:
+            yield _batch(xs, ys, marks)
+
+    return rows.mapInArrow(tidy(compare), "x bigint, y bigint, bucket bigint").distinct()
+
+
+def _batch(xs: list[np.ndarray], ys: list[np.ndarray], marks: list[int]) -> pa.RecordBatch:
+    x, y = np.concatenate(xs), np.concatenate(ys)
+    none = pa.nulls(len(marks), pa.int64())
+    return pa.RecordBatch.from_arrays(
+        [pa.concat_arrays([pa.array(np.minimum(x, y)), none]), pa.concat_arrays([pa.array(np.maximum(x, y)), none]),
+         pa.concat_arrays([pa.nulls(len(x), pa.int64()), pa.array(marks, pa.int64())])], ["x", "y", "bucket"])
+
+
+def _near(cell, held: list[tuple], few: int | None) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Pairs of a cell, and whether they are all."""
+    if len(held) < 2 or len(held) == 2 and not _pair(cell, *held):
+        nothing = np.zeros(0, np.int64)
+        return nothing, nothing, True
+    if len(held) == 2:
+        return np.array([held[0][1]]), np.array([held[1][1]]), True
+    held.sort(key=lambda h: (len(h[4]), h[3], h[1]))  # the same in every bucket, and so are the pairs chosen
     block, x, component, n = (np.array([h[i] for h in held]) for i in range(4))
-    apart = _distances([h[4] for h in held], n)
-    apart[component[:, None] == component] = FAR
+    first = second = np.arange(len(held))
     if cell[1] != cell[2]:
-        apart[block[:, None] == block] = FAR
-    a, b = _spanning(apart, component) if spanning else np.nonzero(np.triu(apart < FAR))
-    if len(a):
-        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x[a], x[b])), pa.array(np.maximum(x[a], x[b]))], ["x", "y"])
+        first, second = np.flatnonzero(block == cell[1]), np.flatnonzero(block != cell[1])
+    else:
+        names, counts = np.unique(component, return_counts=True)
+        if 2 * counts.max() > len(held):  # pairs within the largest component need no distance
+            first = np.flatnonzero(component != names[counts.argmax()])
+    apart = _distances([h[4] for h in held], n, first, second)
+    apart[component[:, None] == component] = FAR
+    near = np.triu(apart < FAR)
+    count = np.count_nonzero(near)
+    if few is None or count <= max(1, few * len(held)):
+        a, b = np.nonzero(near)
+    else:
+        a, b = _spanning(apart, component)
+    return x[a], x[b], len(a) == count
+
+
+def _pair(cell, a: tuple, b: tuple) -> bool:
+    """What _near finds of two members, by far the most frequent cell, without arrays."""
+    if a[2] == b[2] or cell[1] != cell[2] and a[0] == b[0] or 4 * min(a[3], b[3]) < 3 * max(a[3], b[3]):
+        return False
+    x, y = sorted((a[4], b[4]), key=len)
+    apart = int.from_bytes(x) ^ int.from_bytes(y[:len(x)])
+    if len(x) < len(y):
+        apart ^= int.from_bytes(y[len(x):])
+    return apart.bit_count() <= farthest(a[3], b[3])
 
 
 FAR = np.iinfo(np.int32).max
 
 
-def _distances(sketches: list[bytes], n: np.ndarray) -> np.ndarray:
-    """Bits in which sketches differ, FAR where that or the sizes rule a link out. Sketches are sorted by length.
+def _distances(sketches: list[bytes], n: np.ndarray, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """Bits in which sketches of `first` and `second` differ, FAR where that or the sizes rule a link out, and elsewhere.
 
-    Linked sets are so close in size that their sketches have one length, or one twice the other's; the longer one is then
-    halved.
+    Rows are sorted by the sketch's length, then by n. Linked sets are so close in size that their sketches have one length,
+    or one twice the other's; the longer one is then halved.
     """
     out = np.full((len(n), len(n)), FAR, np.int32)
     length = np.array([len(s) for s in sketches])
-    classes = {}
-    for size in np.unique(length).tolist():
-        low, high = np.searchsorted(length, [size, size + 1])
-        classes[size] = low, high, unpacked(sketches[low:high])
-    for size, (low, high, own) in classes.items():
-        for other in (size, 2 * size):
-            if other not in classes:
+    columns = {}
+    for size in np.unique(length[second]).tolist():
+        at = second[length[second] == size]
+        columns[size] = at, unpacked([sketches[c] for c in at.tolist()])
+    for size in np.unique(length[first]).tolist():
+        rows = first[length[first] == size]
+        own = unpacked([sketches[r] for r in rows.tolist()])
+        for other in (size // 2, size, 2 * size):
+            if other not in columns:
                 continue
-            first, last, words = classes[other]
-            words = words if other == size else halved(words)
-            for r in range(low, high):
-                apart = np.bitwise_count(words ^ own[r - low]).sum(axis=1, dtype=np.int32)
-                sizes = n[first:last]
-                good = (apart <= farthest(sizes, n[r])) & (4 * np.minimum(sizes, n[r]) >= 3 * np.maximum(sizes, n[r]))
-                out[r, first:last] = np.where(good, apart, FAR)
-            if other != size:
-                out[first:last, low:high] = out[low:high, first:last].T
-    return out
+            at, words = columns[other]
+            mine, theirs = halved(own) if other < size else own, halved(words) if other > size else words
+            sizes = n[at]
+            low, high = np.searchsorted(sizes, (3 * n[rows] + 3) // 4), np.searchsorted(sizes, 4 * n[rows] // 3, side="right")
+            if first is second:
+                low = np.maximum(low, np.searchsorted(at, rows, side="right"))
+            for r, mask, lo, hi in zip(rows.tolist(), mine, low.tolist(), high.tolist()):
+                if lo < hi:
+                    apart = np.bitwise_count(theirs[lo:hi] ^ mask).sum(axis=1, dtype=np.int32)
+                    out[r, at[lo:hi]] = np.where(apart <= farthest(sizes[lo:hi], n[r]), apart, FAR)
+    return np.minimum(out, out.T)
 
 
 def _spanning(apart: np.ndarray, component: np.ndarray) -> tuple[list[int], list[int]]:
@@ -376,19 +436,17 @@ class JaccardJoin:
         self.docs = docs.select("doc_id", "text")
         self.sets = stored(describe(self.docs), self.folder, "sets")
         self.buckets = stored(buckets(self.docs), self.folder, "buckets")
-        self.members = members(self.buckets)
         first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_hash"))
         owners = self.sets.where("set_id IS NOT NULL").groupBy("set_id").agg(
             first.alias("row"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
         owners = owners.select("set_id", F.col("row.doc_id").alias("owner"), F.col("row.row_hash").alias("owner_row"), "n", "sketch")
-        met = self.members.select(F.col("x").alias("m")).unionAll(self.members.select("pivot")).distinct()
+        met = members(self.buckets).select(F.col("x").alias("m")).distinct()
         self.owners = stored(owners.join(met, F.col("set_id") == F.col("m")).drop("m"), self.folder, "owners")
 
     def _verified(self, pairs: DataFrame, name: str) -> DataFrame:
         """Only texts of the pairs are fetched. They are found by doc_id and their sets computed anew, since rows may
-        share a doc_id or have none."""
-        pairs = stored(pairs, self.folder, f"{name}-pairs")
-        ids = pairs.select(F.col("x").alias("id")).unionAll(pairs.select("y")).distinct()
+        share a doc_id or have none. `pairs` is a stored table."""
+        ids = pairs.select(F.explode(F.array("x", "y")).alias("id")).distinct()
         wanted = self.owners.join(ids, F.col("set_id") == F.col("id")).select(
             "owner", "owner_row", F.col("set_id").alias("wanted"))
         wanted = stored(wanted, self.folder, f"{name}-wanted")
@@ -396,45 +454,60 @@ class JaccardJoin:
         texts = stored(_right_text(found), self.folder, f"{name}-texts")
         return verified(pairs, texts)
 
-    def _rows(self, labels: DataFrame | None, large: bool = False) -> DataFrame:
-        """Members of the buckets (or of the large ones) that hold more than one component, with what near_pairs needs."""
-        found = members(self.buckets.where(F.col("size") > CELL)) if large else self.members
-        every = found.select("bucket", "x").unionAll(found.select("bucket", F.col("pivot").alias("x")))
-        every = every.distinct()
+    def _labelled(self, table: DataFrame, labels: DataFrame | None) -> DataFrame:
+        """(bucket, size, x, component) per member of the buckets of `table`."""
+        every = members(table)
         if labels is None:
-            every = every.withColumn("component", F.col("x"))
-        else:
-            labels = labels.select(F.col("x").alias("node"), F.col("y").alias("root"))
-            every = every.join(labels, F.col("x") == F.col("node"), "left").select(
-                "bucket", "x", F.coalesce("root", "x").alias("component"))
-            open_ones = every.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b"))
-            every = every.join(open_ones.where("a <> b").select("bucket"), "bucket", "left_semi")
+            return every.withColumn("component", F.col("x"))
+        labels = labels.select(F.col("x").alias("node"), F.col("y").alias("root"))
+        return every.join(labels, F.col("x") == F.col("node"), "left").select(
+            "bucket", "size", "x", F.coalesce("root", "x").alias("component"))
+
+    def _open(self, table: DataFrame, labels: DataFrame) -> DataFrame:
+        """The buckets of `table` that hold more than one component."""
+        ends = self._labelled(table, labels).groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b"))
+        return table.join(ends.where("a <> b").select("bucket"), "bucket", "left_semi").select(table.columns)
+
+    def _members(self, table: DataFrame, labels: DataFrame | None) -> DataFrame:
+        """Members of the buckets of `table` with what near_pairs needs."""
         traits = self.owners.select(F.col("set_id").alias("x"), "n", "sketch")
-        return every.join(traits, "x").select("bucket", "x", "component", "n", "sketch")
+        return self._labelled(table, labels).join(traits, "x").select("bucket", "size", "x", "component", "n", "sketch")
+
+    def _rows(self, labels: DataFrame | None, large: bool = False) -> DataFrame:
+        """Members of the buckets (or of the large ones) that hold more than one component, with what near_pairs needs."""
+        table = self.buckets.where(F.col("size") > CELL) if large else self.buckets
+        return self._members(table if labels is None else self._open(table, labels), labels)
 
     def links(self) -> DataFrame:
         """All pairs (x, y) of different sets that link, by set_id; `sets` tells which documents have a set."""
-        return self._verified(near_pairs(self._rows(None), spanning=False), "links")
+        pairs = stored(near_pairs(self._rows(None)).select("x", "y"), self.folder, "links-pairs")
+        return self._verified(pairs, "links")
+
+    def _look(self, rows: DataFrame, labels: DataFrame | None, name: str, few: int | None, turns: int = 0) -> tuple[DataFrame, DataFrame]:
+        """Components with the links among the pairs of `rows`, and the buckets that had more pairs."""
+        found = stored(near_pairs(rows, few, turns), self.folder, f"{name}-pairs")
+        links = self._verified(found.where("bucket IS NULL").select("x", "y"), name)
+        labels = components(links if labels is None else labels.unionAll(links), self.folder, name)
+        return labels, found.where("bucket IS NOT NULL").select("bucket")
+
+    def _turns(self) -> DataFrame:
+        """Components as the first look shows them, in which large buckets are compared within their blocks alone."""
+        return self._first()[0]
+
+    def _first(self) -> tuple[DataFrame, DataFrame]:
+        return self._look(self._members(self.buckets, None), None, "first", 0, TURNS)
 
     def groups(self) -> DataFrame:
         """(x, y): each set that is not the least of its component, and the least."""
-        labels = self._turns()
-        for name, spanning in (("spanning", True), ("rest", False)):
-            links = self._verified(near_pairs(self._rows(labels), spanning), name)
-            labels = components(links if labels is None else labels.unionAll(links), self.folder, name)
-        return labels
-
-    def _turns(self) -> DataFrame | None:
-        """Components as far as large buckets show them when each member is compared within its own block."""
-        labels = None
-        if self.buckets.where(F.col("size") > CELL).isEmpty():
-            return labels
-        for turn in range(TURNS):
-            name = f"turn-{turn}"
-            links = stored(self._verified(near_pairs(self._rows(labels, large=True), True, turn), name), self.folder, f"{name}-links")
-            if links.isEmpty():
+        labels, more = self._first()
+        again = self.buckets.where(F.col("size") <= CELL).join(more, "bucket", "left_semi").select(self.buckets.columns)
+        again = again.unionAll(self.buckets.where(F.col("size") > CELL))
+        for name, few in (("second", FEW), ("rest", None)):
+            again = stored(self._open(again, labels), self.folder, f"{name}-buckets")
+            if again.agg(F.count(F.lit(1))).first()[0] == 0:
                 break
-            labels = components(links if labels is None else labels.unionAll(links), self.folder, name)
+            labels, more = self._look(self._members(again, labels), labels, name, few)
+            again = again.join(more, "bucket", "left_semi").select(self.buckets.columns)
         return labels
 
     def documents(self) -> DataFrame:
